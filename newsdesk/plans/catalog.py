@@ -1,0 +1,5 @@
+"""Registered queries of the engine and the SQL that checks them."""
+
+FLAGSHIP = "rp01_daily_report"
+QUERIES: dict = {}
+ORACLES: dict = {}
