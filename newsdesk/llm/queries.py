@@ -1,8 +1,10 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, packing
+from newsdesk.llm import decontaminate, langid, packing, toxicity
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
