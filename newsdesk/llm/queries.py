@@ -1,13 +1,16 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, packing, toxicity
+from newsdesk.llm import decontaminate, langid, main_text, packing, toxicity, warc
 
 QUERIES = {
+    "op4_html_extraction": main_text.op4_html_extraction,
+    "op10_warc": warc.op10_warc,
     "op3_language_id": langid.op3_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 ORACLES = {
+    "op10_warc": warc.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
