@@ -1,8 +1,9 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, main_text, packing, toxicity, warc
+from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, toxicity, warc
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_html_extraction": main_text.op4_html_extraction,
     "op10_warc": warc.op10_warc,
     "op3_language_id": langid.op3_language_id,
@@ -11,6 +12,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 ORACLES = {
+    "op1_minhash_near_dedup": minhash.ORACLE,
     "op10_warc": warc.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
