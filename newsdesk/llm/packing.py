@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from newsdesk.llm.tables import stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Words longer than this are not kept in a task's cache, and the cache starts anew when it is full.
-CACHED_WORD_BYTES, CACHED_WORDS = 48, 400_000
+#: Words longer than this are not kept in a worker's cache, and the cache starts anew when it is full.
+CACHED_WORD_BYTES, CACHED_WORDS = 48, 1_000_000
 
 
 def vocabulary_path() -> str:
@@ -36,16 +37,42 @@ def vocabulary_path() -> str:
 
 
 class WordIds(dict):
-    """Little-endian ids of a word. The vocabulary drops white space and no token crosses it, so a text's ids
-    are those of its words in turn."""
+    """Little-endian ids of a word. The vocabulary lower-cases, drops white space, and no token crosses white
+    space or the border of letters and punctuation. So a text's ids are those of its words in turn, a closing
+    mark is tokenised apart from the letter before it, and ASCII letters in either case have the same ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
+    def learn(self, words: set[bytes]) -> None:
+        """Tokenise the unknown words of letters among words together, which costs less than one by one."""
+        if len(self) + len(words) > CACHED_WORDS:
+            self.clear()
+        new = set()
+        for word in words:
+            if word not in self:
+                core = word.rstrip(b".,;:!?")
+                core = core.lower() if core.isalpha() else core
+                if core and core not in self and len(core) <= CACHED_WORD_BYTES and core.decode().isalpha():
+                    new.add(core)
+        cores = list(new)
+        for at in range(0, len(cores), 2000):
+            part = cores[at : at + 2000]
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            if len(of) and of[-1] + 1 == len(part):  # else the vocabulary parts one of them; they are done singly
+                cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+                self.update(zip(part, (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isalpha() and not word.islower():
+            return self[word.lower()]
+        text = word.decode()
+        if len(text) > 1 and word[-1] in b".,;:!?" and text[-2].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= CACHED_WORD_BYTES:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -53,6 +80,12 @@ class WordIds(dict):
         return ids
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of at most `capacity` ids of each document.
 
@@ -63,15 +96,17 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for part in slices(batch, text_col):
                 data, offsets = text_buffer(part.column(text_col))
                 whole = data.tobytes()
                 rows: list[tuple] = []
-                for doc, a, b in zip(part.column(id_col).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    ids = b"".join(map(words.__getitem__, whole[a:b].split())) + end
+                texts = [whole[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                words.learn(set().union(*texts))
+                for doc, text in zip(part.column(id_col).to_pylist(), texts, strict=True):
+                    ids = b"".join(map(words.__getitem__, text)) + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         piece = ids[at : at + step]
                         rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
