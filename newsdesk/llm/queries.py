@@ -1,11 +1,12 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, toxicity, warc
+from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_html_extraction": main_text.op4_html_extraction,
     "op10_warc": warc.op10_warc,
+    "op2_document_fingerprints": spotsigs.op2_document_fingerprints,
     "op3_language_id": langid.op3_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
