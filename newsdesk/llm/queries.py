@@ -1,6 +1,6 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, spotsigs, toxicity, warc
+from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, repeats, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op2_document_fingerprints": spotsigs.op2_document_fingerprints,
     "op3_language_id": langid.op3_language_id,
+    "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
