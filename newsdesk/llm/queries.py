@@ -1,6 +1,6 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, repeats, spotsigs, toxicity, warc
+from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, pii, repeats, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_pii": pii.op8_pii,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
 }
 ORACLES = {
     "op1_minhash_near_dedup": minhash.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op8_pii": pii.op8_pii,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
