@@ -14,7 +14,6 @@ count once by item_id; empty tables give no hits; other columns of the input are
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,10 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import PLAIN_WORD, Words, slices, text_buffer
+from newsdesk.llm.linking import without
+from newsdesk.llm.tables import stored
 
 WINDOW = 10
 #: Bytes of item texts in one automaton.
 BLOCK_BYTES = 4 << 20
+#: Documents with hits that may be broadcast; more are joined by a shuffle.
+BROADCAST_HITS = 50_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -239,12 +242,18 @@ def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """The documents without the benchmark passages; those of which more than max_coverage of the words are hit go.
 
-    Only documents with hits pass through Python again. docs needs doc_id and text; doc_id identifies a row."""
-    hits = benchmark_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), "n_words", "n_hit", "starts", "ends")
+    Only documents with hits pass through Python again. docs needs doc_id and text, doc_id identifies a row, and
+    n_chars follows the text if docs has it."""
+    hits = benchmark_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), (F.col("n_hit") > F.col("n_words") * max_coverage).alias("_gone"), "starts", "ends")
+    hits = stored(hits.dropDuplicates(["_id"]), "hits")
+    clean = without(docs, hits.select(F.col("_id").alias("doc")), "doc_id")
+    marked = hits.where("not _gone")
     cut = F.udf(cut_words, "string")
-    joined = docs.join(hits, docs["doc_id"] == hits["_hit_id"], "left").where(F.col("_hit_id").isNull() | (F.col("n_hit") <= F.col("n_words") * max_coverage))
-    text = F.when(F.col("_hit_id").isNotNull(), cut(F.col("text"), "starts", "ends")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    found = docs.join(F.broadcast(marked) if marked.count() <= BROADCAST_HITS else marked, docs["doc_id"] == marked["_id"])
+    found = found.withColumn("text", cut(F.col("text"), "starts", "ends"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.unionByName(found.select(*docs.columns))
 
 
 def op9_benchmark_decontamination(spark, sf_dir):
