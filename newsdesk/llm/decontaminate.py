@@ -248,7 +248,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     hits = stored(hits.dropDuplicates(["_id"]), "hits")
     clean = without(docs, hits.select(F.col("_id").alias("doc")), "doc_id")
     marked = hits.where("not _gone")
-    cut = F.udf(cut_words, "string")
+    cut = F.udf(lambda text, starts, ends: cut_words(text, starts, ends), "string")
     found = docs.join(F.broadcast(marked) if marked.count() <= BROADCAST_HITS else marked, docs["doc_id"] == marked["_id"])
     found = found.withColumn("text", cut(F.col("text"), "starts", "ends"))
     if "n_chars" in docs.columns:
