@@ -18,9 +18,15 @@ COMPANY_PREFIX = "首发|融资|公司|企业|项目|团队|具身智能|基础
 COMPANY_SUFFIX = "公司|企业|项目|团队|平台|科技|智能|医疗|机器人"
 
 
-@F.pandas_udf("string")
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+def _unescape(c: Column) -> Column:
+    """HTML entities decoded, by a pandas UDF: there are too many names for an expression."""
+
+    # made on use: this module is also imported on executors, where no session is
+    @F.pandas_udf("string")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+    return decode(c)
 
 
 def collapse(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.functions import finance, text, times, urls
-from newsdesk.operators import filters, rollups, scoring
+from newsdesk.operators import cluster, filters, rollups, scoring
 from newsdesk.plans.frames import frame, oracle
 
 FLAGSHIP = "rp01_daily_report"
@@ -407,3 +407,34 @@ def _(spark, d1):
 
     rows = d1.withColumn("fingerprint", text.fingerprint(F.col("summary")))
     return first_of(rows, ["fingerprint"], [F.col("content_id")]).select("content_id", "fingerprint")
+
+
+def _day_items(d2: DataFrame, d5: DataFrame) -> DataFrame:
+    """The financing items that were crawled on DAY, as the day's list shows them."""
+    day = filters.financing_contents(d2, d5).where(F.to_date("crawl_time") == F.lit(DAY))
+    return day.select("content_id", "title", "summary", F.col("crawl_time").alias("shown"))
+
+
+@query("cl02_clusters", "d2 d5")
+def _(spark, d2, d5):
+    return cluster.cluster_financing(_day_items(d2, d5))
+
+
+@query("cl04_build_events", "d2 d5")
+def _(spark, d2, d5):
+    return cluster.build_events(filters.financing_contents(d2, d5).select("content_id", "title", "summary", F.col("crawl_time").alias("shown")))[0]
+
+
+_SETS = f"select n_id as id, {_TOKENS} as t from (select content_id as n_id, {DROPPED.format('title')} as n from d1)"
+
+
+@query(
+    "cl05_near_duplicates",
+    "d1",
+    f"""select a as left_id, b as right_id, c as common, na + nb - c as total from (
+      with s as (select min(id) as id, t from ({_SETS}) where len(t) > 0 group by t), k as (select id, len(t) as n, unnest(t) as w from s)
+      select x.id as a, y.id as b, count(*) as c, any_value(x.n) as na, any_value(y.n) as nb from k x join k y on x.w = y.w and x.id < y.id group by 1, 2)
+    where 100 * c >= 80 * (na + nb - c)""",
+)
+def _(spark, d1):
+    return cluster.near_duplicates(d1, "content_id", F.col("title"))
