@@ -31,10 +31,12 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that stay open until they are closed; paragraphs, list items and inline tags are often left open.
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header main menu nav ol section select table ul button".split())
+#: Boilerplate that is often left unclosed, so an article inside it counts as outside.
+SOFT_TAGS = frozenset("head header menu nav".split())
 BOILER_TAGS = frozenset("aside button dialog fieldset footer form head menu nav select".split())
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object canvas audio video".split())
 BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|disclaimer|"
+    r"(?:^|\s|(?<!with)(?<!has)(?<!no)[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|disclaimer|"
     r"comments?|comment-?list|replies|disqus|respond|discussion|share|sharing|social|related|recommend\w*|popular|trending|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|widget|tags?|toc|copyright|legal|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
@@ -73,7 +75,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     stack: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    bad, article, articles, in_link = False, 0, 0, False
+    bad = soft = in_link = False
+    article = articles = 0
 
     def close() -> None:
         nonlocal in_link
@@ -135,13 +138,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
         if tag not in CONTAINERS:
             continue
         stack.append((tag, bad, article))
-        if tag in ("article", "main") and (not bad or all(x[0] not in ("aside", "footer", "form") for x in stack)) and not any(x[0] == "comments" for x in stack):
-            if not article:
-                articles += 1
-                article = articles
-                bad = False
+        if tag in ("article", "main") and not article and (not bad or soft):
+            articles += 1
+            article, bad = articles, False
         if not bad and _boilerplate(tag, attributes, bool(article)):
-            bad = True
+            bad, soft = True, tag in SOFT_TAGS
     close()
     return out
 
