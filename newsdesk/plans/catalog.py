@@ -438,3 +438,64 @@ _SETS = f"select n_id as id, {_TOKENS} as t from (select content_id as n_id, {DR
 )
 def _(spark, d1):
     return cluster.near_duplicates(d1, "content_id", F.col("title"))
+
+
+# --- pages, ingest, streams ------------------------------------------------------------------------------
+
+_LINKS = """(select page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as root, unnest(regexp_extract_all(html, '<a href="/[^"<>]*">[^<]*</a>')) as a from d6)"""
+
+
+@query("ext08_articles", "d6")
+def _(spark, d6):
+    from newsdesk.operators.pages import extract_articles
+
+    return extract_articles(d6, F.lit("2024-01-10 12:00:00").cast("timestamp_ntz"))
+
+
+@query("ext09_links", "d6")
+def _(spark, d6):
+    from newsdesk.operators.pages import harvest_links
+
+    return harvest_links(d6, 20).select("url", "href", "text")
+
+
+@query("ext13_challenge", "d6", "select page_id, html like '%/probe.js%' or html like '%Just a moment%' or html like '%HuaweiCloudWAF%' or html like '%Please Enable JavaScript and Cookie%' as challenge from d6")
+def _(spark, d6):
+    from newsdesk.operators.pages import is_challenge_page
+
+    return d6.select("page_id", is_challenge_page(F.col("html")).alias("challenge"))
+
+
+@query(
+    "ag07_ingest_stats",
+    "d1 d4",
+    rf"""select * from (with i as (select content_id, source_id, url, publish_time, publish_time_status, lower(trim(title || ' ' || coalesce(summary, '') || ' ')) as t from d1),
+      k as (select i.*, s.source_category, {_IN_WINDOW} as inside from i left join d4 s using (source_id)),
+      l as (select source_id, case when content_id % 10 = 0 then 'duplicate' when not inside then 'outside_window'
+        when coalesce(source_category in ('venture_media', 'tech_business_media'), false) and not (regexp_matches(t, '(^|[^a-z])ai([^a-z]|$)') or regexp_matches(t, 'ai infra|ai agent|aigc|llm|rag|mcp|gpu|openai|anthropic|deepseek|claude|gemini|chatgpt|copilot')) then 'not_ai' else 'new' end as o from k)
+      select source_id, count(*) as candidates, count(*) filter (o = 'new') as new_items, count(*) filter (o = 'duplicate') as duplicates, count(*) filter (o = 'outside_window') as outside_window, count(*) filter (o = 'not_ai') as not_ai from l group by source_id)""",
+)
+def _(spark, d1, d4):
+    from newsdesk.operators.ingest import ingest_stats, label_items
+
+    items = d1.select("source_id", F.col("content_id").alias("position"), "url", "title", "summary", F.lit(None).cast("string").alias("clean_text"), "publish_time", "publish_time_status")
+    held = d1.where("content_id % 10 = 0").select(F.col("url").alias("canonical_url"))
+    return ingest_stats(label_items(items, held, d4, dt.datetime(2024, 1, 10, 10)))
+
+
+@query("st02_daily_windows", "d3", "select cast(started_at + interval 14 hour as date) as report_day, source_id, count(*) as items from d3 group by 1, 2")
+def _(spark, d3):
+    from newsdesk.streaming.jobs import daily_window_counts
+
+    return daily_window_counts(d3, "started_at")
+
+
+@query("ev_merge_links", "d2", "select content_id // 3 // 2 * 2 as event_id, count(*) as sources from d2 group by 1")
+def _(spark, d2):
+    from newsdesk.operators.curate import merge_events
+
+    ids = d2.select((F.col("content_id") / 3).cast("long").alias("event_id")).distinct()
+    events = ids.select("event_id", F.lit("t").alias("event_title"), F.lit("c").alias("company_name"), F.lit(None).cast("date").alias("announced_date"), F.lit("A轮").alias("financing_round"), F.lit("1").alias("amount_original"), F.lit("pending").alias("review_status"), F.lit(False).alias("locked_by_user"), F.lit("s").alias("event_summary"))
+    links = d2.select(F.col("content_id").alias("event_content_id"), (F.col("content_id") / 3).cast("long").alias("event_id"), "content_id", F.lit(True).alias("is_primary_source"), F.lit(80.0).alias("match_score"), F.lit("automatic").alias("association_source"))
+    commands = events.where("event_id % 2 = 1").join(events.select((F.col("event_id") + 1).alias("event_id")), "event_id", "left_semi").select(F.col("event_id").alias("seq"), (F.col("event_id") - 1).alias("target_id"), F.array(F.col("event_id") - 1, "event_id").alias("event_ids"))
+    return merge_events(events, links, commands)[1].groupBy("event_id").agg(F.count(F.lit(1)).alias("sources"))
