@@ -142,3 +142,24 @@ def redact(c: Column, limit: int = 1000) -> Column:
 def mask(c: Column, shown: int = 4) -> Column:
     """The last characters of a secret behind eight stars; a short one is all stars."""
     return F.when(F.length(c) <= shown, F.repeat(F.lit("*"), F.length(c))).otherwise(F.concat(F.lit("*" * 8), F.substring(c, -shown, shown)))
+
+
+#: Categories and months on news cards, and the words that an introduction starts with.
+CARD_CATEGORIES = "Company|Research|Product|Safety|Engineering|Security|Global Affairs|AI Adoption|Announcements|Alignment|Interpretability|Policy|Science|Economic Research|Societal Impacts"
+CARD_MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+CARD_INTRO = "Today|We|Our|New|A new|Introducing our|Learn|Read"
+
+
+def clean_card_title(c: Column) -> Column:
+    """The title on a card without its category and date, which stand behind it, before it, or date first."""
+    text = clean_title(c)
+    date = rf"(?:{CARD_MONTHS})\s+\d{{1,2}},\s+20\d{{2}}"
+    behind = F.regexp_extract(text, rf"(?i)^(.+?)\s+(?:{CARD_CATEGORIES})\s+{date}\b", 1)
+    before = F.regexp_extract(text, rf"(?i)^(?:{CARD_CATEGORIES})\s+{date}\s+(.+)$", 1)
+    date_first = F.regexp_extract(text, rf"(?i)^{date}\s+(?:{CARD_CATEGORIES})\s+(.+)$", 1)
+    return (
+        F.when(behind != "", F.trim(behind))
+        .when(before != "", F.trim(F.element_at(F.split(F.trim(before), rf"\s+(?:{CARD_INTRO})\b", 2), 1)))
+        .when(date_first != "", F.trim(date_first))
+        .otherwise(F.when(F.length(text) <= 140, text).otherwise(first_chars(text, 120)))
+    )

@@ -54,3 +54,99 @@ def executive_summary(items: DataFrame, day: dt.date) -> DataFrame:
     counts = items.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("category") == k).alias(k) for k in SECTIONS))
     line = F.format_string(f"北京时间 {start:%Y-%m-%d %H:%M} 至 {end:%Y-%m-%d %H:%M} 共收录 %d 条情报：技术进展 %d 条、产业新闻 %d 条、融资新闻 %d 条。", "n", *SECTIONS)
     return counts.select(F.lit(str(day)).alias("report_date"), line.alias("executive_summary"))
+
+
+def daily_markdown(contents: DataFrame, summary: DataFrame) -> DataFrame:
+    """(day, markdown): the daily summary as text. summary: rollups.daily_summary(contents). Sources are sorted, sections
+    come in their order, items as crawled, the newest first. contents may carry tag_text and entity_text."""
+    from newsdesk.operators.rollups import OTHER_SECTION, SECTIONS as NAMES, section_of
+
+    order = {name: k for k, name in enumerate(dict.fromkeys([*NAMES.values(), OTHER_SECTION]))}
+    day = F.to_date("crawl_time").alias("day")
+    counts = contents.groupBy(day, "source_name").agg(F.count(F.lit(1)).alias("n"))
+    sources = counts.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_name", "n"))), lambda x: F.concat(F.lit("- "), x["source_name"], F.lit(": "), x["n"].cast("string"))), "\n").alias("sources"))
+    line = [F.concat(F.lit("### ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")")), F.concat(F.lit("- 来源："), F.col("source_name")), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("- 摘要："), F.col("summary")))]
+    for c, label in (("tag_text", "- 标签："), ("entity_text", "- 实体：")):
+        if c in contents.columns:
+            line.append(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), F.col(c))))
+    item = F.concat(F.concat_ws("\n", *line), F.lit("\n"))
+    section = section_of(F.col("source_category"))
+    rank = F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), section)
+    rows = contents.where("crawl_time is not null").select(day, section.alias("section"), rank.alias("rank"), "source_category", (-F.unix_micros(F.to_utc_timestamp("crawl_time", F.current_timezone()))).alias("late"), "content_id", item.alias("item"))
+    parts = rows.groupBy("day", "section", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_category", "late", "content_id", "item"))), lambda x: x["item"]), "\n").alias("body"))
+    body = parts.groupBy("day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "section", "body"))), lambda x: F.concat(F.lit("## "), x["section"], F.lit("\n\n"), x["body"])), "\n").alias("body"))
+    head = F.format_string("# AI 信息收集汇总｜%s\n\n## 一、今日抓取概览\n\n- 总条数：%d\n- 成功处理：%d\n- 部分处理：%d\n- 失败：%d\n", F.col("day").cast("string"), "total_items", "successful_items", "partial_items", "failed_items")
+    return summary.join(sources, "day").join(body, "day").select("day", F.concat_ws("\n", head, F.concat(F.lit("### 来源分布\n"), "sources", F.lit("\n")), "body").alias("markdown"))
+
+
+def report_candidates_for(report_type: str, start: dt.date, end: dt.date, events: DataFrame, watch: DataFrame) -> DataFrame:
+    """(target_type, target_id, date): confirmed events of the period, or open watch items that are undated or due in it."""
+    if report_type in ("weekly_financing", "current_week_financing"):
+        rows = events.where((F.col("review_status") == "confirmed") & F.col("announced_date").between(F.lit(start), F.lit(end)))
+        return rows.select(F.lit("financing_event").alias("target_type"), F.col("event_id").alias("target_id"), F.col("announced_date").alias("date"))
+    due = F.col("next_review_date").isNull() | F.col("next_review_date").between(F.lit(start), F.lit(end))
+    rows = watch.where((F.col("status") != "completed") & due) if report_type == "watchlist_digest" else watch.limit(0)
+    return rows.select(F.lit("watch_item").alias("target_type"), F.col("watch_id").alias("target_id"), F.col("next_review_date").alias("date"))
+
+
+def report_inputs(wanted: DataFrame, events: DataFrame, watch: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inputs, rejected): wanted (target_type, target_id) with title and summary as they are now; unknown ids are rejected."""
+    known = events.select(F.lit("financing_event").alias("target_type"), F.col("event_id").alias("target_id"), F.col("event_title").alias("title"), F.col("event_summary").alias("summary"))
+    known = known.unionByName(contents.select(F.lit("content").alias("target_type"), F.col("content_id").alias("target_id"), "title", "summary"))
+    known = known.unionByName(watch.select(F.lit("watch_item").alias("target_type"), F.col("watch_id").alias("target_id"), F.col("title"), F.col("summary")) if "title" in watch.columns else watch.select(F.lit("watch_item").alias("target_type"), F.col("watch_id").alias("target_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary")))
+    keys = ["target_type", "target_id"]
+    return wanted.join(known, keys), wanted.join(known, keys, "left_anti").withColumn("error", F.lit("unknown target"))
+
+
+def add_versions(reports: DataFrame, versions: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reports, versions). new: (report_id, seq, version_source, generation_status, markdown_text) get the next numbers
+    in order of seq; only successful ones move the report's latest version."""
+    top = versions.groupBy("report_id").agg(F.max("version_number").alias("_top"))
+    n = F.row_number().over(Window.partitionBy("report_id").orderBy("seq"))
+    base = new.join(top, "report_id", "left").join(reports.select("report_id", "latest_version"), "report_id", "left")
+    made = base.withColumn("version_number", (n + F.greatest(F.coalesce("_top", F.lit(0)), F.coalesce("latest_version", F.lit(0)))).cast("long")).drop("seq", "_top", "latest_version")
+    best = made.where("generation_status = 'success'").groupBy("report_id").agg(F.max("version_number").alias("_new"))
+    moved = reports.join(best, "report_id", "left").withColumn("latest_version", F.coalesce(F.col("_new").cast("int"), F.col("latest_version"))).drop("_new")
+    return moved, versions.unionByName(made.select(*versions.columns))
+
+
+def backfill_plan(missing: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each missing date with each enabled source, to run at noon. Both sides are short lists: dates of a week and sources."""
+    run = F.col("day").cast("timestamp_ntz") + F.expr("interval 12 hours")
+    return missing.select("day").crossJoin(F.broadcast(sources.where("enabled").select("source_id"))).withColumn("run_at", run)
+
+
+def cluster_detail(members: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Per cluster: company, rounds, amounts, introduction, investors and sources. members: (cluster_id, content_id,
+    shown, title, summary, source_name[, body])."""
+    from newsdesk.functions.finance import amount_texts, company_display_candidates, investor_texts, round_texts
+    from newsdesk.functions.text import first_chars, summary_chars
+
+    body = first_chars(F.col("body"), 1600) if "body" in members.columns else F.lit("")
+    text = F.concat_ws("\n", F.col("title"), F.coalesce("summary", F.lit("")), body)
+    rows = members.withColumn("_text", text)
+    if entities is not None:
+        names = lambda kind: entities.where(F.col("entity_type") == kind).groupBy("content_id").agg(F.array_sort(F.collect_set("name")).alias(f"_{kind}"))
+        rows = rows.join(names("company"), "content_id", "left").join(names("investor"), "content_id", "left")
+    else:
+        rows = rows.withColumn("_company", F.array().cast("array<string>")).withColumn("_investor", F.array().cast("array<string>"))
+    listed = rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("shown", "content_id", "title", "summary", "source_name", "_text", F.coalesce("_company", F.array().cast("array<string>")).alias("c"), F.coalesce("_investor", F.array().cast("array<string>")).alias("i"))), False).alias("m"))
+    all_text = F.array_join(F.col("m._text"), "\n")
+    listed = listed.select("cluster_id", "m", all_text.alias("t"), F.array_distinct(F.flatten("m.c")).alias("c"), F.array_distinct(F.flatten("m.i")).alias("i"))
+    listed = listed.withColumn("c", F.when(F.size("c") > 0, F.col("c")).otherwise(company_display_candidates(F.col("t")))).withColumn("i", F.when(F.size("i") > 0, F.col("i")).otherwise(investor_texts(F.col("t"))))
+    told = lambda a: F.when(F.size(a) > 0, F.array_join(a, "、")).otherwise("未披露")
+    sentences = F.filter(F.transform(F.split("t", "[。！？!?；;]\\s*"), lambda x: collapse(x)), lambda x: x != "")
+    marks = ("领投", "跟投", "参投", "投资方", "投资机构")
+    evidence = F.filter(sentences, lambda s: F.exists(F.concat(F.array(*map(F.lit, marks)), F.col("i")), lambda x: F.contains(s, x)))
+    intro = F.when(F.size(evidence) > 0, summary_chars(F.array_join(F.array_distinct(F.slice(evidence, 1, 2)), "；"), 220)).when(F.size("i") > 0, F.concat(F.lit("公开报道提到投资方："), F.array_join("i", "、"), F.lit("；暂无更详细机构简介。"))).otherwise("未披露或原文未提供明确投资方信息。")
+    first = F.col("m")[0]
+    return listed.select(
+        "cluster_id",
+        F.when(F.size("c") > 0, F.array_join(F.slice("c", 1, 3), "、")).otherwise(first["title"]).alias("company"),
+        told(round_texts(F.col("t"))).alias("round"),
+        told(amount_texts(F.col("t"))).alias("amount"),
+        summary_chars(F.coalesce(F.nullif(first["summary"], F.lit("")), F.col("t")), 220).alias("project_intro"),
+        intro.alias("investor_intro"),
+        F.array_join(F.array_distinct("m.source_name"), "、").alias("source_names"),
+        F.size("m").alias("reports"),
+    )

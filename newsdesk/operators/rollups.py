@@ -164,3 +164,55 @@ def assign_daily_windows(contents: DataFrame) -> DataFrame:
     whole = F.col("publish_time").isNotNull() & (F.lower("publish_time_status") == "date_only")
     days = F.when(whole, F.array(F.to_date(ts), F.date_add(F.to_date(ts), 1))).otherwise(F.array(day_of(ts)))
     return contents.where(ts.isNotNull()).withColumn("report_date", F.explode(days))
+
+
+def latest_success(manifests: DataFrame) -> DataFrame:
+    """The newest successful run of each target date; partial runs do not count."""
+    newest = Window.partitionBy("target_date").orderBy(F.desc("started_at"), F.desc("run_id"))
+    return manifests.where("status = 'success'").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def automation_status(dates: DataFrame, manifests: DataFrame, running: DataFrame) -> DataFrame:
+    """(target_date, status, run_id): running before the newest manifest's status before missing; a manifest
+    without a known status is corrupt. running: target dates of active runs."""
+    newest = Window.partitionBy("target_date").orderBy(F.desc("started_at"), F.desc("run_id"))
+    last = manifests.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select("target_date", "run_id", "status")
+    active = running.select("target_date", F.lit(True).alias("_running")).distinct()
+    known = F.lower("status").isin("success", "partial", "failed", "running")
+    status = F.when(F.col("_running"), "running").when(F.col("run_id").isNull(), "missing").when(F.coalesce(known, F.lit(False)), F.lower("status")).otherwise("corrupt")
+    return dates.select("target_date").join(last, "target_date", "left").join(active, "target_date", "left").select("target_date", status.alias("status"), "run_id")
+
+
+def rank_inbox(contents: DataFrame, least: int | None = None, limit: int = 50, offset: int = 0, candidate_cap: int | None = 1000) -> DataFrame:
+    """A page of scored contents (score, crawl_time): best first, then latest, with the total of rows that qualify.
+
+    candidate_cap bounds the newest rows that are looked at, as the inbox does; None looks at all of them."""
+    rows = contents
+    if candidate_cap is not None:
+        rows = rows.orderBy(F.desc("crawl_time"), F.desc("content_id")).limit(min(candidate_cap, max(limit + offset, 200)))
+    if least is not None:
+        rows = rows.where(F.col("score") >= least)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    page = rows.orderBy(F.desc("score"), F.desc("crawl_time"), F.desc("content_id")).offset(max(offset, 0)).limit(min(max(limit, 1), 200))
+    return page.crossJoin(F.broadcast(total))  # one row
+
+
+def weekly_funnel(contents: DataFrame, candidate: Column, relevance: Column) -> DataFrame:
+    """How the week's items fall: total, not articles or no candidates (skipped), candidates, classified, high and none."""
+    from newsdesk.operators.filters import ARTICLE_CATEGORIES
+
+    article = F.col("source_category").isin(*ARTICLE_CATEGORIES)
+    rows = contents.select(article.alias("a"), (article & candidate).alias("c"), relevance.alias("r"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~F.col("c")).alias("skipped"),
+        F.count_if("c").alias("candidates"),
+        F.count_if(F.col("c") & F.col("r").isNotNull()).alias("classified"),
+        F.count_if(F.col("c") & (F.col("r") == "high")).alias("high"),
+        F.count_if(F.col("c") & (F.col("r") == "none")).alias("none"),
+    )
+
+
+def recent(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first rows in order: recent tests, backups, jobs, summaries or reports."""
+    return rows.orderBy(*order).limit(limit)

@@ -499,3 +499,130 @@ def _(spark, d2):
     links = d2.select(F.col("content_id").alias("event_content_id"), (F.col("content_id") / 3).cast("long").alias("event_id"), "content_id", F.lit(True).alias("is_primary_source"), F.lit(80.0).alias("match_score"), F.lit("automatic").alias("association_source"))
     commands = events.where("event_id % 2 = 1").join(events.select((F.col("event_id") + 1).alias("event_id")), "event_id", "left_semi").select(F.col("event_id").alias("seq"), (F.col("event_id") - 1).alias("target_id"), F.array(F.col("event_id") - 1, "event_id").alias("event_ids"))
     return merge_events(events, links, commands)[1].groupBy("event_id").agg(F.count(F.lit(1)).alias("sources"))
+
+
+# --- more reports, curation and taxonomy -----------------------------------------------------------------
+
+
+@query("flt05_candidates", "d2 d5", "select content_id, true as candidate from d2")
+def _(spark, d2, d5):
+    from newsdesk.operators.joins import content_view
+
+    return content_view(d2, d5).select("content_id", filters.is_financing_candidate(F.col("title"), F.col("summary"), F.col("tags")).alias("candidate"))
+
+
+@query("jn12_exclude", "d2 d5", "select tag_key, tag_value, count(*) as n from (select * from d5 union select content_id, 'manual_financing_status', 'excluded' from d2 where content_id % 25 = 1) group by all")
+def _(spark, d2, d5):
+    from newsdesk.operators.joins import exclude_contents
+
+    tags = exclude_contents(d5, d2, d2.where("content_id % 25 = 1").select("content_id"))
+    return tags.groupBy("tag_key", "tag_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("wn07_latest_success", "d3", "select target_date, run_id from (select cast(started_at as date) as target_date, crawl_run_id as run_id, row_number() over (partition by cast(started_at as date) order by started_at desc, crawl_run_id desc) as n from d3 where status = 'success') where n = 1")
+def _(spark, d3):
+    m = d3.select(F.to_date("started_at").alias("target_date"), F.col("crawl_run_id").alias("run_id"), "started_at", "status")
+    return rollups.latest_success(m).select("target_date", "run_id")
+
+
+_SCORE = f"""select *, greatest(0, least(100, 35 + case when ai_related then 25 when not ai_related then -25 else 0 end + case when {_SIGNAL} then 10 else 0 end + case when k then 5 else 0 end)) as score
+  from (select *, {_TEXT} as t, source_category in ('official_news', 'official_research', 'venture_media', 'ai_media') as k from d1)"""
+
+
+def _scored(d1: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    s = scoring.score_content(F.col("title"), F.col("summary"), F.col("source_category"), F.col("ai_related"), none, none, F.lit(False))
+    return d1.withColumn("_s", s).withColumn("score", F.col("_s.score")).withColumn("confidence", F.col("_s.confidence")).withColumn("reasons", F.col("_s.reasons")).drop("_s")
+
+
+@query("wn09_inbox", "d1", f"select content_id, score, (select count(*) from ({_SCORE}) where score >= 40) as total from ({_SCORE}) where score >= 40 order by score desc, crawl_time desc, content_id desc limit 50")
+def _(spark, d1):
+    return rollups.rank_inbox(_scored(d1), least=40, candidate_cap=None).select("content_id", "score", "total")
+
+
+@query(
+    "sc03_reviews",
+    "d1",
+    f"select content_id, case when content_id % 4 = 0 then greatest(score, 80) when content_id % 4 = 1 then least(score, 20) else score end as score, case when content_id % 4 = 0 then 'reviewed' when content_id % 4 = 1 then 'unread' else review_status end as review_status from ({_SCORE})",
+)
+def _(spark, d1):
+    every = d1.select("content_id", F.lit(1).cast("bigint").alias("seq"), F.when(F.col("content_id") % 4 == 0, "relevant").when(F.col("content_id") % 4 == 1, "not_relevant").alias("decision")).where("decision is not null")
+    again = every.where("decision = 'not_relevant'").withColumn("seq", F.lit(2).cast("bigint")).withColumn("decision", F.lit("reset"))
+    return scoring.apply_reviews(_scored(d1), every.unionByName(again))[0].select("content_id", "score", "review_status")
+
+
+@query("tg04_metadata", "d2 d5", "select tag_value, count(*) as n from (select content_id, case when content_id % 6 = 0 then 'high' when content_id % 4 = 0 then 'none' else 'high' end as tag_value from d2) group by 1")
+def _(spark, d2, d5):
+    from newsdesk.operators.taxonomy import apply_metadata
+
+    none = F.lit(None).cast("array<string>")
+    out = d2.where("content_id % 6 = 0").select("content_id", F.lit("").alias("summary"), F.lit(True).alias("ai_related"), F.lit("").alias("content_type"), F.lit("High").alias("relevance"), none.alias("sectors"), none.alias("regions"))
+    return apply_metadata(d2, d5, out)[1].where("tag_key = 'ai_financing_relevance'").groupBy("tag_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "wt01_save_watch",
+    "d7",
+    "select status, count(*) as n from (select status from d7 union all select 'watching' from (select target_type, target_id from d7 where watch_id % 2 = 0 and status = 'completed')) group by status",
+)
+def _(spark, d7):
+    from newsdesk.operators.curate import active_key, save_watch_items
+
+    now = F.lit(None).cast("timestamp_ntz")
+    items = d7.withColumn("active_target_key", active_key(F.col("target_type"), F.col("target_id"), F.col("status"))).withColumn("completed_at", now)
+    commands = d7.where("watch_id % 2 = 0").select(F.col("watch_id").alias("seq"), "target_type", "target_id", "priority", F.lit("watching").alias("status"), "next_review_date")
+    commands = commands.unionByName(commands.withColumn("seq", -F.col("seq") - 1))  # each asked for twice
+    return save_watch_items(items, commands, dt.datetime(2024, 2, 1))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rp02_markdown", "d1")
+def _(spark, d1):
+    from newsdesk.operators.reports import daily_markdown
+
+    return daily_markdown(d1, rollups.daily_summary(d1))
+
+
+@query("rp03_cluster_detail", "d2 d5")
+def _(spark, d2, d5):
+    from newsdesk.operators.reports import cluster_detail
+
+    items = _day_items(d2, d5)
+    return cluster_detail(items.join(cluster.cluster_financing(items), "content_id").withColumn("source_name", F.lit("源")))
+
+
+@query("rp05_watch_digest", "d7", "select watch_id as target_id, next_review_date as date from d7 where status <> 'completed' and (next_review_date is null or next_review_date between date '2024-01-08' and date '2024-01-14')")
+def _(spark, d7):
+    from newsdesk.operators.reports import report_candidates_for
+
+    return report_candidates_for("watchlist_digest", dt.date(2024, 1, 8), dt.date(2024, 1, 14), d7, d7).select("target_id", "date")
+
+
+@query("rp06_add_versions", "d8", "select report_id, max(version_number) as latest, count(*) as versions from (select report_id, version_number from d8 union all select report_id, max(version_number) + 1 from d8 group by report_id) group by report_id")
+def _(spark, d8):
+    from newsdesk.operators.reports import add_versions
+
+    reports = d8.select("report_id").distinct().withColumn("latest_version", F.lit(0))
+    versions = d8.select("report_id", "version_number", "generation_status", "markdown_text")
+    new = reports.select("report_id", F.lit(1).alias("seq"), F.lit("success").alias("generation_status"), F.lit("x").alias("markdown_text"))
+    moved, every = add_versions(reports, versions, new)
+    counts = every.groupBy("report_id").agg(F.count(F.lit(1)).alias("versions"))
+    return moved.select("report_id", F.col("latest_version").cast("long").alias("latest")).join(counts, "report_id")
+
+
+@query("rp09_backfill", "d3 d1 d4", f"select day, source_id, cast(day as timestamp) + interval 12 hour as run_at from ({_WEEK}) w, d4 where enabled and not completed")
+def _(spark, d3, d1, d4):
+    from newsdesk.operators.reports import backfill_plan
+
+    return backfill_plan(rollups.missing_dates(rollups.week_status(spark, d3, d1, WEEK_DAY)), d4)
+
+
+@query(
+    "dq01_report_check",
+    "d1",
+    "select violation, count(*) as n from (select 'summary must be a non-empty string' as violation from d1 where summary is null or trim(summary) = '' union all select 'title must be a non-empty string' from d1 where title is null or trim(title) = '' union all select 'id must be positive' from d1 where content_id <= 0) group by 1",
+)
+def _(spark, d1):
+    from newsdesk.operators.enrich import validate_report
+
+    items = d1.select(F.lit(DAY).alias("report_date"), F.lit("technology").alias("section"), "content_id", F.lit(None).cast("long").alias("event_id"), "title", "summary", F.col("source_name").alias("source"), "url")
+    return validate_report(items).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
