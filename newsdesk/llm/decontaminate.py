@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import PLAIN_WORD, Words, slices, text_buffer
 from newsdesk.llm.linking import without
-from newsdesk.llm.tables import stored
+from newsdesk.llm.tables import spare, stored
 
 WINDOW = 10
 #: Bytes of item texts in one automaton.
@@ -244,13 +244,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     Only documents with hits pass through Python again. docs needs doc_id and text, doc_id identifies a row, and
     n_chars follows the text if docs has it."""
-    hits = benchmark_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), (F.col("n_hit") > F.col("n_words") * max_coverage).alias("_gone"), "starts", "ends")
-    hits = stored(hits.dropDuplicates(["_id"]), "hits")
-    clean = without(docs, hits.select(F.col("_id").alias("doc")), "doc_id")
-    marked = hits.where("not _gone")
+    key, starts, ends = (spare(docs, c) for c in ("_hit_id", "_hit_starts", "_hit_ends"))
+    hits = benchmark_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(key), (F.col("n_hit") > F.col("n_words") * max_coverage).alias("gone"), F.col("starts").alias(starts), F.col("ends").alias(ends))
+    hits = stored(hits.dropDuplicates([key]), "hits")
+    clean = without(docs, hits.select(F.col(key).alias("doc")), "doc_id")
+    marked = hits.where("not gone").drop("gone")
     cut = F.udf(lambda text, starts, ends: cut_words(text, starts, ends), "string")
-    found = docs.join(F.broadcast(marked) if marked.count() <= BROADCAST_HITS else marked, docs["doc_id"] == marked["_id"])
-    found = found.withColumn("text", cut(F.col("text"), "starts", "ends"))
+    found = docs.join(F.broadcast(marked) if marked.count() <= BROADCAST_HITS else marked, docs["doc_id"] == marked[key])
+    found = found.withColumn("text", cut(F.col("text"), starts, ends))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast("long"))
     return clean.unionByName(found.select(*docs.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import slices, text_buffer
-from newsdesk.llm.tables import hash_share, held_out
+from newsdesk.llm.tables import hash_share, held_out, spare
 
 BITS = 16
 MAX_ROWS = 12_000
@@ -92,8 +92,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarra
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs (with a text column) and lang_pred, score; all other columns are kept."""
+    """docs (with a text column) and lang_pred, score, which replace columns of those names; others are kept."""
     langs, matrix = model
+    docs = docs.drop("lang_pred", "score")
+    letters_col = spare(docs, "_letters")
     out = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     if not langs:
         return out
@@ -115,12 +117,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     total[k] += sums[places[1:]] - sums[places[:-1]]
                 best = total.argmax(0)
                 share = 1 / np.exp(total - total.max(0)).sum(0)
-                letters = part.column("_letters").to_numpy(zero_copy_only=False)
-                kept = [c for c in part.schema.names if c != "_letters"]
+                letters = part.column(letters_col).to_numpy(zero_copy_only=False)
+                kept = [c for c in part.schema.names if c != letters_col]
                 columns = [part.column(c) for c in kept] + [pa.array(np.where(letters, names[best], "und"), pa.string()), pa.array(np.where(letters, share, 0.0))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out.schema)
+    return docs.withColumn(letters_col, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out.schema)
 
 
 def op3_language_id(spark, sf_dir):

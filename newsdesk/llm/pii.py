@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.linking import BROADCAST_IDS
-from newsdesk.llm.tables import stored
+from newsdesk.llm.tables import spare, stored
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -170,19 +170,21 @@ def _named(kind: str, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span, base or discovered, replaced by the name of its kind in angle brackets; n_chars follows."""
-    spans = all_spans(docs)
+    key, at = spare(docs, "_span_id"), spare(docs, "_spans")
     pieces = F.concat(*(_of_kind(k, k) for k in KINDS), F.col("extra"))
-    spans = stored(spans.select(F.col("doc_id").alias("_id"), F.array_sort(F.array_distinct(pieces)).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_id"]), "redactions")
+    spans = all_spans(docs).select(F.col("doc_id").alias(key), F.array_sort(F.array_distinct(pieces)).alias(at)).where(F.size(at) > 0)
+    spans = stored(spans.dropDuplicates([key]), "redactions")
     few = spans.count() <= BROADCAST_IDS // 10
-    joined = docs.join(F.broadcast(spans) if few else spans, docs["doc_id"] == spans["_id"], "left")
+    joined = docs.join(F.broadcast(spans) if few else spans, docs["doc_id"] == spans[key], "left")
+    # where the spans before the i-th end; a span that starts before that is inside or across one of them
+    done = f"coalesce(array_max(transform(slice({at}, 1, i), y -> y.end)), 0)"
     text = F.expr(
-        "concat_ws('', transform(_spans, (x, i) -> if(x.start >= coalesce(array_max(transform(slice(_spans, 1, i), y -> y.end)), 0),"
-        " concat(substring(text, coalesce(array_max(transform(slice(_spans, 1, i), y -> y.end)), 0) + 1, x.start - coalesce(array_max(transform(slice(_spans, 1, i), y -> y.end)), 0)), '<', upper(x.kind), '>'), '')),"
-        " substring(text, array_max(_spans.end) + 1))"
+        f"concat_ws('', transform({at}, (x, i) -> if(x.start >= {done}, concat(substring(text, {done} + 1, x.start - {done}), '<', upper(x.kind), '>'), '')),"
+        f" substring(text, array_max({at}.end) + 1))"
     )
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
+    out = joined.withColumn("text", F.when(F.col(at).isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(at).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

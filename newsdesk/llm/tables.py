@@ -51,3 +51,11 @@ def held_out(doc_id: Column) -> Column:
 def hash_share(key: Column, share: float) -> Column:
     """A fixed share of the keys, the same in every run and on every cluster."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, whatever its own columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

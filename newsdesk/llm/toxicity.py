@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import LOWER_VALUES, PLAIN_WORD, Rolling, Words, mix, owners, slices, text_buffer
-from newsdesk.llm.tables import hash_share, held_out
+from newsdesk.llm.tables import hash_share, held_out, spare
 
 BITS = 20
 #: Labelled rows learnt from at most, and the rows of a training shard.
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     shards = max(1, round(min(n, max_rows) / SHARD_ROWS))
     sample = known.where(hash_share(F.col("doc_id"), max_rows / n))
     # about max_rows pairs of numbers, whatever the size of the labels
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(shards)))
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(shards)))
 
     def train(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, column: str = "score") -> DataFrame:
-    """docs with the probability of being toxic; all columns are kept."""
+    """docs with the probability of being toxic in `column`, which replaces one of that name; other columns are kept."""
+    docs = docs.drop(column)
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -135,7 +136,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, c
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    return score(docs, fit(docs, labels), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    column = spare(docs, "_toxicity")
+    return score(docs, fit(docs, labels), column).where(F.col(column) < threshold).drop(column)
 
 
 def op6_toxicity(spark, sf_dir):

@@ -332,3 +332,14 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_captures(pages, str(tmp_path / "c"), min_bytes=5)
     kinds = Counter(r.kind for r in warc.read_records(spark, str(tmp_path / "c")).collect())
     assert kinds["revisit"] == 2
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(i, f"hello the river number {i} reach a{i}@b.cd", "en", "x", "y", 0.5, "z") for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, starts string, _spans string, score double, _toxicity string")
+    bench = spark.createDataFrame([("a", "the river number 3")], "item_id string, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    for out in (pii.redact(d), decontaminate.remove_spans(d, bench), minhash.drop_near_duplicates(d), toxicity.drop_toxic(d, labels, 2.0)):
+        assert out.columns == d.columns and out.count() == 12
+    assert set(langid.predict(d, langid.fit(d)).columns) == {*d.columns, "lang_pred"}
+    assert {r.text for r in decontaminate.remove_spans(d, bench).where("doc_id = 3").collect()} == {"hello  reach a3@b.cd"}
