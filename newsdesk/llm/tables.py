@@ -1,48 +1,23 @@
-"""Reading the corpus tables and cutting lineage on storage that all executors share."""
+"""Reading the corpus tables, folders on shared storage, and samples by hash."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsdesk.sources.shared import shared_dir, stored
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only for a local master that sets none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="newsdesk-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/newsdesk-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later stages and retries start from there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Remove a table written by this library that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """One document in five is never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -59,3 +34,6 @@ def spare(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+__all__ = ["hash_share", "held_out", "new_path", "read", "shared_dir", "spare", "stored"]
