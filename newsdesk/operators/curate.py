@@ -84,6 +84,30 @@ def merge_events(events: DataFrame, links: DataFrame, commands: DataFrame) -> tu
     return rows.select(*events.columns), assign_primary(moved.select(*links.columns)), log, rejected
 
 
+def split_events(events: DataFrame, links: DataFrame, drafts: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events, links, log, rejected). commands: (seq, event_id, content_ids, new_title): some, not all, of an event's
+    sources move to a new event. drafts: (content_id, and the columns of an event but for event_id) says what an event
+    opened by a content is; the first moved source by link id opens it. New ids follow the largest in the order of
+    seq; an event is split by the first command that names it; primaries are assigned anew."""
+    chosen, late = first_command(commands, "event_id")
+    wanted = chosen.select("seq", "event_id", "new_title", F.explode(F.array_distinct("content_ids")).alias("content_id"))
+    moved = wanted.join(links.select("event_id", "content_id", "event_content_id"), ["event_id", "content_id"])
+    sizes = links.groupBy("event_id").agg(F.count(F.lit(1)).alias("_size"))
+    counts = moved.groupBy("seq", "event_id").agg(F.count(F.lit(1)).alias("_moved"), F.min_by("content_id", "event_content_id").alias("_opener"), F.first("new_title").alias("_title"))
+    fits = counts.join(sizes, "event_id").where("_moved < _size")
+    rejected = chosen.join(fits.select("seq"), "seq", "left_anti").withColumn("reason", F.lit("a split takes some of the sources")).unionByName(late)
+    top = events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    fits = fits.withColumn("_new", (F.row_number().over(Window.orderBy("seq")) + top).cast("long"))
+    made = fits.select("_new", F.col("_opener").alias("content_id"), "_title").join(drafts, "content_id")
+    made = made.withColumn("event_id", F.col("_new")).withColumn("event_title", F.coalesce("_title", "event_title")).withColumn("locked_by_user", F.lit(True))
+    every = events.unionByName(made.select(*(c for c in made.columns if c in events.columns)), allowMissingColumns=True)
+    target = moved.join(fits.select("seq", "_new"), "seq").select("event_id", "content_id", "_new")
+    rows = links.join(target, ["event_id", "content_id"], "left")
+    rows = rows.withColumn("association_source", F.when(F.col("_new").isNotNull(), "manual").otherwise(F.col("association_source"))).withColumn("event_id", F.coalesce("_new", "event_id"))
+    log = fits.select("event_id", F.lit("split").alias("operation"), F.concat(F.lit("new_event="), F.col("_new").cast("string")).alias("note")).unionByName(fits.select(F.col("_new").alias("event_id"), F.lit("split_created").alias("operation"), F.concat(F.lit("source_event="), F.col("event_id").cast("string")).alias("note")))
+    return every, assign_primary(rows.select(*links.columns)), log, rejected
+
+
 def move_sources(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, rejected). commands: (seq, operation, event_id, content_id) with operation attach, detach or primary.
 

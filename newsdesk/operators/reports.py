@@ -150,3 +150,22 @@ def cluster_detail(members: DataFrame, entities: DataFrame | None = None) -> Dat
         F.array_join(F.array_distinct("m.source_name"), "、").alias("source_names"),
         F.size("m").alias("reports"),
     )
+
+
+def weekly_payload(members: DataFrame, start: dt.date, end: dt.date, limit: int | None = 200) -> DataFrame:
+    """One row for the period: counts, whether the events were cut to the newest `limit`, and the events with all their
+    reports. members: (cluster_id, content_id, shown, title, url, source_name, summary[, region_tags, body])."""
+    from newsdesk.functions.text import first_chars
+
+    body = first_chars(F.col("body"), 1000) if "body" in members.columns else F.lit(None).cast("string")
+    regions = F.col("region_tags") if "region_tags" in members.columns else F.array().cast("array<string>")
+    row = F.struct("shown", "content_id", "title", "url", "source_name", F.coalesce("summary", F.lit("")).alias("summary"), regions.alias("region_tags"), F.coalesce(F.nullif(body, F.lit("")), "summary", "title").alias("text"))
+    events = members.groupBy("cluster_id").agg(F.sort_array(F.collect_list(row), False).alias("m"))
+    reports = F.transform("m", lambda x: F.struct(x["content_id"].alias("content_id"), x["title"].alias("title"), x["url"].alias("url"), x["source_name"].alias("source_name"), x["shown"].alias("shown")))
+    events = events.select(F.col("m")[0].alias("primary"), (F.size("m") - 1).alias("related_count"), reports.alias("related_reports"))
+    counts = events.agg(F.count(F.lit(1)).alias("event_count"), F.coalesce(F.sum(F.col("related_count") + 1), F.lit(0)).alias("raw_news_count"))
+    top = events.orderBy(F.desc("primary.shown"), F.desc("primary.content_id"))
+    top = top if limit is None else top.limit(limit)
+    items = top.agg(F.sort_array(F.collect_list(F.struct("primary.shown", "primary", "related_count", "related_reports")), False).alias("news_items"))
+    out = counts.crossJoin(F.broadcast(items))  # two single rows
+    return out.select(F.lit(str(start)).alias("start_date"), F.lit(str(end)).alias("end_date"), "raw_news_count", "event_count", (F.col("event_count") > F.size("news_items")).alias("input_truncated"), "news_items")

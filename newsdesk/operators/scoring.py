@@ -133,3 +133,12 @@ def apply_reviews(contents: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     new = folded.select(*(c for c in contents.columns if c not in ("score", "confidence", "reasons", "review_status")), F.col("_s.score").alias("score"), F.col("_s.confidence").alias("confidence"), F.col("_s.reasons").alias("reasons"), F.col("_s.status").alias("review_status"))
     audit = folded.select("content_id", F.explode("_s.audit").alias("a")).select("content_id", "a.*")
     return new, audit
+
+
+def rescore(contents: DataFrame, computed: Column) -> DataFrame:
+    """contents with computed scores (a score_content struct); rows that a person has reviewed keep theirs."""
+    free = ~F.coalesce(F.col("review_status").isin("reviewed", "follow_up", "ignored"), F.lit(False))
+    rows = contents.withColumn("_c", computed)
+    for name in ("score", "confidence", "reasons"):
+        rows = rows.withColumn(name, F.when(free, F.col(f"_c.{name}")).otherwise(F.col(name)))
+    return rows.withColumn("review_status", F.when(free, "unread").otherwise(F.col("review_status"))).drop("_c")

@@ -294,3 +294,24 @@ def test_streak_state_across_batches(spark, tmp_path):
     q.awaitTermination()
     want = filters.cut_after_older_streak(spark.table("links")).select("source_id", "position")
     assert sorted(map(tuple, spark.table("kept").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_split_and_rescore(spark):
+    ev, ln = events_and_links(spark)
+    drafts = spark.createDataFrame([(11, "draft", "公司", "pending")], "content_id long, event_title string, company_name string, review_status string")
+    cmds = spark.createDataFrame([(1, 1, [11], None), (2, 2, [12], "x"), (3, 1, [10], None)], "seq long, event_id long, content_ids array<long>, new_title string")
+    every, links, log, rejected = curate.split_events(ev, ln, drafts, cmds)
+    assert every.where("event_id = 4").first().event_title == "draft" and every.count() == 4
+    assert sorted((r.event_id, r.content_id, r.is_primary_source) for r in links.collect()) == [(1, 10, True), (2, 12, True), (4, 11, True)]
+    assert sorted(r.seq for r in rejected.collect()) == [2, 3] and log.count() == 2
+    d = spark.createDataFrame([(1, 20, 0.9, ["r"], "ignored"), (2, 20, 0.9, ["r"], "unread")], "content_id long, score int, confidence double, reasons array<string>, review_status string")
+    computed = F.struct(F.lit(70).alias("score"), F.lit(0.5).alias("confidence"), F.array(F.lit("c")).alias("reasons"))
+    assert {r.content_id: r.score for r in scoring.rescore(d, computed).collect()} == {1: 20, 2: 70}
+
+
+def test_weekly_payload(spark):
+    rows = [(1, i, T(2026, 6, i), f"t{i}", f"u{i}", "s", None) for i in (10, 11)] + [(2, 12, T(2026, 6, 9), "t12", "u", "s", "sum")]
+    m = spark.createDataFrame(rows, "cluster_id long, content_id long, shown timestamp_ntz, title string, url string, source_name string, summary string")
+    p = reports.weekly_payload(m, dt.date(2026, 6, 8), dt.date(2026, 6, 14), 1).first()
+    assert (p.raw_news_count, p.event_count, p.input_truncated, len(p.news_items)) == (3, 2, True, 1)
+    assert p.news_items[0].primary.content_id == 11 and p.news_items[0].related_count == 1
