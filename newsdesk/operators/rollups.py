@@ -120,11 +120,13 @@ def page_per_source(contents: DataFrame, sources: DataFrame, page: int = 1, size
     """A page of the newest items of each enabled source, with the source's totals and rank; a page beyond the last is the last."""
     shown = F.coalesce("publish_time", "crawl_time")
     s = sources.where("enabled").select("source_id", F.col("source_name").alias("name"), category_rank(F.col("source_category")).alias("source_rank"))
-    own = Window.partitionBy("source_id")
-    rows = contents.join(s, "source_id").withColumn("total", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy(shown.desc_nulls_last(), F.desc("content_id"))))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int")
-    at = F.least(F.lit(page), pages)
-    return rows.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size)).select("source_id", "name", "source_rank", "total", pages.alias("pages"), "place", "content_id")
+    totals = contents.groupBy("source_id").agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int"))
+    # a constant bound on the place lets each task keep only its best rows of a source before they are shuffled
+    best = F.row_number().over(Window.partitionBy("source_id").orderBy(shown.desc_nulls_last(), F.desc("content_id")))
+    rows = contents.select("source_id", "content_id", "publish_time", "crawl_time").withColumn("place", best).where(F.col("place") <= page * size)
+    rows = rows.join(totals.join(s, "source_id"), "source_id")
+    at = F.least(F.lit(page), F.col("pages"))
+    return rows.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size)).select("source_id", "name", "source_rank", "total", "pages", "place", "content_id")
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
