@@ -81,7 +81,8 @@ def title_tokens(c: Column) -> Column:
     """Sorted distinct runs of three or more letters or digits, and all pairs of neighbouring characters."""
     text = normalize_dedupe_text(c)
     runs = F.regexp_extract_all(text, F.lit("[a-z0-9]{3,}"), F.lit(0))
-    pairs = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # a look-ahead takes overlapping pairs in one pass, so the text is not made anew for each of them
+    pairs = F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))
     return F.array_sort(F.array_distinct(F.concat(runs, pairs)))
 
 
