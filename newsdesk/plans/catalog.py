@@ -82,7 +82,7 @@ def _(spark, d2):
     return d2.select("content_id", F.array_join(text.title_tokens(F.col("title")), "|").alias("tokens"))
 
 
-@query("fn10_estimate_tokens", "d1", "select content_id, greatest(1, (length(coalesce(title, '')) + length(coalesce(summary, '')) + 3) // 4) as tokens from d1")
+@query("fn10_estimate_tokens", "d1", "select content_id, cast(greatest(1, (length(coalesce(title, '')) + length(coalesce(summary, '')) + 3) // 4) as int) as tokens from d1")
 def _(spark, d1):
     return d1.select("content_id", text.estimate_tokens(F.col("title"), F.col("summary")).alias("tokens"))
 
@@ -311,7 +311,7 @@ def _(spark, d3, d1):
 @query(
     "wn03_page_per_source",
     "d1 d4",
-    """select source_id, name, source_rank, total, pages, place, content_id from (
+    """select source_id, name, source_rank, total, pages, cast(place as int) as place, content_id from (
       select d1.source_id, d4.source_name as name, case d4.source_category when 'venture_media' then 0 when 'ai_media' then 1 when 'tech_business_media' then 2 when 'official_news' then 3 when 'github' then 8 else 99 end as source_rank,
         count(*) over (partition by d1.source_id) as total, cast(greatest(1, ceil(count(*) over (partition by d1.source_id) / 10.0)) as int) as pages,
         row_number() over (partition by d1.source_id order by coalesce(publish_time, crawl_time) desc nulls last, content_id desc) as place, content_id
@@ -332,7 +332,7 @@ def _(spark, d8):
     return rollups.exportable_versions(d8).select("report_id", "version_number", "markdown_text")
 
 
-@query("wn10_watch_ranking", "d7", "select watch_id, row_number() over (order by case when status = 'follow_up' then 0 else 1 end, case when next_review_date is null then 1 else 0 end, next_review_date nulls first, case priority when 'high' then 0 when 'medium' then 1 else 2 end, updated_at desc, watch_id) as place from d7 qualify place <= 100")
+@query("wn10_watch_ranking", "d7", "select watch_id, cast(place as int) as place from (select watch_id, row_number() over (order by case when status = 'follow_up' then 0 else 1 end, case when next_review_date is null then 1 else 0 end, next_review_date nulls first, case priority when 'high' then 0 when 'medium' then 1 else 2 end, updated_at desc, watch_id) as place from d7) where place <= 100")
 def _(spark, d7):
     from pyspark.sql import Window
 
@@ -359,7 +359,7 @@ _TECH_RE = "llm|agent|ai infra|gpu|benchmark|open source|robotics|semiconductor"
     "sc01_score",
     "d1",
     f"""select content_id, greatest(0, least(100, 35 + case when ai_related then 25 when not ai_related then -25 else 0 end + case when {_SIGNAL} then 10 else 0 end + case when k then 5 else 0 end)) as score,
-      round(least(0.98, greatest(0.35, 0.45 + 0.08 * greatest(1, cast(ai_related is not null as int) + cast({_SIGNAL} as int) + cast(k as int)))), 2) as confidence,
+      cast(round(least(0.98, greatest(0.35, 0.45 + 0.08 * greatest(1, cast(ai_related is not null as int) + cast({_SIGNAL} as int) + cast(k as int)))), 2) as double) as confidence,
       greatest(1, cast(ai_related is not null as int) + cast({_SIGNAL} as int) + cast(k as int)) as n_reasons
     from (select *, {_TEXT} as t, source_category in ('official_news', 'official_research', 'venture_media', 'ai_media') as k from d1)""",
 )
@@ -387,7 +387,7 @@ _REPORT_WINDOW = f"""(select *, {_SHOWN} as ts, {_CHOICE} as time_quality from d
   and case when ts is null then false when publish_time_status = 'date_only' then cast(ts as date) between date '2024-01-09' and date '2024-01-10' else ts >= timestamp '2024-01-09 10:00:00' and ts < timestamp '2024-01-10 10:00:00' end"""
 
 
-@query(FLAGSHIP, "d1", f"select content_id, category, {_THEME} as theme, ts as published_at, time_quality, row_number() over (partition by category, theme order by ts, title, content_id) as place from (select *, {_CATEGORY} as category from (select *, {_TEXT} as t from {_REPORT_WINDOW}))")
+@query(FLAGSHIP, "d1", f"select content_id, category, {_THEME} as theme, ts as published_at, time_quality, cast(row_number() over (partition by category, theme order by ts, title, content_id) as int) as place from (select *, {_CATEGORY} as category from (select *, {_TEXT} as t from {_REPORT_WINDOW}))")
 def _(spark, d1):
     from newsdesk.operators.reports import daily_report_items
 
@@ -431,7 +431,7 @@ _SETS = f"select n_id as id, {_TOKENS} as t from (select content_id as n_id, {DR
 @query(
     "cl05_near_duplicates",
     "d1",
-    f"""select a as left_id, b as right_id, c as common, na + nb - c as total from (
+    f"""select a as left_id, b as right_id, cast(c as int) as common, cast(na + nb - c as int) as total from (
       with s as (select min(id) as id, t from ({_SETS}) where len(t) > 0 group by t), k as (select id, len(t) as n, unnest(t) as w from s)
       select x.id as a, y.id as b, count(*) as c, any_value(x.n) as na, any_value(y.n) as nb from k x join k y on x.w = y.w and x.id < y.id group by 1, 2)
     where 100 * c >= 80 * (na + nb - c)""",
