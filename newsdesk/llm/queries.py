@@ -17,6 +17,5 @@ QUERIES = {
 ORACLES = {
     "op1_minhash_near_dedup": minhash.ORACLE,
     "op10_warc": warc.ORACLE,
-    "op8_pii": pii.op8_pii,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }
