@@ -1,22 +1,28 @@
 """Links between documents that share buckets, confirmed on their full sets, and the components they form.
 
-All pairs of a bucket are never made. Round one compares each document with the smallest one that it shares a
-bucket with. Buckets whose documents then lie in one component are done, which ends the large groups of copies
-at once. In the others, each later round deals the documents of a bucket in a new random order and compares
-those that stand next to each other, and one of each component with the first, unless they are already
-together or compared; rounds go on until one finds no link. Buckets of three are compared in full by the second
-round, and documents that are linked share dozens of buckets of different make-up and order.
+Round one compares each document with the smallest one that it shares a bucket with. Buckets whose documents then
+lie in one component are done, which ends the large groups of copies at once. In the others, round two compares
+each document with the smallest of every bucket. What is still apart in a mixed bucket is joined in full: two
+sets with the wanted share have an item in common among the first n - ceil(n * percent / 100) + 1 of each, in any one
+order of all items. Items that are frequent in a sample come last in the order, items inside one component bring
+nobody together, and every pair that may reach the share is confirmed. So no two documents that share a bucket and
+are linked stay apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.tables import stored
+from newsdesk.llm.arrays import owners
+from newsdesk.llm.tables import hash_share, stored
 
-#: Quiet rounds that end the search, and documents whose ids may be broadcast.
-QUIET_ROUNDS, BROADCAST_IDS = 1, 500_000
+#: Documents whose ids may be broadcast, and documents that tell which items are frequent.
+BROADCAST_IDS, SAMPLE_DOCS = 500_000, 4_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -64,33 +70,76 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(F.broadcast(named) if few else named, id_col, "left_anti").select(*docs.columns)
 
 
+def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, doc, component) of the buckets whose documents lie in several components."""
+    rows = buckets.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    return rows.join(several, "bucket", "left_semi").select("bucket", "doc", "component")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, component, n, rank, item) of the first items of each set (doc, component, n, items), a stored table: the
+    order is by the number of sampled sets that hold an item, then by the item."""
+    count = sets.count()
+    sample = sets.where(hash_share(F.col("doc"), SAMPLE_DOCS / max(1, count)))
+    frequent = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("k")).where("k > 2").orderBy("item").toArrow()
+    shared = sets.sparkSession.sparkContext.broadcast((frequent.column("item").to_numpy(), frequent.column("k").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = shared.value
+        for batch in batches:
+            items = batch.column("items")
+            first = items.offsets.to_numpy().astype(np.int64)
+            values, first = items.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0]
+            of = owners(first)
+            k = np.zeros(len(values), np.int64)
+            if len(known) and len(values):
+                place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                k = np.where(known[place] == values, held[place], 0)
+            order = np.lexsort((values, k, of))
+            rank = np.arange(len(values)) - first[:-1][of] + 1
+            n = np.diff(first)
+            keep = rank <= (n + (-percent * n // 100) + 1)[of]
+            at = pa.array(of[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("component").take(at), pa.array(n[of[keep]]), pa.array(rank[keep]), pa.array(values[order][keep])], names=["doc", "component", "n", "rank", "item"])
+
+    return sets.select("doc", "component", "items").mapInArrow(run, "doc long, component long, n long, rank long, item long")
+
+
+def apart(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the share, all that do among them; sets: (doc, component, n,
+    items), a stored table.
+
+    Of an item's documents, those of its most frequent component are not paired with each other."""
+    rows = stored(prefixes(sets, percent), "prefixes")
+    sizes = rows.groupBy("item", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("item").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("item", "main")
+    rows = stored(rows.join(main, "item").select("item", "doc", "component", "n", "rank", (F.col("component") == F.col("main")).alias("in_main")), "prefixes")
+    x = rows.where("not in_main").select("item", *(F.col(c).alias(f"x_{c}") for c in ("doc", "component", "n", "rank")))
+    y = rows.select("item", "in_main", *(F.col(c).alias(f"y_{c}") for c in ("doc", "component", "n", "rank")))
+    # items up to this one that both hold, and what can follow it in both
+    reach = lambda seen: (100 + percent) * (seen + F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))) >= percent * (F.col("x_n") + F.col("y_n"))
+    near = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    met = x.join(y, "item").where((F.col("x_component") != F.col("y_component")) & (F.col("in_main") | (F.col("x_doc") < F.col("y_doc"))) & near & reach(F.least("x_rank", "y_rank")))
+    pairs = met.groupBy("x_doc", "y_doc", "x_n", "y_n").agg(F.count(F.lit(1)).alias("common"), F.max("x_rank").alias("x_rank"), F.max("y_rank").alias("y_rank")).where(reach(F.col("common")))
+    return pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+
+
 def link(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the documents with a confirmed link. buckets: (bucket, doc), both stored tables."""
     least = buckets.groupBy("bucket").agg(F.min("doc").alias("a"))
     first = buckets.join(least, "bucket").where(F.col("doc") != F.col("a")).groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     tested = stored(first, "pairs")
     labels = stored(components(confirmed(tested, sets, percent)), "labels")
-    quiet = number = 0
-    while quiet < QUIET_ROUNDS:
-        number += 1
-        known = labels.select(F.col("node").alias("doc"), "component")
-        rows = buckets.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        order = Window.partitionBy("bucket").orderBy("turn", "doc")
-        dealt = rows.join(mixed, "bucket", "left_semi").withColumn("turn", F.xxhash64("bucket", "doc", F.lit(number)))
-        here = F.struct("doc", "component")
-        dealt = dealt.withColumn("beside", F.lag(here).over(order)).withColumn("first", F.first(here).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "component").orderBy("turn", "doc")))
-        others = F.array("beside", F.when(F.col("place") == 1, F.col("first")))
-        pairs = dealt.select("doc", "component", F.explode(others).alias("other")).where("other is not null and other.component != component")
-        pairs = pairs.select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b")).distinct()
-        fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(confirmed(fresh, sets, percent), "links")
-        if found.isEmpty():
-            quiet += 1
-        else:
-            quiet = 0
-            joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            labels = stored(components(joined), "labels")
-        tested = tested.unionByName(fresh)
-    return labels
+
+    def more(found: DataFrame) -> DataFrame:
+        joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        return stored(components(joined), "labels")
+
+    rows = stored(mixed(buckets, labels), "mixed")
+    ends = rows.groupBy("bucket").agg(F.min(F.struct("doc", "component")).alias("end"))
+    second = rows.join(ends, "bucket").where("end.component <> component").select(F.col("end.doc").alias("a"), F.col("doc").alias("b")).distinct()
+    labels = more(confirmed(stored(second.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent))
+    open_ = mixed(rows.select("bucket", "doc"), labels).select("doc", "component").distinct()
+    open_ = stored(open_.join(sets, "doc").select("doc", "component", "n", "items"), "open")
+    return more(confirmed(stored(apart(open_, percent), "pairs"), sets, percent))

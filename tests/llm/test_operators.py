@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, pii, repeats, spotsigs, toxicity, warc
+from newsdesk.llm import decontaminate, langid, linking, main_text, minhash, packing, pii, repeats, spotsigs, toxicity, warc
 
 WORDS = "the of and river stone lamp paper green walk under light open seven chair table winter road music small north".split()
 
@@ -93,6 +93,19 @@ def test_minhash_large_group_and_outsider(spark):
     assert [got[i] for i in range(300)] == want
 
 
+def test_links_to_any_member_of_a_large_bucket(spark):
+    # members are linked to the base, and each outsider to one member only, never to the smallest
+    size, base = 250, list(range(100))
+    sets = [set(base)] + [set(base[9:]) | set(range(1000 * i, 1000 * i + 9)) for i in range(1, size)]
+    sets += [set(sorted(sets[m])[9:]) | set(range(-1000 * m - 9, -1000 * m)) for m in (77, 140, 201)]
+    want = components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    assert want == [0] * len(sets)
+    buckets = spark.createDataFrame([(b, i) for b in range(3) for i in range(len(sets))], "bucket long, doc long")
+    rows = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "doc long, n long, items array<long>")
+    got = {r.node: r.component for r in linking.link(buckets, rows, 80).collect()}
+    assert [got.get(i, i) for i in range(len(sets))] == want
+
+
 def test_drop_near_duplicates_keeps_columns(docs):
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
