@@ -409,20 +409,23 @@ def _(spark, d1):
     return first_of(rows, ["fingerprint"], [F.col("content_id")]).select("content_id", "fingerprint")
 
 
-def _day_items(d2: DataFrame, d5: DataFrame) -> DataFrame:
-    """The financing items that were crawled on DAY, as the day's list shows them."""
-    day = filters.financing_contents(d2, d5).where(F.to_date("crawl_time") == F.lit(DAY))
-    return day.select("content_id", "title", "summary", F.col("crawl_time").alias("shown"))
+def _financing_items(d2: DataFrame, d5: DataFrame) -> DataFrame:
+    return filters.financing_contents(d2, d5).select("content_id", "title", "summary", F.col("crawl_time").alias("shown"))
+
+
+def _week_clusters(items: DataFrame) -> DataFrame:
+    """The clusters of every weekly report: each week's items by themselves."""
+    return cluster.cluster_financing(items, period=times.week_start(F.col("shown")))
 
 
 @query("cl02_clusters", "d2 d5")
 def _(spark, d2, d5):
-    return cluster.cluster_financing(_day_items(d2, d5))
+    return _week_clusters(_financing_items(d2, d5))
 
 
 @query("cl04_build_events", "d2 d5")
 def _(spark, d2, d5):
-    return cluster.build_events(filters.financing_contents(d2, d5).select("content_id", "title", "summary", F.col("crawl_time").alias("shown")))[0]
+    return cluster.build_events(_financing_items(d2, d5))[0]
 
 
 _SETS = f"select n_id as id, {_TOKENS} as t from (select content_id as n_id, {DROPPED.format('title')} as n from d1)"
@@ -586,8 +589,8 @@ def _(spark, d1):
 def _(spark, d2, d5):
     from newsdesk.operators.reports import cluster_detail
 
-    items = _day_items(d2, d5)
-    return cluster_detail(items.join(cluster.cluster_financing(items), "content_id").withColumn("source_name", F.lit("源")))
+    items = _financing_items(d2, d5)
+    return cluster_detail(items.join(_week_clusters(items), "content_id").withColumn("source_name", F.lit("源")))
 
 
 @query("rp05_watch_digest", "d7", "select watch_id as target_id, next_review_date as date from d7 where status <> 'completed' and (next_review_date is null or next_review_date between date '2024-01-08' and date '2024-01-14')")

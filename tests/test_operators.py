@@ -52,6 +52,30 @@ def test_two_reports_make_one_cluster(spark):
     assert view.related_count == 1 and view.primary.content_id == 2
 
 
+def test_weekly_clusters_hold_every_financing_row(spark):
+    from newsdesk.operators.filters import financing_contents
+    from newsdesk.plans.catalog import QUERIES
+    from newsdesk.plans.frames import frame
+
+    folder = "/root/testdata/sf0.001"
+    rows = financing_contents(frame(spark, folder, "d2"), frame(spark, folder, "d5")).select("content_id", "crawl_time").collect()
+    shown = {r.content_id: r.crawl_time for r in rows}
+    found = {r.content_id: r.cluster_id for r in QUERIES["cl02_clusters"](spark, folder).collect()}
+    assert found.keys() == shown.keys()
+    week = lambda i: shown[i].isocalendar()[:2]
+    assert all(week(i) == week(c) for i, c in found.items())
+    assert any(shown[i].date() != shown[c].date() for i, c in found.items())
+    details = {r.cluster_id for r in QUERIES["rp03_cluster_detail"](spark, folder).select("cluster_id").collect()}
+    assert details == set(found.values())
+
+
+def test_periods_are_clustered_by_themselves(spark):
+    rows = [(1, "灵巧手完成A轮融资，金额超亿元", "", T(2026, 6, 10, 9)), (2, "灵巧手获超亿元A轮融资", "", T(2026, 6, 11, 9)), (3, "灵巧手获超亿元A轮融资", "", T(2026, 6, 15, 9)), (4, "灵巧手获超亿元A轮融资", "", None)]
+    items = spark.createDataFrame(rows, FUND)
+    week = F.date_trunc("week", F.col("shown"))
+    assert {(r.content_id, r.cluster_id) for r in cluster.cluster_financing(items, period=week).collect()} == {(1, 2), (2, 2), (3, 3), (4, 4)}
+
+
 def test_clusters_equal_one_global_loop(spark):
     rng = random.Random(7)
     names = ["星辰科技", "星辰", "灵巧手", "云图", "云图数据", "蓝海", "北斗", "Alpha One", "Alpha"]
