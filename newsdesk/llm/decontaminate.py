@@ -136,20 +136,24 @@ class Automaton:
         return spans, found, longest
 
 
-def _item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of bounded size, collected one block at a time."""
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+    """The number of blocks, and the items in blocks of bounded size, collected one block at a time."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        rows = (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).collect()
-        yield sorted((r["item_id"], item_words(r["text"])) for r in rows)
+
+    def blocks() -> Iterator[list[tuple[str, list[bytes]]]]:
+        for k in range(n):
+            rows = (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).collect()
+            yield sorted((r["item_id"], item_words(r["text"])) for r in rows)
+
+    return n, blocks()
 
 
 HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
 
-def _block_hits(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, id_col: str, text_col: str) -> DataFrame:
+def _block_hits(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
     automaton = Automaton(items, window)
     lookup = {w: n for w, n in automaton.numbers.items()}
     shared = docs.sparkSession.sparkContext.broadcast((automaton, lookup))
@@ -196,23 +200,29 @@ def _block_hits(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: i
                                 merged[-1][1] = max(merged[-1][1], e)
                             else:
                                 merged.append([s, e])
-                        out[d] = (sum(e - s for s, e in merged), [s for s, _ in merged], [e for _, e in merged], sorted(automaton.names[i] for i in found), longest)
+                        out[d] = (sum(e - s for s, e in merged), [s for s, _ in merged], [e for _, e in merged], sorted({automaton.names[i] for i in found}), longest)
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(np.diff(words.first), pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(HITS)[2:], strict=True))], schema=HITS)
+                hit = [part.column(id_col).cast(pa.int64()), pa.array(np.diff(words.first), pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(HITS)[2:], strict=True))]
+                yield pa.RecordBatch.from_arrays([*hit, part.column("_key")], schema=HITS.append(pa.field("_key", pa.binary()))) if keyed else pa.RecordBatch.from_arrays(hit, schema=HITS)
 
     ddl = "doc_id long, n_words long, n_hit long, starts array<long>, ends array<long>, items array<string>, longest long"
+    if keyed:
+        return docs.select(id_col, text_col, F.unhex(F.sha2(text_col, 256)).alias("_key")).mapInArrow(run, f"{ddl}, _key binary")
     return docs.select(id_col, text_col).mapInArrow(run, ddl)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, n_hit, word spans [starts, ends) of the hit words, items (sorted) and the longest match."""
-    parts = [_block_hits(docs, items, window, id_col, text_col) for items in _item_blocks(benchmark, block_bytes)]
-    if len(parts) == 1:
+    """Per row of docs: n_words, n_hit, word spans [starts, ends) of the hit words, items (sorted, distinct) and the
+    longest match. Hits of several blocks are united by id and text, and equal rows are counted and kept."""
+    n, blocks = _item_blocks(benchmark, block_bytes)
+    parts = [_block_hits(docs, items, window, id_col, text_col, n > 1) for items in blocks]
+    if n == 1:
         return parts[0]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    grouped = every.groupBy("doc_id").agg(
+    grouped = every.groupBy("doc_id", "_key").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -225,6 +235,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             " concat(slice(m, 1, size(m) - 1), array(named_struct('starts', element_at(m, -1).starts, 'ends', greatest(element_at(m, -1).ends, x.ends)))), concat(m, array(x))))"
         ),
     )
+    merged = merged.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("rows") / len(parts)).cast("long"))))
     return merged.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.ends - x.starts)").alias("n_hit"), F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", "longest")
 
 

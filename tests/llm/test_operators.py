@@ -320,6 +320,17 @@ def test_decontamination(spark, texts, docs, monkeypatch):
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_repeated_ids(spark):
+    x, y = sentence(random.Random(3), 30), sentence(random.Random(4), 30)
+    bench = spark.createDataFrame([("q", x), ("q", y), ("r", x)], "item_id string, text string")
+    rows = [(1, f"{x} {y}"), (1, f"before {y}"), (2, x), (2, x), (None, x), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, 61 - 30, 30, ["q"], [1], [31]), (1, 60, 60, ["q", "r"], [0], [60]), (2, 30, 30, ["q", "r"], [0], [30]), (2, 30, 30, ["q", "r"], [0], [30]), (3, 0, 0, [], [], []), (3, 0, 0, [], [], []), (None, 30, 30, ["q", "r"], [0], [30])]
+    for block in (1 << 20, 60):
+        got = decontaminate.benchmark_hits(docs, bench, block_bytes=block).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), list(r.starts), list(r.ends)) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_warc_round_trip(spark, tmp_path):
     tricky = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     rows = [(3, "http://a/\r\nX: y", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "u", ""), (7, "u", tricky), (8, "v", tricky), (9, "w", "only"), (9, "w", "only")]
