@@ -1,12 +1,16 @@
 """Links between documents that share buckets, confirmed on their full sets, and the components they form.
 
-Round one compares each document with the smallest one that it shares a bucket with. Buckets whose documents then
-lie in one component are done, which ends the large groups of copies at once. In the others, round two compares
-each document with the smallest of every bucket. What is still apart in a mixed bucket is joined in full: two
-sets with the wanted share have an item in common among the first n - ceil(n * percent / 100) + 1 of each, in any one
-order of all items. Items that are frequent in a sample come last in the order, items inside one component bring
-nobody together, and every pair that may reach the share is confirmed. So no two documents that share a bucket and
-are linked stay apart.
+Round one compares each document with the smallest one of fitting size that it shares a bucket with. Buckets whose
+documents then lie in one component are done, which ends most groups of copies at once. What is still apart in a
+mixed bucket is joined exactly on the items of the full sets: of two sets that reach the share, the first common
+item, in any one order of all items, stands among the first n - least overlap + 1 of either. The least overlap follows
+from both sizes, so a set has a prefix for each class of partner sizes and meets only sets of that class. Items that
+are frequent in a sample come last, which leaves the items that one text has for itself in front; items
+that lie in one component bring nobody together.
+
+The exact join runs in steps that look at ever more of the partners, four times as many each time and all of them in
+the end. A document that is linked to many leaves in an early step, so the pairs of a large group do not grow
+with its square, and no link between documents that share a bucket is lost.
 """
 
 from __future__ import annotations
@@ -15,45 +19,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import owners
+from newsdesk.llm.arrays import mix, owners
 from newsdesk.llm.tables import hash_share, stored
+from newsdesk.operators.cluster import components
 
-#: Documents whose ids may be broadcast, and documents that tell which items are frequent.
-BROADCAST_IDS, SAMPLE_DOCS = 500_000, 4_000
+#: Documents whose ids may be broadcast; documents that tell which items are frequent, and such items at most.
+BROADCAST_IDS, SAMPLE_DOCS, FREQUENT_ITEMS = 500_000, 4_000, 400_000
+#: Documents of the largest group that the first step of the exact join looks at, and the growth from step to step.
+FIRST_PARTNERS, GROWTH = 64, 4
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the smallest node that it reaches.
+def _size_classes() -> np.ndarray:
+    """First sizes of the classes: each is a tenth wider than the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 11 // 10))
+    return np.array(out, np.int64)
 
-    Alternating large-star and small-star steps; each iteration is a written table."""
-    a, b = F.col("a"), F.col("b")
-    e = stored(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.distinct(), "edges")
+
+SIZE_CLASSES = _size_classes()
+
+
+def reaches(n_a: Column, n_b: Column, common: Column, percent: int) -> Column:
+    """True if sets of these sizes with `common` items in common reach the share."""
+    return (100 + percent) * common >= percent * (n_a + n_b)
+
+
+def fits(n_a: Column, n_b: Column, percent: int) -> Column:
+    """No smaller set can reach the share of a larger one."""
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of which 100 * |intersection| >= percent * |union|; sets: (doc, n, items)."""
-    sizes = sets.select("doc", "n")
-    near = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("n_b")), "b")
-    # no smaller set can reach the share of a larger one
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    near = near.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("doc").alias("a"), F.col("items").alias("items_a")), "a")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    return near.withColumn("_common", common).where(100 * F.col("_common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("_common"))).select("a", "b")
+    """Pairs (a, b) of which 100 * |intersection| >= percent * |union|; sets: (doc, n, items). A document with several
+    sets is linked through each of them."""
+    near = pairs.select("a", "b").join(sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("items_b")), "b")
+    near = near.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("items_a")), "a")
+    near = near.where(fits(F.col("n_a"), F.col("n_b"), percent))
+    return near.withColumn("_common", F.size(F.array_intersect("items_a", "items_b"))).where(reaches(F.col("n_a"), F.col("n_b"), F.col("_common"), percent)).select("a", "b").distinct()
 
 
 def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -64,29 +70,36 @@ def only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is not in ids(doc), a stored table."""
+    """The rows of docs whose id is not in ids(doc), a stored table; rows without an id stay."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     named = ids.select(F.col("doc").alias(id_col))
     return docs.join(F.broadcast(named) if few else named, id_col, "left_anti").select(*docs.columns)
 
 
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (doc, ...) with the component of each document, itself if it has no link yet."""
+    return rows.drop("component").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
 def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, doc, component) of the buckets whose documents lie in several components."""
-    rows = buckets.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    """(doc) of the buckets whose documents lie in several components."""
+    rows = labelled(buckets.select("bucket", "doc"), labels)
     several = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(several, "bucket", "left_semi").select("bucket", "doc", "component")
+    return buckets.join(several, "bucket", "left_semi").select("doc").distinct()
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc, component, n, rank, item) of the first items of each set (doc, component, n, items), a stored table: the
+    """(key, doc, n, rank) of the items of each set (doc, n, items), a stored table, by which a partner of each class of
+    sizes must be met. A key stands for an item and the two classes; rank is the item's place in the set: the
     order is by the number of sampled sets that hold an item, then by the item."""
     count = sets.count()
     sample = sets.where(hash_share(F.col("doc"), SAMPLE_DOCS / max(1, count)))
-    frequent = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("k")).where("k > 2").orderBy("item").toArrow()
+    held = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("k")).where("k > 2")
+    frequent = held.orderBy(F.desc("k"), "item").limit(FREQUENT_ITEMS).toArrow().sort_by("item")
     shared = sets.sparkSession.sparkContext.broadcast((frequent.column("item").to_numpy(), frequent.column("k").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = shared.value
+        known, times = shared.value
         for batch in batches:
             items = batch.column("items")
             first = items.offsets.to_numpy().astype(np.int64)
@@ -95,51 +108,76 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             k = np.zeros(len(values), np.int64)
             if len(known) and len(values):
                 place = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                k = np.where(known[place] == values, held[place], 0)
-            order = np.lexsort((values, k, of))
+                k = np.where(known[place] == values, times[place], 0)
+            values = values[np.lexsort((values, k, of))]
             rank = np.arange(len(values)) - first[:-1][of] + 1
             n = np.diff(first)
-            keep = rank <= (n + (-percent * n // 100) + 1)[of]
-            at = pa.array(of[keep])
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), batch.column("component").take(at), pa.array(n[of[keep]]), pa.array(rank[keep]), pa.array(values[order][keep])], names=["doc", "component", "n", "rank", "item"])
-
-    return sets.select("doc", "component", "items").mapInArrow(run, "doc long, component long, n long, rank long, item long")
-
-
-def apart(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the share, all that do among them; sets: (doc, component, n,
-    items), a stored table.
-
-    Of an item's documents, those of its most frequent component are not paired with each other."""
-    rows = stored(prefixes(sets, percent), "prefixes")
-    sizes = rows.groupBy("item", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("item").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("item", "main")
-    rows = stored(rows.join(main, "item").select("item", "doc", "component", "n", "rank", (F.col("component") == F.col("main")).alias("in_main")), "prefixes")
-    x = rows.where("not in_main").select("item", *(F.col(c).alias(f"x_{c}") for c in ("doc", "component", "n", "rank")))
-    y = rows.select("item", "in_main", *(F.col(c).alias(f"y_{c}") for c in ("doc", "component", "n", "rank")))
-    # items up to this one that both hold, and what can follow it in both
-    reach = lambda seen: (100 + percent) * (seen + F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))) >= percent * (F.col("x_n") + F.col("y_n"))
-    near = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
-    met = x.join(y, "item").where((F.col("x_component") != F.col("y_component")) & (F.col("in_main") | (F.col("x_doc") < F.col("y_doc"))) & near & reach(F.least("x_rank", "y_rank")))
-    pairs = met.groupBy("x_doc", "y_doc", "x_n", "y_n").agg(F.count(F.lit(1)).alias("common"), F.max("x_rank").alias("x_rank"), F.max("y_rank").alias("y_rank")).where(reach(F.col("common")))
-    return pairs.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+            own = np.searchsorted(SIZE_CLASSES, n, "right") - 1
+            least, most = -(-percent * n // 100), 100 * n // percent
+            steps = [np.searchsorted(SIZE_CLASSES, np.maximum(x, 1), "right") - 1 - own for x in (least, most)]
+            for step in range(int(steps[0].min(initial=0)), int(steps[1].max(initial=0)) + 1):
+                partner = own + step
+                inside = (partner >= 0) & (partner < len(SIZE_CLASSES) - 1) & (n > 0)
+                partner = np.where(inside, partner, 0)
+                low, high = np.maximum(SIZE_CLASSES[partner], least), np.minimum(SIZE_CLASSES[partner + 1] - 1, most)
+                length = np.where(inside & (low <= high), n - -(-percent * (n + low) // (100 + percent)) + 1, 0)
+                if not (length > 0).any():
+                    continue
+                keep = rank <= length[of]
+                doc, x, y = of[keep], np.minimum(own, partner).astype(np.uint64), np.maximum(own, partner).astype(np.uint64)
+                key = mix(values[keep].view(np.uint64) ^ mix(x[doc] << np.uint64(32) | y[doc]))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(doc)), pa.array(n[doc]), pa.array(rank[keep])], names=["key", "doc", "n", "rank"])
+
+    return sets.select("doc", "items").mapInArrow(run, "key long, doc long, n long, rank long")
+
+
+def apart(rows: DataFrame, percent: int, share: float) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the share, all that do if `share`, the part of the
+    partners that are looked at, is 1; rows: (key, doc, component, n, rank, in_main), a stored table.
+
+    Of a key's documents, those of its most frequent component are not paired with each other."""
+    x = rows.where("not in_main").select("key", *(F.col(c).alias(f"x_{c}") for c in ("doc", "component", "n", "rank")))
+    y = rows if share >= 1 else rows.where(hash_share(F.col("doc"), share))
+    y = y.select("key", "in_main", *(F.col(c).alias(f"y_{c}") for c in ("doc", "component", "n", "rank")))
+    size, left = F.col("x_n") + F.col("y_n"), F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))
+    # the first common item has this one's place at most, and all later ones of either may follow
+    first = ((100 + percent) * (F.col("x_n") - F.col("x_rank") + 1) >= percent * size) & ((100 + percent) * (F.col("y_n") - F.col("y_rank") + 1) >= percent * size)
+    reach = reaches(F.col("x_n"), F.col("y_n"), F.least("x_rank", "y_rank") + left, percent)
+    other = (F.col("x_component") != F.col("y_component")) & (F.col("in_main") | (F.col("x_doc") < F.col("y_doc")))
+    met = x.join(y, "key").where(other & fits(F.col("x_n"), F.col("y_n"), percent) & first & reach)
+    return met.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+
+
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, doc, n, rank) of keys whose documents lie in several components, with component and in_main."""
+    named = labelled(rows, labels)
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    return named.join(main, "key").select("key", "doc", "component", "n", "rank", (F.col("component") == F.col("main")).alias("in_main"))
 
 
 def link(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the documents with a confirmed link. buckets: (bucket, doc), both stored tables."""
-    least = buckets.groupBy("bucket").agg(F.min("doc").alias("a"))
-    first = buckets.join(least, "bucket").where(F.col("doc") != F.col("a")).groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    tested = stored(first, "pairs")
-    labels = stored(components(confirmed(tested, sets, percent)), "labels")
-
-    def more(found: DataFrame) -> DataFrame:
+    """(node, component) of the documents with a confirmed link. buckets: (bucket, doc[, n]), sets: (doc, n, items), both
+    stored tables; n in buckets keeps sets of unlike sizes from being compared."""
+    sized = "n" in buckets.columns
+    end = F.struct("doc", "n") if sized else F.struct("doc")
+    least = buckets.groupBy("bucket").agg(F.min(end).alias("end"))
+    first = buckets.join(least, "bucket").where(F.col("doc") != F.col("end.doc"))
+    if sized:
+        first = first.where(fits(F.col("n"), F.col("end.n"), percent))
+    first = first.groupBy(F.col("doc").alias("b")).agg(F.min("end.doc").alias("a")).select("a", "b")
+    labels = stored(components(confirmed(stored(first, "pairs"), sets, percent)), "labels")
+    open_ = stored(mixed(buckets, labels).join(sets, "doc").select("doc", "n", "items"), "open")
+    rows = stored(prefixes(open_, percent), "prefixes")
+    share = 0.0
+    while share < 1:
+        rows = stored(open_rows(rows, labels), "open_rows")
+        largest = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0]
+        if not largest:
+            break
+        share = min(1.0, GROWTH * share if share else FIRST_PARTNERS / largest)
+        found = confirmed(stored(apart(rows, percent, share), "pairs"), sets, percent)
         joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-        return stored(components(joined), "labels")
-
-    rows = stored(mixed(buckets, labels), "mixed")
-    ends = rows.groupBy("bucket").agg(F.min(F.struct("doc", "component")).alias("end"))
-    second = rows.join(ends, "bucket").where("end.component <> component").select(F.col("end.doc").alias("a"), F.col("doc").alias("b")).distinct()
-    labels = more(confirmed(stored(second.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent))
-    open_ = mixed(rows.select("bucket", "doc"), labels).select("doc", "component").distinct()
-    open_ = stored(open_.join(sets, "doc").select("doc", "component", "n", "items"), "open")
-    return more(confirmed(stored(apart(open_, percent), "pairs"), sets, percent))
+        labels = stored(components(joined), "labels")
+        rows = rows.select("key", "doc", "n", "rank")
+    return labels

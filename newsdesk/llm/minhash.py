@@ -8,8 +8,10 @@ is confirmed on full sets. With the defaults a pair of similarity 0.8 meets in n
 9e-5, in about 51 tables on average.
 
 Cases: null and empty texts, and texts without words, have no shingles and no links; texts shorter than a
-shingle are one shingle; repeated rows get the same component; an empty table gives no rows; a doc_id that
-occurs with different texts is linked through each of them; other columns are ignored.
+shingle are one shingle; an empty table gives no rows; other columns are ignored. Rows with the same doc_id are
+one document: it is linked through each of its texts, and each row keeps its own n_shingles. A row without a doc_id
+is linked to others but names nobody: its component is the smallest doc_id that it reaches, null if there is none,
+and it is kept.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from newsdesk.llm.arrays import SPACED_WORD, Words, chains, list_array, mix, owners, segment_unique, slices, text_buffer
 from newsdesk.llm.linking import link, only, without
 from newsdesk.llm.tables import stored
+from newsdesk.operators.cluster import components
 
 SIDE, ROWS = 14, 3
 WIDTH, PERCENT = 5, 80
@@ -85,7 +88,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
 
 def full_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n, items) with the shingle hashes of each document."""
+    """(doc, n, items) with the shingle hashes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,24 +100,30 @@ def full_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document: documents with 100 * |A and B| >= percent * |A or B| are linked."""
+    """(doc_id, n_shingles, component_id, kept) per row: documents with 100 * |A and B| >= percent * |A or B| are linked."""
     sketch = stored(sketches(docs, width), "sketches")
-    classes = stored(sketch.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc").alias("rep")), "classes")
-    reps = sketch.join(classes.select(F.col("rep").alias("doc"), "set_a", "set_b", "n"), ["doc", "set_a", "set_b", "n"], "left_semi").dropDuplicates(["doc", "set_a", "set_b"])
+    same = ["set_a", "set_b", "n"]
+    classes = stored(sketch.where("n > 0").groupBy(*same).agg(F.min("doc").alias("rep")), "classes")
+    reps = sketch.join(classes.select(F.col("rep").alias("doc"), *same), ["doc", *same], "left_semi").dropDuplicates(["doc", "set_a", "set_b"])
     # one side alone: sub-keys that a single class has go before any pair of sub-keys is formed
-    lefts = reps.select("doc", F.explode("left").alias("left"))
+    lefts = reps.select("doc", "n", F.explode("left").alias("left"))
     shared = lefts.groupBy("left").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("left")
-    rights = reps.select("doc", "right")
-    tables = lefts.join(shared, "left").join(rights, "doc").select("doc", F.explode(F.transform("right", lambda r: F.xxhash64("left", r))).alias("bucket"))
+    rights = reps.select("doc", "n", "right")
+    tables = lefts.join(shared, "left").join(rights, ["doc", "n"]).select("doc", "n", F.explode(F.transform("right", lambda r: F.xxhash64("left", r))).alias("bucket"))
     tables = stored(tables.distinct(), "tables")
     full = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     buckets = stored(tables.join(full, "bucket"), "buckets")
-    sets = stored(full_sets(only(docs, stored(buckets.select("doc").distinct(), "members"), "doc_id"), width).dropDuplicates(["doc"]), "sets")
-    labels = link(buckets, sets, percent).select(F.col("node").alias("rep"), "component")
-    named = classes.join(labels, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
+    sets = stored(full_sets(only(docs, stored(buckets.select("doc").distinct(), "members"), "doc_id"), width).where("n > 0").distinct(), "sets")
+    labels = link(buckets, sets, percent)
+    # a document with several texts holds their classes together
+    several = sketch.where("n > 0 and doc is not null").groupBy("doc").agg(F.min(F.struct("set_a", "set_b")).alias("lo"), F.max(F.struct("set_a", "set_b")).alias("hi")).where("lo <> hi").select("doc")
+    bound = stored(sketch.join(several, "doc", "left_semi").join(classes, same).select("rep", F.col("doc").alias("other")).where("rep <> other").distinct(), "bound")
+    if not bound.isEmpty():
+        labels = stored(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bound.select(F.col("rep").alias("a"), F.col("other").alias("b")))), "labels")
+    named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    out = sketch.select("doc", *same).join(named, same, "left")
     component = F.coalesce("component", "doc")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     width = math.log(100 / percent)
     length = F.floor(F.log(F.col("n")) / width).cast("int")
     prefix = F.slice("items", 1, F.col("n").cast("int") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
-    prefixes = reps.select("doc", length.alias("at"), F.explode(prefix).alias("item"))
-    buckets = prefixes.withColumn("length", F.explode(F.array("at", F.col("at") + 1))).select("doc", F.xxhash64("item", "length").alias("bucket"))
+    prefixes = reps.select("doc", "n", length.alias("at"), F.explode(prefix).alias("item"))
+    buckets = prefixes.withColumn("length", F.explode(F.array("at", F.col("at") + 1))).select("doc", "n", F.xxhash64("item", "length").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     labels = link(stored(buckets.join(shared, "bucket"), "buckets"), reps, percent).select(F.col("node").alias("rep"), "component")
     named = same.join(labels, "rep", "left").select("n", "items", F.coalesce("component", "rep").alias("component_id"))

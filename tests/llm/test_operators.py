@@ -106,6 +106,43 @@ def test_links_to_any_member_of_a_large_bucket(spark):
     assert [got.get(i, i) for i in range(len(sets))] == want
 
 
+def test_outsiders_of_a_group_of_thousands(spark):
+    # 3,000 members are linked to the hub; each of 150 outsiders is linked to one member and to nobody else
+    rng = random.Random(9)
+    hub = [f"h{i}" for i in range(100)]
+    texts = [hub]
+    for m in range(3000):
+        words = list(hub)
+        at = rng.randrange(100 - 6)
+        words[at : at + 6] = [f"m{m}x{k}" for k in range(6)]
+        texts.append(words)
+    chosen = rng.sample(range(1, 3001), 150)
+    for k, m in enumerate(chosen):
+        words = list(texts[m])
+        free = next(i for i in range(0, 94) if all(w.startswith("h") for w in words[i : i + 6]) and abs(i - next(j for j, w in enumerate(words) if w.startswith("m"))) > 12)
+        words[free : free + 6] = [f"o{k}x{j}" for j in range(6)]
+        texts.append(words)
+    ids = rng.sample(range(10**6), len(texts))
+    sets = [shingle_set(" ".join(t), 4) for t in texts]
+    links = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(links(0, m) for m in range(1, 3001))
+    assert all(links(3001 + k, m) and not links(3001 + k, 0) for k, m in enumerate(chosen))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 4).collect()}
+    assert {got[i] for i in ids} == {min(ids)}
+
+
+def test_minhash_repeated_and_missing_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, b), (9, b), (4, c), (None, c), (None, "alone here now"), (7, a), (11, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False), (4, 4, True), (None, 4, True), (None, None, True), (11, 11, True)], key=repr)
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 7
+
+
 def test_drop_near_duplicates_keeps_columns(docs):
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
