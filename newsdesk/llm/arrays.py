@@ -114,6 +114,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
         inside = member[data]
         n = len(data)
+        self.offsets = offsets
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.zeros(n, bool)

@@ -5,32 +5,34 @@ longest match ending at each word is tracked: a match of `window` words, or of a
 occurrence, and all its words are hit. Only runs of words that items use at all are streamed, since any other
 word sets the match to nothing.
 
-Items are taken in blocks of bounded size: one automaton is broadcast for each block and the hits of all
-blocks are united, so a benchmark of any size works with bounded broadcasts.
-
-Cases: null and empty texts have no words and no hits; items without words match nothing; repeated items
-count once by item_id; empty tables give no hits; other columns of the input are kept by remove_spans.
+Items are taken in blocks of bounded size, one automaton each. Documents pass through the blocks one after another
+and each row carries its own hits along, so nothing is joined or grouped, any number of blocks gives the same
+rows, and what is broadcast is bounded by a block (or by one item, if it is longer).
+
+Cases: null and empty texts have no words and no hits and stay as they are; items without words match nothing; an
+item_id that occurs with several texts is one item; an item without an id hits words but is not listed; rows are
+judged one by one, so a null, repeated or shared doc_id changes nothing; empty tables give no rows or no
+hits; other columns of documents are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsdesk.llm.arrays import PLAIN_WORD, Words, slices, text_buffer
-from newsdesk.llm.linking import without
 from newsdesk.llm.tables import spare, stored
 
 WINDOW = 10
 #: Bytes of item texts in one automaton.
-BLOCK_BYTES = 4 << 20
-#: Documents with hits that may be broadcast; more are joined by a shuffle.
-BROADCAST_HITS = 50_000
+BLOCK_BYTES = 1 << 19
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -39,15 +41,15 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the items below each state."""
+    """Generalised suffix automaton over word numbers; a state in which an occurrence ends knows the items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.numbers: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         paths: list[tuple[int, list[int]]] = []
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         for name, words in items:
             if not words:
                 continue
@@ -57,22 +59,22 @@ class Automaton:
                 path.append(last)
             paths.append((len(self.names), path))
             self.names.append(name)
-        #: items that have the state's words, and (length, item) of the short items that end in the state
-        self.items: list[set[int]] = [set() for _ in self.next]
-        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        #: items of the states that hold their windows, and (length, item) of the short items that end in a state
+        self.items: dict[int, set[int]] = {}
+        self.whole: dict[int, list[tuple[int, int]]] = {}
         for item, path in paths:
-            for state in path:
-                while state > 0 and item not in self.items[state]:
-                    self.items[state].add(item)
-                    state = self.link[state]
             if len(path) < window:
-                # the state whose longest word run is the item itself: no shorter state holds it
-                state = path[-1]
-                while self.link[state] >= 0 and self.size[self.link[state]] >= len(path):
-                    state = self.link[state]
-                self.whole[state].append((len(path), item))
+                self.whole.setdefault(self._holder(path[-1], len(path)), []).append((len(path), item))
+            for state in path[window - 1 :]:
+                self.items.setdefault(self._holder(state, window), set()).add(item)
         self.shortest = min([window, *(len(p) for _, p in paths)], default=window)
 
+    def _holder(self, state: int, length: int) -> int:
+        """The state that holds the last `length` words of a state's longest run."""
+        while self.link[state] >= 0 and self.size[self.link[state]] >= length:
+            state = self.link[state]
+        return state
+
     def _extend(self, last: int, w: int) -> int:
         nxt, link, size = self.next, self.link, self.size
         if w in nxt[last]:
@@ -105,167 +107,192 @@ class Automaton:
             p = link[p]
         return new
 
-    def stream(self, numbers: list[int]) -> tuple[list[tuple[int, int]], set[int], int]:
-        """Occurrences (first, end) and items in a run of word numbers, and the longest match."""
+    def packed(self) -> dict:
+        """The automaton as flat arrays, which are what is sent to tasks."""
+        n = max(1, len(self.numbers))
+        flat = [(state * n + w, to) for state, out in enumerate(self.next) for w, to in out.items()]
+        keys, to = (np.array(x, np.int64) for x in zip(*flat, strict=True)) if flat else (np.empty(0, np.int64),) * 2
+        words = pa.array([w.decode("utf-8", "replace") for w in self.numbers], pa.string())
+        # the words' own hashes, made as the documents' are
+        data, offsets = text_buffer(words)
+        known = Words(data, offsets, PLAIN_WORD).hashes(data, lower=False) if self.numbers else np.empty(0, np.uint64)
+        order = np.argsort(known)
+        return {"keys": keys, "to": to, "known": known[order], "number": order, "link": np.array(self.link), "size": np.array(self.size), "items": self.items, "whole": self.whole, "names": self.names, "window": self.window, "shortest": self.shortest}
+
+
+class Stream:
+    """Longest matches of runs of word numbers in a packed automaton."""
+
+    def __init__(self, packed: dict):
+        self.known, self.number, self.names = packed["known"], packed["number"], packed["names"]
+        self.window, self.shortest, self.items, self.whole = packed["window"], packed["shortest"], packed["items"], packed["whole"]
+        self.words = max(1, len(self.known))
+        self.to = dict(zip(packed["keys"].tolist(), packed["to"].tolist(), strict=True))
+        self.link, self.size = packed["link"].tolist(), packed["size"].tolist()
+
+    def run(self, numbers: list[int]) -> tuple[list[tuple[int, int]], set[int], int]:
+        """Occurrences (first, end) and items in a run, and the longest match."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
         state = length = longest = 0
-        nxt, link, size, window = self.next, self.link, self.size, self.window
+        to, words, link, size, window = self.to.get, self.words, self.link, self.size, self.window
         for i, w in enumerate(numbers):
-            while state and w not in nxt[state]:
+            nxt = to(state * words + w)
+            while state and nxt is None:
                 state = link[state]
                 length = size[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
+                nxt = to(state * words + w)
+            if nxt is not None:
+                state = nxt
                 length += 1
             longest = max(longest, length)
             if length < self.shortest:
                 continue
             widest, at = 0, state
             while at > 0:
-                for n, item in self.whole[at]:
+                for n, item in self.whole.get(at, ()):
                     if n <= length:
                         widest = max(widest, n)
                         found.add(item)
-                if size[at] >= window > size[link[at]] and length >= window:
+                if length >= window and size[at] >= window > size[link[at]]:
                     widest = window
-                    found |= self.items[at]
+                    found |= self.items.get(at, set())
                 at = link[at]
             if widest:
                 spans.append((i + 1 - widest, i + 1))
         return spans, found, longest
 
-
-def _item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, list[bytes]]]]]:
+    def hits(self, words: Words, h: np.ndarray) -> dict[int, tuple]:
+        """(spans, item names, longest match) of each text with a match; spans are merged word numbers of the text."""
+        if not len(self.known) or not len(h):
+            return {}
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        number = np.where(self.known[at] == h, self.number[at], -1)
+        inside = number >= 0
+        cut = np.zeros(len(h) + 1, bool)
+        cut[words.first] = True
+        joined = inside[1:] & inside[:-1] & ~cut[1:-1]
+        begin = np.flatnonzero(inside & ~np.concatenate(([False], joined)))
+        end = np.flatnonzero(inside & ~np.concatenate((joined, [False]))) + 1
+        long = end - begin >= self.shortest
+        begin, end = begin[long], end[long]
+        doc = np.searchsorted(words.first, begin, "right") - 1
+        out: dict[int, tuple] = {}
+        for d, a, b in zip(doc.tolist(), begin.tolist(), end.tolist(), strict=True):
+            spans, found, longest = self.run(number[a:b].tolist())
+            if longest:
+                own = out.get(d, ([], set(), 0))
+                base = a - int(words.first[d])
+                out[d] = (own[0] + [(base + s, base + e) for s, e in spans], own[1] | {self.names[i] for i in found}, max(own[2], longest))
+        return {d: (merged(spans), names - {None}, longest) for d, (spans, names, longest) in out.items()}
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str | None, list[bytes]]]]]:
     """The number of blocks, and the items in blocks of bounded size, collected one block at a time."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
 
-    def blocks() -> Iterator[list[tuple[str, list[bytes]]]]:
+    def blocks() -> Iterator[list[tuple[str | None, list[bytes]]]]:
         for k in range(n):
-            rows = (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).collect()
-            yield sorted((r["item_id"], item_words(r["text"])) for r in rows)
+            rows = (b if n == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
+            yield [(r["item_id"], item_words(r["text"])) for r in sorted(rows, key=lambda r: (r["item_id"] or "", r["text"]))]
 
     return n, blocks()
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+HIT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+HIT_DDL = "struct<n_words:long,n_hit:long,starts:array<long>,ends:array<long>,items:array<string>,longest:long>"
+Finish = Callable[[pa.RecordBatch, list[dict], Words], pa.RecordBatch]
 
 
-def _block_hits(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
-    automaton = Automaton(items, window)
-    lookup = {w: n for w, n in automaton.numbers.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((automaton, lookup))
+def _pass(docs: DataFrame, items: list, window: int, text_col: str, before: str | None, finish: Finish, schema: str | StructType) -> DataFrame:
+    """docs through one block: `before` names the column with the hits so far, `finish` makes the rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window).packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, lookup = shared.value
-        if lookup:
-            texts = pa.array([w.decode("utf-8", "replace") for w in lookup], pa.string())
-            # the words' own hashes, made as the documents' are
-            data, offsets = text_buffer(texts)
-            known = Words(data, offsets, PLAIN_WORD).hashes(data, lower=False)
-            order = np.argsort(known)
-            known, numbers = known[order], np.fromiter(lookup.values(), np.int64)[order]
+        stream = Stream(shared.value)
         for batch in batches:
             for part in slices(batch, text_col):
                 data, offsets = text_buffer(part.column(text_col))
                 words = Words(data, offsets, PLAIN_WORD)
-                out: list[tuple] = [(0, [], [], [], 0)] * part.num_rows
-                if lookup and len(words.starts):
-                    h = words.hashes(data)
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    number = np.where(known[at] == h, numbers[at], -1)
-                    inside = number >= 0
-                    cut = np.zeros(len(h) + 1, bool)
-                    cut[words.first] = True
-                    joined = inside[1:] & inside[:-1] & ~cut[1:-1]
-                    begin = np.flatnonzero(inside & ~np.concatenate(([False], joined)))
-                    end = np.flatnonzero(inside & ~np.concatenate((joined, [False]))) + 1
-                    long = end - begin >= automaton.shortest
-                    begin, end = begin[long], end[long]
-                    doc = np.searchsorted(words.first, begin, "right") - 1
-                    hits: dict[int, list] = {}
-                    for d, a, b in zip(doc.tolist(), begin.tolist(), end.tolist(), strict=True):
-                        spans, found, longest = automaton.stream(number[a:b].tolist())
-                        if spans or longest:
-                            own = hits.setdefault(d, [[], set(), 0])
-                            own[0] += [(a + s - int(words.first[d]), a + e - int(words.first[d])) for s, e in spans]
-                            own[1] |= found
-                            own[2] = max(own[2], longest)
-                    for d, (spans, found, longest) in hits.items():
-                        merged: list[list[int]] = []
-                        for s, e in sorted(spans):
-                            if merged and s <= merged[-1][1]:
-                                merged[-1][1] = max(merged[-1][1], e)
-                            else:
-                                merged.append([s, e])
-                        out[d] = (sum(e - s for s, e in merged), [s for s, _ in merged], [e for _, e in merged], sorted({automaton.names[i] for i in found}), longest)
-                cols = list(zip(*out, strict=True))
-                hit = [part.column(id_col).cast(pa.int64()), pa.array(np.diff(words.first), pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(HITS)[2:], strict=True))]
-                yield pa.RecordBatch.from_arrays([*hit, part.column("_key")], schema=HITS.append(pa.field("_key", pa.binary()))) if keyed else pa.RecordBatch.from_arrays(hit, schema=HITS)
-
-    ddl = "doc_id long, n_words long, n_hit long, starts array<long>, ends array<long>, items array<string>, longest long"
-    if keyed:
-        return docs.select(id_col, text_col, F.unhex(F.sha2(text_col, 256)).alias("_key")).mapInArrow(run, f"{ddl}, _key binary")
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+                found = stream.hits(words, words.hashes(data) if len(words.starts) else np.empty(0, np.uint64))
+                had = part.column(before).to_pylist() if before else [None] * part.num_rows
+                rows = []
+                for d, (n, old) in enumerate(zip(np.diff(words.first).tolist(), had, strict=True)):
+                    spans, names, longest = found.get(d, ([], set(), 0))
+                    if old is not None:
+                        spans, names, longest = merged(spans + list(zip(old["starts"], old["ends"], strict=True))), names | set(old["items"]), max(longest, old["longest"])
+                    rows.append({"n_words": n, "n_hit": sum(e - s for s, e in spans), "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "items": sorted(names), "longest": longest})
+                if before:
+                    part = part.drop_columns([before])
+                yield finish(part, rows, words)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, text_col: str, finish: Finish, schema: str | StructType) -> DataFrame:
+    n, blocks = _item_blocks(benchmark, block_bytes)
+    column, before = spare(docs, "_hits"), None
+
+    def carry(part: pa.RecordBatch, rows: list[dict], words: Words) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, HIT)], names=[*part.schema.names, column])
+
+    carried = docs.withColumn(column, F.lit(None).cast(HIT_DDL)).schema
+    for k, items in enumerate(blocks):
+        if k == n - 1:
+            return _pass(docs, items, window, text_col, before, finish, schema)
+        docs, before = stored(_pass(docs, items, window, text_col, before, carry, carried), "hits"), column
+    raise AssertionError("there is a last block")
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: n_words, n_hit, word spans [starts, ends) of the hit words, items (sorted, distinct) and the
-    longest match. Hits of several blocks are united by id and text, and equal rows are counted and kept."""
-    n, blocks = _item_blocks(benchmark, block_bytes)
-    parts = [_block_hits(docs, items, window, id_col, text_col, n > 1) for items in blocks]
-    if n == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("doc_id", "_key").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("longest").alias("longest"),
-    )
-    merged = grouped.withColumn(
-        "spans",
-        F.expr(
-            "aggregate(spans, cast(array() as array<struct<starts:bigint,ends:bigint>>), (m, x) -> if(size(m) > 0 and x.starts <= element_at(m, -1).ends,"
-            " concat(slice(m, 1, size(m) - 1), array(named_struct('starts', element_at(m, -1).starts, 'ends', greatest(element_at(m, -1).ends, x.ends)))), concat(m, array(x))))"
-        ),
-    )
-    merged = merged.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("rows") / len(parts)).cast("long"))))
-    return merged.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.ends - x.starts)").alias("n_hit"), F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", "longest")
-
-
-def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
-    """The text without the words of the spans and what stands between them."""
-    data = text.encode()
-    words = [m.span() for m in WORD.finditer(data.lower())]
-    out, at = [], 0
-    for s, e in zip(starts, ends, strict=True):
-        out.append(data[at : words[s][0]])
-        at = words[e - 1][1]
-    return (b"".join(out) + data[at:]).decode()
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, word spans [starts, ends) of the hit words, items (sorted, distinct) and
+    the longest match."""
+
+    def finish(part: pa.RecordBatch, rows: list[dict], words: Words) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), *pa.array(rows, HIT).flatten()], names=["doc_id", *(f.name for f in HIT)])
+
+    return _through_blocks(docs.select(id_col, text_col), benchmark, window, block_bytes, text_col, finish, "doc_id long, " + HIT_DDL[7:-1].replace(":", " "))
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without the benchmark passages; those of which more than max_coverage of the words are hit go.
 
-    Only documents with hits pass through Python again. docs needs doc_id and text, doc_id identifies a row, and
-    n_chars follows the text if docs has it."""
-    key, starts, ends = (spare(docs, c) for c in ("_hit_id", "_hit_starts", "_hit_ends"))
-    hits = benchmark_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(key), (F.col("n_hit") > F.col("n_words") * max_coverage).alias("gone"), F.col("starts").alias(starts), F.col("ends").alias(ends))
-    hits = stored(hits.dropDuplicates([key]), "hits")
-    clean = without(docs, hits.select(F.col(key).alias("doc")), "doc_id")
-    marked = hits.where("not gone").drop("gone")
-    cut = F.udf(lambda text, starts, ends: cut_words(text, starts, ends), "string")
-    found = docs.join(F.broadcast(marked) if marked.count() <= BROADCAST_HITS else marked, docs["doc_id"] == marked[key])
-    found = found.withColumn("text", cut(F.col("text"), starts, ends))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast("long"))
-    return clean.unionByName(found.select(*docs.columns))
+    Of a span the words and what stands between them are cut. docs needs a text; n_chars follows it if docs has one."""
+
+    def finish(part: pa.RecordBatch, rows: list[dict], words: Words) -> pa.RecordBatch:
+        texts = part.column("text").to_pylist() if any(r["n_hit"] for r in rows) else []
+        for d, r in enumerate(rows):
+            if r["n_hit"]:
+                raw, first = texts[d].encode(), int(words.first[d])
+                base = int(words.offsets[d])
+                kept, at = [], 0
+                for s, e in zip(r["starts"], r["ends"], strict=True):
+                    kept.append(raw[at : int(words.starts[first + s]) - base])
+                    at = int(words.ends[first + e - 1]) - base
+                texts[d] = (b"".join(kept) + raw[at:]).decode()
+        columns = dict(zip(part.schema.names, part.columns, strict=True))
+        if texts:
+            hit = pa.array([bool(r["n_hit"]) for r in rows])
+            columns["text"] = pa.array(texts, part.schema.field("text").type)
+            if "n_chars" in columns:
+                sizes = pa.array([len(t) if t is not None else 0 for t in texts]).cast(part.schema.field("n_chars").type)
+                columns["n_chars"] = pc.if_else(hit, sizes, columns["n_chars"])
+        out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        return out.filter(pa.array([r["n_hit"] <= r["n_words"] * max_coverage for r in rows]))
+
+    return _through_blocks(docs, benchmark, window, block_bytes, "text", finish, docs.schema)
 
 
 def op9_benchmark_decontamination(spark, sf_dir):
