@@ -29,7 +29,7 @@ from newsdesk.operators.cluster import components
 #: Documents whose ids may be broadcast; documents that tell which items are frequent, and such items at most.
 BROADCAST_IDS, SAMPLE_DOCS, FREQUENT_ITEMS = 500_000, 4_000, 400_000
 #: Documents of the largest group that the first step of the exact join looks at, and the growth from step to step.
-FIRST_PARTNERS, GROWTH = 64, 4
+FIRST_PARTNERS, GROWTH = 8, 4
 
 
 def _size_classes() -> np.ndarray:
