@@ -19,8 +19,10 @@ earlier in its own. No pair of documents is compared and no text meets all other
 
 Contexts, and strings in step 4, count as equal if their 64-bit hashes and their anchors' are equal.
 
-Cases: null texts are empty; texts shorter than SPAN lose nothing; rows that repeat a doc_id with the same text
-are one document for matching, each with its own result; other columns are ignored.
+Cases: null texts are empty; texts shorter than SPAN lose nothing; a document is a doc_id with a text: rows that repeat
+both are one document for matching, each with its own result, and texts that share a doc_id are documents of
+their own, in the order of their hashes; rows without a doc_id come before all others; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,29 +81,40 @@ def _packed(start: np.ndarray, left: np.ndarray, strings: np.ndarray) -> np.ndar
     return start << 16 | left << 8 | strings
 
 
-def anchor_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(anchor, context, doc, place, copy): a copy's context stands earlier in the same slice of its task."""
+#: A row is known by its doc_id and the hash of its text; a missing doc_id counts as the smallest number.
+NO_ID = -(1 << 63)
+ROW = ("doc", "twin")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, twin, text) of each row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
+
+
+def anchor_rows(texts: DataFrame) -> DataFrame:
+    """(anchor, context, doc, twin, place, copy): a copy's context stands earlier in the same slice of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                data, offsets = text_buffer(part.column(text_col))
+            for part in slices(batch, "text"):
+                data, offsets = text_buffer(part.column("text"))
                 of, a, lo, hi, key, context = anchors(data, offsets)
-                doc = part.column(id_col).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()[of]
+                doc, twin = (part.column(c).to_numpy()[of] for c in ROW)
                 place = _packed(a - offsets[of], a - lo, hi - lo + 1)
-                order = np.lexsort((place, doc, context, key))
-                key, context, doc, place = key[order], context[order], doc[order], place[order]
+                order = np.lexsort((place, twin, doc, context, key))
+                key, context, doc, twin, place = key[order], context[order], doc[order], twin[order], place[order]
                 same = np.zeros(len(key), bool)
                 same[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else np.empty(0, int)
-                again = same & (doc == doc[head]) & (place == place[head])
+                again = same & (doc == doc[head]) & (twin == twin[head]) & (place == place[head])
                 copy = same & ~again
                 # copies are done: they only have to travel, so their rows are spread
                 key = np.where(copy, mix(doc.view(np.uint64) + place.view(np.uint64)), key)
                 kept = ~again
-                yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key.view(np.int64), context.view(np.int64), doc, place, copy)], names=["anchor", "context", "doc", "place", "copy"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key.view(np.int64), context.view(np.int64), doc, twin, place, copy)], names=["anchor", "context", "doc", "twin", "place", "copy"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "anchor long, context long, doc long, place long, copy boolean")
+    return texts.mapInArrow(run, "anchor long, context long, doc long, twin long, place long, copy boolean")
 
 
 class RunIndex:
@@ -177,22 +190,22 @@ class RunIndex:
         return first[root]
 
 
-def _covered(starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, from, to) of strings at `starts`, given in order of context and start."""
+def _covered(starts: np.ndarray, docs: np.ndarray, twins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans (doc, twin, from, to) of strings at `starts`, given in order of context and start."""
     if not len(starts):
-        return docs, starts, starts
+        return docs, twins, starts, starts
     new = np.ones(len(starts), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (docs[1:] != docs[:-1]) | (twins[1:] != twins[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
-    return docs[at], starts[at], starts[np.append(at[1:], len(starts)) - 1] + SPAN
+    return docs[at], twins[at], starts[at], starts[np.append(at[1:], len(starts)) - 1] + SPAN
 
 
 def index_blocks(contexts: DataFrame) -> DataFrame:
-    """(doc, from, to) spans found by a run-length index of each block; contexts are sorted by anchor, doc, start."""
+    """(doc, twin, from, to) spans found by a run-length index of each block; contexts are sorted by anchor, doc, twin, start."""
 
     def mark(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        sizes = np.array([len(r[3]) for r in rows])
+        text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        sizes = np.array([len(r[4]) for r in rows])
         ends = np.cumsum(sizes)
         first = RunIndex(text, np.repeat(ends, sizes)).earliest(SPAN)
         strings = sizes - SPAN + 1
@@ -200,27 +213,29 @@ def index_blocks(contexts: DataFrame) -> DataFrame:
         inside = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
         place = (ends - sizes)[row] + inside
         hit = first[place] < place
-        doc, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in _covered((start[row] + inside)[hit], doc[row[hit]])], names=["doc", "from", "to"])
+        doc, twin, start = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _covered((start[row] + inside)[hit], doc[row[hit]], twin[row[hit]])], names=["doc", "twin", "from", "to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "start", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "twin", "start", "bytes")), strict=True):
+                if rows and row[:4] == rows[-1][:4]:
+                    continue  # rows that repeat a document are one here
                 if size >= BLOCK_BYTES and row[0] != rows[-1][0]:
                     yield mark(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield mark(rows)
 
-    return contexts.mapInArrow(run, "doc long, from long, to long")
+    return contexts.mapInArrow(run, "doc long, twin long, from long, to long")
 
 
 def hashed_strings(contexts: DataFrame) -> DataFrame:
-    """(doc, from, to) spans of the anchors with very many contexts: each string's earliest place by its hash."""
+    """(doc, twin, from, to) spans of the anchors with very many contexts: each string's earliest place by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,32 +247,32 @@ def hashed_strings(contexts: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), strings)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
             key = batch.column("anchor").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(windows[offsets[:-1][row] + inside].view(np.int64)), pa.array(batch.column("doc").to_numpy()[row]), pa.array(batch.column("start").to_numpy()[row] + inside)], names=["anchor", "string", "doc", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(windows[offsets[:-1][row] + inside].view(np.int64)), *(pa.array(batch.column(c).to_numpy()[row]) for c in ROW), pa.array(batch.column("start").to_numpy()[row] + inside)], names=["anchor", "string", *ROW, "start"])
 
-    every = contexts.mapInArrow(run, "anchor long, string long, doc long, start long")
-    first = every.groupBy("anchor", "string").agg(F.min(F.struct("doc", "start")).alias("first"))
-    later = every.join(first, ["anchor", "string"]).where(F.struct("doc", "start") > F.col("first"))
-    return later.select("doc", F.col("start").alias("from"), (F.col("start") + SPAN).alias("to"))
+    every = contexts.mapInArrow(run, "anchor long, string long, doc long, twin long, start long")
+    first = every.groupBy("anchor", "string").agg(F.min(F.struct(*ROW, "start")).alias("first"))
+    later = every.join(first, ["anchor", "string"]).where(F.struct(*ROW, "start") > F.col("first"))
+    return later.select(*ROW, F.col("start").alias("from"), (F.col("start") + SPAN).alias("to"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, text) and (doc, from, to): the texts as dealt by doc and the byte spans to remove; spans may overlap."""
-    rows = anchor_rows(docs, id_col, text_col)
-    order = Window.partitionBy("anchor").orderBy("context", "doc", "place")
+    """(doc, twin, text) and (doc, twin, from, to): the texts of the rows and the byte spans to remove; spans may overlap."""
+    texts = keyed(docs, id_col, text_col)
+    rows = anchor_rows(texts)
+    order = Window.partitionBy("anchor").orderBy("context", *ROW, "place")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = rows.withColumn("before", F.lag("context").over(order)).withColumn("after", F.lead("context").over(order)).withColumn("lo", F.min("context").over(whole)).withColumn("hi", F.max("context").over(whole))
-    one = Window.partitionBy("anchor", "context").orderBy("doc", "place")
+    one = Window.partitionBy("anchor", "context").orderBy(*ROW, "place")
     seen = seen.where("copy or before is not null or after is not null")
-    seen = seen.withColumn("head", F.first(F.struct("doc", "place")).over(one))
-    seen = seen.withColumn("covered", F.col("copy") | (F.struct("doc", "place") > F.col("head")))
+    seen = seen.withColumn("head", F.first(F.struct(*ROW, "place")).over(one))
+    seen = seen.withColumn("covered", F.col("copy") | (F.struct(*ROW, "place") > F.col("head")))
     seen = seen.where("covered or (lo < hi and (before is null or before <> context))")
     start = F.expr("shiftright(place, 16) - (shiftright(place, 8) & 255)")
-    found = stored(seen.select("anchor", "doc", start.alias("from"), (start + F.expr("place & 255") + (SPAN - 1)).alias("to"), "covered"), "anchors")
-    covered = found.where("covered").select("doc", "from", "to")
+    found = stored(seen.select("anchor", *ROW, start.alias("from"), (start + F.expr("place & 255") + (SPAN - 1)).alias("to"), "covered"), "anchors")
+    covered = found.where("covered").select(*ROW, "from", "to")
     opened = found.where("not covered")
     hot = opened.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = opened.groupBy("doc").agg(F.collect_list(F.struct("anchor", "from", "to")).alias("wanted"))
+    wanted = opened.groupBy(*ROW).agg(F.collect_list(F.struct("anchor", "from", "to")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,16 +280,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data, offsets = text_buffer(part.column("text"))
                 raw = data.tobytes()
                 out = {}
-                for doc, at, wanted in zip(part.column("doc").to_pylist(), offsets.tolist(), part.column("wanted").to_pylist(), strict=False):
+                for doc, twin, at, wanted in zip(*(part.column(c).to_pylist() for c in ROW), offsets.tolist(), part.column("wanted").to_pylist(), strict=False):
                     for w in wanted:
-                        out[w["anchor"], doc, w["from"]] = raw[at + w["from"] : at + w["to"]]
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in out], pa.int64()) for i in range(3)), pa.array(list(out.values()), pa.binary())], names=["anchor", "doc", "start", "bytes"])
+                        out[w["anchor"], doc, twin, w["from"]] = raw[at + w["from"] : at + w["to"]]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in out], pa.int64()) for i in range(4)), pa.array(list(out.values()), pa.binary())], names=["anchor", *ROW, "start", "bytes"])
 
-    contexts = texts.join(wanted, "doc").mapInArrow(cut, "anchor long, doc long, start long, bytes binary")
+    contexts = texts.join(wanted, list(ROW)).mapInArrow(cut, "anchor long, doc long, twin long, start long, bytes binary")
     contexts = stored(contexts.join(hot, "anchor", "left"), "contexts")
     usual = contexts.where("hot is null").drop("hot")
     size = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    usual = usual.repartition(max(1, int(size) // (4 * BLOCK_BYTES) + 1), "anchor").sortWithinPartitions("anchor", "doc", "start")
+    usual = usual.repartition(max(1, int(size) // (4 * BLOCK_BYTES) + 1), "anchor").sortWithinPartitions("anchor", *ROW, "start")
     spans = covered.unionByName(index_blocks(usual)).unionByName(hashed_strings(contexts.where("hot")))
     return texts, spans
 
@@ -283,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], the bytes that stay (binary: a span may
     end inside a character)."""
     texts, spans = repeated_spans(docs, id_col, text_col)
-    merged = spans.groupBy("doc").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
+    merged = spans.groupBy(*ROW).agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,12 +320,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                 removed += y - at
                             at = max(at, y)
                         text = b"".join(kept) + text[at:]
-                    rows.append((doc if doc != -(1 << 63) else None, b - a, removed, n_spans, hashlib.sha256(text).hexdigest(), *[text] * with_text))
+                    rows.append((doc if doc != NO_ID else None, b - a, removed, n_spans, hashlib.sha256(text).hexdigest(), *[text] * with_text))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return texts.join(merged, "doc", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return texts.join(merged, list(ROW), "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op5_suffix_array_dedup(spark, sf_dir):

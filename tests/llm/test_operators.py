@@ -404,3 +404,42 @@ def test_clashing_columns_are_kept(spark):
         assert out.columns == d.columns and out.count() == 12
     assert set(langid.predict(d, langid.fit(d)).columns) == {*d.columns, "lang_pred"}
     assert {r.text for r in decontaminate.remove_spans(d, bench).where("doc_id = 3").collect()} == {"hello  reach a3@b.cd"}
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    rng = random.Random(11)
+    long, passage = sentence(rng, 80), sentence(rng, 40)
+    rows = [(1, f"{sentence(rng, 5)} {passage} end"), (2, long), (2, "tiny text a@b.cd"), (2, f"other {passage} b@c.de"), (None, f"none {passage}"), (None, "call x@y.zz or z@y.xx now"), (2, long), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string").repartition(3)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs, with_text=False).collect())
+    # without an id first, then by id; equal rows are one document
+    want = Counter()
+    done = set()
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        raw = (t or "").encode()
+        again = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in done:
+                again[k : k + 100] = b"\1" * 100
+        want[i, len(raw), sum(again)] += 1
+        if (i, t) != (2, long):
+            done |= {raw[k : k + 100] for k in range(len(raw) - 99)}
+    assert got == want
+    clean = Counter((r.doc_id, r.text) for r in pii.redact(docs).collect())
+    assert clean == Counter((i, re.sub(r"\w@\w\.\w\w", "<EMAIL>", t) if t else t) for i, t in rows)
+    assert pii.all_spans(docs).count() == len(rows)
+    bench = spark.createDataFrame([("p", passage), (None, "tiny text")], "item_id string, text string")
+    for block in (1 << 20, 20):
+        cut = Counter((r.doc_id, r.text) for r in decontaminate.remove_spans(docs, bench, max_coverage=0.99, block_bytes=block).collect())
+        assert cut == Counter((i, t.replace(passage, "").replace("tiny text", "") if t else t) for i, t in rows)
+
+
+def test_personal_data_in_runs_and_beside_long_words(spark):
+    rows = [(i, f"write to desk +4{i} 555 010 {1000 + i} or") for i in range(5)]
+    far = "w" * 100_000
+    rows += [(20, f"{far} desk 555 014 22 33 and 24/7 {far}@"), (21, "1 " * 20_000), (22, "desk " + "9" * 5000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.all_spans(d).collect()}
+    at = len(far) + 6
+    assert [(x.start, x.end, x.kind) for x in got[20].extra] == [(at, at + 13, "phone")]
+    assert not got[21].extra and not got[22].extra
