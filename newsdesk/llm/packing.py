@@ -7,7 +7,9 @@ that fit, then its shortest piece gives way to the two unpacked pieces that fill
 A bin's pattern repeats as long as the counts allow, which gives the same bins as making them one by one.
 
 Cases: null or empty text is a document with the end token only; repeated rows are packed as many times as
-they occur; an empty table gives no rows; other columns of the input are ignored.
+they occur, and so are rows that share or lack a doc_id; of equal lengths the smaller doc_id and piece comes first, and
+equally good pairs of replacements are decided for the longer first piece; an empty table gives no rows; tokenize()
+ignores other columns of the input.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import slices, text_buffer
-from newsdesk.llm.tables import stored
+from newsdesk.llm.arrays import slices, text_buffer, tidy
+from newsdesk.llm.tables import spare, stored
 
 CAPACITY = 2048
 END_ID = 0
-#: Words longer than this are not kept in a worker's cache, and the cache starts anew when it is full.
+#: Pieces of one length that one task ranks.
+PART_ROWS = 1_000_000
+#: Words longer than this are not kept in a worker's cache, and the cache starts anew when it holds so many.
 CACHED_WORD_BYTES, CACHED_WORDS = 48, 400_000
 
 
@@ -39,16 +43,16 @@ def vocabulary_path() -> str:
 class WordIds(dict):
     """Little-endian ids of a word. The vocabulary lower-cases, drops white space, and no token crosses white
     space or the border of letters and punctuation. So a text's ids are those of its words in turn, a closing
-    mark is tokenised apart from the letter before it, and ASCII letters in either case have the same ids."""
+    mark is tokenised apart from a letter before it that stays one when it is lower-cased, and ASCII letters in either case have the same ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenise the unknown words of letters among words together, which costs less than one by one."""
-        if len(self) + len(words) > CACHED_WORDS:
+        if len(self) + len(words) > self.most:
             self.clear()
         new = set()
         for word in words:
@@ -70,23 +74,24 @@ class WordIds(dict):
         if word.isalpha() and not word.islower():
             return self[word.lower()]
         text = word.decode()
-        if len(text) > 1 and word[-1] in b".,;:!?" and text[-2].isalpha():
+        # a letter whose lower case ends with a mark of its own is tokenised with what follows
+        if len(text) > 1 and word[-1] in b".,;:!?" and text[-2].isalpha() and text[-2].lower().isalpha():
             return self[word[:-1]] + self[word[-1:]]
         ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= CACHED_WORD_BYTES:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = CACHED_WORDS) -> WordIds:
     """One cache for all tasks of a Python worker."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
-def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32[, ids]) of at most `capacity` ids of each document.
 
     vocabulary: path of a tokenizer file that every executor has. with_ids adds the ids as packed
@@ -96,7 +101,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words = word_ids(path, cached_words)
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for part in slices(batch, text_col):
@@ -113,7 +118,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), ddl)
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -173,43 +178,48 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, parts: int = 64) -> DataFrame:
-    """Add (sequence_id, offset) to pieces; all other columns are kept.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset, which replace columns of those names; all others
+    are kept.
 
-    Ranks within a length are dealt over `parts` hash parts, so a length that a third of the pieces share
-    is sorted by many tasks; the offsets between parts are capacity * parts sums at most."""
+    Ranks within a length are dealt over hash parts of about part_rows pieces, so a length that a third of the
+    pieces share is sorted by many tasks. The driver sees a count for each length and each part."""
+    pieces = pieces.drop("sequence_id", "offset")
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    sizes = keyed.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.orderBy("length", "_part").collect()  # capacity * parts rows at most
+    part, rank, parts = (spare(pieces, c) for c in ("_part", "_rank", "_parts"))
+    total = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity rows at most
+    dealt = spark.createDataFrame([(r["length"], -(-r["n"] // part_rows)) for r in total], f"length long, {parts} long")
+    keyed = pieces.join(F.broadcast(dealt), "length").select(*pieces.columns, F.pmod(F.xxhash64("doc_id", "piece"), parts).alias(part))
+    sizes = keyed.groupBy("length", part).agg(F.count(F.lit(1)).alias("n")).collect()  # capacity and a row for part_rows pieces at most
     counts = np.zeros(capacity + 1, np.int64)
-    before: dict[int, int] = {}
-    for row in sizes:
-        before[row["length"] * parts + row["_part"]] = int(counts[row["length"]])
-        counts[row["length"]] += row["n"]
+    before: dict[tuple[int, int], int] = {}
+    for n, k, rows in sorted((r["length"], r[part], r["n"]) for r in sizes):
+        before[n, k] = int(counts[n])
+        counts[n] += rows
     runs = sorted(best_two_fit(counts, capacity))
     length, first, fold, bins, at = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else [np.empty(0, np.int64)] * 5
     plan = spark.sparkContext.broadcast((length << 44 | first, first, fold, bins, at, before))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")))
-    schema = ranked.drop("_part", "_rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    ranked = keyed.withColumn(rank, F.row_number().over(Window.partitionBy("length", part).orderBy("doc_id", "piece")))
+    schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, fold, bins, at, before = plan.value
         for batch in batches:
-            n, part, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", "_part", "_rank"))
-            rank = rank - 1 + np.array([before[k] for k in (n * parts + part).tolist()], np.int64)
-            j = np.searchsorted(key, n << 44 | rank, "right") - 1
-            inside = rank - first[j]
-            kept = [c for c in batch.schema.names if c not in ("_part", "_rank")]
+            n, k, r = (batch.column(c).to_numpy().astype(np.int64) for c in ("length", part, rank))
+            r = r - 1 + np.array([before[x] for x in zip(n.tolist(), k.tolist(), strict=True)], np.int64)
+            j = np.searchsorted(key, n << 44 | r, "right") - 1
+            inside = r - first[j]
+            kept = [c for c in batch.schema.names if c not in (part, rank)]
             columns = [batch.column(c) for c in kept] + [pa.array(bins[j] + inside // fold[j]), pa.array(at[j] + inside % fold[j] * n)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Tokenise and pack whole documents; only those longer than `capacity` are cut."""
-    return pack(stored(tokenize(docs, capacity, vocabulary, with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
+    """Tokenise and pack whole documents; only those longer than `capacity` are cut. A smaller cache takes less memory of
+    each worker and more time."""
+    return pack(stored(tokenize(docs, capacity, vocabulary, with_ids, cached_words=cached_words), "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark, sf_dir):
