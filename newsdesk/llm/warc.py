@@ -3,11 +3,14 @@
 A capture is a request, a response (or a revisit that refers to the response with an equal payload) and a
 metadata record. The request and the metadata name the response in WARC-Concurrent-To; assemble() joins the
 three through it and emits one nested row per capture. Archives are written by Spark's own text writer - one
-gzip stream of records per file, at most RECORDS_PER_FILE records - so they land wherever Spark can write, and are
-read as whole files of bounded size and cut by Content-Length, never by looking for separators in payloads.
-
-Cases: null html is an empty payload; rows that repeat a page_id with the same payload are one capture; null
-urls are written empty; line breaks in urls are percent-encoded; an empty table gives empty archives.
+gzip stream of records per file, about FILE_BYTES and at most RECORDS_PER_FILE records - so they land wherever
+Spark can write, and are read as whole files and cut by Content-Length, never by looking for separators in payloads.
+A file holds one page at least, and a page must fit into a row of Spark's file reader (2 GB).
+
+Cases: null html is an empty payload; rows that repeat a page_id with the same payload are one capture, and with
+another payload one of its own; rows without a page_id are responses, one for each payload; null urls are written
+empty; line breaks in urls are percent-encoded; of equal payloads the smallest page_id is the response; an empty
+table gives empty archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsdesk.llm.arrays import tidy
 from newsdesk.llm.tables import new_path, stored
 
-RECORDS_PER_FILE = 6_000
+#: Bytes of payloads in a file, about, and records at most.
+FILE_BYTES, RECORDS_PER_FILE = 128 << 20, 6_000
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,9 +61,13 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     p = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
-    # digests only: a payload that a third of the rows share meets as one row of each task
-    first = p.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    p = p.join(first, "digest", "left")
+    # ids and digests only: a payload that a third of the rows share meets as one row of each task, and pages are dealt
+    # by their own ids
+    small = p.select("page_id", "digest", "n").distinct()
+    first = small.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    later = small.join(first, "digest").where("first_id < page_id").select("page_id", "digest", "first_id")
+    size = p.agg(F.sum("n")).first()[0] or 0
+    p = p.repartition(max(1, int(size) // FILE_BYTES + 1), "page_id", "digest").join(later, ["page_id", "digest"], "left")
     revisit = F.coalesce(F.col("first_id") < F.col("page_id"), F.lit(False))
     rid = _record_id("response", F.col("page_id"), F.col("digest"))
     uri = ("WARC-Target-URI", F.col("url"))
@@ -141,7 +150,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.mapInArrow(run, RECORDS)
+    return files.mapInArrow(tidy(run), RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -166,9 +175,10 @@ def op10_warc(spark, sf_dir):
     captures = assemble(stored(read_records(spark, path, with_payload=False), "records"))
     page_id = F.expr("try_cast(regexp_extract(metadata.fields, 'page-id: ([-0-9]*)', 1) as bigint)")
     flat = captures.select("capture_id", page_id.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("refers_id"))
-    # the response of a group of equal payloads, by the record id that its revisits name
+    # the response of a group of equal payloads, by the record id that its revisits name; only revisits look for one
     named = flat.where("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return flat.drop("capture_id").join(named, "refers_id", "left").drop("refers_id")
+    again = flat.where("record_type = 'revisit'").join(named, "refers_id", "left").drop("refers_id", "capture_id")
+    return flat.where("record_type = 'response'").drop("refers_id", "capture_id").withColumn("refers_to", F.lit(None).cast("long")).unionByName(again)
 
 
 ORACLE = """
