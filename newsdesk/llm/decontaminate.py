@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newsdesk.llm.arrays import PLAIN_WORD, Words, slices, text_buffer
+from newsdesk.llm.arrays import PLAIN_WORD, Words, slices, text_buffer, tidy
 from newsdesk.llm.tables import spare, stored
 
 WINDOW = 10
@@ -238,7 +238,7 @@ def _pass(docs: DataFrame, items: list, window: int, text_col: str, before: str
                     part = part.drop_columns([before])
                 yield finish(part, rows, words)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _through_blocks(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, text_col: str, finish: Finish, schema: str | StructType) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import slices, text_buffer
+from newsdesk.llm.arrays import slices, text_buffer, tidy
 from newsdesk.llm.tables import hash_share, held_out, spare
 
 BITS = 16
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 columns = [part.column(c) for c in kept] + [pa.array(np.where(letters, names[best], "und"), pa.string()), pa.array(np.where(letters, share, 0.0))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return docs.withColumn(letters_col, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out.schema)
+    return docs.withColumn(letters_col, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tidy(run), out.schema)
 
 
 def op3_language_id(spark, sf_dir):

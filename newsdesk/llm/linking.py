@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import mix, owners
+from newsdesk.llm.arrays import mix, owners, tidy
 from newsdesk.llm.tables import hash_share, stored
 from newsdesk.operators.cluster import components
 
@@ -128,7 +128,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 key = mix(values[keep].view(np.uint64) ^ mix(x[doc] << np.uint64(32) | y[doc]))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(doc)), pa.array(n[doc]), pa.array(rank[keep])], names=["key", "doc", "n", "rank"])
 
-    return sets.select("doc", "items").mapInArrow(run, "key long, doc long, n long, rank long")
+    return sets.select("doc", "items").mapInArrow(tidy(run), "key long, doc long, n long, rank long")
 
 
 def apart(rows: DataFrame, percent: int, share: float) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import slices
+from newsdesk.llm.arrays import slices, tidy
 
 #: Common words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -201,7 +201,7 @@ def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataF
                 kept = [c for c in part.schema.names if c not in (column, into)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return pages.mapInArrow(run, out)
+    return pages.mapInArrow(tidy(run), out)
 
 
 def op4_html_extraction(spark, sf_dir):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import SPACED_WORD, Words, chains, list_array, mix, owners, segment_unique, slices, text_buffer
+from newsdesk.llm.arrays import SPACED_WORD, Words, chains, list_array, mix, owners, segment_unique, slices, text_buffer, tidy
 from newsdesk.llm.linking import link, only, without
 from newsdesk.llm.tables import stored
 from newsdesk.operators.cluster import components
@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 lists = [list_array(np.ascontiguousarray(x).ravel(), at, pa.int64()) for x in (keys[:, :SIDE], keys[:, SIDE:])]
                 yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(np.diff(first)), *map(pa.array, sets), *lists], names=["doc", "n", "set_a", "set_b", "left", "right"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc long, n long, set_a long, set_b long, left array<long>, right array<long>")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc long, n long, set_a long, set_b long, left array<long>, right array<long>")
 
 
 def full_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +96,7 @@ def full_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 values, first = shingles(part.column(text_col), width)
                 yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(np.diff(first)), list_array(values.view(np.int64), first, pa.int64())], names=["doc", "n", "items"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc long, n long, items array<long>")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc long, n long, items array<long>")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

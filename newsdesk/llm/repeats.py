@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import BYTE_VALUES, Rolling, mix, slices, text_buffer
+from newsdesk.llm.arrays import BYTE_VALUES, Rolling, mix, slices, text_buffer, tidy
 from newsdesk.llm.tables import stored
 
 SPAN, ANCHOR = 100, 36
@@ -114,7 +114,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                 kept = ~again
                 yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key.view(np.int64), context.view(np.int64), doc, twin, place, copy)], names=["anchor", "context", "doc", "twin", "place", "copy"])
 
-    return texts.mapInArrow(run, "anchor long, context long, doc long, twin long, place long, copy boolean")
+    return texts.mapInArrow(tidy(run), "anchor long, context long, doc long, twin long, place long, copy boolean")
 
 
 class RunIndex:
@@ -231,7 +231,7 @@ def index_blocks(contexts: DataFrame) -> DataFrame:
         if rows:
             yield mark(rows)
 
-    return contexts.mapInArrow(run, "doc long, twin long, from long, to long")
+    return contexts.mapInArrow(tidy(run), "doc long, twin long, from long, to long")
 
 
 def hashed_strings(contexts: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def hashed_strings(contexts: DataFrame) -> DataFrame:
             key = batch.column("anchor").to_numpy()[row]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(windows[offsets[:-1][row] + inside].view(np.int64)), *(pa.array(batch.column(c).to_numpy()[row]) for c in ROW), pa.array(batch.column("start").to_numpy()[row] + inside)], names=["anchor", "string", *ROW, "start"])
 
-    every = contexts.mapInArrow(run, "anchor long, string long, doc long, twin long, start long")
+    every = contexts.mapInArrow(tidy(run), "anchor long, string long, doc long, twin long, start long")
     first = every.groupBy("anchor", "string").agg(F.min(F.struct(*ROW, "start")).alias("first"))
     later = every.join(first, ["anchor", "string"]).where(F.struct(*ROW, "start") > F.col("first"))
     return later.select(*ROW, F.col("start").alias("from"), (F.col("start") + SPAN).alias("to"))
@@ -285,7 +285,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         out[w["anchor"], doc, twin, w["from"]] = raw[at + w["from"] : at + w["to"]]
                 yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in out], pa.int64()) for i in range(4)), pa.array(list(out.values()), pa.binary())], names=["anchor", *ROW, "start", "bytes"])
 
-    contexts = texts.join(wanted, list(ROW)).mapInArrow(cut, "anchor long, doc long, twin long, start long, bytes binary")
+    contexts = texts.join(wanted, list(ROW)).mapInArrow(tidy(cut), "anchor long, doc long, twin long, start long, bytes binary")
     contexts = stored(contexts.join(hot, "anchor", "left"), "contexts")
     usual = contexts.where("hot is null").drop("hot")
     size = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return texts.join(merged, list(ROW), "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return texts.join(merged, list(ROW), "left").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op5_suffix_array_dedup(spark, sf_dir):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import PLAIN_WORD, Words, chains, list_array, mix, owners, segment_unique, slices, text_buffer
+from newsdesk.llm.arrays import PLAIN_WORD, Words, chains, list_array, mix, owners, segment_unique, slices, text_buffer, tidy
 from newsdesk.llm.linking import link
 from newsdesk.llm.main_text import STOP_WORDS
 from newsdesk.llm.tables import stored
@@ -184,7 +184,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if last is not None and (out := rows(last, None)) is not None:
             yield out
 
-    return in_order(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
                 values, first = signatures(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(id_col).cast(pa.int64()), pa.array(np.diff(first)), list_array(values.view(np.int64), first, pa.int64())], names=["doc", "n", "items"])
 
-    every = stored(docs.select(id_col, text_col).mapInArrow(sets, "doc long, n long, items array<long>").where("n > 0"), "signatures")
+    every = stored(docs.select(id_col, text_col).mapInArrow(tidy(sets), "doc long, n long, items array<long>").where("n > 0"), "signatures")
     same = every.groupBy("n", "items").agg(F.min("doc").alias("rep"))
     reps = stored(same.select(F.col("rep").alias("doc"), "n", "items"), "signature_classes")
     # sets of a pair lie in the same or in neighbouring classes of length

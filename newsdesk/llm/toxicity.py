@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import LOWER_VALUES, PLAIN_WORD, Rolling, Words, mix, owners, slices, text_buffer
+from newsdesk.llm.arrays import LOWER_VALUES, PLAIN_WORD, Rolling, Words, give_back, mix, owners, slices, text_buffer, tidy
 from newsdesk.llm.tables import hash_share, held_out, spare
 
 BITS = 20
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
         batches = [part for b in table.to_batches() for part in slices(b, "text")]
         kept, weights, bias = train_shard([p.column("text") for p in batches], table.column("toxic").to_numpy().astype(float))
+        give_back()
         return pa.table({"bucket": pa.array(np.append(kept, -1), pa.int64()), "weight": pa.array(np.append(weights, bias), pa.float64())})
 
     model = rows.groupBy("shard").applyInArrow(train, "bucket long, weight double").groupBy("bucket").agg((F.sum("weight") / shards).alias("weight")).orderBy("bucket").collect()  # 2 ** BITS rows at most
@@ -131,7 +132,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None, c
                 total = np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], n) + bias
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, docs.withColumn(column, F.lit(0.0)).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn(column, F.lit(0.0)).schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
