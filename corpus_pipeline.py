@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed training sequences, in stages that each read what the last one wrote."""
+"""A corpus from raw documents to packed training sequences, in stages that each read what the last one wrote.
+
+Cases, for all stages: null and empty texts are kept and packed as documents without words; rows that share a doc_id are
+judged by their own texts, except that a doc_id counts as one document for near copies; rows without a doc_id
+are scored, cut, redacted and packed like all others and never dropped as copies; repeated rows stay; an empty table
+gives no rows; other columns, whatever their names, are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +19,7 @@ from newsdesk.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go; without labels nothing does."""
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -33,8 +39,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as pieces of sequences of at most 2048 tokens."""
-    return pack_documents(docs)
+    """Documents as pieces of sequences of at most 2048 tokens; a null text is a document with the end token alone.
+
+    Workers live on from stage to stage, so their word caches are kept small."""
+    return pack_documents(docs, cached_words=100_000)
 
 
 STAGES = [
