@@ -37,7 +37,7 @@ def _between(names: Column, least: int, most: int) -> Column:
 def company_candidates(text: Column) -> Column:
     """Sorted distinct comparison forms of the companies that a text may name."""
     normal = lambda items: F.transform(items, normalize_company_name)
-    capital = F.filter(F.transform(_all(text, CAPITALISED, 0), F.trim), lambda x: ~x.isin(*NOT_COMPANIES))
+    capital = F.filter(F.transform(_all(text, CAPITALISED, 0), lambda x: F.trim(x)), lambda x: ~x.isin(*NOT_COMPANIES))
     found = F.concat(
         _between(normal(_all(text, QUOTED)), 2, 60),
         _between(normal(_all(text, f"(?i){NAME}{VERB}.{{0,30}}?(?:融资|funding|round|investment)")), 2, 60),

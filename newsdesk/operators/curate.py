@@ -134,6 +134,13 @@ def move_sources(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
     return rows.withColumn("is_primary_source", F.row_number().over(order) == 1).drop("_p"), bad
 
 
+def move_log(before: DataFrame, after: DataFrame, commands: DataFrame) -> DataFrame:
+    """(event_id, operation, before, after, note) of the commands that changed an event's sources: its content ids as JSON."""
+    ids = lambda links, name: links.groupBy("event_id").agg(F.to_json(F.array_sort(F.collect_list("content_id"))).alias(name))
+    both = commands.select("event_id", "operation", F.concat(F.lit("content="), F.col("content_id").cast("string")).alias("note")).join(ids(before, "before"), "event_id", "left").join(ids(after, "after"), "event_id", "left")
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).select("event_id", "operation", "before", "after", "note")
+
+
 OPEN_STATUSES = ("watching", "follow_up", "paused")
 
 

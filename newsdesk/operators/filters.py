@@ -35,12 +35,15 @@ def search_contents(contents: DataFrame, tags: DataFrame | None = None, entities
     if status:
         out = out.where(F.col("extraction_status") == status)
     if query.strip():
-        hits = contents.where(like(F.col("title"), query) | like(F.col("summary"), query) | like(F.col("source_name"), query)).select("content_id")
-        if tags is not None:
-            hits = hits.unionByName(tags.where(like(F.col("tag_key"), query) | like(F.col("tag_value"), query)).select("content_id"))
+        found = F.coalesce(like(F.col("title"), query) | like(F.col("summary"), query) | like(F.col("source_name"), query), F.lit(False))
+        hits = [tags.where(like(F.col("tag_key"), query) | like(F.col("tag_value"), query)).select("content_id")] if tags is not None else []
         if entities is not None:
-            hits = hits.unionByName(entities.where(like(F.col("name"), query)).select("content_id"))
-        out = out.join(hits.distinct(), "content_id", "left_semi")
+            hits.append(entities.where(like(F.col("name"), query)).select("content_id"))
+        if hits:
+            named = hits[0].unionByName(hits[-1]) if len(hits) > 1 else hits[0]
+            out = out.join(named.select("content_id", F.lit(True).alias("_named")).distinct(), "content_id", "left").where(found | F.col("_named").isNotNull()).drop("_named")
+        else:
+            out = out.where(found)
     out = out.orderBy(F.desc("crawl_time"), F.desc("content_id"))
     return out if limit is None else out.limit(limit)
 
@@ -48,12 +51,12 @@ def search_contents(contents: DataFrame, tags: DataFrame | None = None, entities
 def financing_contents(contents: DataFrame, tags: DataFrame) -> DataFrame:
     """AI-related items tagged as financing of high relevance and not excluded by hand."""
 
-    def tagged(key: str, value: str) -> DataFrame:
-        return tags.where((F.col("tag_key") == key) & (F.col("tag_value") == value)).select("content_id")
+    def tagged(key: str, value: str) -> Column:
+        return F.bool_or((F.col("tag_key") == key) & (F.col("tag_value") == value))
 
-    kept = contents.where(F.col("ai_related").eqNullSafe(True))
-    kept = kept.join(tagged("content_type", "financing"), "content_id", "left_semi").join(tagged("ai_financing_relevance", "high"), "content_id", "left_semi")
-    return kept.join(tagged("manual_financing_status", "excluded"), "content_id", "left_anti")
+    kinds = tags.where(F.col("tag_key").isin("content_type", "ai_financing_relevance", "manual_financing_status")).groupBy("content_id")
+    marks = kinds.agg(tagged("content_type", "financing").alias("financing"), tagged("ai_financing_relevance", "high").alias("high"), tagged("manual_financing_status", "excluded").alias("excluded"))
+    return contents.where(F.col("ai_related").eqNullSafe(True)).join(marks.where("financing and high and not excluded").select("content_id"), "content_id", "left_semi")
 
 
 def keyword_ai_related(title: Column, summary: Column, body: Column) -> Column:
@@ -130,6 +133,13 @@ def query_events(events: DataFrame, status: str = "", company: str = "", start:
     return out.orderBy(F.desc("announced_date"), F.desc("event_id"))
 
 
+def event_page(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of query_events() with the total of rows that qualify."""
+    total = events.agg(F.count(F.lit(1)).alias("total"))
+    page = events.orderBy(F.desc("announced_date"), F.desc("event_id")).offset(max(offset, 0)).limit(max(1, min(200, limit)))
+    return page.crossJoin(F.broadcast(total))  # one row
+
+
 def report_candidates(contents: DataFrame, start: Column, end: Column) -> DataFrame:
     """Published from the first day's midnight on, or crawled inside the window."""
     midnight = F.to_date(start).cast("timestamp_ntz")

@@ -65,6 +65,21 @@ def rule_tags(rows: DataFrame, key: str = "content_id") -> DataFrame:
     return rows.select(key, F.explode(tags).alias("t")).select(key, "t.*").where(F.coalesce(F.trim("tag_value"), F.lit("")) != "")
 
 
+def ingest(items: DataFrame, contents: DataFrame, sources: DataFrame, run_at: dt.datetime, outputs: DataFrame | None = None, cache_hours: int = CACHE_HOURS) -> dict[str, DataFrame]:
+    """The whole run over extracted items (source_id, position, url, title, summary, clean_text, publish_time,
+    publish_time_status): new ones inside the window that are worth keeping become contents.
+
+    Returns contents (the new rows, keyed by canonical_url), cache (their texts, which expire after cache_hours), tags
+    and stats by source. The rows' own content_cache_until always counts CACHE_HOURS."""
+    from newsdesk.sources.shared import stored
+
+    labelled = stored(label_items(items, contents, sources, run_at, outputs), "labelled")
+    rows = stored_rows(labelled, run_at)
+    expire = F.lit(str(run_at)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(cache_hours))
+    cache = rows.where(F.coalesce("clean_text", F.lit("")) != "").select("canonical_url", "clean_text", expire.alias("expire_at"))
+    return {"contents": rows.withColumnRenamed("expire_at", "content_cache_until"), "cache": cache, "tags": rule_tags(rows, "canonical_url"), "stats": ingest_stats(labelled)}
+
+
 def error_rows(rows: DataFrame, failed: Column, message: Column, run_id: int, at: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """(good, errors): rows that fail become error records, the others go on."""
     bad = rows.where(failed).select("source_id", F.lit(run_id).alias("crawl_run_id"), F.lit("extract").alias("error_type"), message.alias("message"), "url", F.lit(str(at)).cast("timestamp_ntz").alias("occurred_at"))

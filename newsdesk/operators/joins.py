@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,12 @@ def watch_targets(watch: DataFrame, events: DataFrame, contents: DataFrame) -> D
     return watch.join(targets.withColumn("target_available", F.lit(True)), ["target_type", "target_id"], "left").withColumn("target_available", F.coalesce("target_available", F.lit(False)))
 
 
+def watch_view(watch: DataFrame, events: DataFrame, contents: DataFrame, today: dt.date) -> DataFrame:
+    """watch_targets() with is_due: an unfinished item whose date has come."""
+    due = (F.col("status") != "completed") & (F.col("next_review_date") <= F.lit(today))
+    return watch_targets(watch, events, contents).withColumn("is_due", due)
+
+
 def exclude_contents(tags: DataFrame, contents: DataFrame, ids: DataFrame) -> DataFrame:
     """tags with the mark that keeps the named contents out of financing reports, once each."""
     wanted = ids.where("content_id > 0").select("content_id").distinct().join(contents.select("content_id"), "content_id", "left_semi")
@@ -57,6 +65,15 @@ def attach_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
     return tags.unionByName(fresh, allowMissingColumns=True)
 
 
+def attach_definitions(definitions: DataFrame, tags: DataFrame) -> DataFrame:
+    """definitions (tag_id, tag_key, tag_value, enabled) with enabled ones for the pairs of tags that have none. New ids
+    follow the largest; there are as many as distinct new pairs."""
+    fresh = tags.where(F.trim("tag_value") != "").select("tag_key", "tag_value").distinct().join(definitions, ["tag_key", "tag_value"], "left_anti")
+    top = definitions.agg(F.coalesce(F.max("tag_id"), F.lit(0))).first()[0]
+    made = fresh.withColumn("tag_id", (F.row_number().over(Window.orderBy("tag_key", "tag_value")) + top).cast("long")).withColumn("enabled", F.lit(True))
+    return definitions.unionByName(made.select(*(c for c in made.columns if c in definitions.columns)), allowMissingColumns=True)
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], columns: list[str], insert_only: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows of updates replace `columns` of the rows with their keys and are inserted where there is none; the
     columns in insert_only are set on insertion alone, so values that users edited stay."""

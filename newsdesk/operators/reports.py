@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.functions.text import collapse
@@ -24,7 +24,7 @@ def daily_report_items(contents: DataFrame, day: dt.date, events: DataFrame | No
     rows = rows.where(in_window(F.col("_t.ts"), F.col("publish_time_status"), start, end))
     if events is not None and links is not None:
         reported = report_events(events, links, rows, day)
-        rows = rows.join(links.join(reported.select("event_id"), "event_id", "left_semi").select("content_id"), "content_id", "left_anti")
+        rows = without_reported(rows, links, reported)
     rows = rows.where(F.trim(F.coalesce("url", F.lit(""))) != "")
     text = item_text(collapse(F.col("title")), collapse(F.col("summary")))
     none = F.array().cast("array<string>")
@@ -43,6 +43,11 @@ def report_events(events: DataFrame, links: DataFrame, window_contents: DataFram
     return near.join(held, "event_id", "left_semi")
 
 
+def without_reported(contents: DataFrame, links: DataFrame, reported: DataFrame) -> DataFrame:
+    """contents that belong to none of the reported events."""
+    return contents.join(links.join(reported.select("event_id"), "event_id", "left_semi").select("content_id"), "content_id", "left_anti")
+
+
 def report_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("category").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("source_id").alias("sources"))
 
@@ -79,6 +84,100 @@ def daily_markdown(contents: DataFrame, summary: DataFrame) -> DataFrame:
     return summary.join(sources, "day").join(body, "day").select("day", F.concat_ws("\n", head, F.concat(F.lit("### 来源分布\n"), "sources", F.lit("\n")), "body").alias("markdown"))
 
 
+#: What stands where an item says nothing itself, and the theme of events.
+NO_TITLE, NO_SUMMARY, NO_SOURCE, WHY, EVENT_THEME = "未命名内容", "暂无摘要，需打开原文核验。", "未知来源", "基于已入库内容的确定性整理，不代表投资建议。", "融资事件"
+
+
+def daily_report(contents: DataFrame, day: dt.date, events: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """One row with the whole report: report_date, executive_summary, stats, sections of groups of items, warnings.
+
+    A day's report is small: its window bounds it. Events are items of the funding section with the distinct
+    addresses of their sources; events and contents without an address are left out with a warning."""
+    start, end = daily_window(day)
+    window = report_candidates(contents, start, end).withColumn("_t", time_choice(F.col("publish_time"), F.col("publish_time_status"), F.col("crawl_time")))
+    window = window.where(in_window(F.col("_t.ts"), F.col("publish_time_status"), start, end))
+    said = lambda c, rest: F.coalesce(F.nullif(collapse(F.col(c)), F.lit("")), F.lit(rest))
+    none = F.lit(None).cast("bigint")
+    items = daily_report_items(contents, day, events, links)
+    flat = items.select("category", "theme", "published_at", said("title", NO_TITLE).alias("title"), F.col("content_id").cast("bigint").alias("content_id"), none.alias("event_id"), said("summary", NO_SUMMARY).alias("summary"), said("source_name", NO_SOURCE).alias("source"), F.array("url").alias("urls"), F.col("source_id").cast("bigint").alias("source_id"))
+    regular = window
+    bare = [F.lit(None).cast("string")]
+    if events is not None and links is not None:
+        reported = report_events(events, links, window, day)
+        regular = without_reported(window, links, reported)
+        linked = links.join(reported.select("event_id"), "event_id", "left_semi").join(contents.select("content_id", "url", "source_id"), "content_id")
+        urls = linked.groupBy("event_id").agg(F.array_sort(F.collect_set(F.nullif(F.trim("url"), F.lit("")))).alias("urls"), F.min("source_id").cast("bigint").alias("source_id"))
+        told = reported.join(urls, "event_id", "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
+        shown = told.where(F.size("urls") > 0).select(F.lit("funding").alias("category"), F.lit(EVENT_THEME).alias("theme"), F.col("announced_date").cast("timestamp_ntz").alias("published_at"), F.col("event_title").alias("title"), none.alias("content_id"), "event_id", F.coalesce("event_summary", F.lit(NO_SUMMARY)).alias("summary"), F.lit(NO_SOURCE).alias("source"), "urls", "source_id")
+        flat = flat.unionByName(shown)
+        skipped = told.where(F.size("urls") == 0).select(F.concat(F.lit("融资事件 #"), F.col("event_id").cast("string"), F.lit(" 没有可用的数据库来源链接，已跳过")).alias("w"))
+    else:
+        skipped = contents.limit(0).select(bare[0].alias("w"))
+    skipped = skipped.unionByName(regular.where(F.trim(F.coalesce("url", F.lit(""))) == "").select(F.concat(F.lit("内容 #"), F.col("content_id").cast("string"), F.lit(" 没有可用的数据库来源链接，已跳过")).alias("w")))
+    item = F.struct("published_at", "title", F.coalesce("content_id", "event_id").alias("id"), "content_id", "event_id", "summary", F.lit(WHY).alias("why_it_matters"), "source", "urls")
+    groups = flat.groupBy("category", "theme").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
+    listed = groups.agg(F.collect_list(F.struct("category", "theme", "items", "n")).alias("g"))
+    counts = flat.agg(F.count(F.lit(1)).alias("included_items"), F.countDistinct("source_id").alias("sources_attempted"))
+    raw = window.agg(F.count(F.lit(1)).alias("raw_items"))
+    notes = skipped.agg(F.array_sort(F.collect_set("w")).alias("warnings"))
+    one = listed.crossJoin(counts).crossJoin(raw).crossJoin(notes)  # single rows
+
+    def of(kind: str, name: str) -> Column:
+        own = F.array_sort(F.filter("g", lambda x: x["category"] == kind), lambda x, y: F.when(x["theme"] < y["theme"], -1).when(x["theme"] > y["theme"], 1).otherwise(0))
+        return F.struct(F.lit(kind).alias("key"), F.lit(name).alias("title"), F.transform(own, lambda x: F.struct(x["theme"].alias("title"), x["items"].alias("items"))).alias("groups"))
+
+    total = lambda kind: F.aggregate(F.filter("g", lambda x: x["category"] == kind), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    last = dt.datetime.combine(day, dt.time(10))
+    line = F.format_string(f"北京时间 {last - dt.timedelta(days=1):%Y-%m-%d %H:%M} 至 {last:%Y-%m-%d %H:%M} 共收录 %d 条情报：技术进展 %d 条、产业新闻 %d 条、融资新闻 %d 条。", "included_items", *(total(k) for k in SECTIONS))
+    stats = F.struct("sources_attempted", F.col("sources_attempted").alias("sources_succeeded"), "raw_items", "included_items", F.lit(0).alias("failed_sources"))
+    return one.select(F.lit(str(day)).alias("report_date"), line.alias("executive_summary"), stats.alias("stats"), F.array(*(of(k, name) for k, name in SECTIONS.items())).alias("sections"), "warnings")
+
+
+def weekly_markdown(details: DataFrame, start: dt.date, end: dt.date, raw_count: int, label: str = "上周") -> DataFrame:
+    """One row with the weekly report as text. details: cluster_detail() with a column links, the reports' links as text;
+    events stand in the order of cluster_id, the largest first. A week without events says so."""
+    line = lambda name, c: F.concat(F.lit(f"- {name}："), F.coalesce(c, F.lit("")))
+    fields = [line(n, F.col(c)) for n, c in (("公司", "company"), ("融资轮次", "round"), ("融资金额", "amount"), ("项目简介", "project_intro"), ("投资方简介", "investor_intro"), ("新闻来源", "source_names"))]
+    told = F.concat_ws("\n", *fields, F.when(F.coalesce("links", F.lit("")) != "", F.concat(F.lit("- 相关报道："), "links")))
+    listed = details.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "company", told.alias("told"))), False).alias("m"))
+    body = F.array_join(F.transform("m", lambda x, i: F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), x["company"], F.lit("\n\n"), x["told"], F.lit("\n"))), "\n")
+    basis = "基于 content_type=financing、ai_related=true、ai_financing_relevance=high 的新闻，并按公司、轮次、金额和标题相似度去重。"
+    head = F.concat(F.lit(f"# 融资新闻周报（{start} 至 {end}）\n\n## 统计汇总\n\n- 融资事件数（去重）："), F.size("m").cast("string"), F.lit(f"\n- 原始融资新闻数：{raw_count}\n- 统计口径：{basis}\n\n## 事件明细\n\n"))
+    return listed.select(F.concat(head, F.when(F.size("m") > 0, body).otherwise(F.lit(f"{label}暂无已识别的融资事件。\n"))).alias("markdown"))
+
+
+def financing_items(financing: DataFrame, today: dt.date, day: dt.date | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame, str]:
+    """(items, clusters, label) of a day's list: financing contents crawled on the day, newest first; if no day was asked
+    for and today has none, the latest ones. At most max(4 * limit, 200) are clustered; callers show `limit` clusters."""
+    from newsdesk.operators.cluster import cluster_financing
+
+    most, wanted = max(4 * limit, 200), day or today
+    newest = lambda rows: rows.orderBy(F.desc("crawl_time"), F.desc("content_id")).limit(most)
+    rows, label = newest(financing.where(F.to_date("crawl_time") == F.lit(wanted))), "今日融资信息" if wanted == today else f"{wanted} 融资信息"
+    if day is None and rows.isEmpty():
+        rows, label = newest(financing), "最新融资信息"
+    return rows, cluster_financing(rows.select("content_id", "title", "summary", F.col("crawl_time").alias("shown"))), label
+
+
+def ordered_inputs(inputs: DataFrame) -> DataFrame:
+    """(report_id, position, target_type, target_id): the included inputs of each report, numbered from 0 in their order."""
+    place = F.row_number().over(Window.partitionBy("report_id").orderBy("position"))
+    return inputs.where("included").withColumn("position", place - 1).select("report_id", "position", "target_type", "target_id")
+
+
+def change_status(reports: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reports, rejected). commands: (report_id, status[, period_start, period_end]): a period must not end before it
+    starts, and the report must exist; one command of a report."""
+    c = commands.select("report_id", F.col("status").alias("_status"), *(F.col(x).alias(f"_{x}") for x in ("period_start", "period_end")))
+    known = c.join(reports.select("report_id", F.lit(True).alias("_known")), "report_id", "left")
+    reason = F.when(F.col("_known").isNull(), "unknown report").when(F.col("_period_start") > F.col("_period_end"), "the period ends before it starts")
+    judged = known.withColumn("reason", reason)
+    rows = reports.join(judged.where("reason is null").drop("reason", "_known"), "report_id", "left")
+    for x in ("status", "period_start", "period_end"):
+        rows = rows.withColumn(x, F.coalesce(f"_{x}", x))
+    return rows.select(*reports.columns), judged.where("reason is not null").select("report_id", F.col("_status").alias("status"), "reason")
+
+
 def report_candidates_for(report_type: str, start: dt.date, end: dt.date, events: DataFrame, watch: DataFrame) -> DataFrame:
     """(target_type, target_id, date): confirmed events of the period, or open watch items that are undated or due in it."""
     if report_type in ("weekly_financing", "current_week_financing"):

@@ -49,6 +49,19 @@ def daily_source_counts(contents: DataFrame) -> DataFrame:
     return contents.where("crawl_time is not null").groupBy(F.to_date("crawl_time").alias("day"), section_of(F.col("source_category")).alias("section"), "source_name").agg(F.count(F.lit(1)).alias("items"))
 
 
+def daily_sections(contents: DataFrame) -> DataFrame:
+    """(day, section, items): the items of each section of the daily summary, by source category and newest first."""
+    late = (-F.unix_micros(F.to_utc_timestamp("crawl_time", F.current_timezone()))).alias("late")
+    item = F.struct("source_category", late, "content_id", "title", "source_name", "summary")
+    rows = contents.where("crawl_time is not null").groupBy(F.to_date("crawl_time").alias("day"), section_of(F.col("source_category")).alias("section"))
+    return rows.agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def last_summary(contents: DataFrame) -> DataFrame:
+    """The daily summary of the latest crawl day."""
+    return daily_summary(contents).orderBy(F.desc("day")).limit(1)
+
+
 def dashboard_counts(contents: DataFrame, sources: DataFrame, day: dt.date) -> DataFrame:
     """One row: contents, contents of the day, enabled sources, sources with errors."""
     c = contents.agg(F.count(F.lit(1)).alias("contents"), F.count_if(F.to_date("crawl_time") == F.lit(day)).alias("contents_today"))
@@ -83,6 +96,24 @@ def rollup_runs(runs: DataFrame, *keys: Column) -> DataFrame:
     return out.withColumn("succeeded", F.col("attempted") - F.col("failed_sources")).withColumn("status", F.when(F.col("failed_items") == 0, "success").otherwise("partial_success"))
 
 
+def failed_names(runs: DataFrame, *keys: Column) -> DataFrame:
+    """(keys, names): distinct names of the sources that failed, in the order of the runs (started_at, crawl_run_id)."""
+    rows = runs.where("failed_items > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("started_at", "crawl_run_id", "source_name"))).alias("m"))
+    return rows.withColumn("names", F.array_distinct(F.col("m.source_name"))).drop("m")
+
+
+def run_summaries(runs: DataFrame) -> DataFrame:
+    """runs with their normalised status, counts without nulls, and warnings: the message of a run that is no success,
+    and the names of the sources that failed (an array failed_names, if runs has one)."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in runs.columns else F.lit(0).cast("long")
+    status = normalize_run_status(F.col("status"), zero("failed_items"))
+    told = F.when((status != "success") & (F.coalesce("message", F.lit("")) != ""), F.col("message")) if "message" in runs.columns else F.lit(None).cast("string")
+    names = F.when(F.size("failed_names") > 0, F.concat(F.lit("failed sources: "), F.array_join("failed_names", ", "))) if "failed_names" in runs.columns else F.lit(None).cast("string")
+    warnings = F.filter(F.array(told, names), lambda x: x.isNotNull())
+    counts = F.struct(*(zero(c).alias(c) for c in ("total_items", "new_items", "failed_items")))
+    return runs.select("crawl_run_id", status.alias("status"), counts.alias("counts"), warnings.alias("warnings"))
+
+
 def rollup_jobs(jobs: DataFrame) -> DataFrame:
     """jobs (completed, failed, total) with succeeded and percent; an idle job is at 100."""
     done = F.greatest(F.lit(0), F.col("completed") - F.col("failed"))
@@ -104,6 +135,9 @@ def week_status(spark: SparkSession, runs: DataFrame, contents: DataFrame, targe
     """Each day from Monday to the target: status of its latest run, whether any run of it completed, and its contents."""
     monday = target - dt.timedelta(days=target.weekday())
     days = date_spine(spark, monday, target)
+    start, end = (F.lit(str(dt.datetime.combine(d, dt.time()))).cast("timestamp_ntz") for d in (monday, target + dt.timedelta(days=1)))
+    runs = runs.where((F.col("started_at") >= start) & (F.col("started_at") < end))
+    contents = contents.where((F.col("crawl_time") >= start) & (F.col("crawl_time") < end))
     parents = runs.where("source_id is null").withColumn("day", F.to_date("started_at"))
     done = parents.groupBy("day").agg(F.bool_or(F.col("status").isin("success", "partial_success")).alias("completed"))
     latest = latest_run_per_day(runs).select("day", F.col("status").alias("latest_status"))
@@ -141,18 +175,32 @@ def exportable_versions(versions: DataFrame) -> DataFrame:
     return latest_versions(versions.where("generation_status = 'success' and trim(markdown_text) <> ''")).drop("next_version")
 
 
+def export_versions(versions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(exports, rejected). requests: (report_id, version_number): the named version of a report, or its latest one if
+    none is named, is exported if it was generated and is not blank; else the request is rejected with a reason."""
+    latest = versions.groupBy("report_id").agg(F.max("version_number").alias("_latest"))
+    asked = requests.withColumnRenamed("version_number", "_asked").join(latest, "report_id", "left")
+    asked = asked.withColumn("version_number", F.coalesce("_asked", "_latest")).drop("_latest")
+    rows = asked.join(versions.select("report_id", "version_number", "generation_status", "markdown_text"), ["report_id", "version_number"], "left")
+    good = F.coalesce(F.col("generation_status") == "success", F.lit(False))
+    reason = F.when(~good, "no version to export").when(F.trim("markdown_text") == "", "the text is blank")
+    judged = rows.withColumn("reason", reason)
+    return judged.where("reason is null").select("report_id", "version_number", "markdown_text", F.lit("exported").alias("status")), judged.where("reason is not null").select("report_id", F.col("_asked").alias("version_number"), "reason")
+
+
 def priority_rank(c: Column) -> Column:
     return F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
 
 
-def rank_watch_items(items: DataFrame, sort: str = "next_review") -> DataFrame:
-    """Follow-ups first, dated before undated, then date, priority and latest update; or by priority; or by update."""
+def rank_watch_items(items: DataFrame, sort: str = "next_review", *ties: Column) -> DataFrame:
+    """Follow-ups first, dated before undated, then date, priority and latest update; or by priority; or by update. ties
+    order what is equal so far."""
     rank, latest, date = priority_rank(F.col("priority")), F.desc("updated_at"), F.col("next_review_date")
     if sort == "priority":
-        return items.orderBy(rank, date, latest)
+        return items.orderBy(rank, date, latest, *ties)
     if sort == "updated_at":
-        return items.orderBy(latest)
-    return items.orderBy(F.when(F.col("status") == "follow_up", 0).otherwise(1), F.when(date.isNull(), 1).otherwise(0), date, rank, latest)
+        return items.orderBy(latest, *ties)
+    return items.orderBy(F.when(F.col("status") == "follow_up", 0).otherwise(1), F.when(date.isNull(), 1).otherwise(0), date, rank, latest, *ties)
 
 
 def watch_due(items: DataFrame, today: dt.date) -> DataFrame:
@@ -174,6 +222,21 @@ def latest_success(manifests: DataFrame) -> DataFrame:
     return manifests.where("status = 'success'").withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def pointed_success(manifests: DataFrame, pointers: DataFrame) -> DataFrame:
+    """latest_success(), but the run that a date's pointer (target_date, run_id) names goes first if it succeeded."""
+    good = manifests.where("status = 'success'")
+    named = good.join(pointers.select("target_date", "run_id"), ["target_date", "run_id"], "left_semi")
+    others = latest_success(manifests).join(named.select("target_date"), "target_date", "left_anti")
+    return named.dropDuplicates(["target_date"]).unionByName(others)
+
+
+def manifest_notes(manifests: DataFrame) -> DataFrame:
+    """manifests with counts (a map of text) as whole numbers, others left out, and warnings trimmed, not blank, once each."""
+    numbers = F.map_filter(F.transform_values("counts", lambda k, v: v.try_cast("bigint")), lambda k, v: v.isNotNull())
+    told = F.array_distinct(F.filter(F.transform("warnings", lambda x: F.trim(x)), lambda x: x != ""))
+    return manifests.withColumn("counts", F.coalesce(numbers, F.create_map().cast("map<string,bigint>"))).withColumn("warnings", F.coalesce(told, F.array().cast("array<string>")))
+
+
 def automation_status(dates: DataFrame, manifests: DataFrame, running: DataFrame) -> DataFrame:
     """(target_date, status, run_id): running before the newest manifest's status before missing; a manifest
     without a known status is corrupt. running: target dates of active runs."""
@@ -199,14 +262,31 @@ def rank_inbox(contents: DataFrame, least: int | None = None, limit: int = 50, o
     return page.crossJoin(F.broadcast(total))  # one row
 
 
-def weekly_funnel(contents: DataFrame, candidate: Column, relevance: Column) -> DataFrame:
-    """How the week's items fall: total, not articles or no candidates (skipped), candidates, classified, high and none."""
+def of_week(contents: DataFrame, monday: dt.date, limit: int | None = None) -> DataFrame:
+    """contents crawled in the week from monday; the newest ones if a limit (held between 1 and 1000) is given."""
+    start, end = (F.lit(str(dt.datetime.combine(d, dt.time()))).cast("timestamp_ntz") for d in (monday, monday + dt.timedelta(days=7)))
+    rows = contents.where((F.col("crawl_time") >= start) & (F.col("crawl_time") < end))
+    return rows if limit is None else rows.orderBy(F.desc("crawl_time"), F.desc("content_id")).limit(max(1, min(1000, limit)))
+
+
+def entity_names(entities: DataFrame, kinds: tuple[str, ...], key: str, order: list[Column]) -> DataFrame:
+    """(key, names): distinct names of the given kinds in the order of their first mention."""
+    rows = entities.where(F.col("entity_type").isin(*kinds)).select(key, F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), F.col("name")).alias("m"))
+    return rows.groupBy(key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_set("m")), lambda m: m["name"])).alias("names"))
+
+
+def weekly_funnel(contents: DataFrame, candidate: Column, relevance: Column, failed: Column | None = None) -> DataFrame:
+    """How the week's items fall: total, those with model metadata, not articles or no candidates (skipped), candidates,
+    classified, high, none, and failed: candidates whose classification failed."""
     from newsdesk.operators.filters import ARTICLE_CATEGORIES
 
     article = F.col("source_category").isin(*ARTICLE_CATEGORIES)
-    rows = contents.select(article.alias("a"), (article & candidate).alias("c"), relevance.alias("r"))
+    done = F.coalesce(F.col("llm_status") == "success", F.lit(False)) if "llm_status" in contents.columns else F.lit(False)
+    rows = contents.select(article.alias("a"), (article & candidate).alias("c"), relevance.alias("r"), done.alias("m"), (F.lit(False) if failed is None else failed).alias("f"))
     return rows.agg(
         F.count(F.lit(1)).alias("total"),
+        F.count_if("m").alias("metadata_processed"),
+        F.count_if(F.col("c") & F.col("f")).alias("failed"),
         F.count_if(~F.col("c")).alias("skipped"),
         F.count_if("c").alias("candidates"),
         F.count_if(F.col("c") & F.col("r").isNotNull()).alias("classified"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.functions.text import collapse, summary_chars
-from newsdesk.operators.joins import attach_tags
+from newsdesk.operators.joins import attach_definitions, attach_tags
 
 #: Kinds of entities.
 ENTITY_TYPES = ("company", "investor", "person", "organization", "product", "model")
@@ -62,6 +62,27 @@ def apply_content_edits(contents: DataFrame, commands: DataFrame, at: dt.datetim
     return rows.select(*contents.columns)
 
 
+def manual_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
+    """tags with those that a person set (content_id, tag_key, tag_value): certain, and marked as manual."""
+    return attach_tags(tags, new.withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("manual")))
+
+
+def edit_definitions(definitions: DataFrame, new: DataFrame, toggles: DataFrame) -> DataFrame:
+    """definitions (tag_id, tag_key, tag_value, enabled) after new ones (key and value are required) and toggles (tag_key,
+    tag_value, enabled), one of a definition."""
+    wanted = new.where((F.trim("tag_key") != "") & (F.trim("tag_value") != ""))
+    every = attach_definitions(definitions, wanted)
+    switched = toggles.select("tag_key", "tag_value", F.col("enabled").alias("_enabled")).dropDuplicates(["tag_key", "tag_value"])
+    rows = every.join(switched, ["tag_key", "tag_value"], "left").withColumn("enabled", F.coalesce("_enabled", "enabled"))
+    return rows.select(*definitions.columns)
+
+
+def apply_aliases(aliases: DataFrame, commands: DataFrame) -> DataFrame:
+    """aliases (entity_id, alias) with the new ones that are not blank, once each."""
+    fresh = commands.select("entity_id", collapse(F.col("alias")).alias("alias")).where("alias <> ''").distinct()
+    return aliases.unionByName(fresh.join(aliases, ["entity_id", "alias"], "left_anti"), allowMissingColumns=True)
+
+
 def apply_taxonomy_edits(entities: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, rejected): renames and changes of type (entity_id, canonical_name, entity_type, both optional). A
     change that would give two entities one type and name is rejected."""

@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.functions import finance, text, times, urls
 from newsdesk.operators import cluster, filters, rollups, scoring
-from newsdesk.plans.frames import frame, oracle
+from newsdesk.plans.registry import ORACLES, QUERIES, query
 
-FLAGSHIP = "rp01_daily_report"
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP, LATEST = "rp01_daily_report", "rp01_latest_report"
 #: The days that the date-bound queries report on.
 DAY, WEEK_DAY = dt.date(2024, 1, 10), dt.date(2024, 1, 11)
 
 
-def query(name: str, frames: str, sql: str | None = None) -> Callable:
-    """Register a function of (spark, *frames), with DuckDB SQL over the same frames."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(spark, *(frame(spark, sf_dir, n) for n in frames.split()))
-        if sql is not None:
-            ORACLES[name] = oracle(frames, sql)
-        return f
-
-    return add
-
-
 # --- functions -------------------------------------------------------------------------------------------
 
 CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00A0}}]+', ' ', 'g'))"
@@ -394,6 +378,40 @@ def _(spark, d1):
     return daily_report_items(d1, DAY).select("content_id", "category", "theme", "published_at", "time_quality", "place")
 
 
+_LAST = "(select max(cast(crawl_time as date)) from d1)"
+_OF_LAST = (
+    _REPORT_WINDOW.replace("timestamp '2024-01-09 10:00:00'", f"(cast({_LAST} as timestamp) - interval 14 hour)")
+    .replace("timestamp '2024-01-10 10:00:00'", f"(cast({_LAST} as timestamp) + interval 10 hour)")
+    .replace("timestamp '2024-01-09'", f"(cast({_LAST} as timestamp) - interval 1 day)")
+    .replace("between date '2024-01-09' and date '2024-01-10'", f"between {_LAST} - 1 and {_LAST}")
+)
+
+
+@query(LATEST, "d1", f"select content_id, category, {_THEME} as theme, ts as published_at, time_quality, cast(row_number() over (partition by category, theme order by ts, title, content_id) as int) as place from (select *, {_CATEGORY} as category from (select *, {_TEXT} as t from {_OF_LAST}))")
+def _(spark, d1):
+    from newsdesk.operators.reports import daily_report_items
+
+    last = d1.agg(F.max(F.to_date("crawl_time"))).first()[0]
+    return daily_report_items(d1, last or DAY).select("content_id", "category", "theme", "published_at", "time_quality", "place")
+
+
+@query(
+    "rp01_full_report",
+    "d1 d11 d12",
+    f"""select * from (with w as (select * from {_REPORT_WINDOW}),
+      e as (select * from d11 where announced_date between date '2024-01-09' and date '2024-01-10' and review_status <> 'excluded' and event_id in (select event_id from d12 join w using (content_id))),
+      r as (select *, {_CATEGORY} as category from (select *, {_TEXT} as t from w where content_id not in (select content_id from d12 join e using (event_id)))),
+      i as (select category, {_THEME} as theme, content_id as id, ts, title from r union all select 'funding', '融资事件', event_id, cast(announced_date as timestamp), event_title from e)
+      select category, theme, string_agg(cast(id as varchar), ',' order by ts, title, id) as ids, (select count(*) from i) as included_items, (select count(*) from w) as raw_items from i group by category, theme)""",
+)
+def _(spark, d1, d11, d12):
+    from newsdesk.operators.reports import daily_report
+
+    r = daily_report(d1, DAY, d11, d12).select("stats", F.explode("sections").alias("s")).select("stats", "s.key", F.explode("s.groups").alias("g"))
+    ids = F.array_join(F.transform("g.items.id", lambda x: x.cast("string")), ",").alias("ids")
+    return r.select(F.col("key").alias("category"), F.col("g.title").alias("theme"), ids, "stats.included_items", "stats.raw_items")
+
+
 @query("ag14_report_counts", "d1", f"select category, count(*) as items, count(distinct source_id) as sources from (select *, {_CATEGORY} as category from (select *, {_TEXT} as t from {_REPORT_WINDOW})) group by category")
 def _(spark, d1):
     from newsdesk.operators.reports import daily_report_items, report_counts
@@ -619,6 +637,27 @@ def _(spark, d3, d1, d4):
     return backfill_plan(rollups.missing_dates(rollups.week_status(spark, d3, d1, WEEK_DAY)), d4)
 
 
+_LATE_DAY = dt.date(2024, 2, 2)
+_LATE_WEEK = _WEEK.replace("timestamp '2024-01-08', timestamp '2024-01-11'", "timestamp '2024-01-29', timestamp '2024-02-02'")
+
+
+@query("wn02_late_week", "d3 d1", f"select * from ({_LATE_WEEK})")
+def _(spark, d3, d1):
+    return rollups.week_status(spark, d3, d1, _LATE_DAY)
+
+
+@query("set03_days_without_runs", "d3 d1", f"select day from ({_LATE_WEEK}) where not completed")
+def _(spark, d3, d1):
+    return rollups.missing_dates(rollups.week_status(spark, d3, d1, _LATE_DAY))
+
+
+@query("rp09_late_backfill", "d3 d1 d4", f"select day, source_id, cast(day as timestamp) + interval 12 hour as run_at from ({_LATE_WEEK}) w, d4 where enabled and not completed")
+def _(spark, d3, d1, d4):
+    from newsdesk.operators.reports import backfill_plan
+
+    return backfill_plan(rollups.missing_dates(rollups.week_status(spark, d3, d1, _LATE_DAY)), d4)
+
+
 @query(
     "dq01_report_check",
     "d1",
@@ -629,3 +668,8 @@ def _(spark, d1):
 
     items = d1.select(F.lit(DAY).alias("report_date"), F.lit("technology").alias("section"), "content_id", F.lit(None).cast("long").alias("event_id"), "title", "summary", F.col("source_name").alias("source"), "url")
     return validate_report(items).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+from newsdesk.plans import jobs  # noqa: E402, F401  registers its queries after those above
+
+__all__ = ["DAY", "FLAGSHIP", "LATEST", "ORACLES", "QUERIES", "WEEK_DAY"]

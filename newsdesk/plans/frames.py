@@ -19,7 +19,7 @@ select doc_id as content_id, source as source_name, doc_id % 34 + 1 as source_id
        when doc_id % 11 = 7 then 'tech_business_media' when doc_id % 11 = 8 then 'github'
        when doc_id % 11 = 9 then 'product_hunt' else 'hacker_news' end as source_category,
   substr(text,1,80) as title, concat('https://news.example.com/', cast(doc_id as $text)) as url,
-  case when doc_id % 13 = 0 then null else substr(text,1,300) end as summary, lang as language,
+  case when doc_id % 13 = 0 then null else text end as summary, lang as language,
   case when doc_id % 7 = 0 then null
        when doc_id % 7 = 1 then cast(date_trunc('day', $T{doc_id*37}) as $ntz) else $T{doc_id*37} end as publish_time,
   case when doc_id % 7 = 0 then 'missing' when doc_id % 7 = 1 then 'date_only'
@@ -73,9 +73,37 @@ select content_id as report_version_id, content_id % 6007 as report_id, 1 + cont
   case when content_id % 7 = 0 then 'failed' else 'success' end as generation_status,
   case when content_id % 11 = 0 then '' else title end as markdown_text
 from d2""",
+    "d9": """
+select content_id, 'content_type' as tag_key, case when content_id % 5 = 0 then 'financing' else 'other' end as tag_value from d1
+union all select content_id, 'ai_financing_relevance', case when content_id % 7 = 0 then 'high' else 'none' end from d1
+union all select content_id, 'sector', case content_id % 4 when 0 then 'LLM' when 2 then 'Robotics' else 'AI Agents' end from d1 where content_id % 3 = 0""",
+    "d10": """
+select content_id, case content_id % 3 when 0 then 'company' when 1 then 'investor' else 'person' end as entity_type, concat('Name', cast(content_id % 50 as $text)) as name from d1
+union all select content_id, 'investor', concat('Fund', cast(content_id % 20 as $text)) from d1 where content_id % 4 = 0""",
+    "d11": """
+select c_custkey as event_id, concat('星辰', lpad(cast(c_custkey % 400 as $text),4,'0'), '完成融资') as event_title,
+  concat('星辰', lpad(cast(c_custkey % 400 as $text),4,'0')) as company_name, concat('星辰', lpad(cast(c_custkey % 400 as $text),4,'0')) as company_name_normalized,
+  cast($T{c_custkey*31} as date) as announced_date,
+  case cast(c_custkey % 4 as int) when 0 then '天使轮' when 1 then 'A轮' when 2 then 'B轮' else 'C轮' end as financing_round,
+  concat(cast(100 * (1 + c_custkey % 7) as $text), '万元') as amount_original,
+  case cast(c_custkey % 5 as int) when 0 then 'confirmed' when 1 then 'excluded' else 'pending' end as review_status,
+  c_custkey % 11 = 0 as locked_by_user, cast(c_custkey % 50 as double) / 50 as confidence, $T{c_custkey*13} as updated_at, c_mktsegment as event_summary
+from customer""",
+    "d12": """
+select o_orderkey as event_content_id, o_custkey as event_id, o_orderkey as content_id, o_orderkey % 3 = 0 as is_primary_source,
+  cast(70 + o_orderkey % 30 as double) as match_score, 'automatic' as association_source
+from orders""",
 }
 
 
+def needs(name: str) -> list[str]:
+    """The frames that a frame is made from, itself last."""
+    out: list[str] = []
+    for other in sorted(set(re.findall(r"\bd\d+\b", FRAMES[name]))):
+        out += [n for n in needs(other) if n not in out]
+    return [*out, name]
+
+
 def render(sql: str, spark: bool) -> str:
     minutes = "(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0,0,cast((\\1) % 43200 as int),0))" if spark else "(timestamp '2024-01-01 00:00:00' + to_minutes(cast((\\1) % 43200 as int)))"
     sql = re.sub(r"\$T\{([^}]*)\}", minutes, sql)
@@ -84,18 +112,16 @@ def render(sql: str, spark: bool) -> str:
 
 def oracle(frames: str, sql: str) -> str:
     """DuckDB SQL with the frames (and those that they need) in front."""
-    names = frames.split()
-    if {"d5", "d7", "d8"} & set(names) and "d2" not in names:
-        names.insert(0, "d2")
-    return "with " + ",\n".join(f"{n} as ({render(FRAMES[n], False)})" for n in sorted(names)) + "\n" + render(sql, False)
+    names: list[str] = []
+    for name in frames.split():
+        names += [n for n in needs(name) if n not in names]
+    return "with " + ",\n".join(f"{n} as ({render(FRAMES[n], False)})" for n in names) + "\n" + render(sql, False)
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived frame over the driver's tables."""
-    need = [t for t in TABLES if re.search(rf"\b{t}\b", FRAMES[name])]
-    args = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in need}
-    if re.search(r"\bd2\b", FRAMES[name]):
-        args["d2"] = frame(spark, sf_dir, "d2")
+    args = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", FRAMES[name])}
+    args |= {n: frame(spark, sf_dir, n) for n in needs(name)[:-1] if re.search(rf"\b{n}\b", FRAMES[name])}
     sql = FRAMES[name]
     for t in args:
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)

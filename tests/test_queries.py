@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from newsdesk.plans.catalog import FLAGSHIP, ORACLES, QUERIES
+from newsdesk.plans.catalog import LATEST, ORACLES, QUERIES
 from tests.compare import connect, same_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,7 +25,8 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).columns == QUERIES[FLAGSHIP](spark, FOLDER).columns
+    assert __spark_entry__.entry(spark).columns == QUERIES[LATEST](spark, FOLDER).columns
+    assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
