@@ -1,17 +1,18 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-Each occurrence of a common word is an anchor; with the next two content words behind it (common words are
-passed over) it forms a signature. Texts with few anchors also get the chains of neighbouring words, texts
-without words the hash of the whole text, so every text that is not empty has a fingerprint. A fingerprint
-is the size of the signature set and its SKETCH smallest hashes: up to SKETCH signatures it is the set
-itself, beyond that a sample that all texts draw alike. Likeness is the Jaccard share of two fingerprints; it
-is pruned by set size, since it can't exceed smaller / larger.
+Each occurrence of a common word is an anchor, and so is each word with no common word among the GAP words before it,
+so that texts without common words have anchors too and an edit changes only what is near. An anchor with the next
+two content words behind it (common words are passed over; at the end of a text there may be fewer) forms a signature.
+Texts without words have the hash of the whole text, so every text that is not empty has a fingerprint. A
+fingerprint is the size of the signature set and its SKETCH smallest hashes. Likeness is the Jaccard share of the
+whole signature sets; it can't exceed smaller / larger, so sets of very unlike sizes need no merge below a threshold.
 
 near_duplicates() compares whole signature sets: documents are parted by set length, meet through the
 signatures of a prefix that a pair above the threshold must share, and links are confirmed on the full sets.
 
 Cases: null texts are empty; empty texts have the fingerprint "0:" and likeness 1 to each other, 0 to others;
-documents with the same id stand in the order of their texts; a single document is its own next one.
+documents with the same id stand in the order of their texts, those without an id come last; a single document is its
+own next one; repeated rows are repeated; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import PLAIN_WORD, Words, chains, list_array, mix, owners, segment_unique, slices, text_buffer, tidy
+from newsdesk.llm.arrays import PLAIN_WORD, Words, list_array, mix, owners, segment_unique, slices, text_buffer, tidy
 from newsdesk.llm.linking import link
 from newsdesk.llm.main_text import STOP_WORDS
 from newsdesk.llm.tables import stored
 
 CHAIN = 2
-#: Texts with fewer anchored signatures also get the chains of all neighbouring words.
-FEW = 8
+#: A word is an anchor of its own if no common word stands among so many before it.
+GAP = 8
+#: Hashes in a written fingerprint.
 SKETCH = 256
 #: Documents of a range of ids that one task orders, and ranges at most.
 RANGE_DOCS, RANGES = 3_000, 8_192
@@ -52,26 +54,22 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffer(column)
     words = Words(data, offsets, PLAIN_WORD)
     h, of, n = words.hashes(data), owners(words.first), len(offsets) - 1
-    anchor = ANCHORS[np.minimum(np.searchsorted(ANCHORS, h), len(ANCHORS) - 1)] == h
-    spots, content = np.flatnonzero(anchor), np.flatnonzero(~anchor)
-    k = np.searchsorted(content, spots)
-    fits = k + CHAIN <= len(content)
-    spots, k = spots[fits], k[fits]
-    fits = of[content[k + CHAIN - 1]] == of[spots] if len(spots) else np.zeros(0, bool)
-    spots, k = spots[fits], k[fits]
+    common = ANCHORS[np.minimum(np.searchsorted(ANCHORS, h), len(ANCHORS) - 1)] == h
+    place = np.arange(len(h))
+    start = words.first[:-1][of]
+    # the last common word before each word, in its own text
+    last = np.maximum.accumulate(np.concatenate(([-1], np.where(common, place, -1))))[:-1]
+    spots = np.flatnonzero(common | (last < np.maximum(start, place - GAP)))
+    content = np.flatnonzero(~common)
+    k = np.searchsorted(content, spots, "right")
     sig = h[spots]
     for c in range(CHAIN):
-        sig = mix(sig + np.uint64(c + 1)) ^ h[content[k + c]]
+        at = k + c
+        word = content[np.minimum(at, len(content) - 1)] if len(content) else np.zeros(len(at), np.int64)
+        held = (at < len(content)) & (of[word] == of[spots]) if len(h) else np.zeros(0, bool)
+        sig = mix(sig + np.uint64(c + 1)) ^ np.where(held, h[word], np.uint64(0)) if len(h) else sig
     values, rows = [mix(sig)], [of[spots]]
-    few = np.bincount(of[spots], minlength=n) < FEW
-    pair = chains(h, 2)
-    inside = few[of[: len(pair)]] & (of[: len(pair)] == of[1:]) if len(pair) else np.zeros(0, bool)
-    values.append(pair[inside])
-    rows.append(of[: len(pair)][inside])
     counts, sizes = np.diff(words.first), np.diff(offsets)
-    single = np.flatnonzero((counts == 1) & few)
-    values.append(mix(h[words.first[single]] + np.uint64(77)))
-    rows.append(single)
     bare = np.flatnonzero((counts == 0) & (sizes > 0))
     raw = data.tobytes()
     values.append(np.array([int.from_bytes(hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=8).digest(), "little") for i in bare], np.uint64))
@@ -81,30 +79,24 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return segment_unique(every[order], np.searchsorted(row[order], np.arange(n + 1)))
 
 
-def fingerprints(column: pa.Array) -> list[tuple[int, np.ndarray]]:
-    """(set size, smallest hashes as sorted 32-bit numbers) of each text."""
+def signature_sets(column: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct signature hashes of each text."""
     values, first = signatures(column)
-    top = (values >> np.uint64(32)).astype(np.uint32)
-    return [(b - a, np.unique(top[a : min(b, a + SKETCH)])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return [values[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def written(fingerprint: tuple[int, np.ndarray]) -> str:
-    size, kept = fingerprint
-    return f"{size}:{kept.astype('>u4').tobytes().hex()}"
+def written(items: np.ndarray) -> str:
+    """The size of a signature set and its smallest hashes, as 32-bit numbers."""
+    kept = np.unique((items[:SKETCH] >> np.uint64(32)).astype(np.uint32))
+    return f"{len(items)}:{kept.astype('>u4').tobytes().hex()}"
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """Jaccard share of two fingerprints, never above what their sizes allow."""
-    if a[0] == b[0] and len(a[1]) == len(b[1]) and (a[1] == b[1]).all():
-        return 1.0
-    if not a[0] or not b[0]:
-        return 0.0
-    union = np.union1d(a[1], b[1])
-    if a[0] > SKETCH or b[0] > SKETCH:
-        union = union[:SKETCH]
-    both = np.intersect1d(a[1], b[1], assume_unique=True)
-    share = np.count_nonzero(both <= union[-1]) / len(union)
-    return min(share, min(a[0], b[0]) / max(a[0], b[0]))
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard share of two signature sets."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,10 +141,10 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def rows(part: pa.RecordBatch, after: pa.RecordBatch | None) -> pa.RecordBatch | None:
         texts = part.column("text").to_pylist()
-        prints = fingerprints(part.column("text"))
+        prints = signature_sets(part.column("text"))
         if after is not None:
             texts.append(after.column("text")[0].as_py())
-            prints += fingerprints(after.column("text").slice(0, 1))
+            prints += signature_sets(after.column("text").slice(0, 1))
         own = [i for i, halo in enumerate(part.column("halo").to_pylist()) if not halo]
         if not own:
             return None
@@ -160,7 +152,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
         for i in own:
             half = len(texts[i]) // 2
             edited.append(texts[i][: len(texts[i]) - half] + texts[i + 1][:half])
-        new = fingerprints(pa.array(edited, pa.string()))
+        new = signature_sets(pa.array(edited, pa.string()))
         ids = part.column("doc_id").to_pylist()
         columns = [
             [ids[i] if ids[i] != -(1 << 63) else None for i in own],
