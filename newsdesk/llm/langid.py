@@ -1,11 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of 1- to 3-grams by language are made from at most `max_rows` labelled documents (chosen by a hash of
-the id, whole texts), summed by Spark, and turned into a matrix of log-probabilities with one row per bucket and
-one column per language. The matrix is broadcast, and each batch is scored with gathers and segment sums.
+Counts of 1- to 3-grams by language are made from about `max_rows` labelled documents (chosen by a hash of
+the id, whole texts; a language that has more than its equal share gives that share, a smaller one all its
+rows), summed by Spark, and turned into a column of log-probabilities for each language. The matrix is broadcast, and each
+batch is scored with gathers and segment sums. Priors are the shares of all labelled rows.
+
+The matrix has a column for each of the `max_langs` most frequent languages (512 by default, 134 MB); a corpus with more
+needs a larger bound.
 
 Cases: null texts and texts without a letter are `und` with score 0; without any labelled row everything is
-`und`; ties go to the language that sorts first; rows without lang are not learnt from.
+`und`; ties go to the language that sorts first; rows without lang or text are not learnt from; repeated rows count
+as often as they occur and are each predicted, whatever their doc_id; an empty table gives no rows; other columns are
+kept but for lang_pred and score.
 """
 
 from __future__ import annotations
@@ -18,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import slices, text_buffer, tidy
-from newsdesk.llm.tables import hash_share, held_out, spare
+from newsdesk.llm.tables import held_out, spare
 
 BITS = 16
 MAX_ROWS = 12_000
-#: Bound of the matrix: languages that a model can have.
+#: Bound of the matrix: languages that a model has.
 MAX_LANGS = 512
 
 
@@ -54,12 +60,15 @@ def grams(points: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield mixed >> np.uint32(32 - BITS), at - k >= start
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and log-probabilities [bucket, language], with the log-priors in a last row."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    n = known.count()
-    if not n:
+    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    rows = {r["lang"]: r["n"] for r in frequent}
+    if not rows:
         return [], np.zeros((1, 0), np.float32)
+    share = F.create_map(*(F.lit(x) for lang, n in rows.items() for x in (lang, max_rows / len(rows) / n)))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -72,23 +81,26 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarra
                     for lang in set(langs):
                         counts = sums.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))
                         counts[:-1] += np.bincount(bucket[inside & (langs == lang)[own]], minlength=1 << BITS)
-                for lang in langs:
-                    sums[lang][-1] += 1
         for lang, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
-    counted = known.where(hash_share(F.col("doc_id"), max_rows / n)).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # languages * 2 ** BITS rows at most
-    langs = sorted(set(table.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGS}")
-    counts = np.zeros(((1 << BITS) + 1, len(langs)))
-    code = {x: k for k, x in enumerate(langs)}
-    counts[table.column("bucket").to_numpy(), [code[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    smooth = counts[:-1] + 0.5
-    logs = np.log(smooth / smooth.sum(0))
-    return langs, np.vstack([logs, np.log(counts[-1:] / counts[-1].sum())]).astype(np.float32)
+    counted = sample.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+    def column(table: pa.Table) -> pa.Table:
+        counts = np.zeros((1 << BITS) + 1)
+        counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+        smooth = counts[:-1] + 0.5
+        logs = np.log(smooth / smooth.sum()).astype(np.float32)
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "logs": pa.array([logs.tobytes()], pa.binary())})
+
+    # a row of 2 ** BITS numbers for each language
+    made = dict(counted.groupBy("lang").applyInArrow(column, "lang string, logs binary").collect())
+    langs = sorted(made)
+    if not langs:
+        return [], np.zeros((1, 0), np.float32)
+    prior = np.log(np.array([rows[x] for x in langs]) / sum(rows[x] for x in langs)).astype(np.float32)
+    return langs, np.vstack([np.stack([np.frombuffer(made[x], np.float32) for x in langs], 1), prior])
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -109,12 +121,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 points, places = code_points(part.column("text"))
                 total = np.tile(logs[:, -1].astype(np.float64)[:, None], part.num_rows)
                 found = list(grams(points, places))
+                some = np.flatnonzero(np.diff(places))
                 for k, column in enumerate(logs):
-                    each = np.zeros(len(points) + 1)
-                    for bucket, inside in found:
-                        each[1:] += column[bucket] * inside
-                    sums = np.cumsum(each)
-                    total[k] += sums[places[1:]] - sums[places[:-1]]
+                    each = sum(column[bucket] * inside for bucket, inside in found)
+                    if len(some):
+                        # each text is summed by itself, so its score does not depend on what is beside it
+                        total[k, some] += np.add.reduceat(each.astype(np.float64), places[some])
                 best = total.argmax(0)
                 share = 1 / np.exp(total - total.max(0)).sum(0)
                 letters = part.column(letters_col).to_numpy(zero_copy_only=False)
