@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,7 @@ BOILER_NAMES = re.compile(
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<(?=[/A-Za-z])[^>]*\Z""", re.S)
+LINK_OPEN, LINK_CLOSE = re.compile(r"<a[\s>]", re.I), re.compile(r"</a[\s>]", re.I)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))""", re.I)
 
 MAX_LINK_DENSITY, SHORT_CHARS, LONG_CHARS, STOPS_LOW, STOPS_HIGH = 0.4, 70, 200, 0.12, 0.25
@@ -79,7 +81,6 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     article = articles = 0
 
     def close() -> None:
-        nonlocal in_link
         if parts:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
@@ -89,6 +90,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             parts.clear()
             linked.clear()
 
+    # a link that is closed before the next one opens holds the blocks inside it; one that is left open ends with its block
+    opens, closes = ([m.start() for m in pattern.finditer(page)] for pattern in (LINK_OPEN, LINK_CLOSE))
+    held = False
     at = 0
     while True:
         m = TAG.search(page, at)
@@ -111,6 +115,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         if tag == "a":
             in_link = not closing
+            if in_link:
+                k, j = bisect_left(closes, at), bisect_left(opens, at)
+                held = k < len(closes) and (j == len(opens) or closes[k] < opens[j])
             continue
         if tag == "br":
             parts.append(" ")
@@ -125,7 +132,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
                 _, bad, article = stack.pop()
             continue
         close()
-        in_link = False
+        in_link = in_link and held
         if tag not in CONTAINERS and not (tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") and attributes):
             continue
         if closing:
