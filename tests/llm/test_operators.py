@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from newsdesk.llm import decontaminate, langid, linking, main_text, minhash, packing, pii, repeats, spotsigs, toxicity, warc
 
@@ -168,20 +169,79 @@ def test_spotsigs_neighbours(docs, texts, monkeypatch):
 
 
 def test_spotsigs_likeness_and_links(spark, docs, texts):
-    prints = spotsigs.fingerprints(pa.array([t or "" for t in texts]))
+    prints = spotsigs.signature_sets(pa.array([t or "" for t in texts]))
     values, first = spotsigs.signatures(pa.array([t or "" for t in texts]))
     sets = [set(values[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
     for i in range(0, len(sets), 3):
         for j in range(0, len(sets), 5):
-            if len(sets[i]) <= spotsigs.SKETCH and len(sets[j]) <= spotsigs.SKETCH:
-                union = sets[i] | sets[j]
-                assert spotsigs.likeness(prints[i], prints[j]) == pytest.approx(len(sets[i] & sets[j]) / len(union) if union else 1.0)
+            union = sets[i] | sets[j]
+            assert spotsigs.likeness(prints[i], prints[j]) == pytest.approx(len(sets[i] & sets[j]) / len(union) if union else 1.0)
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = components(len(sets), linked)
     got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs).collect()}
     assert got == {i: want[i] for i in range(len(sets)) if sets[i]}
 
 
+def plain_signatures(text):
+    """SpotSigs by the definition: (anchor, next content words) of each anchor."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    common = [w in main_text.STOP_WORDS for w in words]
+    out = set()
+    for i, w in enumerate(words):
+        if common[i] or not any(common[max(0, i - spotsigs.GAP) : i]):
+            out.add((w, *[v for v, c in zip(words[i + 1 :], common[i + 1 :]) if not c][: spotsigs.CHAIN]))
+    return out or ({text} if text else set())
+
+
+def test_spotsigs_sets_by_definition(texts):
+    every = [*texts, "one", "the", "The RIVER of stone", "a b c d e f g h i j k l", "of the and", "word " * 30, "", "!?"]
+    got = spotsigs.signature_sets(pa.array([t or "" for t in every]))
+    want = [plain_signatures(t) for t in every]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for i in range(0, len(every), 2):
+        for j in range(0, len(every), 7):
+            both, union = want[i] & want[j], want[i] | want[j]
+            assert spotsigs.likeness(got[i], got[j]) == pytest.approx(len(both) / len(union) if union else 1.0)
+
+
+def test_language_id_against_plain_naive_bayes(spark):
+    rng = random.Random(8)
+    own = {"en": "the of and river with".split(), "de": "der und nicht über schön".split(), "rare": "zzq qqz xqx".split()}
+    rows = [(i, " ".join(rng.choice(own[k]) for _ in range(rng.randrange(1, 30))), k) for i, k in enumerate(rng.choices(["en", "de"], [8, 3], k=150) + ["rare"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = langid.fit(d)
+    learnt = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5]
+    assert langs == sorted({k for _, k in learnt})
+    counts = {k: Counter() for k in langs}
+    for t, k in learnt:
+        points, places = langid.code_points(pa.array([t]))
+        for bucket, inside in langid.grams(points, places):
+            counts[k].update(bucket[inside].tolist())
+    got = {r.doc_id: r for r in langid.predict(d, (langs, matrix)).collect()}
+    for i, t, _ in rows[:40]:
+        points, places = langid.code_points(pa.array([t]))
+        logs = []
+        for k in langs:
+            total = sum(counts[k].values()) + 0.5 * (1 << langid.BITS)
+            p = np.log(sum(x == k for _, x in learnt) / len(learnt))
+            for bucket, inside in langid.grams(points, places):
+                p += sum(np.log((counts[k][b] + 0.5) / total) for b in bucket[inside].tolist())
+            logs.append(p)
+        share = np.exp(np.array(logs) - max(logs))
+        assert got[i].lang_pred == langs[int(np.argmax(logs))]
+        assert got[i].score == pytest.approx(float(share.max() / share.sum()), abs=1e-3)
+    assert langid.predict(d.limit(0), (langs, matrix)).count() == 0
+
+
+def test_main_text_without_an_article_element():
+    words = "the river of stone is in the light and the lamp was by the road with paper to be had from a table there"
+    page = f"<body><div><a href=x><div>Home</div><p>News</p></a></div><div><p>{words} {words}</p><p>short line</p></div><div><a href=1>one</a> <a href=2>two</a></div><p>tail bit"
+    # the short line follows the text beside it, the last one the links before it
+    assert main_text.main_text(page) == f"{words} {words}\n\nshort line"
+    # a link that is left open ends with its block
+    assert main_text.main_text(f"<main><p><a href=x>go</p><p>{words}</p></main>").endswith(words)
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     own = {"en": "the of and river with".split(), "de": "der und nicht über schön".split(), "fr": "le être où ça déjà".split()}
@@ -443,3 +503,141 @@ def test_personal_data_in_runs_and_beside_long_words(spark):
     at = len(far) + 6
     assert [(x.start, x.end, x.kind) for x in got[20].extra] == [(at, at + 13, "phone")]
     assert not got[21].extra and not got[22].extra
+
+
+def test_ids_equal_those_of_whole_texts():
+    rng = random.Random(4)
+    alphabet = ["a", "B", "é", "İ", "ß", "1", "٣", ".", ",", "!", "?", ";", ":", "'", "-", " ", "  ", "\n", "́", " ", "日", "本", "'s", "ǆ", "_", "@"]
+    path = packing.vocabulary_path()
+    words = packing.WordIds(path)
+    texts = ["İ.", "aİ! b", "x. y", "don't."] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 25))) for _ in range(6000)]
+    for t in texts:
+        parts = t.encode().split()
+        words.learn(set(parts))
+        got = np.frombuffer(b"".join(words[w] for w in parts), "<u4").tolist()
+        assert got == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_best_two_fit_bin_by_bin():
+    rng = random.Random(6)
+    for capacity, n in ((20, 60), (64, 200), (13, 40)):
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(n)] + [7] * 30
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        left, want = Counter(lengths), []
+        while left:
+            bin_, gap = [], capacity
+            while fit := max((x for x in left if x <= gap), default=0):
+                bin_.append(fit)
+                gap -= fit
+                left -= Counter([fit])
+            small = min(bin_)
+            if gap and len(bin_) > 1:
+                # the two unpacked ones that fill the widened gap best; of equal sums the pair with the smallest member
+                pairs = [(x + y, -min(x, y), x, y) for x in left for y in left if x + y <= gap + small and (x != y or left[x] > 1)]
+                if pairs and max(pairs)[0] > small:
+                    _, _, x, y = max(pairs)
+                    bin_.remove(small)
+                    bin_ += [x, y]
+                    left = left + Counter([small]) - Counter([x, y])
+            want.append(tuple(sorted(bin_)))
+        got = {}
+        for length, first, fold, begin, _ in packing.best_two_fit(counts, capacity):
+            total = sum(1 for r in packing.best_two_fit(counts, capacity) if r[0] == length and r[1] > first)
+            after = sorted(r[1] for r in packing.best_two_fit(counts, capacity) if r[0] == length and r[1] > first)
+            last = after[0] if total else int(counts[length])
+            for r in range(first, last):
+                got.setdefault(begin + (r - first) // fold, []).append(length)
+        assert Counter(tuple(sorted(x)) for x in got.values()) == Counter(want)
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = random.Random(12)
+    texts = [sentence(rng, rng.randrange(3, 40)) + (" awful nasty words" if i % 4 == 0 else "") for i in range(80)]
+    labels = np.array([float(i % 4 == 0) for i in range(80)])
+    buckets, weights, bias = toxicity.train_shard([pa.array(texts)], labels)
+    bucket, row, n = toxicity.features(pa.array(texts))
+    sets = [sorted({int(b) for b, r in zip(bucket, row) if r == i}) for i in range(n)]
+    seen = Counter(b for s in sets for b in s)
+    sets = [[b for b in s if seen[b] >= toxicity.MIN_DOCS] for s in sets]
+    z, q, b0, q0 = Counter(), Counter(), 0.0, 0.0
+    weight = lambda b: 0.0 if abs(z[b]) <= toxicity.L1 else (np.sign(z[b]) * toxicity.L1 - z[b]) / ((toxicity.BETA + q[b] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.PASSES):
+        for i in order.permutation(len(sets)):
+            w = {b: weight(b) for b in sets[i]}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()) + b0, -35, 35))) - labels[i]
+            g *= toxicity.TOXIC_WEIGHT if labels[i] else 1.0
+            if abs(g) < 1e-4:
+                continue
+            for b in sets[i]:
+                z[b] += g - ((q[b] + g * g) ** 0.5 - q[b] ** 0.5) / toxicity.ALPHA * w[b]
+                q[b] += g * g
+            q0 += g * g
+            b0 -= g * toxicity.ALPHA / (toxicity.BETA + q0**0.5)
+    want = {b: weight(b) for b in z if weight(b)}
+    assert dict(zip(buckets.tolist(), weights.tolist())) == pytest.approx(want) and bias == pytest.approx(b0)
+
+
+def luhn(value):
+    digits = [int(c) for c in value if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= sum(c.isdigit() for c in x) <= 19 and luhn(x)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= sum(c.isdigit() for c in x) <= 15),
+}
+
+
+def test_base_spans_against_plain_patterns(spark):
+    rng = random.Random(13)
+    pieces = ["a@b.c", "x.y%z@q-r.st.u", "@", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-1234", "+", "12", " ", ".", "-", "é", "5500000000000004", "+49 30 1234567 89", "word", "@b.c", "(", ")"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 14))) for _ in range(3000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    for r in pii.base_spans(d).join(d, "doc_id").collect():
+        for kind, (pattern, valid) in BASE.items():
+            want = [(m.start(), m.end()) for m in re.finditer(pattern, r.text or "") if valid(m.group())]
+            assert [(x.start, x.end) for x in r[kind]] == want, (kind, r.text)
+
+
+def test_long_and_large_rows(spark):
+    rng = random.Random(14)
+    long = sentence(rng, 400_000)
+    docs = spark.createDataFrame([(1, long), (2, long[: len(long) // 2]), (3, "short text here"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([("a", " ".join(long.split()[200_000:200_012]))], "item_id string, text string")
+    assert len(long) > 3 * (1 << 19)
+    assert minhash.near_duplicates(docs).count() == 4 and spotsigs.neighbour_fingerprints(docs).count() == 4
+    hits = {r.doc_id: r.n_hit for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    assert hits[1] >= 12 and hits[3] == 0
+    assert decontaminate.remove_spans(docs, bench).where("doc_id = 1").first().text.startswith(long[:1000])
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, with_text=False).collect()}
+    assert got[2] == len(long) // 2 and got[3] == 0
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 4 and pii.redact(docs).count() == 4
+    assert {r.length for r in packing.tokenize(docs).where("doc_id = 1").collect()} >= {2048}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {len(r.text) for r in main_text.extract(pages).collect()} >= {len(" ".join(long.split()))}
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.fit(none, labels) is None and toxicity.drop_toxic(docs, labels).count() == docs.count()
+    assert langid.fit(none)[0] == [] and spotsigs.near_duplicates(none).count() == 0
+    assert pii.all_spans(none).count() == 0 and pii.redact(none).count() == 0
+    assert repeats.remove_repeats(none).count() == 0 and packing.pack_documents(none).count() == 0
+    assert minhash.drop_near_duplicates(none).count() == 0 and main_text.extract(none.withColumn("html", F.col("text"))).count() == 0
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = [(i, f"the river number {i} and a{i}@b.cd", i) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int").withColumns({c: F.lit("x") for c in ("offset", "_part", "_rank", "_parts", "doc", "twin", "key", "_hits", "_key", "label", "n", "items", "kept", "component_id", "hits")})
+    assert repeats.remove_repeats(d).count() == 8 and spotsigs.neighbour_fingerprints(d).count() == 8
+    assert minhash.drop_near_duplicates(d).columns == d.columns and pii.redact(d).columns == d.columns
+    bench = spark.createDataFrame([("a", "the river number 3")], "item_id string, text string")
+    assert decontaminate.remove_spans(d, bench).columns == d.columns and decontaminate.benchmark_hits(d, bench).count() == 8
+    pieces = packing.tokenize(d).withColumns({c: F.lit("x") for c in ("_part", "_rank", "_parts", "offset")})
+    packed = packing.pack(pieces)
+    assert {"_part", "_rank", "_parts"} <= set(packed.columns) and packed.where("offset = 0").count() == 1
