@@ -23,15 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import slices, text_buffer, tidy
+from newsdesk.llm.arrays import LOWER_VALUES, SPACED_WORD, Rolling, Words, byte_class, slices, text_buffer, tidy
 from newsdesk.llm.tables import spare, stored
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks.
 PART_ROWS = 1_000_000
-#: Words longer than this are not kept in a worker's cache, and the cache starts anew when it holds so many.
-CACHED_WORD_BYTES, CACHED_WORDS = 48, 400_000
+#: Words longer than this are not kept in a worker's cache, and the cache starts anew when it would hold more.
+CACHED_WORD_CHARS, CACHED_WORDS = 48, 1_500_000
+#: Unknown words that are tokenised in one call.
+LEARNT_TOGETHER = 200
+#: Bytes of text that are looked up together.
+LOOKUP_BYTES = 4 << 20
+CLOSING_MARK, ASCII_LETTER = byte_class([(c, c) for c in b".,;:!?"]), byte_class([(0x41, 0x5A), (0x61, 0x7A)])
 
 
 def vocabulary_path() -> str:
@@ -41,48 +46,63 @@ def vocabulary_path() -> str:
 
 
 class WordIds(dict):
-    """Little-endian ids of a word. The vocabulary lower-cases, drops white space, and no token crosses white
-    space or the border of letters and punctuation. So a text's ids are those of its words in turn, a closing
-    mark is tokenised apart from a letter before it that stays one when it is lower-cased, and ASCII letters in either case have the same ids."""
+    """Little-endian ids of words by the 64-bit hashes of their lower-case forms. The vocabulary lower-cases, drops white
+    space, and no token crosses white space or the border of letters and punctuation, so a text's ids are those of its
+    words in turn, and a closing mark is tokenised apart from an ASCII letter before it."""
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
-    def learn(self, words: set[bytes]) -> None:
-        """Tokenise the unknown words of letters among words together, which costs less than one by one."""
-        if len(self) + len(words) > self.most:
+    def learn(self, keys: list[int], words: list[str]) -> list[bytes]:
+        """The ids of words that are not known yet: they are tokenised together, which costs less than one by one."""
+        out: list[bytes] = []
+        for at in range(0, len(words), LEARNT_TOGETHER):
+            part = words[at : at + LEARNT_TOGETHER]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = (4 * np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), begin)).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if len(self) + len(out) > self.most:
             self.clear()
-        new = set()
-        for word in words:
-            if word not in self:
-                core = word.rstrip(b".,;:!?")
-                core = core.lower() if core.isalpha() else core
-                if core and core not in self and len(core) <= CACHED_WORD_BYTES and core.decode().isalpha():
-                    new.add(core)
-        cores = list(new)
-        for at in range(0, len(cores), 2000):
-            part = cores[at : at + 2000]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
-            if len(of) and of[-1] + 1 == len(part):  # else the vocabulary parts one of them; they are done singly
-                cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-                self.update(zip(part, (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-
-    def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha() and not word.islower():
-            return self[word.lower()]
-        text = word.decode()
-        # a letter whose lower case ends with a mark of its own is tokenised with what follows
-        if len(text) > 1 and word[-1] in b".,;:!?" and text[-2].isalpha() and text[-2].lower().isalpha():
-            return self[word[:-1]] + self[word[-1:]]
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_WORD_BYTES:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.update((k, x) for k, w, x in zip(keys, words, out, strict=True) if len(w) <= CACHED_WORD_CHARS)
+        return out
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and the first one of each text, without end tokens."""
+        data, offsets = text_buffer(column)
+        words = Words(data, offsets, SPACED_WORD)
+        s, e = words.starts, words.ends
+        if not len(s):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        marked = CLOSING_MARK[data[e - 1]] & (e - s > 1) & ASCII_LETTER[data[np.maximum(e - 2, 0)]]
+        parts = 1 + marked
+        last = np.cumsum(parts) - 1
+        starts, ends = np.repeat(s, parts), np.repeat(e, parts)
+        ends[last[marked] - 1] -= 1
+        starts[last[marked]] = e[marked] - 1
+        first = np.concatenate(([0], last + 1))[words.first]
+        hashes = Rolling(LOWER_VALUES[data]).hashes(starts, ends)
+        order = np.argsort(hashes)
+        new_key = np.ones(len(order), bool)
+        new_key[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        at, of = order[new_key], np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new_key) - 1
+        known = hashes[at].tolist()
+        ids = list(map(self.get, known))
+        new = [k for k, x in enumerate(ids) if x is None]
+        if new:
+            raw, lo, hi = data.tobytes(), starts[at[new]].tolist(), ends[at[new]].tolist()
+            for k, x in zip(new, self.learn([known[k] for k in new], [raw[a:b].decode() for a, b in zip(lo, hi, strict=True)]), strict=True):
+                ids[k] = x
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes[of]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        place = np.repeat(begin[of] - total[:-1], counts) + np.arange(total[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[place], total[first]
 
 
 @lru_cache(maxsize=2)
@@ -104,16 +124,14 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
         words = word_ids(path, cached_words)
         end, step = np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for part in slices(batch, text_col):
-                data, offsets = text_buffer(part.column(text_col))
-                whole = data.tobytes()
+            for part in slices(batch, text_col, LOOKUP_BYTES):
+                ids, first = words.texts(part.column(text_col))
+                whole = ids.tobytes()
                 rows: list[tuple] = []
-                texts = [whole[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                words.learn(set().union(*texts))
-                for doc, text in zip(part.column(id_col).to_pylist(), texts, strict=True):
-                    ids = b"".join(map(words.__getitem__, text)) + end
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        piece = ids[at : at + step]
+                for doc, a, b in zip(part.column(id_col).to_pylist(), (4 * first[:-1]).tolist(), (4 * first[1:]).tolist(), strict=True):
+                    text = whole[a:b] + end
+                    for k, at in enumerate(range(0, len(text), step)):
+                        piece = text[at : at + step]
                         rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
