@@ -117,9 +117,10 @@ def _(spark, d1):
     r"select content_id, array_to_string(list_distinct(regexp_extract_all(t, '\d+万元')), '|') as amounts, cast(regexp_extract(t, '(\d+)万元', 1) as double) * 10000 as amount, 'CNY' as currency from (select content_id, title || ' ' || summary as t from d2)",
 )
 def _(spark, d2):
-    found = finance.amount_texts(F.concat_ws(" ", "title", "summary"))
-    parsed = finance.parse_amount(F.try_element_at(found, F.lit(1)))
-    return d2.select("content_id", F.array_join(found, "|").alias("amounts"), parsed["amount"].alias("amount"), parsed["currency"].alias("currency"))
+    # each step is a projection of its own, so the patterns run once for a row
+    found = d2.select("content_id", finance.amount_texts(F.concat_ws(" ", "title", "summary")).alias("found"))
+    first = found.select("content_id", F.array_join("found", "|").alias("amounts"), F.try_element_at("found", F.lit(1)).alias("first"))
+    return first.select("content_id", "amounts", finance.parse_amount(F.col("first")).alias("p")).select("content_id", "amounts", "p.amount", "p.currency")
 
 
 @query("ext04_rounds", "d2", "select content_id, array_to_string(list_filter(['Pre-A轮','Pre-A','种子轮','天使轮','A轮','B轮','C轮','D轮','E轮','F轮','战略融资','股权融资'], lambda x: contains(title, x)), '|') as rounds from d2")
@@ -596,7 +597,22 @@ def _(spark, d7):
     return save_watch_items(items, commands, dt.datetime(2024, 2, 1))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("rp02_markdown", "d1")
+_RANK = "case source_category when 'venture_media' then 0 when 'ai_media' then 1 when 'tech_business_media' then 2 when 'official_news' then 3 when 'official_research' then 3 when 'github' then 4 when 'product_hunt' then 5 else 6 end"
+_NAMES = "['中文投融资 / 创投信息', '中文 AI 垂直媒体', '中文科技商业媒体', '海外官方新闻 / 研究更新', 'GitHub Trending Daily', 'Product Hunt 今日榜单', 'Hacker News Top 20']"
+
+
+@query(
+    "rp02_markdown",
+    "d1",
+    f"""select * from (with r as (select *, cast(crawl_time as date) as day, {_RANK} as rank from d1),
+      i as (select day, rank, source_category, crawl_time, content_id, '### [' || title || '](' || url || ')' || chr(10) || '- 来源：' || source_name || case when coalesce(summary, '') <> '' then chr(10) || '- 摘要：' || summary else '' end || chr(10) as item from r),
+      b as (select day, rank, '## ' || {_NAMES}[rank + 1] || chr(10) || chr(10) || string_agg(item, chr(10) order by source_category, crawl_time desc, content_id) as body from i group by day, rank),
+      d as (select day, string_agg(body, chr(10) order by rank) as body from b group by day),
+      s as (select day, string_agg('- ' || source_name || ': ' || n, chr(10) order by source_name) as sources from (select day, source_name, count(*) as n from r group by all) group by day),
+      h as (select day, count(*) as n, count(*) filter (extraction_status = 'processed') as good, count(*) filter (extraction_status = 'partial') as part, count(*) filter (extraction_status = 'failed') as bad from r group by day)
+      select day, '# AI 信息收集汇总｜' || day || chr(10) || chr(10) || '## 一、今日抓取概览' || chr(10) || chr(10) || '- 总条数：' || n || chr(10) || '- 成功处理：' || good || chr(10) || '- 部分处理：' || part || chr(10) || '- 失败：' || bad || chr(10)
+        || chr(10) || '### 来源分布' || chr(10) || sources || chr(10) || chr(10) || body as markdown from h join s using (day) join d using (day))""",
+)
 def _(spark, d1):
     from newsdesk.operators.reports import daily_markdown
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from newsdesk.functions import finance, text, times, urls
 from newsdesk.operators import cluster, curate, enrich, filters, ingest, joins, pages, reports, rollups, scoring, taxonomy
-from newsdesk.plans.registry import query
+from newsdesk.plans.frames import oracle
+from newsdesk.plans.registry import ORACLES, query
 from newsdesk.sources import sinks, tables
 from newsdesk.sources.shared import shared_dir
 
@@ -616,6 +617,15 @@ def _(spark, d2, d5):
     return events.select("event_key", "company_name", "amount_original", "sources", "confidence")
 
 
+ORACLES["cl04_build_events"] = oracle(
+    "d2 d5",
+    f"""select * from ({_COMPANY_EVENTS}, t as (select content_id as event_key, title as event_title, regexp_extract(title, '(天使轮|A轮|B轮|C轮)', 1) as financing_round from f)
+      select event_key, event_title, company as company_name, cast(opened as date) as announced_date, financing_round, opened_amount as amount_original, cast(regexp_extract(opened_amount, '([0-9]+)', 1) as double) * 10000 as amount_normalized, 'CNY' as currency, count(*) as sources,
+        cast(max(case when r = 1 then 0 else 70 + case when amount = opened_amount then 20 else 0 end + case when abs(cast(crawl_time as date) - cast(opened as date)) <= 7 then 10 else 0 end end) / 100.0 as double) as confidence
+      from n join o using (company) join t using (event_key) group by all)""",
+)
+
+
 @query(
     "cl04_open_events",
     "d2 d5 d11",

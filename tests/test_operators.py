@@ -101,6 +101,28 @@ def test_events_attach_and_create(spark):
     assert cluster.build_events(items, links)[0].count() == 0
 
 
+def test_events_extend_stored_ones(spark):
+    kind = "event_id long, event_title string, company_name string, company_name_normalized string, announced_date date, financing_round string, amount_original string, investors array<string>, review_status string, locked_by_user boolean, confidence double"
+    held = spark.createDataFrame(
+        [
+            (2**60 + 1, "灵巧手完成A轮融资", "灵巧手", "灵巧手", dt.date(2026, 8, 1), "A轮", None, None, "pending", False, 0.5),
+            (8, "Alpha完成A轮融资", "Alpha", "alpha", dt.date(2026, 8, 1), "A轮", None, None, "confirmed", False, 0.9),
+            (9, "Beta完成A轮融资", "Beta", "beta", None, "种子轮", None, None, "pending", False, 0.2),
+        ],
+        kind,
+    )
+    items = spark.createDataFrame([(1, "灵巧手完成A轮融资", "", T(2026, 8, 1, 9)), (2, "Alpha完成A轮融资", "", T(2026, 8, 2, 9)), (3, "Beta完成B轮融资", "", T(2026, 8, 2, 9)), (4, "Beta完成B轮融资", "", T(2026, 8, 2, 8)), (5, "x", "", T(2026, 8, 2, 9))], FUND)
+    links = spark.createDataFrame([(5, 8)], "content_id long, event_id long")
+    events, new, log, stats = cluster.extend_events(items, held, links)
+    got = {r.content_id: (r.event_id, r.event_key, r.is_primary_source) for r in new.collect()}
+    assert got == {1: (2**60 + 1, None, False), 2: (None, 2, True), 3: (None, 3, True), 4: (None, 3, False)}
+    assert stats.first().asDict() == {"scanned": 5, "created": 2, "attached": 2, "skipped": 1, "conflicts": 1}
+    assert {r.event_key for r in log.collect()} == {2, 3} and all(r.operation == "candidate_created" for r in log.collect())
+    confidence = {r.event_id or r.event_key: r.confidence for r in events.collect()}
+    assert confidence[2**60 + 1] >= 0.75 and confidence[8] == 0.9 and events.count() == 5
+    assert cluster.event_candidates(items.withColumnRenamed("shown", "crawl_time"), dt.date(2026, 8, 2), start=dt.date(2026, 8, 2)).count() == 4
+
+
 def test_near_duplicate_titles(spark):
     d = spark.createDataFrame([(1, "a big red fox runs"), (2, "a big red fox runs"), (3, "a big red fox runs!x"), (4, "other words here")], "id long, t string")
     assert [(r.left_id, r.right_id) for r in cluster.near_duplicates(d, "id", F.col("t")).collect()] == [(1, 3)]
