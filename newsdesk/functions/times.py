@@ -71,8 +71,9 @@ def date_from_url(url: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
 
 
-def parse_datetime(c: Column) -> Column:
-    """Date text as naive Beijing time: values with an offset are converted, others taken as they are, bad ones null."""
+def parse_datetime(c: Column, as_of: Column | None = None) -> Column:
+    """Date text as naive Beijing time: values with an offset are converted, others taken as they are, bad ones null.
+    With as_of, a text without a year or without a date takes them from there."""
     # a weekday in front says nothing more
     text = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9},\s*(?=\d)", "")
     offset = text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$") & text.rlike(r"\d:\d")
@@ -86,7 +87,11 @@ def parse_datetime(c: Column) -> Column:
     for pattern in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "MMM d, yyyy", "d MMM yyyy"):
         got = F.try_to_timestamp(text, F.lit(pattern))
         plain = got if plain is None else F.coalesce(plain, got)
-    return F.when(offset, beijing).otherwise(F.coalesce(plain.cast("timestamp_ntz"), naive))
+    filled = naive
+    if as_of is not None:
+        for given, pattern in ((F.date_format(as_of, "yyyy-"), "yyyy-M-d HH:mm"), (F.date_format(as_of, "yyyy-"), "yyyy-M-d"), (F.date_format(as_of, "yyyy "), "yyyy MMM d HH:mm"), (F.date_format(as_of, "yyyy "), "yyyy MMM d"), (F.date_format(as_of, "yyyy-MM-dd "), "yyyy-MM-dd H:mm")):
+            filled = F.coalesce(filled, F.try_to_timestamp(F.concat(given, text), F.lit(pattern)).cast("timestamp_ntz"))
+    return F.when(offset, beijing).otherwise(F.coalesce(plain.cast("timestamp_ntz"), filled))
 
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()

@@ -12,6 +12,30 @@ from newsdesk.functions.text import normalize_company_name
 EVENT_FIELDS = ("event_title", "company_name", "announced_date", "financing_round", "amount_original", "amount_normalized", "currency", "event_summary", "investors", "lead_investors")
 
 
+#: Rows that one task numbers.
+NUMBERED_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, key: str, name: str, after: int, part_rows: int = NUMBERED_ROWS) -> DataFrame:
+    """rows with `name`: numbers after `after` in the order of a numeric key. The key's range is cut into parts of about
+    part_rows rows; each part is numbered by itself, behind the counted rows of the parts before it."""
+    parts = max(1, -(-rows.count() // part_rows))
+    cuts = sorted(set(rows.approxQuantile(key, [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.when(F.col(key) > cut, 1).otherwise(0)
+    dealt = rows.withColumn("_part", part)
+    before, at = {}, after
+    for r in sorted(dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each part
+        before[r["_part"]] = at
+        at += r["n"]
+    behind = F.lit(after)
+    for k, n in before.items():
+        behind = F.when(F.col("_part") == k, F.lit(n)).otherwise(behind)
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return dealt.withColumn(name, (rank + behind).cast("long")).drop("_part")
+
+
 def first_command(commands: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(first, deferred): the first command of each key by seq, and the others with reason 'deferred'."""
     n = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
@@ -97,7 +121,7 @@ def split_events(events: DataFrame, links: DataFrame, drafts: DataFrame, command
     fits = counts.join(sizes, "event_id").where("_moved < _size")
     rejected = chosen.join(fits.select("seq"), "seq", "left_anti").withColumn("reason", F.lit("a split takes some of the sources")).unionByName(late)
     top = events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
-    fits = fits.withColumn("_new", (F.row_number().over(Window.orderBy("seq")) + top).cast("long"))
+    fits = numbered(fits, "seq", "_new", top)
     made = fits.select("_new", F.col("_opener").alias("content_id"), "_title").join(drafts, "content_id")
     made = made.withColumn("event_id", F.col("_new")).withColumn("event_title", F.coalesce("_title", "event_title")).withColumn("locked_by_user", F.lit(True))
     every = events.unionByName(made.select(*(c for c in made.columns if c in events.columns)), allowMissingColumns=True)
@@ -128,7 +152,8 @@ def move_sources(links: DataFrame, commands: DataFrame) -> tuple[DataFrame, Data
     rows = rows.withColumn("is_primary_source", (F.col("is_primary_source") & ~moving) | primary).withColumn("match_score", F.when(moving, 100.0).otherwise(F.col("match_score"))).withColumn("association_source", F.when(moving, "manual").otherwise(F.col("association_source"))).withColumn("event_id", F.when(moving, F.col("_to")).otherwise(F.col("event_id")))
     fresh = good.where("_op = 'attach'").join(links.select("content_id"), "content_id", "left_anti")
     top = links.agg(F.coalesce(F.max("event_content_id"), F.lit(0))).first()[0]
-    fresh = fresh.select((F.row_number().over(Window.orderBy("content_id")) + top).cast("long").alias("event_content_id"), F.col("_to").alias("event_id"), "content_id", F.lit(False).alias("is_primary_source"), F.lit(100.0).alias("match_score"), F.lit("manual").alias("association_source"), F.lit(False).alias("_p"))
+    fresh = numbered(fresh, "content_id", "event_content_id", top)
+    fresh = fresh.select("event_content_id", F.col("_to").alias("event_id"), "content_id", F.lit(False).alias("is_primary_source"), F.lit(100.0).alias("match_score"), F.lit("manual").alias("association_source"), F.lit(False).alias("_p"))
     rows = rows.withColumn("_p", primary).select("event_content_id", "event_id", "content_id", "is_primary_source", "match_score", "association_source", "_p").unionByName(fresh)
     order = Window.partitionBy("event_id").orderBy(F.desc("_p"), F.desc("is_primary_source"), "event_content_id")
     return rows.withColumn("is_primary_source", F.row_number().over(order) == 1).drop("_p"), bad
@@ -161,7 +186,7 @@ def save_watch_items(items: DataFrame, commands: DataFrame, as_of: dt.datetime)
     new = free.unionByName(c.where("active_target_key is null"))
     top = items.agg(F.coalesce(F.max("watch_id"), F.lit(0))).first()[0]
     now = F.lit(str(as_of)).cast("timestamp_ntz")
-    new = new.withColumn("watch_id", (F.row_number().over(Window.orderBy("seq")) + top).cast("long")).withColumn("updated_at", now).withColumn("completed_at", F.when(F.col("status") == "completed", now))
+    new = numbered(new, "seq", "watch_id", top).withColumn("updated_at", now).withColumn("completed_at", F.when(F.col("status") == "completed", now))
     return items.unionByName(new.drop("seq"), allowMissingColumns=True), rejected
 
 

@@ -585,16 +585,18 @@ def _(spark, d2, d5):
 @query(
     "wt01_save_watch",
     "d7",
-    "select status, count(*) as n from (select status from d7 union all select 'watching' from (select target_type, target_id from d7 where watch_id % 2 = 0 and status = 'completed')) group by status",
+    "select status, count(*) as n, count(distinct watch_id) as ids, max(watch_id) as last_id from (select status, watch_id from d7 union all select 'watching', (select max(watch_id) from d7) + row_number() over (order by watch_id desc) from d7 where status = 'completed') group by status",
 )
 def _(spark, d7):
     from newsdesk.operators.curate import active_key, save_watch_items
 
     now = F.lit(None).cast("timestamp_ntz")
     items = d7.withColumn("active_target_key", active_key(F.col("target_type"), F.col("target_id"), F.col("status"))).withColumn("completed_at", now)
-    commands = d7.where("watch_id % 2 = 0").select(F.col("watch_id").alias("seq"), "target_type", "target_id", "priority", F.lit("watching").alias("status"), "next_review_date")
+    # only the targets whose items are completed are free
+    commands = d7.select(F.col("watch_id").alias("seq"), "target_type", "target_id", "priority", F.lit("watching").alias("status"), "next_review_date")
     commands = commands.unionByName(commands.withColumn("seq", -F.col("seq") - 1))  # each asked for twice
-    return save_watch_items(items, commands, dt.datetime(2024, 2, 1))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    saved = save_watch_items(items, commands, dt.datetime(2024, 2, 1))[0]
+    return saved.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("watch_id").alias("ids"), F.max("watch_id").alias("last_id"))
 
 
 _RANK = "case source_category when 'venture_media' then 0 when 'ai_media' then 1 when 'tech_business_media' then 2 when 'official_news' then 3 when 'official_research' then 3 when 'github' then 4 when 'product_hunt' then 5 else 6 end"

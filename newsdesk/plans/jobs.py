@@ -853,3 +853,77 @@ def _(spark, d2, d12):
     members = named.select("cluster_id", "content_id", F.col("crawl_time").alias("shown"), "title", "summary", F.lit("源").alias("source_name"))
     v = reports.cluster_detail(members)
     return v.select("cluster_id", "company", F.col("amount").alias("amounts"), F.col("round").alias("rounds"), F.lit(1).cast("long").alias("investors"), F.col("reports").cast("long").alias("reports"))
+
+
+@query("fn05_fill_from_day", "d1", "select content_id, case content_id % 3 when 0 then crawl_time - interval 1 year + interval 1 year when 1 then cast(cast(crawl_time as date) as timestamp) else timestamp '2024-02-01 00:00:00' + (crawl_time - cast(cast(crawl_time as date) as timestamp)) end as parsed from d1")
+def _(spark, d1):
+    at = F.col("crawl_time")
+    raw = F.element_at(F.array(F.date_format(at, "M-d HH:mm"), F.date_format(at, "MMM d"), F.date_format(at, "H:mm")), (F.col("content_id") % 3 + 1).cast("int"))
+    return d1.select("content_id", times.parse_datetime(raw, F.lit(str(NOW)).cast("timestamp_ntz")).alias("parsed"))
+
+
+_SIDES = ("companies", "amounts", "rounds", "investors", "title_norm", "date")
+
+
+@query("jn05_event_match", "d2 d11", "select content_id, event_id, cast(65 + case when regexp_extract(title, '([0-9]+万元)', 1) = amount_original then 20 else 0 end as double) as score, case when regexp_extract(title, '([0-9]+万元)', 1) = amount_original then 4 else 3 end as reasons from d2 join d11 on company_name = regexp_extract(title, '^(星辰[0-9]+)', 1) where event_id < 400")
+def _(spark, d2, d11):
+    items = cluster.event_signature(d2.select("content_id", "title", "summary", F.col("crawl_time").alias("shown")))
+    held = d11.where("event_id < 400").withColumn("announced_date", F.lit(None).cast("date")).withColumn("investors", strings())
+    held = held.withColumn("event_title", F.concat("company_name", F.lit("完成"), "amount_original", "financing_round", F.lit("融资")))
+    left = items.select("content_id", F.explode("companies").alias("name"), F.struct(*_SIDES).alias("left"))
+    right = cluster.signature_of_event(held).select("event_id", F.explode("companies").alias("name"), F.struct(*_SIDES).alias("right"))
+    return cluster.score_pairs(left.join(right, "name").drop("name"), "event").select("content_id", "event_id", "score", F.size("reasons").alias("reasons"))
+
+
+@query("jn04_duplicate_score", "d2", "select content_id, lag(content_id) over (partition by regexp_extract(title, '^(星辰[0-9]+)', 1) order by crawl_time, content_id) as before_id, cast(1.0 as double) as score from d2 qualify before_id is not null")
+def _(spark, d2):
+    from pyspark.sql import Window
+
+    # each report with the one before it of its company: company, round and title alone make a full score
+    s = finance.financing_signature(F.col("title"), F.col("summary"), F.col("crawl_time"))
+    rows = d2.select("content_id", "crawl_time", s.alias("left"))
+    before = Window.partitionBy(F.element_at("left.companies", 1)).orderBy("crawl_time", "content_id")
+    pairs = rows.withColumn("before_id", F.lag("content_id").over(before)).withColumn("right", F.lag("left").over(before)).where("before_id is not null")
+    return cluster.score_pairs(pairs.drop("crawl_time")).select("content_id", "before_id", F.round("score", 9).alias("score"))
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+
+
+def _arriving(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
+    """rows as a stream of files, and a folder for what is made of them."""
+    folder = new_folder(spark, "stream")
+    rows.write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
+
+
+@query("st01_ingest_stream", "d1", "select 'https://h.com/' || (content_id % 300) as canonical_url from d1 where content_id % 300 >= 20 group by 1")
+def _(spark, d1):
+    from newsdesk.streaming.jobs import ingest_stream
+
+    url = F.concat(F.lit("https://h.com/"), (F.col("content_id") % 300).cast("string")).alias("canonical_url")
+    held = d1.where("content_id % 300 < 20").select(url).distinct()
+    items, folder = _arriving(spark, d1.select("content_id", F.col("crawl_time").cast("timestamp").alias("crawl_time"), url))
+    store = lambda batch, n: batch.join(held, "canonical_url", "left_anti").write.mode("append").parquet(f"{folder}/out")
+    ingest_stream(items, store, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("canonical_url")
+
+
+@query("st02_stream_counts", "d3", "select cast(started_at + interval 14 hour as date) as report_day, source_id, count(*) as items from d3 group by 1, 2")
+def _(spark, d3):
+    from newsdesk.streaming.jobs import daily_window_counts
+
+    runs, folder = _arriving(spark, d3.select("source_id", "started_at"))
+    counts = daily_window_counts(runs, "started_at").writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
+    counts.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("st03_late_items", "d1", f"select content_id, not {_INSIDE.replace('publish_time_status = ' + chr(39) + 'date_only' + chr(39), 'false')} as late from d1")
+def _(spark, d1):
+    from newsdesk.streaming.jobs import late_counts
+
+    start, end = times.daily_window(DAY)
+    kept = late_counts(d1, start, end)
+    late = ~F.coalesce((F.col("publish_time") >= start) & (F.col("publish_time") < end), F.lit(False))
+    return kept.select("content_id", late.alias("late"))
