@@ -8,7 +8,7 @@ from both sizes, so a set has a prefix for each class of partner sizes and meets
 are frequent in a sample come last, which leaves the items that one text has for itself in front; items
 that lie in one component bring nobody together.
 
-The exact join runs in steps that look at ever more of the partners, four times as many each time and all of them in
+The exact join runs in steps that look at ever more of the partners, GROWTH times as many each time and all of them in
 the end. A document that is linked to many leaves in an early step, so the pairs of a large group do not grow
 with its square, and no link between documents that share a bucket is lost.
 """
@@ -28,8 +28,9 @@ from newsdesk.operators.graph import components
 
 #: Documents whose ids may be broadcast; documents that tell which items are frequent, and such items at most.
 BROADCAST_IDS, SAMPLE_DOCS, FREQUENT_ITEMS = 500_000, 4_000, 400_000
-#: Documents of the largest group that the first step of the exact join looks at, and the growth from step to step.
-FIRST_PARTNERS, GROWTH = 8, 4
+#: Documents of the largest group that the first step of the exact join looks at, and the growth from step to step. A
+#: step that would look at LAST or more of all partners looks at all.
+FIRST_PARTNERS, GROWTH, LAST = 32, 32, 0.25
 
 
 def _size_classes() -> np.ndarray:
@@ -172,11 +173,11 @@ def link(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share = 0.0
     while share < 1:
         rows = stored(open_rows(rows, labels), "open_rows")
-        largest = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0]
-        if not largest:
+        if rows.isEmpty():
             break
-        share = min(1.0, GROWTH * share if share else FIRST_PARTNERS / largest)
-        found = confirmed(stored(apart(rows, percent, share), "pairs"), sets, percent)
+        share = GROWTH * share if share else FIRST_PARTNERS / rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0]
+        share = 1.0 if share >= LAST else share
+        found = confirmed(apart(rows, percent, share), sets, percent)
         joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
         labels = stored(components(joined), "labels")
         rows = rows.select("key", "doc", "n", "rank")
