@@ -74,9 +74,13 @@ def attach_definitions(definitions: DataFrame, tags: DataFrame) -> DataFrame:
     return definitions.unionByName(made.select(*(c for c in made.columns if c in definitions.columns)), allowMissingColumns=True)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], columns: list[str], insert_only: list[str] = []) -> DataFrame:  # noqa: B006
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], columns: list[str], insert_only: list[str] = [], renames: dict[str, dict[str, str]] | None = None) -> DataFrame:  # noqa: B006
     """Rows of updates replace `columns` of the rows with their keys and are inserted where there is none; the
-    columns in insert_only are set on insertion alone, so values that users edited stay."""
+    columns in insert_only are set on insertion alone, so values that users edited stay. renames: for a key, the names
+    that rows of target may still have, and what they are called now."""
+    for key, names in (renames or {}).items():
+        now = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        target = target.withColumn(key, F.coalesce(F.try_element_at(now, F.col(key)), F.col(key)))
     u = updates.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns + insert_only), F.lit(True).alias("_hit"))
     joined = target.withColumn("_old", F.lit(True)).join(u, keys, "full")
     out = []

@@ -210,9 +210,13 @@ def add_versions(reports: DataFrame, versions: DataFrame, new: DataFrame) -> tup
 
 
 def backfill_plan(missing: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each missing date with each enabled source, to run at noon. Both sides are short lists: dates of a week and sources."""
+    """Each missing date with each enabled source, to run at noon. The dates are those of a week, so they go to the sources."""
     run = F.col("day").cast("timestamp_ntz") + F.expr("interval 12 hours")
-    return missing.select("day").crossJoin(F.broadcast(sources.where("enabled").select("source_id"))).withColumn("run_at", run)
+    days = sorted(r["day"] for r in missing.select("day").distinct().limit(8).collect())  # a week has seven
+    if len(days) > 7:
+        raise ValueError("a backfill covers one week")
+    every = F.explode(F.array(*map(F.lit, days)) if days else F.array().cast("array<date>"))
+    return sources.where("enabled").select(every.alias("day"), "source_id").withColumn("run_at", run)
 
 
 def cluster_detail(members: DataFrame, entities: DataFrame | None = None) -> DataFrame:

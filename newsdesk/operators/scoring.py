@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.functions.text import contains_any
 
+#: Source categories and words that add points (the points and reasons stand in score_content).
 KEY_CATEGORIES = ("official_news", "official_research", "venture_media", "ai_media")
 SIGNAL_WORDS = ("融资", "投资", "funding", "financing", "raised", "series")
 #: Content types, parts of source categories and words of each report section.

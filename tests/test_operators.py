@@ -123,6 +123,13 @@ def test_events_extend_stored_ones(spark):
     assert cluster.event_candidates(items.withColumnRenamed("shown", "crawl_time"), dt.date(2026, 8, 2), start=dt.date(2026, 8, 2)).count() == 4
 
 
+def test_upsert_knows_old_names(spark):
+    held = spark.createDataFrame([("old", "u1", "mine"), ("kept", "u2", "x")], "name string, url string, note string")
+    new = spark.createDataFrame([("new", "u9", "theirs"), ("added", "u3", "theirs")], "name string, url string, note string")
+    got = joins.upsert(held, new, ["name"], ["url"], ["note"], {"name": {"old": "new"}})
+    assert {tuple(r) for r in got.collect()} == {("new", "u9", "mine"), ("kept", "u2", "x"), ("added", "u3", "theirs")}
+
+
 def test_near_duplicate_titles(spark):
     d = spark.createDataFrame([(1, "a big red fox runs"), (2, "a big red fox runs"), (3, "a big red fox runs!x"), (4, "other words here")], "id long, t string")
     assert [(r.left_id, r.right_id) for r in cluster.near_duplicates(d, "id", F.col("t")).collect()] == [(1, 3)]
