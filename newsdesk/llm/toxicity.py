@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return (np.concatenate(buckets) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows), len(offsets) - 1
 
 
-def train_shard(texts: list[pa.Array], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero buckets, their weights and the bias after PASSES passes over the shard."""
+def train_shard(texts: list[pa.Array], labels: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero buckets, their weights and the bias after PASSES passes over the shard; places: the order of its rows."""
     docs: list[np.ndarray] = []
     for column in texts:
         bucket, row, n = features(column)
@@ -65,7 +66,11 @@ def train_shard(texts: list[pa.Array], labels: np.ndarray) -> tuple[np.ndarray,
     seen = np.zeros(1 << BITS, np.int32)
     for at in docs:
         seen[at] += 1
-    docs = [at[seen[at] >= MIN_DOCS] for at in docs]
+    for i, at in enumerate(docs):
+        docs[i] = at[seen[at] >= MIN_DOCS]
+    if places is not None:
+        docs, labels = [docs[i] for i in places.tolist()], labels[places]
+    give_back()
     z, n2 = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = bias_n = 0.0
     order = np.random.default_rng(7)
@@ -100,9 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(shards)))
 
     def train(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        # the rows stay where they are; only their order is sorted
+        places = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
         batches = [part for b in table.to_batches() for part in slices(b, "text")]
-        kept, weights, bias = train_shard([p.column("text") for p in batches], table.column("toxic").to_numpy().astype(float))
+        kept, weights, bias = train_shard([p.column("text") for p in batches], table.column("toxic").to_numpy().astype(float), places)
         give_back()
         return pa.table({"bucket": pa.array(np.append(kept, -1), pa.int64()), "weight": pa.array(np.append(weights, bias), pa.float64())})
 
