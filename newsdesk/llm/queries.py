@@ -1,6 +1,6 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, pii, repeats, spotsigs, toxicity, warc
+from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, periodic, pieces, pii, repeats, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_pii": pii.op8_pii,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
 }
 ORACLES = {
     "op1_minhash_near_dedup": minhash.ORACLE,
