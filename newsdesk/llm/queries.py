@@ -1,6 +1,6 @@
 """Queries of the training-data operators: whole tables, production parameters, full results."""
 
-from newsdesk.llm import decontaminate, langid, main_text, minhash, packing, periodic, pieces, pii, repeats, spotsigs, toxicity, warc
+from newsdesk.llm import alignment, decontaminate, langid, main_text, minhash, packing, periodic, pieces, pii, repeats, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLES = {
     "op1_minhash_near_dedup": minhash.ORACLE,
