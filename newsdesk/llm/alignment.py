@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import mix, segment_sum, slices, tidy
-from newsdesk.llm.pieces import MARK, Block, block_number, model_path, pack_planes, processor, segments, unpack_planes
+from newsdesk.llm.pieces import MARK, Block, block_number, model_path, pack, pack_places, processor, segments, unpack, unpack_places
 from newsdesk.llm.tables import stored
 
 #: Characters of a block of texts; chunks whose tokens a worker keeps (it starts anew when it would hold more).
@@ -151,10 +151,10 @@ def tokenize(docs: DataFrame, first: str, second: str, id_col: str, text_col: st
 
     def row(number: int, block: Block) -> pa.RecordBatch:
         found = tokens_of(first, second).of(list(block.index))
-        columns = [[number], [block.ids], [block.counts], [pack_planes(np.frombuffer(block.places, np.uint32))]]
+        columns = [[number], [block.ids], [block.counts], [pack_places(np.frombuffer(block.places, np.uint32))]]
         for side in (0, 1):
             ids = [x[side] for x in found]
-            columns += [[pack_planes(np.frombuffer(b"".join(ids), "<u4"))], [pack_planes(np.array([len(x) // 4 for x in ids], np.int64))]]
+            columns += [[pack(np.frombuffer(b"".join(ids), "<u4"))], [pack(np.array([len(x) // 4 for x in ids], np.int64))]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +177,9 @@ class Aligned:
 
     def __init__(self, row: dict, a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.doc_ids, counts = row["doc_ids"], np.array(row["counts"], np.int64)
-        self.places = unpack_planes(row["places"])
+        self.places = unpack_places(row["places"])
         self.first = np.concatenate(([0], np.cumsum(counts)))
-        self.a, self.a_counts, self.b, self.b_counts = (unpack_planes(row[c]) for c in ("a", "a_counts", "b", "b_counts"))
+        self.a, self.a_counts, self.b, self.b_counts = (unpack(row[c]) for c in ("a", "a_counts", "b", "b_counts"))
         n = len(self.a_counts)
         self.a_end, self.b_end = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         self.cuts = np.intersect1d(self.a_end, self.b_end, assume_unique=True)

@@ -5,7 +5,8 @@ character. A normalised text is then a sequence of marked words (a run of marks
 that are segmented independently of one another. Texts are gathered into blocks; a block keeps its texts as
 positions in the list of its distinct marked words. The distinct words of all blocks are dealt by a hash into parts of
 a table, in which each one is segmented once, and their ids come back to the blocks, where they are joined by position.
-A frequent word is one entry of each block, so no part is hot.
+A frequent word is one entry of each block, so no part is hot. A block whose answers do not fit its words, as could be
+after a loss if the input's rows came in another order, is an error.
 
 Cases: null and empty texts have no ids and decode to an empty text; repeated rows, and rows that share or lack a doc_id,
 are each encoded; white space of any length, and marks in the text itself, are encoded as the library does; a text of
@@ -22,19 +23,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.llm.arrays import slices, tidy
-from newsdesk.llm.tables import stored
+from newsdesk.llm.arrays import list_array, slices, tidy
 
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of a block of texts, and parts that its words are dealt into at most.
-BLOCK_CHARS, MOST_PARTS = 1 << 23, 4096
+BLOCK_CHARS, MOST_PARTS = 1 << 23, 1024
 #: Words whose segments a task of the table keeps; it starts anew when it would hold more.
 CACHED_WORDS = 200_000
+#: Ids of a batch of the result.
+OUT_IDS = 1 << 19
 
 
 def model_path() -> str:
@@ -60,21 +63,34 @@ def segments(sp, words: list[str]) -> list[list[int]]:
     return [mark if w == MARK else ids for w, ids in zip(words, sp.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
 
-def pack_planes(numbers: np.ndarray) -> bytes:
-    """How many there are, then 32-bit numbers by planes of their bytes, the low one first; empty planes at the end go.
-    Planes compress better than numbers."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    used = max((k + 1 for k in range(4) if planes[k].any()), default=0)
-    return len(numbers).to_bytes(8, "little") + np.ascontiguousarray(planes[:used]).tobytes()
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed; those below 65,536 as 16-bit ones."""
+    narrow = not len(numbers) or int(numbers.max()) < 1 << 16
+    return bytes([narrow]) + zstandard.ZstdCompressor().compress(numbers.astype("<u2" if narrow else "<u4").tobytes())
 
 
-def unpack_planes(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    out = np.zeros((n, 4), np.uint8)
-    if n and len(data) > 8:
-        planes = np.frombuffer(data, np.uint8, offset=8).reshape(-1, n)
-        out[:, : len(planes)] = planes.T
-    return out.reshape(-1).view("<u4").astype(np.int64)
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "<u2" if data[0] else "<u4").astype(np.int64)
+
+
+def pack_places(places: np.ndarray) -> bytes:
+    """Positions in a list that is in the order of first occurrence: a first occurrence is 0, the others their position and
+    one. They are kept by planes of their bytes, the low one first, which compress better."""
+    first = np.zeros(len(places), bool)
+    if len(places):
+        first[1:] = places[1:] > np.maximum.accumulate(places)[:-1]
+        first[0] = True
+    codes = np.where(first, 0, places.astype(np.int64) + 1).astype("<u4")
+    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    codes = np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+    first = codes == 0
+    codes -= 1
+    codes[first] = np.arange(first.sum())
+    return codes
 
 
 class Block:
@@ -113,138 +129,138 @@ def block_number(k: int) -> int:
     return TaskContext.get().partitionId() << 32 | k
 
 
+ROWS = "block long, part int, doc_ids array<long>, counts array<long>, body binary, sizes binary"
+ROW_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("body", pa.binary()), ("sizes", pa.binary())])
+
+
+def row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, ROW_SCHEMA, strict=True)], schema=ROW_SCHEMA)
+
+
 def cut(docs: DataFrame, path: str, parts: int, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """(block, doc_ids, counts, places, asked): blocks of texts, and the distinct words of each by part of the table.
-    Positions count the words in the order in which they are asked for."""
-    asked_type = pa.list_(pa.struct([("part", pa.int32()), ("words", pa.string()), ("ends", pa.binary())]))
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("places", pa.binary()), ("n_parts", pa.int32()), ("asked", asked_type)])
+    """A row with part -1 for each block: its documents, the number of words of each, the positions of these words and the
+    part of each distinct word. And a row for each part that has some of the words: the words and their lengths."""
 
-    def row(number: int, block: Block) -> pa.RecordBatch:
+    def rows(number: int, block: Block) -> Iterator[pa.RecordBatch]:
         words = list(block.index)
         part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))
+        yield row(number, -1, block.ids, block.counts, pack_places(np.frombuffer(block.places, np.uint32)), pack(part))
         order = np.argsort(part, kind="stable")
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        asked = []
         bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own = [words[i] for i in order[a:b].tolist()]
-            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
-            asked.append({"part": int(part[order[a]]), "words": "".join(own), "ends": pack_planes(ends)})
-        places = place[np.frombuffer(block.places, np.uint32)] if len(block.places) else np.empty(0, np.int64)
-        columns = [[number], [block.ids], [block.counts], [pack_planes(places)], [len(asked)], [asked]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            text = zstandard.ZstdCompressor().compress("".join(own).encode())
+            yield row(number, int(part[order[a]]), None, None, text, pack(np.fromiter(map(len, own), np.int64, len(own))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, block, made = processor(path), Block(), 0
         for batch in batches:
             for piece in slices(batch, text_col):
                 texts = [t or "" for t in piece.column(text_col).to_pylist()]
-                for doc, text in zip(piece.column(id_col).to_pylist(), sp.normalize(texts) if texts else [], strict=True):
+                for doc, text in zip(piece.column(id_col).to_pylist(), sp.normalize(texts), strict=True):
                     block.add(doc, marked_words(text))
                 if block.size >= block_chars:
-                    yield row(block_number(made), block)
+                    yield from rows(block_number(made), block)
                     block, made = Block(), made + 1
         if block.ids:
-            yield row(block_number(made), block)
+            yield from rows(block_number(made), block)
 
-    ddl = "block long, doc_ids array<long>, counts array<long>, places binary, n_parts int, asked array<struct<part:int,words:string,ends:binary>>"
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(tidy(run), ddl)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(tidy(run), ROWS)
 
 
-def segment_table(asked: DataFrame, path: str) -> DataFrame:
-    """asked (block, part, words, ends), the words of a part in one task: (block, part, ids, sizes) of these words in turn."""
-    schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary())])
+def segment_table(rows: DataFrame, path: str) -> DataFrame:
+    """The rows of cut(), those of a part in one task, with the words replaced by their ids and the number of ids of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, known = processor(path), {}
         for batch in batches:
             for k in range(batch.num_rows):
-                text, ends = batch.column("words")[k].as_py(), unpack_planes(batch.column("ends")[k].as_py()).tolist()
+                if batch.column("part")[k].as_py() < 0:
+                    yield batch.slice(k, 1)
+                    continue
+                text = zstandard.ZstdDecompressor().decompress(batch.column("body")[k].as_py()).decode()
+                ends = np.cumsum(unpack(batch.column("sizes")[k].as_py())).tolist()
                 words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 if len(known) > CACHED_WORDS:
                     known.clear()
                 new = [w for w in words if w not in known]
                 known.update(zip(new, (np.array(x, "<u4").tobytes() for x in segments(sp, new)), strict=True) if new else ())
                 ids = [known[w] for w in words]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                packed = np.frombuffer(b"".join(ids), "<u4")
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(k, 1), batch.column("part").slice(k, 1), pa.array([pack_planes(packed)], pa.binary()), pa.array([pack_planes(sizes)], pa.binary())], schema=schema)
-
-    return asked.mapInArrow(tidy(run), "block long, part int, ids binary, sizes binary")
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                yield row(batch.column("block")[k].as_py(), batch.column("part")[k].as_py(), None, None, pack(np.frombuffer(b"".join(ids), "<u4")), pack(counts))
 
+    return rows.mapInArrow(tidy(run), ROWS)
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Per row: doc_id, ids (array<int>, as the library's encode gives them) and decoded, the text of its decode(ids).
 
-    model: path of a model file that every executor has."""
-    path = model or model_path()
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(MOST_PARTS, 2 * tasks)
-    blocks = stored(cut(docs, path, parts, id_col, text_col, block_chars), "marked-words")
-    asked = blocks.select("block", F.explode("asked").alias("a")).select("block", "a.*")
-    answers = segment_table(asked.repartition(tasks, "part"), path)
-    none = F.lit(None)
-    texts = blocks.select("block", F.lit(-1).alias("part"), none.cast("binary").alias("ids"), none.cast("binary").alias("sizes"), "doc_ids", "counts", "places", "n_parts")
-    back = answers.select("block", "part", "ids", "sizes", none.cast("array<long>").alias("doc_ids"), none.cast("array<long>").alias("counts"), none.cast("binary").alias("places"), none.cast("int").alias("n_parts"))
+def join_back(rows: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded) from the rows of segment_table(), those of a block behind one another, part -1 first."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
-    def joined(head: dict, found: list[tuple[bytes, bytes]]) -> Iterator[tuple]:
-        """The rows of a block from its answers in the order of their parts."""
-        if len(found) != head["n_parts"]:
+    def joined(head: dict, found: list[dict]) -> Iterator[tuple]:
+        sp, part = processor(path), unpack(head["sizes"])
+        if [x["part"] for x in found] != np.unique(part).tolist():
             raise ValueError("words of a block have no ids")
-        sp = processor(path)
-        ids, sizes = (np.concatenate([unpack_planes(x) for x in column] or [np.empty(0, np.int64)]) for column in (list(zip(*found, strict=True)) or ([], [])))
-        begin = np.cumsum(sizes) - sizes
-        counts = np.array(head["counts"], np.int64)
-        places, at = unpack_planes(head["places"]), 0
-        for doc, n in zip(head["doc_ids"], counts.tolist(), strict=True):
+        none = [np.empty(0, np.int64)]
+        ids, sizes = (np.concatenate([unpack(x[c]) for x in found] or none) for c in ("body", "sizes"))
+        # answers stand by part, the block's words in the order of first occurrence
+        order = np.argsort(part, kind="stable")
+        begin, size = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+        begin[order], size[order] = np.cumsum(sizes) - sizes, sizes
+        places, at = unpack_places(head["body"]), 0
+        for doc, n in zip(head["doc_ids"], head["counts"], strict=True):
             own = places[at : at + n]
             at += n
-            length = sizes[own]
+            length = size[own]
             last = np.cumsum(length)
             total = int(last[-1]) if n else 0
             flat = ids[np.repeat(begin[own] - last + length, length) + np.arange(total)]
-            yield doc, flat.astype(np.int32), sp.decode(flat.tolist()) if total else ""
+            yield doc, flat, sp.decode(flat.tolist()) if total else ""
 
-    def batches_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        head: dict | None = None
+        found: list[dict] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                if one["part"] >= 0:
+                    found.append(one)
+                    continue
+                if head:
+                    yield from joined(head, found)
+                head, found = one, []
+        if head:
+            yield from joined(head, found)
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        doc_ids, ids, texts = zip(*held, strict=True)
+        first = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), list_array(np.concatenate(ids), first, pa.int32()), pa.array(texts, pa.string())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for row in rows:
-            held.append(row)
-            size += len(row[1])
-            if size > 1 << 19:
+        for document in documents(batches):
+            held.append(document)
+            size += len(document[1])
+            if size > OUT_IDS:
                 yield made(held)
                 held, size = [], 0
         if held:
             yield made(held)
 
-    def made(held: list[tuple]) -> pa.RecordBatch:
-        docs_, ids, texts_ = zip(*held, strict=True)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), listed, pa.array(texts_, pa.string())], schema=schema)
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            head, found = None, []
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    part = batch.column("part")[k].as_py()
-                    if part < 0:
-                        if head:
-                            yield from joined(head, found)
-                        head, found = {c: batch.column(c)[k].as_py() for c in ("doc_ids", "counts", "places", "n_parts")}, []
-                    else:
-                        found.append((batch.column("ids")[k].as_py(), batch.column("sizes")[k].as_py()))
-            if head:
-                yield from joined(head, found)
-
-        yield from batches_of(rows())
-
-    gathered = texts.unionByName(back).repartition(tasks, "block").sortWithinPartitions("block", "part")
-    return gathered.mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
+
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per row: doc_id, ids (array<int>, as the library's encode gives them) and decoded, the text of its decode(ids).
+
+    model: path of a model file that every executor has."""
+    path = model or model_path()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(docs, path, min(MOST_PARTS, tasks), id_col, text_col, block_chars)
+    by_part = F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.col("block"))
+    answered = segment_table(rows.repartition(tasks, by_part), path)
+    return join_back(answered.repartition(tasks, "block").sortWithinPartitions("block", "part"), path)
 
 
 def op12_sentencepiece(spark, sf_dir):
