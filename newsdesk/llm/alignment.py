@@ -18,8 +18,9 @@ any length stays in one block, so memory follows the longest one; an empty table
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +45,9 @@ TOGETHER = 500
 #: Ends of chunks: before a space behind one of these characters, none of which is white space.
 CUT, OTHER_END, CHUNK = re.compile(r"(?<=[\w!-~])(?= )"), re.compile(r"[^\w!-~ ] "), re.compile(r" *[^ ]+| +")
 SOUND_END = re.compile(r"[\w!-~]$")
+#: Chunks of printable ASCII, line ends and letters that every version of Unicode in use takes for letters: Latin, Greek, Cyrillic.
+_LETTERS = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481"
+PLAIN = re.compile(rf" +[\n!-~{_LETTERS}]*[!-~{_LETTERS}]")
 
 
 def bytes_path() -> str:
@@ -61,6 +65,22 @@ def byte_tokenizer(path: str):
     return found
 
 
+def plain_encoder(path: str, table: list[bytes]) -> Callable[[str], list[int]] | None:
+    """A faster encoder of the same vocabulary for PLAIN chunks, if the vocabulary is numbered in the order of its merges."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    model, kind = held["model"], held.get("pre_tokenizer") or {}
+    merges = [x.split(" ") if isinstance(x, str) else x for x in model.get("merges", ())]
+    ordered = all(model["vocab"].get("".join(x)) == 256 + k for k, x in enumerate(merges))
+    if not ordered or model["type"] != "BPE" or model.get("ignore_merges") or kind.get("type") != "ByteLevel" or not kind.get("use_regex") or held.get("normalizer"):
+        return None
+    ranks = {table[k]: k for k in range(256 + len(merges))}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def byte_letters() -> dict[str, int]:
     """The byte of each letter of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -81,38 +101,46 @@ class Tokens:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace(MARK, " ").encode() for k, x in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.plain = plain_encoder(first, self.a_bytes)
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
-    def _joined(self, chunks: list[str]) -> list[tuple[list[int], list[int]]]:
+    def a_ids(self, text: str, plain: bool) -> list[int]:
+        return self.plain(text) if plain and self.plain else self.a.encode(text, add_special_tokens=False).ids
+
+    def _joined(self, chunks: list[str], plain: bool) -> list[tuple[bytes, bytes]]:
         """Tokens of chunks that are encoded as one text, parted again where the chunks end."""
         text = "".join(chunks)
-        ends = np.cumsum([len(c.encode()) for c in chunks])
+        raw = text.encode()
+        ends = np.cumsum(list(map(len, chunks)) if len(raw) == len(text) else [len(c.encode()) for c in chunks])
         sides = []
-        for ids, sizes in ((self.a.encode(text, add_special_tokens=False).ids, self.a_sizes), (self.b.encode(text[1:]), self.b_sizes)):
-            reached = np.cumsum(sizes[np.array(ids, np.int64)])
+        for ids, table, sizes in ((self.a_ids(text, plain), self.a_bytes, self.a_sizes), (self.b.encode(text[1:]), self.b_bytes, self.b_sizes)):
+            packed = np.array(ids, "<u4")
+            reached = np.cumsum(sizes[packed])
             at = np.searchsorted(reached, ends)
-            if at[-1] >= len(reached) or (reached[at] != ends).any() or reached[-1] != ends[-1]:
+            if b"".join(map(table.__getitem__, ids)) != raw or (reached[at] != ends).any():
                 return [self._alone(c) for c in chunks]
-            cuts = [0, *(at + 1).tolist()]
-            sides.append([ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+            cuts, whole = [0, *(4 * at + 4).tolist()], packed.tobytes()
+            sides.append([whole[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
         return list(zip(*sides, strict=True))
 
-    def _alone(self, chunk: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(chunk, add_special_tokens=False).ids, segments(self.b, [MARK if chunk == " " else chunk])[0]
+    def _alone(self, chunk: str) -> tuple[bytes, bytes]:
+        """A chunk's ids on both sides; none if a side's bytes are not the chunk's."""
+        a, b = self.a_ids(chunk, False), segments(self.b, [MARK if chunk == " " else chunk])[0]
+        raw = chunk.encode()
+        good = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+        return (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if good else (b"", b"")
 
     def learn(self, chunks: list[str]) -> None:
-        """A chunk's ids on both sides; none if a side's bytes are not the chunk's."""
         if len(self.known) + len(chunks) > CACHED_CHUNKS:
             self.known.clear()
-        sound = [c for c in chunks if len(c) > 1 and SOUND_END.search(c)]
-        every = [(c, self._alone(c)) for c in chunks if not (len(c) > 1 and SOUND_END.search(c))]
-        for k in range(0, len(sound), TOGETHER):
-            part = sound[k : k + TOGETHER]
-            every += zip(part, self._joined(part), strict=True)
-        for chunk, (a, b) in every:
-            raw = chunk.encode()
-            good = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            self.known[chunk] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if good else (b"", b"")
+        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        rest = [c for c in chunks if not PLAIN.fullmatch(c)]
+        sound = [c for c in rest if len(c) > 1 and SOUND_END.search(c)]
+        self.known.update((c, self._alone(c)) for c in rest if not (len(c) > 1 and SOUND_END.search(c)))
+        for kind, group in ((True, plain), (False, sound)):
+            for k in range(0, len(group), TOGETHER):
+                part = group[k : k + TOGETHER]
+                self.known.update(zip(part, self._joined(part, kind), strict=True))
 
     def of(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         new = [c for c in chunks if c not in self.known]
@@ -161,8 +189,10 @@ def tokenize(docs: DataFrame, first: str, second: str, id_col: str, text_col: st
         block, made = Block(), 0
         for batch in batches:
             for piece in slices(batch, text_col):
-                for doc, text in zip(piece.column(id_col).to_pylist(), piece.column(text_col).to_pylist(), strict=True):
-                    block.add(doc, chunks_of(text or ""))
+                texts = [t or "" for t in piece.column(text_col).to_pylist()]
+                block.size += sum(map(len, texts))
+                for doc, text in zip(piece.column(id_col).to_pylist(), texts, strict=True):
+                    block.add(doc, chunks_of(text))
                 if block.size >= block_chars:
                     yield row(block_number(made), block)
                     block, made = Block(), made + 1

@@ -107,7 +107,7 @@ class Block:
         before, index = len(self.places), self.index
         for words in stretches:
             self.places.extend([index.setdefault(w, len(index)) for w in words])
-            self.size += sum(map(len, words))
+
         self.ids.append(doc_id)
         self.counts.append(len(self.places) - before)
 
@@ -157,6 +157,7 @@ def cut(docs: DataFrame, path: str, parts: int, id_col: str, text_col: str, bloc
         for batch in batches:
             for piece in slices(batch, text_col):
                 texts = [t or "" for t in piece.column(text_col).to_pylist()]
+                block.size += sum(map(len, texts))
                 for doc, text in zip(piece.column(id_col).to_pylist(), sp.normalize(texts), strict=True):
                     block.add(doc, marked_words(text))
                 if block.size >= block_chars:
