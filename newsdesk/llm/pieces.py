@@ -33,7 +33,7 @@ from newsdesk.llm.arrays import list_array, slices, tidy
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of a block of texts, and parts that its words are dealt into at most.
-BLOCK_CHARS, MOST_PARTS = 1 << 23, 1024
+BLOCK_CHARS, MOST_PARTS = 1 << 24, 1024
 #: Words whose segments a task of the table keeps; it starts anew when it would hold more.
 CACHED_WORDS = 200_000
 #: Ids of a batch of the result.
