@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsdesk.functions.terms import Terms
 from newsdesk.functions.text import collapse, contains_any, first_chars
 from newsdesk.functions.times import in_window
 
@@ -21,6 +22,8 @@ AI_WORDS = (
 )
 FINANCING_WORDS = ("融资", "投资", "领投", "跟投", "参投", "募资", "并购", "收购", "funding", "financing", "investment", "raised", "raises", "round", "seed", "series")
 
+AI_TERMS, FINANCING_TERMS = Terms(AI_WORDS), Terms(FINANCING_WORDS)
+
 
 def like(c: Column, query: str) -> Column:
     """Case-insensitive substring test in which % and _ of the query are wildcards."""
@@ -61,7 +64,7 @@ def financing_contents(contents: DataFrame, tags: DataFrame) -> DataFrame:
 
 def keyword_ai_related(title: Column, summary: Column, body: Column) -> Column:
     text = F.lower(collapse(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")), first_chars(body, 1200))))
-    return text.rlike("(?<![a-z])ai(?![a-z])") | contains_any(text, AI_WORDS)
+    return text.rlike("(?<![a-z])ai(?![a-z])") | AI_TERMS.any_of(AI_TERMS.found(text), AI_WORDS)
 
 
 def keep_items(items: DataFrame, sources: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
@@ -81,7 +84,7 @@ def keep_items(items: DataFrame, sources: DataFrame, outputs: DataFrame | None =
 def is_financing_candidate(title: Column, summary: Column, tags: Column, model_type: Column | None = None) -> Column:
     """tags: array of (tag_key, tag_value)."""
     signal = F.exists(tags, lambda t: ((t["tag_key"] == "content_type") & (t["tag_value"] == "financing")) | ((t["tag_key"] == "ai_financing_relevance") & (t["tag_value"] == "high")))
-    found = F.coalesce(signal, F.lit(False)) | contains_any(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))), FINANCING_WORDS)
+    found = F.coalesce(signal, F.lit(False)) | FINANCING_TERMS.any_of(FINANCING_TERMS.found(F.lower(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))), FINANCING_WORDS)
     return found if model_type is None else found | F.coalesce(model_type == "financing", F.lit(False))
 
 
@@ -92,14 +95,36 @@ def source_window_flags(items: DataFrame, start: Column, end: Column) -> DataFra
     return items.withColumn("in_window", in_window(ts, F.col("publish_time_status"), start, end)).withColumn("before_window", before)
 
 
-def cut_after_older_streak(links: DataFrame, streak: int = 10) -> DataFrame:
+#: Positions of a source that are one block of the streak's scan.
+STREAK_BLOCK = 4_096
+
+
+def cut_after_older_streak(links: DataFrame, streak: int = 10, block: int = STREAK_BLOCK) -> DataFrame:
     """links (source_id, position, in_window, before_window) up to the item at which `streak` older ones have come
-    since the last one inside the window; items that are neither do not start the count anew."""
-    order = Window.partitionBy("source_id").orderBy("position")
-    rows = links.withColumn("_island", F.sum(F.col("in_window").cast("int")).over(order))
-    rows = rows.withColumn("_older", F.sum(F.col("before_window").cast("int")).over(Window.partitionBy("source_id", "_island").orderBy("position")))
-    stop = F.min(F.when(F.col("_older") >= streak, F.col("position"))).over(Window.partitionBy("source_id"))
-    return rows.withColumn("_stop", stop).where("_stop is null or position <= _stop").drop("_island", "_older", "_stop")
+    since the last one inside the window; items that are neither do not start the count anew.
+
+    A source is dealt into blocks of positions, so that it spreads over tasks. A block is summed up by whether it has an
+    item inside the window, by its older items before the first and behind the last of these, and blocks behind
+    one another are summed up alike: that gives the older items that stand before each block, and so each stop."""
+    at = F.floor(F.col("position") / block).alias("_block")
+    flags = F.col("in_window").cast("int"), F.col("before_window").cast("int")
+    order = Window.partitionBy("source_id", "_block").orderBy("position")
+    rows = links.select("*", at).withColumn("_island", F.sum(flags[0]).over(order))
+    rows = rows.withColumn("_older", F.sum(flags[1]).over(Window.partitionBy("source_id", "_block", "_island").orderBy("position")))
+    # the older items of a block's first stretch, of its last one, and whether these are two
+    first, last = F.coalesce(F.max(F.when(F.col("_island") == 0, F.col("_older"))), F.lit(0)), F.max_by("_older", F.struct("_island", "position"))
+    blocks = rows.groupBy("source_id", "_block").agg((F.max("_island") > 0).alias("broken"), first.alias("first"), last.alias("last"))
+    listed = blocks.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("_block", "broken", "first", "last"))).alias("b"))
+    start = F.struct(F.lit(0).cast("long").alias("open"), F.expr("cast(array() as array<struct<_block:bigint,_open:bigint>>)").alias("out"))
+
+    def pass_on(state: Column, b: Column) -> Column:
+        after = F.when(b["broken"], b["last"]).otherwise(state["open"] + b["first"])
+        return F.struct(after.alias("open"), F.concat(state["out"], F.array(F.struct(b["_block"], state["open"].alias("_open")))).alias("out"))
+
+    opened = listed.select("source_id", F.explode(F.aggregate("b", start, pass_on)["out"]).alias("o")).select("source_id", "o.*")
+    counted = rows.join(opened, ["source_id", "_block"]).withColumn("_older", F.col("_older") + F.when(F.col("_island") == 0, F.col("_open")).otherwise(0))
+    stops = counted.where(F.col("_older") >= streak).groupBy("source_id").agg(F.min("position").alias("_stop"))
+    return links.join(stops, "source_id", "left").where("_stop is null or position <= _stop").drop("_stop")
 
 
 def purge_expired(rows: DataFrame, ts: str, days: int, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:

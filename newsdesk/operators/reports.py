@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsdesk.functions.text import collapse
 from newsdesk.functions.times import daily_window, in_window, time_choice
 from newsdesk.operators.filters import report_candidates
-from newsdesk.operators.scoring import classify_content, item_text, theme_for
+from newsdesk.operators.scoring import classify_content, item_terms, theme_for
 
 #: Sections in order, with their titles.
 SECTIONS = {"technology": "技术进展", "industry": "产业新闻", "funding": "融资新闻"}
@@ -26,12 +26,12 @@ def daily_report_items(contents: DataFrame, day: dt.date, events: DataFrame | No
         reported = report_events(events, links, rows, day)
         rows = without_reported(rows, links, reported)
     rows = rows.where(F.trim(F.coalesce("url", F.lit(""))) != "")
-    text = item_text(collapse(F.col("title")), collapse(F.col("summary")))
+    rows = rows.withColumn("_found", item_terms(collapse(F.col("title")), collapse(F.col("summary"))))
     none = F.array().cast("array<string>")
     types = F.col("content_types") if "content_types" in contents.columns else none
     sectors = F.col("sectors") if "sectors" in contents.columns else none
-    rows = rows.withColumn("category", classify_content(types, F.col("source_category"), text)).withColumn("theme", theme_for(F.col("category"), text, sectors))
-    rows = rows.withColumn("published_at", F.col("_t.ts")).withColumn("time_quality", F.col("_t.quality")).drop("_t")
+    rows = rows.withColumn("category", classify_content(types, F.col("source_category"), F.col("_found"))).withColumn("theme", theme_for(F.col("category"), F.col("_found"), sectors))
+    rows = rows.withColumn("published_at", F.col("_t.ts")).withColumn("time_quality", F.col("_t.quality")).drop("_t", "_found")
     order = Window.partitionBy("category", "theme").orderBy("published_at", "title", "content_id")
     return rows.withColumn("place", F.row_number().over(order))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsdesk.functions.terms import Terms
 from newsdesk.functions.text import contains_any
 
 #: Source categories and words that add points (the points and reasons stand in score_content).
@@ -38,10 +39,19 @@ INDUSTRY_THEMES = {
 }
 
 
+#: All words that texts of items are searched for, once.
+ITEM_TERMS = Terms(SIGNAL_WORDS, FUNDING_WORDS, TECH_WORDS, *TECH_THEMES.values(), *INDUSTRY_THEMES.values())
+
+
 def item_text(title: Column, summary: Column) -> Column:
     return F.lower(F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))))
 
 
+def item_terms(title: Column, summary: Column) -> Column:
+    """The terms of ITEM_TERMS in an item's text, as bits. Put them into a column of their own where several rules read them."""
+    return ITEM_TERMS.found(item_text(title, summary))
+
+
 def score_content(title: Column, summary: Column, category: Column, ai_related: Column, content_types: Column, relevance: Column, has_entities: Column) -> Column:
     """struct(score, confidence, reasons). content_types and relevance are arrays of lower-case tag values."""
     yes, no = ai_related.eqNullSafe(True), ai_related.eqNullSafe(False)
@@ -51,7 +61,7 @@ def score_content(title: Column, summary: Column, category: Column, ai_related:
         (F.array_contains(content_types, "financing"), 25, "包含融资内容类型标签"),
         (F.array_contains(relevance, "high"), 20, "AI 融资相关性为高"),
         (has_entities, 5, "已识别公司或机构实体"),
-        (contains_any(item_text(title, summary), SIGNAL_WORDS), 10, "标题或摘要包含融资信号"),
+        (ITEM_TERMS.any_of(item_terms(title, summary), SIGNAL_WORDS), 10, "标题或摘要包含融资信号"),
         (category.isin(*KEY_CATEGORIES), 5, "来源属于重点情报来源"),
     ]
     held = [F.coalesce(test, F.lit(False)) for test, _, _ in rules]
@@ -69,24 +79,24 @@ def effective_score(stored_score: Column, stored_confidence: Column, stored_reas
     return F.struct(F.coalesce(stored_score, computed["score"]).alias("score"), confidence.alias("confidence"), reasons.alias("reasons"))
 
 
-def classify_content(content_types: Column, category: Column, text: Column) -> Column:
-    """funding, technology or industry."""
+def classify_content(content_types: Column, category: Column, found: Column) -> Column:
+    """funding, technology or industry; found: the item_terms() of an item."""
     source = F.lower(F.coalesce(category, F.lit("")))
     return (
         F.when(F.coalesce(F.arrays_overlap(content_types, F.array(*map(F.lit, FUNDING_TYPES))), F.lit(False)), "funding")
-        .when(contains_any(source, FUNDING_SOURCES) | contains_any(text, FUNDING_WORDS), "funding")
-        .when(contains_any(source, TECH_SOURCES) | contains_any(text, TECH_WORDS), "technology")
+        .when(contains_any(source, FUNDING_SOURCES) | ITEM_TERMS.any_of(found, FUNDING_WORDS), "funding")
+        .when(contains_any(source, TECH_SOURCES) | ITEM_TERMS.any_of(found, TECH_WORDS), "technology")
         .otherwise("industry")
     )
 
 
-def theme_for(category: Column, text: Column, sectors: Column | None = None) -> Column:
-    """The first sector tag that names a theme, else the first theme whose words the text holds."""
+def theme_for(category: Column, found: Column, sectors: Column | None = None) -> Column:
+    """The first sector tag that names a theme, else the first theme one of whose words is found (item_terms())."""
 
     def by_words(themes: dict[str, tuple[str, ...]], rest: str) -> Column:
         out = F.lit(rest)
         for name, words in reversed(themes.items()):
-            out = F.when(contains_any(text, words), name).otherwise(out)
+            out = F.when(ITEM_TERMS.any_of(found, words), name).otherwise(out)
         return out
 
     words = F.when(category == "technology", by_words(TECH_THEMES, "其他技术")).otherwise(by_words(INDUSTRY_THEMES, "其他产业"))

@@ -362,9 +362,23 @@ _THEME = """case when category = 'technology' then case when regexp_matches(t, '
 
 @query("sc05_category", "d1", f"select content_id, category, {_THEME} as theme from (select *, {_CATEGORY} as category from (select *, {_TEXT} as t from d1))")
 def _(spark, d1):
-    t = scoring.item_text(F.col("title"), F.col("summary"))
-    rows = d1.withColumn("category", scoring.classify_content(F.array().cast("array<string>"), F.col("source_category"), t))
-    return rows.select("content_id", "category", scoring.theme_for(F.col("category"), t).alias("theme"))
+    rows = d1.select("content_id", "source_category", scoring.item_terms(F.col("title"), F.col("summary")).alias("found"))
+    rows = rows.withColumn("category", scoring.classify_content(F.array().cast("array<string>"), F.col("source_category"), F.col("found")))
+    return rows.select("content_id", "category", scoring.theme_for(F.col("category"), F.col("found")).alias("theme"))
+
+
+@query(
+    "sc06_sector_themes",
+    "d1 d9",
+    f"""select content_id, case when content_id % 3 <> 0 then words else case content_id % 4 when 0 then '基础模型' when 2 then '具身智能' else '智能体' end end as theme
+    from (select content_id, {_THEME} as words from (select *, 'technology' as category, {_TEXT} as t from d1))""",
+)
+def _(spark, d1, d9):
+    from newsdesk.operators.joins import content_view
+
+    v = content_view(d1, d9)
+    sectors = F.transform(F.filter("tags", lambda t: t["tag_key"] == "sector"), lambda t: t["tag_value"])
+    return v.select("content_id", scoring.theme_for(F.lit("technology"), scoring.item_terms(F.col("title"), F.col("summary")), sectors).alias("theme"))
 
 
 _REPORT_WINDOW = f"""(select *, {_SHOWN} as ts, {_CHOICE} as time_quality from d1) where
@@ -526,11 +540,12 @@ def _(spark, d2):
 # --- more reports, curation and taxonomy -----------------------------------------------------------------
 
 
-@query("flt05_candidates", "d2 d5", "select content_id, true as candidate from d2")
+@query("flt05_candidates", "d2 d5", "select content_id, content_id % 5 <> 0 or content_id % 4 <> 0 as candidate from d2")
 def _(spark, d2, d5):
+    # every title of d2 has a financing word, so the tags decide here; flt05_financing_words tests the words
     from newsdesk.operators.joins import content_view
 
-    return content_view(d2, d5).select("content_id", filters.is_financing_candidate(F.col("title"), F.col("summary"), F.col("tags")).alias("candidate"))
+    return content_view(d2, d5).select("content_id", filters.is_financing_candidate(F.lit(""), F.lit(""), F.col("tags")).alias("candidate"))
 
 
 @query("jn12_exclude", "d2 d5", "select tag_key, tag_value, count(*) as n from (select * from d5 union select content_id, 'manual_financing_status', 'excluded' from d2 where content_id % 25 = 1) group by all")

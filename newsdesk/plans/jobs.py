@@ -18,6 +18,8 @@ from newsdesk.sources.shared import shared_dir
 DAY = dt.date(2024, 1, 10)
 NOW = dt.datetime(2024, 2, 1)
 CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00A0}}]+', ' ', 'g'))"
+DROPPED = r"""regexp_replace(lower(coalesce({0}, '')), '[\s_·•・\-—–|｜:：,，.。;；!！?？''"“”‘’「」《》【】（）()\[\]{{}}]+', '', 'g')"""
+TOKENS = "list_distinct(list_concat(regexp_extract_all(n, '[a-z0-9]{3,}'), [n[i:i + 1] for i in range(1, length(n))]))"
 AT = "timestamp '2024-02-01 00:00:00'"
 
 
@@ -448,13 +450,6 @@ def _(spark, d1, d9, d10):
     return scoring.rescore(rows, F.col("_s")).select("content_id", "score", "review_status")
 
 
-@query("sc06_sector_themes", "d1 d9", "select content_id, case content_id % 4 when 0 then '基础模型' when 2 then '具身智能' else '智能体' end as theme from d1 where content_id % 3 = 0")
-def _(spark, d1, d9):
-    v = joins.content_view(d1.where("content_id % 3 = 0"), d9)
-    sectors = F.transform(F.filter("tags", lambda t: t["tag_key"] == "sector"), lambda t: t["tag_value"])
-    return v.select("content_id", scoring.theme_for(F.lit("technology"), scoring.item_text(F.col("title"), F.col("summary")), sectors).alias("theme"))
-
-
 # --- tags, entities, edits -------------------------------------------------------------------------------
 
 
@@ -630,21 +625,17 @@ ORACLES["cl04_build_events"] = oracle(
     "cl04_open_events",
     "d2 d5 d11",
     f"""select * from ({_COMPANY_EVENTS},
-      e as (select company_name as company, any_value(event_id) as event_id from d11 where event_id < 400 and review_status = 'pending' and not locked_by_user group by company_name),
-      a as (select n.company, content_id, 65 + case when n.amount = d11.amount_original then 20 else 0 end as score from n join e using (company) join d11 using (event_id))
-      select company, count(*) filter (score >= 70) as attached from a group by company)""",
+      e as (select company_name as company, amount_original as amount, min(event_id) as event_id from d11 where review_status = 'pending' and not locked_by_user group by all)
+      select event_id, count(*) as attached from n join e using (company, amount) group by event_id)""",
 )
 def _(spark, d2, d5, d11):
     items = filters.financing_contents(d2, d5).select("content_id", "title", "summary", F.col("crawl_time").alias("shown"))
-    # one stored event of each company, without a date or an investor, so that only round, amount and title can agree
-    held = d11.where("event_id < 400").withColumn("announced_date", F.lit(None).cast("date")).withColumn("investors", strings())
+    # stored events have no date and no investor, so that only round, amount and title can agree, and the first event
+    # of a company and an amount wins
+    held = d11.withColumn("announced_date", F.lit(None).cast("date")).withColumn("investors", strings())
     held = held.withColumn("event_title", F.concat("company_name", F.lit("完成"), "amount_original", "financing_round", F.lit("融资")))
-    links = d2.limit(0).select("content_id")
-    new = cluster.extend_events(items, held, links)[1]
-    names = held.where("review_status = 'pending' and not locked_by_user").select(F.col("company_name").alias("company"), "event_id")
-    scanned = cluster.event_signature(items).select("company").distinct()
-    got = new.where("event_id is not null").groupBy("event_id").agg(F.count(F.lit(1)).alias("attached"))
-    return names.join(scanned, "company").join(got, "event_id", "left").select("company", F.coalesce("attached", F.lit(0)).alias("attached"))
+    new = cluster.extend_events(items, held, d2.limit(0).select("content_id"))[1]
+    return new.where("event_id is not null").groupBy("event_id").agg(F.count(F.lit(1)).alias("attached"))
 
 
 # --- model output ----------------------------------------------------------------------------------------
@@ -865,26 +856,49 @@ def _(spark, d1):
 _SIDES = ("companies", "amounts", "rounds", "investors", "title_norm", "date")
 
 
-@query("jn05_event_match", "d2 d11", "select content_id, event_id, cast(65 + case when regexp_extract(title, '([0-9]+万元)', 1) = amount_original then 20 else 0 end as double) as score, case when regexp_extract(title, '([0-9]+万元)', 1) = amount_original then 4 else 3 end as reasons from d2 join d11 on company_name = regexp_extract(title, '^(星辰[0-9]+)', 1) where event_id < 400")
+@query(
+    "jn05_event_match",
+    "d2 d11",
+    """select content_id, event_id, cast(60 + case when same then 20 else 0 end + case when apart <= 7 then 10 else 0 end + case when event_id % 3 <> 0 then 5 else 0 end as double) as score,
+      '公司名称一致|融资轮次一致' || case when same then '|融资金额一致' else '' end || case when apart <= 7 then '|宣布日期相差 ' || apart || ' 天' else '' end || case when event_id % 3 <> 0 then '|标题文本相似' else '' end as reasons
+    from (select content_id, event_id, regexp_extract(title, '([0-9]+万元)', 1) = amount_original as same, abs(cast(crawl_time as date) - announced_date) as apart
+      from d2 join d11 on company_name = regexp_extract(title, '^(星辰[0-9]+)', 1))""",
+)
 def _(spark, d2, d11):
     items = cluster.event_signature(d2.select("content_id", "title", "summary", F.col("crawl_time").alias("shown")))
-    held = d11.where("event_id < 400").withColumn("announced_date", F.lit(None).cast("date")).withColumn("investors", strings())
-    held = held.withColumn("event_title", F.concat("company_name", F.lit("完成"), "amount_original", "financing_round", F.lit("融资")))
+    # one title in three has no letter in common with any report's
+    like = F.concat("company_name", F.lit("完成"), "amount_original", "financing_round", F.lit("融资"))
+    held = d11.withColumn("investors", strings()).withColumn("event_title", F.when(F.col("event_id") % 3 == 0, "甲乙丙丁").otherwise(like))
     left = items.select("content_id", F.explode("companies").alias("name"), F.struct(*_SIDES).alias("left"))
     right = cluster.signature_of_event(held).select("event_id", F.explode("companies").alias("name"), F.struct(*_SIDES).alias("right"))
-    return cluster.score_pairs(left.join(right, "name").drop("name"), "event").select("content_id", "event_id", "score", F.size("reasons").alias("reasons"))
+    return cluster.score_pairs(left.join(right, "name").drop("name"), "event").select("content_id", "event_id", "score", F.array_join("reasons", "|").alias("reasons"))
+
+
+_PAIR_TEXT = DROPPED.format("title || ' ' || summary")
 
 
-@query("jn04_duplicate_score", "d2", "select content_id, lag(content_id) over (partition by regexp_extract(title, '^(星辰[0-9]+)', 1) order by crawl_time, content_id) as before_id, cast(1.0 as double) as score from d2 qualify before_id is not null")
+@query(
+    "jn04_duplicate_score",
+    "d2",
+    f"""select content_id, before_id, round(least(1e0, (case when c = b.c then 0.56e0 else 0e0 end) + (case when a = b.a then 0.2e0 else 0e0 end) + (case when r = b.r then 0.14e0 else 0e0 end)
+        + (case when ratio >= 0.82e0 then 0.3e0 when ratio >= 0.65e0 then 0.18e0 else 0e0 end) + (case when shared >= 0.45e0 then 0.18e0 when shared >= 0.28e0 then 0.1e0 else 0e0 end) + 0.08e0), 9) as score
+    from (select *, 2e0 * n / (2 * n + content_id % 40) as ratio, len(list_intersect(t, b.t)) / cast(len(list_distinct(list_concat(t, b.t))) as double) as shared from (
+      select *, lag(struct_pack(c, a, r, t)) over (partition by cast(crawl_time as date) order by crawl_time, content_id) as b, lag(content_id) over (partition by cast(crawl_time as date) order by crawl_time, content_id) as before_id from (
+        select content_id, crawl_time, regexp_extract(title, '^(星辰[0-9]+)', 1) as c, regexp_extract(title, '([0-9]+万元)', 1) as a, regexp_extract(title, '(天使轮|A轮|B轮|C轮)', 1) as r, length({DROPPED.format("title")}) as n,
+          {TOKENS} as t from (select *, {_PAIR_TEXT} as n from d2)))
+      where before_id is not null)""",
+)
 def _(spark, d2):
     from pyspark.sql import Window
 
-    # each report with the one before it of its company: company, round and title alone make a full score
+    # each report with the one before it on its day, whose title is put as this one's with letters added to it
     s = finance.financing_signature(F.col("title"), F.col("summary"), F.col("crawl_time"))
-    rows = d2.select("content_id", "crawl_time", s.alias("left"))
-    before = Window.partitionBy(F.element_at("left.companies", 1)).orderBy("crawl_time", "content_id")
+    rows = d2.select("content_id", F.to_date("crawl_time").alias("day"), "crawl_time", s.alias("left"))
+    before = Window.partitionBy("day").orderBy("crawl_time", "content_id")
     pairs = rows.withColumn("before_id", F.lag("content_id").over(before)).withColumn("right", F.lag("left").over(before)).where("before_id is not null")
-    return cluster.score_pairs(pairs.drop("crawl_time")).select("content_id", "before_id", F.round("score", 9).alias("score"))
+    title = F.concat(F.col("left.title_norm"), F.repeat(F.lit("x"), (F.col("content_id") % 40).cast("int")))
+    pairs = pairs.withColumn("right", F.col("right").withField("title_norm", title))
+    return cluster.score_pairs(pairs.drop("crawl_time", "day")).select("content_id", "before_id", F.round("score", 9).alias("score"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsdesk.functions import similarity
+from newsdesk.functions.terms import Terms
 from newsdesk.operators import cluster, curate, enrich, filters, ingest, joins, pages, reports, rollups, scoring, taxonomy
 from newsdesk.sources import sinks, tables
 from newsdesk.streaming import jobs
@@ -36,8 +38,10 @@ def test_older_streak_equals_loop(spark):
                 want.add((s, p))
                 older = 0 if inside else older + before
                 open_ = older < 10
-    d = spark.createDataFrame(rows, "source_id long, position long, in_window boolean, before_window boolean")
-    assert {(r.source_id, r.position) for r in filters.cut_after_older_streak(d).collect()} == want
+    d = spark.createDataFrame(rows, "source_id long, position long, in_window boolean, before_window boolean").repartition(3)
+    for block in (1, 3, 7, 4096):  # a source in many blocks and in one
+        assert {(r.source_id, r.position) for r in filters.cut_after_older_streak(d, block=block).collect()} == want
+    assert filters.cut_after_older_streak(d.limit(0)).count() == 0
 
 
 FUND = "content_id long, title string, summary string, shown timestamp_ntz"
@@ -76,20 +80,110 @@ def test_periods_are_clustered_by_themselves(spark):
     assert {(r.content_id, r.cluster_id) for r in cluster.cluster_financing(items, period=week).collect()} == {(1, 2), (2, 2), (3, 3), (4, 4)}
 
 
-def test_clusters_equal_one_global_loop(spark):
-    rng = random.Random(7)
-    names = ["星辰科技", "星辰", "灵巧手", "云图", "云图数据", "蓝海", "北斗", "Alpha One", "Alpha"]
+def loop_over_all(signatures):
+    """The rule itself: every item against every cluster."""
+    clusters, out = [], []
+    for item, s in signatures:
+        best, top = None, 0.0
+        for k, (_, c) in enumerate(clusters):
+            score = cluster.duplicate_score(s, c)
+            if score > top:
+                best, top = k, score
+        if best is not None and top >= cluster.CLUSTER_SCORE:
+            for field in cluster.GROWING:
+                clusters[best][1][field] = clusters[best][1][field] | s[field]
+            out.append((item, clusters[best][0]))
+        else:
+            clusters.append((item, dict(s)))
+            out.append((item, item))
+    return out
+
+
+def signatures_of(items):
+    from newsdesk.functions.finance import financing_signature
+
+    rows = items.select("content_id", "shown", financing_signature(F.col("title"), F.col("summary"), F.col("shown")).alias("s")).select("content_id", "shown", "s.*").collect()
+    rows.sort(key=lambda r: (r.shown or T(1, 1, 1), r.content_id), reverse=True)
+    return [(r.content_id, {k: set(r[k]) for k in cluster.GROWING} | {"title_norm": r.title_norm, "date": r.date}) for r in rows]
+
+
+@pytest.mark.parametrize("days", [5, 40])
+def test_clusters_equal_one_global_loop(spark, days, monkeypatch):
+    rng = random.Random(7 + days)
+    names = ["星辰科技", "星辰", "灵巧手", "云图", "云图数据", "蓝海", "北斗机器", "南斗机器", "Alpha One", "Alpha"]
     rows = []
-    for i in range(90):
+    for i in range(220):
         n, a, r = rng.choice(names), rng.choice(["", "5000万元", "1亿美元", "超亿元"]), rng.choice(["A轮", "B轮", ""])
-        rows.append((i, f"{n}{rng.choice(['完成', '获'])}{a}{r}融资{rng.choice(['', '加速研发', '扩张'])}", rng.choice(["", "由甲资本领投"]), T(2026, 6, 1 + rng.randrange(25), rng.randrange(24))))
+        shown = T(2026, 6, 1) + dt.timedelta(hours=rng.randrange(24 * days)) if rng.random() < 0.95 else None
+        rows.append((i, f"{n}{rng.choice(['完成', '获'])}{a}{r}融资{rng.choice(['', '加速研发', '扩张'])}", rng.choice(["", None, "由甲资本领投"]), shown))
+    items = spark.createDataFrame(rows + rows[:1], FUND).dropDuplicates(["content_id"]).repartition(3)
+    want = set(loop_over_all(signatures_of(items)))
+    assert {(r.content_id, r.cluster_id) for r in cluster.cluster_financing(items).collect()} == want
+    signatures = [s for _, s in signatures_of(items)]
+    monkeypatch.setattr(cluster, "REMEMBERED", 50)  # what is known of clusters is forgotten again and again
+    assert set(cluster.fold_clusters([(i, k) for k, (i, _) in enumerate(signatures_of(items))], signatures)) == want
+    with pytest.raises(ValueError):
+        cluster.cluster_financing(items, threshold=0.7)
+
+
+def test_names_of_one_length_are_not_parts():
+    assert cluster.company_relation({"星辰0001"}, {"星辰0002"}) == "other"
+    assert cluster.company_relation({"星辰0001"}, {"星辰00012"}) == "part"
+    assert cluster.company_relation({"abc"}, {"abcd"}) == "other"
+
+
+def test_pairs_equal_the_scores_of_two(spark):
+    rng = random.Random(4)
+    names = ["星辰科技", "星辰科技智能", "北辰", "海云数据", "Nova Labs"]
+    rows = [(i, f"{rng.choice(names)}{rng.choice(['完成', '获'])}{rng.choice(['100万元', '3亿元', ''])}{rng.choice(['A轮', 'B轮', ''])}融资{rng.choice(['', ' 领跑'])}", rng.choice(["由资本一领投", None]), T(2024, 1, 1 + rng.randrange(25)) if i % 9 else None) for i in range(60)]
     items = spark.createDataFrame(rows, FUND)
+    known = dict(signatures_of(items))
     from newsdesk.functions.finance import financing_signature
 
-    s = items.select("content_id", "shown", financing_signature(F.col("title"), F.col("summary"), F.col("shown")).alias("s")).select("content_id", "shown", "s.*").toPandas()
-    s = s.sort_values(["shown", "content_id"], ascending=False)
-    want = set(cluster.fold_clusters([(int(r["content_id"]), cluster._signature(r)) for _, r in s.iterrows()]))
-    assert {(r.content_id, r.cluster_id) for r in cluster.cluster_financing(items).collect()} == want
+    s = items.select("content_id", financing_signature(F.col("title"), F.col("summary"), F.col("shown")).alias("s"))
+    sides = [F.col("a.content_id").alias("l"), F.col("b.content_id").alias("r"), F.col("a.s").alias("left"), F.col("b.s").alias("right")]
+    got = cluster.score_pairs(s.alias("a").join(s.alias("b"), F.col("a.content_id") < F.col("b.content_id")).select(*sides)).collect()
+    assert len(got) == 60 * 59 // 2 and len({r.score for r in got}) > 10
+    assert all(r.score == cluster.duplicate_score(known[r.l], known[r.r]) for r in got)
+    e = cluster.event_signature(items)
+    told = {r.content_id: {k: set(r[k]) for k in ("companies", "amounts", "rounds", "investors")} | {"title_norm": r.title_norm, "date": r.date} for r in e.collect()}
+    e = e.select("content_id", F.struct("companies", "amounts", "rounds", "investors", "title_norm", "date").alias("s"))
+    got = cluster.score_pairs(e.alias("a").join(e.alias("b"), F.col("a.content_id") < F.col("b.content_id")).select(*sides), "event").collect()
+    assert all((r.score, r.reasons) == cluster.event_match(told[r.l], told[r.r]) for r in got) and len({r.score for r in got}) > 5
+
+
+def test_ratios_equal_difflib(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    left, right = [], []
+    for _ in range(100_000):
+        letters = rng.choice(["ab", "abcde", "星辰完成万元轮融资0123456789获A B", "a\U0001f600é"])
+        x, y = ("".join(rng.choice(letters) for _ in range(rng.randrange(24))) for _ in "xy")
+        if rng.random() < 0.5:
+            i = rng.randrange(len(x) + 1)
+            y = x[:i] + rng.choice(letters) * rng.randrange(3) + x[i + rng.randrange(3) :]
+        left.append(x)
+        right.append(y)
+    left += ["", "a" * 300, "abc" * 100, "x\0y"]
+    right += ["", "a" * 150, "acb" * 100, "x\0z"]
+    want = [SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)]
+    assert similarity.ratios(left, right).tolist() == want
+    d = spark.createDataFrame(list(zip(left[:3000], right[:3000], want[:3000], strict=True)), "x string, y string, r double")
+    x, y = F.col("x"), F.col("y")
+    assert d.where((similarity.upper_bound(x, y) < F.col("r")) | (similarity.length_bound(x, y) < similarity.upper_bound(x, y))).count() == 0
+
+
+def test_terms_found_in_one_pass(spark):
+    rng = random.Random(2)
+    terms = Terms(["ab", "abc", "b", "融资", "融资轮", "Series A"], ["x" * n for n in range(3, 80)])
+    texts = ["".join(rng.choice(["a", "b", "c", "融资", "轮", "x" * 9, "series a", " "]) for _ in range(rng.randrange(12))) for _ in range(300)] + [None, ""]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("found", terms.found(F.col("t")))
+    for lists in (["ab"], ["x" * 70, "融资轮"], ["b", "x" * 79], list(terms.terms), []):
+        got = {r.i for r in d.where(terms.any_of(F.col("found"), lists)).collect()}
+        assert got == {i for i, t in enumerate(texts) if any(x in (t or "") for x in lists)}
+    with pytest.raises(KeyError):
+        terms.any_of(F.col("found"), ["unknown"])
 
 
 def test_events_attach_and_create(spark):
