@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsdesk.functions.text import clean_title, contains_any, detect_language, first_chars, summary_chars
+from newsdesk.functions.text import clean_card_title, clean_title, contains_any, detect_language, first_chars, summary_chars
 from newsdesk.functions.times import date_from_text, date_from_url, parse_datetime
 from newsdesk.functions.urls import canonicalize_url
 
@@ -213,16 +213,35 @@ def match_link_rules(links: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.where(test).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*links.columns, "rule_id")
 
 
-def apply_list_hints(items: DataFrame, links: DataFrame, list_dated_hosts: tuple[str, ...] = ()) -> DataFrame:
-    """items (url, title, publish_time, publish_time_status) corrected by what the list page said of them: links
-    (href, text, listed_time). The card's title replaces one that is longer than 100 characters or equal to the
-    summary; the list's time fills a missing one, and replaces the page's on the named hosts."""
-    hints = links.select(F.col("href").alias("url"), F.col("text").alias("_text"), "listed_time")
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    rows = items.join(hints, "url", "left")
-    listed = F.col("listed_time").isNotNull() & (F.col("publish_time").isNull() | host.isin(*list_dated_hosts or ("",)))
-    title = F.when(F.col("_text").isNotNull() & ((F.length("title") > 100) | (F.col("title") == F.col("summary"))), F.col("_text")).otherwise(F.col("title"))
-    return rows.withColumn("title", title).withColumn("publish_time_status", F.when(listed, "exact").otherwise(F.col("publish_time_status"))).withColumn("publish_time", F.when(listed, F.col("listed_time")).otherwise(F.col("publish_time"))).drop("_text", "listed_time")
+#: Hosts whose lists date their items better than the pages do; lengths of titles.
+LIST_DATED_HOSTS = ("openai.com", "anthropic.com", "jazzyear.com", "cyzone.cn")
+LONG_TITLE, FALLBACK_TITLE = 120, 180
+
+
+def apply_list_hints(items: DataFrame, links: DataFrame, as_of: Column, list_dated_hosts: tuple[str, ...] = LIST_DATED_HOSTS) -> DataFrame:
+    """items (url, title, summary, publish_time, publish_time_status, ...), which are what pages say, corrected by what the list
+    says of them: links (href, text, position). Of links to one address the first counts; items without one stay.
+
+    The link's text, as a card, replaces a title that is too long or that is this text itself. A date in the text replaces
+    the page's on the named hosts, and fills a missing one, with its own status; else a date in the address does, as
+    estimated. A link whose page is not among items becomes an item of its own, made of the text and these dates."""
+    first = Window.partitionBy("href").orderBy("position", "text")
+    hints = links.select("href", "text", "position").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    hints = hints.select(F.col("href").alias("url"), F.col("text").alias("_text"), date_from_text(F.col("text"), as_of).alias("_listed"), date_from_url(F.col("href")).cast("timestamp_ntz").alias("_from_url"), clean_card_title(F.col("text")).alias("_card"))
+    rows = items.withColumn("_page", F.lit(True)).join(hints, "url", "full")
+    read, blank = F.coalesce(F.col("_page"), F.lit(False)), F.coalesce(F.col("_card"), F.lit("")) == ""
+    card = F.when(blank, F.col("_text")).otherwise(F.col("_card"))
+    retitled = ~blank & ((F.length("title") > LONG_TITLE) | (F.col("title") == F.col("_text")))
+    title = F.when(~read, first_chars(card, FALLBACK_TITLE)).when(retitled, F.col("_card")).otherwise(F.col("title"))
+    named = F.lit(False)
+    for host in list_dated_hosts:
+        named = named | F.contains(F.col("url"), F.lit(host))
+    own = F.when(read, F.col("publish_time"))
+    listed, estimated = F.col("_listed.ts").isNotNull() & (own.isNull() | named), own.isNull() & F.col("_from_url").isNotNull()
+    time = F.when(listed, F.col("_listed.ts")).when(estimated, F.col("_from_url")).otherwise(own)
+    status = F.when(listed, F.col("_listed.status")).when(estimated, "estimated").when(read, F.col("publish_time_status")).otherwise("missing")
+    out = {"title": title, "summary": F.when(read, F.col("summary")).otherwise(summary_chars(F.col("_text"))), "publish_time": time, "publish_time_status": status}
+    return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in items.columns))
 
 
 #: Sources that are limited by name: (list pages, links).

@@ -12,7 +12,7 @@ from newsdesk.functions import finance, text, times, urls
 from newsdesk.operators import cluster, curate, enrich, filters, ingest, joins, pages, reports, rollups, scoring, taxonomy
 from newsdesk.plans.frames import oracle
 from newsdesk.plans.registry import ORACLES, query
-from newsdesk.sources import sinks, tables
+from newsdesk.sources import keyed, sinks, tables
 from newsdesk.sources.shared import shared_dir
 
 DAY = dt.date(2024, 1, 10)
@@ -269,10 +269,31 @@ def _(spark, d1):
     return pages.match_link_rules(d1.select("content_id", "source_id", link.alias("href"), F.col("title").alias("text")), rules).select("content_id", "rule_id")
 
 
-@query("ext11_list_hints", "d1", "select content_id, case when content_id % 2 = 0 and title = summary then 'card ' || content_id else title end as title, case when content_id % 2 = 0 and publish_time is null then crawl_time else publish_time end as publish_time, case when content_id % 2 = 0 and publish_time is null then 'exact' else publish_time_status end as publish_time_status from d1")
+_LISTED = """case k when 3 then 'https://www.cyzone.cn/a/' || content_id when 4 then 'https://news.example.com/2024/2/3/' || content_id
+  when 5 then case when content_id % 12 = 5 then 'https://news.example.com/x/' else 'https://news.example.com/20240210/' end || content_id else url end"""
+
+
+@query(
+    "ext11_list_hints",
+    "d1",
+    f"""select {_LISTED} as url,
+      case k when 1 then 'same ' || content_id when 2 then 'card ' || content_id || ' 2024-1-5 08:30' when 5 then 'gone ' || content_id else title end as title, case when k = 5 then 'gone ' || content_id else summary end as summary,
+      case when k = 3 then timestamp '2024-03-04 00:00:00' when k = 5 then case when content_id % 12 = 5 then null else timestamp '2024-02-10 00:00:00' end when publish_time is not null or k = 0 then publish_time
+        when k = 1 then timestamp '2024-01-05 00:00:00' when k = 2 then timestamp '2024-01-05 08:30:00' else timestamp '2024-02-03 00:00:00' end as publish_time,
+      case when k = 3 then 'date_only' when k = 5 then case when content_id % 12 = 5 then 'missing' else 'estimated' end when publish_time is not null or k = 0 then publish_time_status when k = 4 then 'estimated' else 'exact' end as publish_time_status
+    from (select *, content_id % 6 as k from d1)""",
+)
 def _(spark, d1):
-    hints = d1.where("content_id % 2 = 0").select(F.col("url").alias("href"), F.concat(F.lit("card "), F.col("content_id").cast("string")).alias("text"), F.col("crawl_time").alias("listed_time"))
-    return pages.apply_list_hints(d1, hints).select("content_id", "title", "publish_time", "publish_time_status")
+    i = F.col("content_id").cast("string")
+    rows = d1.withColumn("k", F.col("content_id") % 6).withColumn("url", F.expr(_LISTED.replace("|| content_id", "|| cast(content_id as string)")))
+    texts = F.when(F.col("k") == 1, F.concat(F.lit("same "), i, F.lit(" Research Jan 5, 2024"))).when(F.col("k") == 2, F.concat(F.lit("card "), i, F.lit(" 2024-1-5 08:30")))
+    texts = texts.when(F.col("k") == 3, F.concat(F.lit("note "), i, F.lit(" 3月4日"))).when(F.col("k") == 4, "plain words").otherwise(F.concat(F.lit("gone "), i))
+    # every address is listed twice, and the first text counts
+    links = rows.where("k <> 0").select(F.col("url").alias("href"), texts.alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("position"))
+    links = links.withColumn("text", F.when(F.col("position") == 2, "said again 2020-1-1").otherwise(F.col("text")))
+    title = F.when(F.col("k") == 1, F.concat(F.lit("same "), i, F.lit(" Research Jan 5, 2024"))).when(F.col("k") == 2, F.repeat(F.lit("long "), 30)).otherwise(F.col("title"))
+    items = rows.where("k <> 5").withColumn("title", title).select("url", "title", "summary", "publish_time", "publish_time_status")
+    return pages.apply_list_hints(items, links, F.lit(str(NOW)).cast("timestamp_ntz"))
 
 
 # --- filters and joins -----------------------------------------------------------------------------------
@@ -911,16 +932,33 @@ def _arriving(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
 
 
-@query("st01_ingest_stream", "d1", "select 'https://h.com/' || (content_id % 300) as canonical_url from d1 where content_id % 300 >= 20 group by 1")
+def _in_files(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, str]:
+    """parts as a stream that reads one file a batch, in order, and a folder for what is made of it."""
+    folder = new_folder(spark, "stream")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+@query("st01_ingest_stream", "d1", "select 'https://h.com/' || (content_id % 300) as canonical_url, count(distinct content_id % 3) as batches from d1 where content_id % 300 >= 20 group by content_id % 300")
 def _(spark, d1):
-    from newsdesk.streaming.jobs import ingest_stream
+    from newsdesk.streaming.jobs import BatchStore, ingest_stream
 
     url = F.concat(F.lit("https://h.com/"), (F.col("content_id") % 300).cast("string")).alias("canonical_url")
-    held = d1.where("content_id % 300 < 20").select(url).distinct()
-    items, folder = _arriving(spark, d1.select("content_id", F.col("crawl_time").cast("timestamp").alias("crawl_time"), url))
-    store = lambda batch, n: batch.join(held, "canonical_url", "left_anti").write.mode("append").parquet(f"{folder}/out")
-    ingest_stream(items, store, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("canonical_url")
+    rows = d1.select("content_id", F.col("crawl_time").cast("timestamp").alias("crawl_time"), url)
+    # three batches; 300 addresses are three to a batch, so each address comes in one batch again and again
+    items, folder = _in_files(spark, [rows.where(F.col("content_id") % 3 == k) for k in range(3)])
+    store = BatchStore(spark, f"{folder}/out", ["canonical_url"], "canonical_url string, batch int")
+    rows.where("content_id % 300 < 20").select("canonical_url", F.lit(-1).alias("batch")).distinct().write.parquet(f"{folder}/out/batch_id=-1")
+
+    def twice(batch: DataFrame, n: int) -> None:
+        batch = batch.withColumn("batch", F.lit(n)).persist()
+        store(batch, n)
+        store(batch, n)  # as after a crash behind the write
+        batch.unpersist()
+
+    ingest_stream(items, twice, f"{folder}/checkpoint", late="400 days").awaitTermination()
+    return store.read().where("batch >= 0").groupBy("canonical_url").agg(F.count(F.lit(1)).alias("batches"))
 
 
 @query("st02_stream_counts", "d3", "select cast(started_at + interval 14 hour as date) as report_day, source_id, count(*) as items from d3 group by 1, 2")
@@ -933,11 +971,68 @@ def _(spark, d3):
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("st03_late_items", "d1", f"select content_id, not {_INSIDE.replace('publish_time_status = ' + chr(39) + 'date_only' + chr(39), 'false')} as late from d1")
+@query(
+    "st03_late_items",
+    "d1",
+    f"""select * from (with p as (select *, case when content_id % 4 = 0 then 0 when content_id % 4 < 3 then 1 else 2 end as part from d1),
+      mark as (select max(crawl_time) - interval 2 day as edge from p where part = 0)
+    select part as batch_id, count(*) as input_rows, count(*) as candidates, count(*) filter (not {_INSIDE.replace('publish_time_status = ' + chr(39) + 'date_only' + chr(39), 'false')}) as outside_window,
+      case when part < 2 then 0 else count(*) filter (crawl_time <= (select edge from mark)) end as dropped_late
+    from p group by part)""",
+)
+def _(spark, d1):
+    from newsdesk.streaming.jobs import BatchCounts, BatchStore, ingest_stream, late_counts
+
+    rows = d1.select("content_id", F.col("crawl_time").cast("timestamp").alias("crawl_time"), "publish_time", F.col("url").alias("canonical_url"))
+    # the engine drops rows behind the watermark that the batch before had, so the third batch is the first to lose some
+    items, folder = _in_files(spark, [rows.where(c) for c in ("content_id % 4 = 0", "content_id % 4 in (1, 2)", "content_id % 4 = 3")])
+    counts = BatchCounts()
+    spark.streams.addListener(counts)
+    store = BatchStore(spark, f"{folder}/out", ["canonical_url"], "canonical_url string")
+    try:
+        ingest_stream(late_counts(items, *times.daily_window(DAY)), store, f"{folder}/checkpoint").awaitTermination()
+        return counts.rows(spark)
+    finally:
+        spark.streams.removeListener(counts)
+
+
+@query("st04_streak_stream", "d1")
 def _(spark, d1):
-    from newsdesk.streaming.jobs import late_counts
+    from newsdesk.streaming.jobs import BatchStore, streak_state
+
+    flagged = filters.source_window_flags(d1, *times.daily_window(DAY)).select("source_id", F.col("content_id").alias("position"), "in_window", "before_window")
+    cuts = [flagged.agg(F.expr("percentile_approx(position, array(0.25, 0.5, 0.75))").alias("q")).first()["q"] or [0, 0, 0]][0]
+    parts = [flagged.where(c) for c in (f"position <= {cuts[0]}", f"position > {cuts[0]} and position <= {cuts[1]}", f"position > {cuts[1]} and position <= {cuts[2]}", f"position > {cuts[2]}")]
+    items, folder = _in_files(spark, parts[:2])
+    store = BatchStore(spark, f"{folder}/out", ["source_id", "position"], "source_id long, position long")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for later in (parts[2:], []):  # the second run goes on from the checkpoint of the first
+            streak_state(items).writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            for part in later:
+                part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return store.read()
+
+
+ORACLES["st04_streak_stream"] = ORACLES["flt07_older_streak"]
 
-    start, end = times.daily_window(DAY)
-    kept = late_counts(d1, start, end)
-    late = ~F.coalesce((F.col("publish_time") >= start) & (F.col("publish_time") < end), F.lit(False))
-    return kept.select("content_id", late.alias("late"))
+
+@query(
+    "snk07_stored_upsert",
+    "d1",
+    """select content_id, case when content_id % 5 = 1 then 'second' when content_id % 3 = 0 then 'first' else title end as title, case when content_id % 2 = 1 then 'set once' else review_status end as review_status
+    from d1 where (content_id % 2 = 0 or content_id % 3 = 0 or content_id % 5 = 1) and not (content_id % 2 = 0 and content_id % 3 <> 0 and content_id % 5 <> 1 and crawl_time < timestamp '2024-01-22 00:00:00')""",
+)
+def _(spark, d1):
+    """A stored table, updated twice and then purged."""
+    path = new_folder(spark, "keyed")
+    held = d1.where("content_id % 2 = 0").select("content_id", "title", "review_status", F.col("crawl_time").alias("kept_at"))
+    keyed.create_keyed(held, path, ["content_id"], 64)
+    for test, name in (("content_id % 3 = 0", "first"), ("content_id % 5 = 1", "second")):
+        updates = d1.where(test).select("content_id", F.lit(name).alias("title"), F.lit("set once").alias("review_status"), F.lit(None).cast("timestamp_ntz").alias("kept_at"))
+        keyed.upsert_keyed(spark, path, updates, ["content_id"], ["title", "kept_at"], 64, ["review_status"])
+    keyed.purge_keyed(spark, path, ["content_id"], "kept_at", 10, NOW)
+    return keyed.read_keyed(spark, path).select("content_id", "title", "review_status")

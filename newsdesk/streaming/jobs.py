@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +39,62 @@ def late_counts(items: DataFrame, start: Any, end: Any, name: str = "ingest") ->
     return items.observe(name, F.count(F.lit(1)).alias("candidates"), F.count_if(outside).alias("outside_window"))
 
 
+class BatchStore:
+    """Stored output of a stream, a folder for each batch, so that a batch that runs again replaces its own rows.
+
+    A batch sees what earlier ones hold, never what itself or a later one has written before a failure, so it writes the
+    same rows again. Rows count from the moment their batch's folder has its _SUCCESS marker."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str):
+        self.spark, self.path, self.keys, self.schema = spark, path.rstrip("/"), keys, schema
+
+    def _committed(self) -> list[int]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch_id=*/_SUCCESS")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
+        return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or ())
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows of all committed batches, or of those before one."""
+        paths = [f"{self.path}/batch_id={n}" for n in self._committed() if before is None or n < before]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def __call__(self, batch: DataFrame, n: int) -> None:
+        """For foreachBatch: the rows whose keys no earlier batch holds."""
+        new = batch.join(self.read(n).select(*self.keys), self.keys, "left_anti")
+        new.select(*self.read(n).columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={n}")
+
+
+class BatchCounts(StreamingQueryListener):
+    """What the engine says of each batch: rows read, the counts observed under `name`, and rows that came behind the
+    watermark and were dropped by stateful operators. Add it to spark.streams before a query starts."""
+
+    def __init__(self, name: str = "ingest"):
+        self.name, self.counts, self.ended = name, {}, threading.Event()
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.ended.clear()
+
+    def onQueryProgress(self, event: Any) -> None:
+        p = event.progress
+        seen = (p.observedMetrics or {}).get(self.name)
+        dropped = sum(x.numRowsDroppedByWatermark for x in p.stateOperators)
+        # a batch that runs again counts once
+        self.counts[p.batchId] = (p.batchId, p.numInputRows, seen["candidates"] if seen else 0, seen["outside_window"] if seen else 0, dropped)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        self.ended.set()
+
+    def rows(self, spark: SparkSession, wait: float = 60) -> DataFrame:
+        """(batch_id, input_rows, candidates, outside_window, dropped_late) of the batches that had input, after the query."""
+        if not self.ended.wait(wait):
+            raise TimeoutError("the query has not ended")
+        kept = [c for c in self.counts.values() if c[1]]
+        return spark.createDataFrame(sorted(kept), "batch_id long, input_rows long, candidates long, outside_window long, dropped_late long")
+
+
 class StreakProcessor(StatefulProcessor):
     """Per source: passes items until `streak` older ones have come since the last one inside the window."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsdesk.functions import similarity
 from newsdesk.functions.terms import Terms
 from newsdesk.operators import cluster, curate, enrich, filters, ingest, joins, pages, reports, rollups, scoring, taxonomy
-from newsdesk.sources import sinks, tables
+from newsdesk.sources import keyed, sinks, tables
 from newsdesk.streaming import jobs
 
 T = dt.datetime
@@ -427,6 +427,71 @@ def test_ingest_stream_keeps_one_of_each_url(spark, tmp_path):
     assert sorted(seen) == ["u0", "u1", "u2", "u3"]
 
 
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    store = jobs.BatchStore(spark, str(tmp_path / "out"), ["k"], "k string, v int")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    assert store.read().count() == 0
+    store(batch(("a", 1), ("b", 1)), 0)
+    store(batch(("b", 2), ("c", 2)), 1)
+    store(batch(("b", 2), ("c", 2)), 1)  # after a crash behind the write
+    assert sorted(map(tuple, store.read().collect())) == [("a", 1), ("b", 1), ("c", 2)]
+    (tmp_path / "out" / "batch_id=1" / "_SUCCESS").unlink()  # a crash within the write
+    assert sorted(r.k for r in store.read().collect()) == ["a", "b"]
+    store(batch(("b", 2), ("c", 3)), 1)
+    assert sorted(map(tuple, store.read().collect())) == [("a", 1), ("b", 1), ("c", 3)]
+    store(batch(), 2)
+    assert store.read().count() == 3
+
+
+def test_counts_of_batches(spark, tmp_path):
+    d = lambda *days: spark.createDataFrame([(f"u{x}", T(2024, 1, x), T(2024, 1, x)) for x in days], "canonical_url string, publish_time timestamp_ntz, crawl_time timestamp_ntz").withColumn("crawl_time", F.col("crawl_time").cast("timestamp"))
+    for days in ((20, 21), (19, 5), (6, 18, 20, 7), (25,)):
+        d(*days).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d(1).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = jobs.BatchCounts()
+    spark.streams.addListener(counts)
+    counted = jobs.late_counts(stream, F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-21").cast("timestamp_ntz"))
+    jobs.ingest_stream(counted, lambda df, n: df.count(), str(tmp_path / "cp")).awaitTermination()
+    assert [tuple(r) for r in counts.rows(spark).collect()] == [(0, 2, 2, 1, 0), (1, 2, 2, 1, 0), (2, 4, 4, 2, 3), (3, 1, 1, 1, 0)]
+    spark.streams.removeListener(counts)
+
+
+def test_stored_table_keeps_untouched_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, f"v{i}", T(2024, 1, 1 + i % 20)) for i in range(200)], "k long, v string, at timestamp_ntz")
+    keyed.create_keyed(rows, path, ["k"], 16)
+    files = lambda: {p.name for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(3, "new", None), (1000, "new", None)], rows.schema)
+    assert keyed.upsert_keyed(spark, path, new, ["k"], ["v"], 16)["buckets"] <= 2
+    assert 0 < len(before - files()) <= 2 and len(before & files()) >= 14
+    now = {r.k: r.v for r in keyed.read_keyed(spark, path).collect()}
+    assert now == {i: f"v{i}" for i in range(200)} | {3: "new", 1000: "new"}
+    assert keyed.upsert_keyed(spark, path, new.limit(0), ["k"], ["v"], 16) == {"buckets": 0, "rows": 0}
+    held = files()
+    with pytest.raises(ValueError):  # two rows of a key
+        keyed.upsert_keyed(spark, path, new.union(new), ["k"], ["v"], 16)
+    assert files() == held
+    one = spark.createDataFrame([(5000 + i, "x", T(2020, 1, 1)) for i in range(3)], rows.schema)
+    keyed.create_keyed(one, str(tmp_path / "o"), ["k"], 1)
+    assert keyed.purge_keyed(spark, str(tmp_path / "o"), ["k"], "at", 10, T(2024, 1, 1))["purged"] == 3
+    assert not list((tmp_path / "o").glob("bucket=*"))
+    assert keyed.purge_keyed(spark, path, ["k"], "at", 10, T(2024, 1, 15))["purged"] == sum(i % 20 < 4 for i in range(200))
+
+
+def test_list_hints(spark):
+    items = spark.createDataFrame([("https://a.com/1", "T", "s", None, "missing", 7), ("https://openai.com/2", "x" * 121, "s", T(2024, 1, 1), "exact", 8), ("https://a.com/9", "kept", "s", None, "missing", 9)], "url string, title string, summary string, publish_time timestamp_ntz, publish_time_status string, n int")
+    links = spark.createDataFrame([("https://a.com/1", "T", 1), ("https://a.com/1", "other 2024-01-02", 2), ("https://openai.com/2", "card 2024-03-04 10:00", 3), ("https://a.com/20240506/3", "gone", 4), ("https://a.com/4", "lost", 5)], "href string, text string, position int")
+    got = {r.url: tuple(r)[1:] for r in pages.apply_list_hints(items, links, F.lit("2024-06-01").cast("timestamp_ntz")).collect()}
+    assert got == {
+        "https://a.com/1": ("T", "s", None, "missing", 7),
+        "https://openai.com/2": ("card 2024-03-04 10:00", "s", T(2024, 3, 4, 10), "exact", 8),
+        "https://a.com/9": ("kept", "s", None, "missing", 9),
+        "https://a.com/20240506/3": ("gone", "gone", T(2024, 5, 6), "estimated", None),
+        "https://a.com/4": ("lost", "lost", None, "missing", None),
+    }
+
+
 def test_streak_state_across_batches(spark, tmp_path):
     rng = random.Random(3)
     rows = [(s, p, rng.random() < 0.1, rng.random() < 0.8) for s in range(3) for p in range(40)]
