@@ -68,7 +68,7 @@ def amounts(text: Column) -> Column:
 def round_texts(text: Column) -> Column:
     """The listed rounds that the text holds, in list order; a longer name does not hide a shorter one."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*map(F.lit, ROUNDS)), lambda r: F.contains(low, F.lower(r)))
+    return F.filter(F.array(*(F.when(F.contains(low, F.lit(r.lower())), F.lit(r)) for r in ROUNDS)), lambda r: r.isNotNull())
 
 
 def rounds(text: Column) -> Column:

@@ -118,9 +118,16 @@ def oracle(frames: str, sql: str) -> str:
     return "with " + ",\n".join(f"{n} as ({render(FRAMES[n], False)})" for n in names) + "\n" + render(sql, False)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer: work on the rows of one small file, or of one
+    row group, would else be one task. Larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived frame over the driver's tables."""
-    args = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", FRAMES[name])}
+    args = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if re.search(rf"\b{t}\b", FRAMES[name])}
     args |= {n: frame(spark, sf_dir, n) for n in needs(name)[:-1] if re.search(rf"\b{n}\b", FRAMES[name])}
     sql = FRAMES[name]
     for t in args:

@@ -460,7 +460,7 @@ def test_stored_table_keeps_untouched_files(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(i, f"v{i}", T(2024, 1, 1 + i % 20)) for i in range(200)], "k long, v string, at timestamp_ntz")
     keyed.create_keyed(rows, path, ["k"], 16)
-    files = lambda: {p.name for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    files = lambda: {(p.parent.name, p.name) for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
     before = files()
     new = spark.createDataFrame([(3, "new", None), (1000, "new", None)], rows.schema)
     assert keyed.upsert_keyed(spark, path, new, ["k"], ["v"], 16)["buckets"] <= 2
