@@ -14,11 +14,10 @@ is labelled twice counts once, with the larger label; without any labelled row e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ from newsdesk.llm.arrays import LOWER_VALUES, PLAIN_WORD, Rolling, Words, give_b
 from newsdesk.llm.tables import hash_share, held_out, spare
 
 BITS = 20
-#: Labelled rows learnt from at most, and the rows of a training shard.
-MAX_ROWS, SHARD_ROWS = 16_000, 4_000
+#: Labelled rows learnt from at most, and the bytes of text of a training shard, whose features take about twice as much.
+MAX_ROWS, SHARD_BYTES = 16_000, 14_000_000
 ALPHA, BETA, L1, L2, PASSES, MIN_DOCS = 5.0, 1.0, 16.0, 0.0, 15, 3
 #: Code points of the word beginnings; the weight of a toxic row in training.
 STEMS, TOXIC_WEIGHT = (3, 4, 5, 6), 5.0
@@ -55,8 +54,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return (np.concatenate(buckets) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows), len(offsets) - 1
 
 
-def train_shard(texts: list[pa.Array], labels: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero buckets, their weights and the bias after PASSES passes over the shard; places: the order of its rows."""
+def train_shard(texts: Iterable[pa.Array], labels: np.ndarray | list[float], order_of: Callable[[], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-zero buckets, their weights and the bias after PASSES passes over the shard. Texts are dropped one after another as their
+    features are taken; labels and order_of(), the order of the rows, are asked for behind the last of them."""
     docs: list[np.ndarray] = []
     for column in texts:
         bucket, row, n = features(column)
@@ -68,7 +68,9 @@ def train_shard(texts: list[pa.Array], labels: np.ndarray, places: np.ndarray |
         seen[at] += 1
     for i, at in enumerate(docs):
         docs[i] = at[seen[at] >= MIN_DOCS]
-    if places is not None:
+    labels = np.array(labels, float)
+    if order_of is not None:
+        places = order_of()
         docs, labels = [docs[i] for i in places.tolist()], labels[places]
     give_back()
     z, n2 = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -99,18 +101,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     n = known.count()
     if not n:
         return None
-    shards = max(1, round(min(n, max_rows) / SHARD_ROWS))
     sample = known.where(hash_share(F.col("doc_id"), max_rows / n))
     # about max_rows pairs of numbers, whatever the size of the labels
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(shards)))
-
-    def train(table: pa.Table) -> pa.Table:
-        # the rows stay where they are; only their order is sorted
-        places = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
-        batches = [part for b in table.to_batches() for part in slices(b, "text")]
-        kept, weights, bias = train_shard([p.column("text") for p in batches], table.column("toxic").to_numpy().astype(float), places)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(shards))).withColumn("h", F.xxhash64("text"))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        hashes: list[np.ndarray] = []
+        labels: list[float] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids.append(part.column("doc_id").to_numpy())
+                    hashes.append(part.column("h").to_numpy())
+                    labels.extend(part.column("toxic").to_pylist())
+                    yield part.column("text")
+
+        kept, weights, bias = train_shard(texts(), labels, lambda: np.lexsort((np.concatenate(hashes), np.concatenate(ids))))
         give_back()
-        return pa.table({"bucket": pa.array(np.append(kept, -1), pa.int64()), "weight": pa.array(np.append(weights, bias), pa.float64())})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(weights, bias), pa.float64())], names=["bucket", "weight"])
 
     model = rows.groupBy("shard").applyInArrow(train, "bucket long, weight double").groupBy("bucket").agg((F.sum("weight") / shards).alias("weight")).orderBy("bucket").collect()  # 2 ** BITS rows at most
     if not model:
