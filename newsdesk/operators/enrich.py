@@ -99,8 +99,15 @@ def enrich_report(items: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.withColumn("mode", mode).select(*items.columns, "mode")
 
 
-def validate_report(items: DataFrame) -> DataFrame:
-    """(report_date, violation, content_id, event_id) of flat report items; no rows if the report may be shown."""
+#: Counts of a report that are never negative.
+REPORT_COUNTS = ("sources_attempted", "sources_succeeded", "raw_items", "included_items", "failed_sources")
+
+
+def validate_report(items: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """(report_date, violation, content_id, event_id) of flat report items; no rows if the report may be shown.
+
+    items may carry sources, an array of structs with a url, which events need. reports (report_date[, stats,
+    section_keys]): a report's counts as a struct, and the keys of its sections in order."""
 
     def blank(c: str) -> Column:
         return F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
@@ -114,8 +121,24 @@ def validate_report(items: DataFrame) -> DataFrame:
         (~scheme.isin("", "http", "https"), "url must use http(s) or a relative URL"),
         (~F.coalesce(F.col("section").isin(*SECTIONS), F.lit(False)), "unknown section"),
     ]
+    if "sources" in items.columns:
+        event, none = F.col("event_id").isNotNull(), F.coalesce(F.size("sources"), F.lit(0)) <= 0
+        tests += [
+            (event & none, "sources must contain at least one source"),
+            (event & ~none & F.exists("sources", lambda x: F.coalesce(x["url"], F.lit("")) == ""), "sources must contain database URLs"),
+        ]
     found = items.withColumn("violation", F.explode(F.filter(F.array(*(F.when(t, F.lit(name)) for t, name in tests)), lambda x: x.isNotNull())))
     out = found.select("report_date", "violation", "content_id", "event_id")
+    if reports is not None:
+        wrong = []
+        if "stats" in reports.columns:
+            held = reports.schema["stats"].dataType.fieldNames()
+            wrong += [(F.col("stats")[c] < 0, f"stats.{c} must be a non-negative integer") for c in REPORT_COUNTS if c in held]
+        if "section_keys" in reports.columns:
+            wrong.append((~F.col("section_keys").eqNullSafe(F.array(*map(F.lit, SECTIONS))), "sections must be complete and in order"))
+        said = F.filter(F.array(F.lit(None).cast("string"), *(F.when(t, F.lit(name)) for t, name in wrong)), lambda x: x.isNotNull())
+        none_id = F.lit(None).cast("long")
+        out = out.unionByName(reports.select("report_date", F.explode(said).alias("violation"), none_id.alias("content_id"), none_id.alias("event_id")))
     for c, other in (("content_id", "event_id"), ("event_id", "content_id")):
         twice = items.where(F.col(c).isNotNull()).groupBy("report_date", c).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         out = out.unionByName(twice.select("report_date", F.lit(f"duplicate {c}").alias("violation"), c, F.lit(None).cast("long").alias(other)))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsdesk.functions.text import redact
 from newsdesk.functions.times import day_of
 
 #: Sections of the daily summary, and the order of sources on the dashboard.
@@ -104,11 +105,11 @@ def failed_names(runs: DataFrame, *keys: Column) -> DataFrame:
 
 def run_summaries(runs: DataFrame) -> DataFrame:
     """runs with their normalised status, counts without nulls, and warnings: the message of a run that is no success,
-    and the names of the sources that failed (an array failed_names, if runs has one)."""
+    and the names of the sources that failed (an array failed_names, if runs has one), both without secrets."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in runs.columns else F.lit(0).cast("long")
     status = normalize_run_status(F.col("status"), zero("failed_items"))
-    told = F.when((status != "success") & (F.coalesce("message", F.lit("")) != ""), F.col("message")) if "message" in runs.columns else F.lit(None).cast("string")
-    names = F.when(F.size("failed_names") > 0, F.concat(F.lit("failed sources: "), F.array_join("failed_names", ", "))) if "failed_names" in runs.columns else F.lit(None).cast("string")
+    told = F.when((status != "success") & (F.coalesce("message", F.lit("")) != ""), redact(F.col("message"))) if "message" in runs.columns else F.lit(None).cast("string")
+    names = F.when(F.size("failed_names") > 0, F.concat(F.lit("failed sources: "), F.array_join(F.transform("failed_names", lambda x: redact(x)), ", "))) if "failed_names" in runs.columns else F.lit(None).cast("string")
     warnings = F.filter(F.array(told, names), lambda x: x.isNotNull())
     counts = F.struct(*(zero(c).alias(c) for c in ("total_items", "new_items", "failed_items")))
     return runs.select("crawl_run_id", status.alias("status"), counts.alias("counts"), warnings.alias("warnings"))
@@ -131,8 +132,9 @@ def date_spine(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     return spark.sql("select explode(sequence({a}, {b})) as day".replace("{a}", f"date'{start}'").replace("{b}", f"date'{end}'"))
 
 
-def week_status(spark: SparkSession, runs: DataFrame, contents: DataFrame, target: dt.date) -> DataFrame:
-    """Each day from Monday to the target: status of its latest run, whether any run of it completed, and its contents."""
+def week_status(spark: SparkSession, runs: DataFrame, contents: DataFrame, target: dt.date, summaries: DataFrame | None = None) -> DataFrame:
+    """Each day from Monday to the target: status of its latest run, whether any run of it completed, its contents, and
+    whether it has a summary. summaries: (summary_date)."""
     monday = target - dt.timedelta(days=target.weekday())
     days = date_spine(spark, monday, target)
     start, end = (F.lit(str(dt.datetime.combine(d, dt.time()))).cast("timestamp_ntz") for d in (monday, target + dt.timedelta(days=1)))
@@ -143,7 +145,11 @@ def week_status(spark: SparkSession, runs: DataFrame, contents: DataFrame, targe
     latest = latest_run_per_day(runs).select("day", F.col("status").alias("latest_status"))
     counts = contents.groupBy(F.to_date("crawl_time").alias("day")).agg(F.count(F.lit(1)).alias("content_count"))
     out = days.join(done, "day", "left").join(latest, "day", "left").join(counts, "day", "left")
-    return out.select("day", "latest_status", F.coalesce("completed", F.lit(False)).alias("completed"), F.coalesce("content_count", F.lit(0)).alias("content_count"))
+    if summaries is not None:
+        held = summaries.select(F.col("summary_date").cast("date").alias("day"), F.lit(True).alias("_held")).where(F.col("day").between(F.lit(monday), F.lit(target))).distinct()
+        out = out.join(held, "day", "left")
+    has_summary = F.coalesce("_held", F.lit(False)) if summaries is not None else F.lit(False)
+    return out.select("day", "latest_status", F.coalesce("completed", F.lit(False)).alias("completed"), has_summary.alias("has_summary"), F.coalesce("content_count", F.lit(0)).alias("content_count"))
 
 
 def missing_dates(week: DataFrame) -> DataFrame:
@@ -151,16 +157,18 @@ def missing_dates(week: DataFrame) -> DataFrame:
 
 
 def page_per_source(contents: DataFrame, sources: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
-    """A page of the newest items of each enabled source, with the source's totals and rank; a page beyond the last is the last."""
+    """A page of the newest items of each enabled source, with the source's totals and rank; a page beyond the last is the
+    last. A source without contents has one empty page: a row without a place and a content."""
     shown = F.coalesce("publish_time", "crawl_time")
     s = sources.where("enabled").select("source_id", F.col("source_name").alias("name"), category_rank(F.col("source_category")).alias("source_rank"))
     totals = contents.groupBy("source_id").agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int"))
     # a constant bound on the place lets each task keep only its best rows of a source before they are shuffled
     best = F.row_number().over(Window.partitionBy("source_id").orderBy(shown.desc_nulls_last(), F.desc("content_id")))
     rows = contents.select("source_id", "content_id", "publish_time", "crawl_time").withColumn("place", best).where(F.col("place") <= page * size)
-    rows = rows.join(totals.join(s, "source_id"), "source_id")
+    every = s.join(totals, "source_id", "left").withColumn("total", F.coalesce("total", F.lit(0))).withColumn("pages", F.coalesce("pages", F.lit(1)))
+    rows = every.join(rows, "source_id", "left")
     at = F.least(F.lit(page), F.col("pages"))
-    return rows.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size)).select("source_id", "name", "source_rank", "total", "pages", "place", "content_id")
+    return rows.where(F.col("place").isNull() | ((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size))).select("source_id", "name", "source_rank", "total", "pages", "place", "content_id")
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -248,11 +256,21 @@ def automation_status(dates: DataFrame, manifests: DataFrame, running: DataFrame
     return dates.select("target_date").join(last, "target_date", "left").join(active, "target_date", "left").select("target_date", status.alias("status"), "run_id")
 
 
-def rank_inbox(contents: DataFrame, least: int | None = None, limit: int = 50, offset: int = 0, candidate_cap: int | None = 1000) -> DataFrame:
+def rank_inbox(contents: DataFrame, least: int | None = None, limit: int = 50, offset: int = 0, candidate_cap: int | None = 1000, status: str = "", query: str = "", day: dt.date | None = None) -> DataFrame:
     """A page of scored contents (score, crawl_time): best first, then latest, with the total of rows that qualify.
 
-    candidate_cap bounds the newest rows that are looked at, as the inbox does; None looks at all of them."""
+    status (of the review), query (in title, summary or source name) and day (of the crawl) hold before candidate_cap,
+    which bounds the newest rows that are looked at, as the inbox does; None looks at all of them."""
+    from newsdesk.operators.filters import like
+
     rows = contents
+    if status:
+        rows = rows.where(F.col("review_status") == status)
+    if query.strip():
+        rows = rows.where(like(F.col("title"), query) | like(F.col("summary"), query) | like(F.col("source_name"), query))
+    if day is not None:
+        start, end = (F.lit(str(dt.datetime.combine(d, dt.time()))).cast("timestamp_ntz") for d in (day, day + dt.timedelta(days=1)))
+        rows = rows.where((F.col("crawl_time") >= start) & (F.col("crawl_time") < end))
     if candidate_cap is not None:
         rows = rows.orderBy(F.desc("crawl_time"), F.desc("content_id")).limit(min(candidate_cap, max(limit + offset, 200)))
     if least is not None:
@@ -275,15 +293,17 @@ def entity_names(entities: DataFrame, kinds: tuple[str, ...], key: str, order: l
     return rows.groupBy(key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_set("m")), lambda m: m["name"])).alias("names"))
 
 
-def weekly_funnel(contents: DataFrame, candidate: Column, relevance: Column, failed: Column | None = None) -> DataFrame:
+def weekly_funnel(contents: DataFrame, candidate: Column, relevance: Column, failed: Column | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """How the week's items fall: total, those with model metadata, not articles or no candidates (skipped), candidates,
-    classified, high, none, and failed: candidates whose classification failed."""
+    classified, high, none, failed: candidates whose classification failed; and event_count, the clusters of its financing
+    items. clusters: (content_id, cluster_id)."""
     from newsdesk.operators.filters import ARTICLE_CATEGORIES
 
     article = F.col("source_category").isin(*ARTICLE_CATEGORIES)
     done = F.coalesce(F.col("llm_status") == "success", F.lit(False)) if "llm_status" in contents.columns else F.lit(False)
     rows = contents.select(article.alias("a"), (article & candidate).alias("c"), relevance.alias("r"), done.alias("m"), (F.lit(False) if failed is None else failed).alias("f"))
-    return rows.agg(
+    events = contents.limit(0).agg(F.count(F.lit(1)).alias("event_count")) if clusters is None else clusters.agg(F.countDistinct("cluster_id").alias("event_count"))
+    counts = rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("m").alias("metadata_processed"),
         F.count_if(F.col("c") & F.col("f")).alias("failed"),
@@ -293,6 +313,7 @@ def weekly_funnel(contents: DataFrame, candidate: Column, relevance: Column, fai
         F.count_if(F.col("c") & (F.col("r") == "high")).alias("high"),
         F.count_if(F.col("c") & (F.col("r") == "none")).alias("none"),
     )
+    return counts.crossJoin(F.broadcast(events))  # one row each
 
 
 def recent(rows: DataFrame, limit: int, *order: Column) -> DataFrame:

@@ -277,15 +277,21 @@ def _(spark, d3):
 
 _WEEK = """with r as (select cast(started_at as date) as day, * from d3 where source_id is null),
   l as (select day, status from (select *, row_number() over (partition by day order by started_at desc, crawl_run_id desc) as n from r) where n = 1)
-  select s.day, l.status as latest_status, coalesce(c.completed, false) as completed, coalesce(n.n, 0) as content_count
+  select s.day, l.status as latest_status, coalesce(c.completed, false) as completed, coalesce(m.held, false) as has_summary, coalesce(n.n, 0) as content_count
   from (select cast(unnest(generate_series(timestamp '2024-01-08', timestamp '2024-01-11', interval 1 day)) as date) as day) s
   left join l using (day) left join (select day, bool_or(status <> 'failed') as completed from r group by day) c using (day)
+  left join (select distinct cast(crawl_time as date) as day, true as held from d1 where content_id % 3 = 0 and day(crawl_time) % 2 = 0) m using (day)
   left join (select cast(crawl_time as date) as day, count(*) as n from d1 group by 1) n using (day)"""
 
 
+def _summaries(d1: DataFrame) -> DataFrame:
+    return d1.where("content_id % 3 = 0 and day(crawl_time) % 2 = 0").select(F.to_date("crawl_time").alias("summary_date"))
+
+
+
 @query("wn02_week_status", "d3 d1", f"select * from ({_WEEK})")
 def _(spark, d3, d1):
-    return rollups.week_status(spark, d3, d1, WEEK_DAY)
+    return rollups.week_status(spark, d3, d1, WEEK_DAY, _summaries(d1))
 
 
 @query("set03_missing_dates", "d3 d1", f"select day from ({_WEEK}) where not completed")
@@ -307,6 +313,20 @@ def _(spark, d1, d4):
     return rollups.page_per_source(d1, d4, page=2)
 
 
+@query(
+    "wn03_page_of_day",
+    "d1 d4",
+    """select source_id, name, source_rank, coalesce(total, 0) as total, coalesce(pages, 1) as pages, place, content_id from (
+      select source_id, source_name as name, case source_category when 'venture_media' then 0 when 'ai_media' then 1 when 'tech_business_media' then 2 when 'official_news' then 3 when 'github' then 8 else 99 end as source_rank from d4 where enabled)
+    left join (select source_id, count(*) over (partition by source_id) as total, cast(ceil(count(*) over (partition by source_id) / 10.0) as int) as pages,
+        cast(row_number() over (partition by source_id order by coalesce(publish_time, crawl_time) desc nulls last, content_id desc) as int) as place, content_id
+      from d1 where cast(crawl_time as date) = date '2024-01-10') using (source_id)
+    where place is null or place <= 10""",
+)
+def _(spark, d1, d4):
+    return rollups.page_per_source(d1.where(F.to_date("crawl_time") == F.lit(DAY)), d4)
+
+
 @query("wn04_latest_version", "d8", "select report_id, version_number, next_version from (select *, version_number + 1 as next_version, row_number() over (partition by report_id order by version_number desc) as n from d8) where n = 1")
 def _(spark, d8):
     return rollups.latest_versions(d8).select("report_id", "version_number", "next_version")
@@ -577,6 +597,11 @@ def _(spark, d1):
     return rollups.rank_inbox(_scored(d1), least=40, candidate_cap=None).select("content_id", "score", "total")
 
 
+@query("wn09_inbox_filters", "d1", f"select content_id, score, (select count(*) from ({_SCORE}) where review_status = 'unread' and (title ilike '%er%' or summary ilike '%er%' or source_name ilike '%er%') and cast(crawl_time as date) = date '2024-01-10') as total from ({_SCORE}) where review_status = 'unread' and (title ilike '%er%' or summary ilike '%er%' or source_name ilike '%er%') and cast(crawl_time as date) = date '2024-01-10' order by score desc, crawl_time desc, content_id desc limit 50")
+def _(spark, d1):
+    return rollups.rank_inbox(_scored(d1), candidate_cap=None, status="unread", query="er", day=DAY).select("content_id", "score", "total")
+
+
 @query(
     "sc03_reviews",
     "d1",
@@ -676,7 +701,7 @@ _LATE_WEEK = _WEEK.replace("timestamp '2024-01-08', timestamp '2024-01-11'", "ti
 
 @query("wn02_late_week", "d3 d1", f"select * from ({_LATE_WEEK})")
 def _(spark, d3, d1):
-    return rollups.week_status(spark, d3, d1, _LATE_DAY)
+    return rollups.week_status(spark, d3, d1, _LATE_DAY, _summaries(d1))
 
 
 @query("set03_days_without_runs", "d3 d1", f"select day from ({_LATE_WEEK}) where not completed")

@@ -382,12 +382,12 @@ def _(spark, d10):
     return names.select("content_id", F.array_join("names", "|").alias("names"))
 
 
-@query("ag13_funnel", "d1 d9", "select count(*) as total, count(*) filter (llm_status = 'success') as metadata_processed, count(*) filter (c) as candidates, count(*) filter (c) as classified, count(*) filter (c and content_id % 7 = 0) as high, count(*) filter (c and content_id % 7 <> 0) as none, 0 as failed, count(*) filter (not c) as skipped from (select *, source_category in ('venture_media', 'ai_media', 'tech_business_media', 'official_news', 'official_research') and (content_id % 5 = 0 or content_id % 7 = 0) as c from (select * from d1 where crawl_time >= timestamp '2024-01-08' and crawl_time < timestamp '2024-01-15'))")
+@query("ag13_funnel", "d1 d9", "select count(*) as total, count(*) filter (llm_status = 'success') as metadata_processed, count(*) filter (c) as candidates, count(*) filter (c) as classified, count(*) filter (c and content_id % 7 = 0) as high, count(*) filter (c and content_id % 7 <> 0) as none, 0 as failed, count(*) filter (not c) as skipped, count(distinct content_id % 50) filter (content_id % 5 = 0 or content_id % 7 = 0) as event_count from (select *, source_category in ('venture_media', 'ai_media', 'tech_business_media', 'official_news', 'official_research') and (content_id % 5 = 0 or content_id % 7 = 0) as c from (select * from d1 where crawl_time >= timestamp '2024-01-08' and crawl_time < timestamp '2024-01-15'))")
 def _(spark, d1, d9):
     relevance = F.when(F.col("content_id") % 7 == 0, "high").otherwise("none")
     candidate = (F.col("content_id") % 5 == 0) | (F.col("content_id") % 7 == 0)
     week = rollups.of_week(d1, dt.date(2024, 1, 8))
-    return rollups.weekly_funnel(week, candidate, relevance).select("total", "metadata_processed", "candidates", "classified", "high", "none", F.col("failed").cast("int").alias("failed"), "skipped")
+    return rollups.weekly_funnel(week, candidate, relevance, clusters=week.where(candidate).select("content_id", (F.col("content_id") % 50).alias("cluster_id"))).select("total", "metadata_processed", "candidates", "classified", "high", "none", F.col("failed").cast("int").alias("failed"), "skipped", "event_count")
 
 
 @query("ag16_guard", "d1", "select content_id, greatest(1, (length(coalesce(summary, '')) + 3) // 4) > 500 as rejected from d1")
@@ -767,9 +767,9 @@ def _(spark, d3):
     return rollups.failed_names(runs, F.to_date("started_at").alias("day")).select("day", F.array_join("names", ",").alias("names"))
 
 
-@query("ag08_run_summaries", "d3", "select crawl_run_id, case status when 'failed' then 'failed' when 'partial_success' then 'partial' else 'success' end as status, new_items, cast(failed_items as bigint) as failed_items, case when status <> 'success' and crawl_run_id % 2 = 0 then 'm' || crawl_run_id else '' end as warnings from d3")
+@query("ag08_run_summaries", "d3", "select crawl_run_id, case status when 'failed' then 'failed' when 'partial_success' then 'partial' else 'success' end as status, new_items, cast(failed_items as bigint) as failed_items, case when status <> 'success' and crawl_run_id % 2 = 0 then 'api_key=<redacted> m' || crawl_run_id else '' end as warnings from d3")
 def _(spark, d3):
-    runs = d3.withColumn("message", F.when(F.col("crawl_run_id") % 2 == 0, F.concat(F.lit("m"), F.col("crawl_run_id").cast("string"))).otherwise(""))
+    runs = d3.withColumn("message", F.when(F.col("crawl_run_id") % 2 == 0, F.concat(F.lit("api_key: s3cret m"), F.col("crawl_run_id").cast("string"))).otherwise(""))
     return rollups.run_summaries(runs).select("crawl_run_id", "status", "counts.new_items", "counts.failed_items", F.array_join("warnings", "|").alias("warnings"))
 
 

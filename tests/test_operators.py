@@ -249,6 +249,24 @@ def test_week_status(spark):
     assert sorted(r.day for r in rollups.missing_dates(week).collect()) == [dt.date(2026, 6, 16), dt.date(2026, 6, 17)]
 
 
+def test_sources_without_contents_have_an_empty_page(spark):
+    contents = spark.createDataFrame([(i, 1, T(2024, 1, 1), T(2024, 1, 1 + i)) for i in range(12)], "content_id long, source_id long, publish_time timestamp_ntz, crawl_time timestamp_ntz")
+    sources = spark.createDataFrame([(1, "a", "ai_media", True), (2, "b", "other", True), (3, "c", "github", False)], "source_id long, source_name string, source_category string, enabled boolean")
+    got = rollups.page_per_source(contents, sources, page=2).collect()
+    assert {(r.source_id, r.total, r.pages, r.place, r.content_id) for r in got} == {(1, 12, 2, 11, 1), (1, 12, 2, 12, 0), (2, 0, 1, None, None)}
+
+
+def test_report_checks(spark):
+    day = dt.date(2024, 1, 10)
+    kind = "report_date date, section string, content_id long, event_id long, title string, summary string, source string, url string, sources array<struct<url:string>>"
+    items = spark.createDataFrame([(day, "funding", None, 1, "t", "s", "x", "/e", [("u",)]), (day, "funding", None, 2, "t", "s", "x", "/e", []), (day, "funding", None, 3, "t", "s", "x", "/e", [("u",), ("",)]), (day, "funding", 4, None, "t", "s", "x", "/e", None)], kind)
+    reports = spark.createDataFrame([(day, (-1, 0), ["technology", "funding"])], "report_date date, stats struct<raw_items:int,included_items:int>, section_keys array<string>")
+    got = {(r.violation, r.event_id) for r in enrich.validate_report(items, reports).collect()}
+    assert got == {("sources must contain at least one source", 2), ("sources must contain database URLs", 3), ("stats.raw_items must be a non-negative integer", None), ("sections must be complete and in order", None)}
+    good = spark.createDataFrame([(day, (1, 0), ["technology", "industry", "funding"])], reports.schema)
+    assert enrich.validate_report(items.where("event_id = 1"), good).count() == 0
+
+
 def test_watch_conflicts(spark):
     items = spark.createDataFrame([(1, "content", 7, "content:7", "high", "watching", None, None, None)], tables.SCHEMAS["watch_items"])
     cmd = spark.createDataFrame([(1, "content", 7, "low", "watching", None), (2, "content", 8, "low", "paused", None), (3, "content", 8, "low", "watching", None), (4, "content", 7, "low", "completed", None)], "seq long, target_type string, target_id long, priority string, status string, next_review_date date")
