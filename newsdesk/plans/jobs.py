@@ -841,30 +841,53 @@ def _(spark, d2, d5):
     return rows.join(clusters, "content_id").select("content_id", "cluster_id")
 
 
-@query("rp03_weekly_markdown", "d2 d12 d11", "select '# 融资新闻周报（2024-01-08 至 2024-01-14）' as title, (select count(distinct event_id) from d12) as events, 7 as raw_count")
-def _(spark, d2, d12, d11):
+def _details(where: str) -> str:
+    """SQL for the details of events. The orders of a customer name one company, amount, round and investor, and their texts
+    have no end of a sentence, so the evidence of investors is the whole text, cut where it is too long."""
+    return f"""select event_id as cluster_id, any_value(regexp_extract(title, '^(星辰[0-9]+)', 1)) as company, any_value(regexp_extract(title, '(天使轮|A轮|B轮|C轮)', 1)) as round, any_value(regexp_extract(title, '([0-9]+万元)', 1)) as amount,
+      any_value(summary) as project_intro, case when length(string_agg(title || ' ' || summary, ' ' order by crawl_time desc, content_id desc)) <= 220 then string_agg(title || ' ' || summary, ' ' order by crawl_time desc, content_id desc)
+        else rtrim(string_agg(title || ' ' || summary, ' ' order by crawl_time desc, content_id desc)[:220]) || '...' end as investor_intro, count(*) as reports
+      from d12 join d2 using (content_id) {where} group by event_id"""
+
+
+_OF_WEEK = "where crawl_time >= timestamp '2024-01-08 00:00:00' and crawl_time < timestamp '2024-01-15 00:00:00'"
+
+
+def _members(d2: DataFrame, d12: DataFrame) -> DataFrame:
     named = d12.select("content_id", F.col("event_id").alias("cluster_id")).join(d2, "content_id")
-    members = named.select("cluster_id", "content_id", F.col("crawl_time").alias("shown"), "title", "summary", F.lit("源").alias("source_name"))
-    details = reports.cluster_detail(members).withColumn("links", F.lit("[a](b)"))
-    out = reports.weekly_markdown(details, dt.date(2024, 1, 8), dt.date(2024, 1, 14), 7)
-    lines = F.split("markdown", "\n")
-    return out.select(lines[0].alias("title"), F.size(F.filter(lines, lambda x: x.startswith("### "))).cast("long").alias("events"), F.regexp_extract("markdown", "原始融资新闻数：([0-9]+)", 1).cast("int").alias("raw_count"))
+    return named.select("cluster_id", "content_id", F.col("crawl_time").alias("shown"), "title", "summary", F.lit("源").alias("source_name"))
 
 
-@query("rp03_empty_week", "d2", "select '上周暂无已识别的融资事件。' as said")
-def _(spark, d2):
-    none = "cluster_id long, company string, round string, amount string, project_intro string, investor_intro string, source_names string, links string"
-    out = reports.weekly_markdown(spark.createDataFrame([], none), dt.date(2024, 1, 8), dt.date(2024, 1, 14), 0)
-    return out.select(F.regexp_extract("markdown", "\n(.*。)\n$", 1).alias("said"))
+@query(
+    "rp03_weekly_markdown",
+    "d2 d12",
+    f"""select '# 融资新闻周报（2024-01-08 至 2024-01-14）' as title, (select cast(sum(reports) as bigint) from ({_details(_OF_WEEK)})) as raw_count, (select count(*) from ({_details(_OF_WEEK)})) as events,
+      row_number() over (order by cluster_id desc) || '. ' || company || chr(10) || chr(10) || '- 公司：' || company || chr(10) || '- 融资轮次：' || round || chr(10) || '- 融资金额：' || amount || chr(10) || '- 项目简介：' || project_intro || chr(10)
+        || '- 投资方简介：' || investor_intro || chr(10) || '- 新闻来源：源' || chr(10) || '- 相关报道：[' || reports || '](/r)' as event
+    from ({_details(_OF_WEEK)})""",
+)
+def _(spark, d2, d12):
+    members = _members(d2, d12).where((F.col("shown") >= F.lit("2024-01-08").cast("timestamp_ntz")) & (F.col("shown") < F.lit("2024-01-15").cast("timestamp_ntz")))
+    details = reports.cluster_detail(members).withColumn("links", F.concat(F.lit("["), F.col("reports").cast("string"), F.lit("](/r)")))
+    out = reports.weekly_markdown(details, dt.date(2024, 1, 8), dt.date(2024, 1, 14), members.count())
+    number = lambda name: F.regexp_extract("markdown", f"{name}：([0-9]+)", 1).cast("long")
+    sections = F.slice(F.split("markdown", "### "), 2, 1 << 30)
+    rows = out.select(F.split("markdown", "\n")[0].alias("title"), number("原始融资新闻数").alias("raw_count"), number("融资事件数（去重）").alias("events"), F.explode(sections).alias("event"))
+    return rows.withColumn("event", F.rtrim(F.regexp_replace("event", "\n+$", "")))
 
 
-@query("ag10_event_details", "d2 d12", "select event_id as cluster_id, company, amounts, rounds, investors, reports from (select event_id, arg_max(regexp_extract(title, '^(星辰[0-9]+)', 1), (crawl_time, content_id)) as company, count(*) as reports, string_agg(distinct regexp_extract(title, '([0-9]+万元)', 1), '、') as amounts, string_agg(distinct regexp_extract(title, '(天使轮|A轮|B轮|C轮)', 1), '、') as rounds, count(distinct summary) as investors from d12 join d2 using (content_id) group by event_id)")
+@query("rp03_empty_week", "d2 d12", "select '上周暂无已识别的融资事件。' as said, (select count(*) from d12 join d2 using (content_id) where crawl_time >= timestamp '2024-02-05 00:00:00') as events")
 def _(spark, d2, d12):
-    # the orders of a customer name one company, amount, round and investor, so each list has one entry
-    named = d12.select("content_id", F.col("event_id").alias("cluster_id")).join(d2, "content_id")
-    members = named.select("cluster_id", "content_id", F.col("crawl_time").alias("shown"), "title", "summary", F.lit("源").alias("source_name"))
-    v = reports.cluster_detail(members)
-    return v.select("cluster_id", "company", F.col("amount").alias("amounts"), F.col("round").alias("rounds"), F.lit(1).cast("long").alias("investors"), F.col("reports").cast("long").alias("reports"))
+    """The week after the last one that has reports."""
+    members = _members(d2, d12).where(F.col("shown") >= F.lit("2024-02-05").cast("timestamp_ntz"))
+    out = reports.weekly_markdown(reports.cluster_detail(members).withColumn("links", F.lit("")), dt.date(2024, 2, 5), dt.date(2024, 2, 11), members.count())
+    return out.select(F.regexp_extract("markdown", "\n(.*。)\n$", 1).alias("said"), F.regexp_extract("markdown", "原始融资新闻数：([0-9]+)", 1).cast("long").alias("events"))
+
+
+@query("ag10_event_details", "d2 d12", f"select cluster_id, company, amount, round, project_intro, investor_intro, reports from ({_details('')})")
+def _(spark, d2, d12):
+    v = reports.cluster_detail(_members(d2, d12))
+    return v.select("cluster_id", "company", "amount", "round", "project_intro", "investor_intro", F.col("reports").cast("long").alias("reports"))
 
 
 @query("fn05_fill_from_day", "d1", "select content_id, case content_id % 3 when 0 then crawl_time - interval 1 year + interval 1 year when 1 then cast(cast(crawl_time as date) as timestamp) else timestamp '2024-02-01 00:00:00' + (crawl_time - cast(cast(crawl_time as date) as timestamp)) end as parsed from d1")
@@ -976,7 +999,7 @@ def _(spark, d3):
     "d1",
     f"""select * from (with p as (select *, case when content_id % 4 = 0 then 0 when content_id % 4 < 3 then 1 else 2 end as part from d1),
       mark as (select max(crawl_time) - interval 2 day as edge from p where part = 0)
-    select part as batch_id, count(*) as input_rows, count(*) as candidates, count(*) filter (not {_INSIDE.replace('publish_time_status = ' + chr(39) + 'date_only' + chr(39), 'false')}) as outside_window,
+    select cast(part as bigint) as batch_id, count(*) as input_rows, count(*) as candidates, count(*) filter (not {_INSIDE.replace('publish_time_status = ' + chr(39) + 'date_only' + chr(39), 'false')}) as outside_window,
       case when part < 2 then 0 else count(*) filter (crawl_time <= (select edge from mark)) end as dropped_late
     from p group by part)""",
 )
