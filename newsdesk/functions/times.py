@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsdesk.functions.dates import free_form
+
 CUTOFF_HOUR = 10
 EXACT_STATUSES = ("exact", "verified", "parsed")
 
@@ -73,7 +75,8 @@ def date_from_url(url: Column) -> Column:
 
 def parse_datetime(c: Column, as_of: Column | None = None) -> Column:
     """Date text as naive Beijing time: values with an offset are converted, others taken as they are, bad ones null.
-    With as_of, a text without a year or without a date takes them from there."""
+    With as_of, a text without all parts of a date takes them from there. The usual forms are read in the JVM, all others by
+    free_form()."""
     # a weekday in front says nothing more
     text = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9},\s*(?=\d)", "")
     offset = text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$") & text.rlike(r"\d:\d")
@@ -91,7 +94,9 @@ def parse_datetime(c: Column, as_of: Column | None = None) -> Column:
     if as_of is not None:
         for given, pattern in ((F.date_format(as_of, "yyyy-"), "yyyy-M-d HH:mm"), (F.date_format(as_of, "yyyy-"), "yyyy-M-d"), (F.date_format(as_of, "yyyy "), "yyyy MMM d HH:mm"), (F.date_format(as_of, "yyyy "), "yyyy MMM d"), (F.date_format(as_of, "yyyy-MM-dd "), "yyyy-MM-dd H:mm")):
             filled = F.coalesce(filled, F.try_to_timestamp(F.concat(given, text), F.lit(pattern)).cast("timestamp_ntz"))
-    return F.when(offset, beijing).otherwise(F.coalesce(plain.cast("timestamp_ntz"), filled))
+    known = F.when(offset, beijing).otherwise(F.coalesce(plain.cast("timestamp_ntz"), filled))
+    # what the usual forms leave over is read token by token
+    return F.coalesce(known, free_form(F.when(known.isNull() & (text != ""), text), as_of))
 
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()

@@ -897,6 +897,23 @@ def _(spark, d1):
     return d1.select("content_id", times.parse_datetime(raw, F.lit(str(NOW)).cast("timestamp_ntz")).alias("parsed"))
 
 
+_FREE_FORMS = ("d MMM yyyy h:mma", "MMMM d, yyyy 'at' HH:mm", "EEEE, MMM d yyyy HH:mm:ss", "M/d/yyyy h:mm a", "yyyyMMdd'T'HHmm", "yyyy.MM.dd HH:mm", "d-MMM-yyyy HH:mm", "MMM d h:mma", "HH:mm MMMM d", "h a EEE")
+
+
+@query(
+    "fn05_free_form",
+    "d1",
+    """select content_id, case when content_id % 11 = 10 then null when content_id % 11 = 9 then timestamp '2024-02-01 00:00:00' + to_days(cast((isodow(crawl_time) - 4 + 7) % 7 as int)) + to_hours(cast(hour(crawl_time) as int)) else crawl_time end as parsed, case when content_id % 11 < 7 then crawl_time + case when content_id % 2 = 0 then interval (-1) hour else interval 17 hour end end as zoned from d1""",
+)
+def _(spark, d1):
+    """Forms that no pattern of the ladder reads; the sixth and following ones lack a year, a date or are no date."""
+    at, i = F.col("crawl_time"), F.col("content_id")
+    raw = F.element_at(F.array(*(F.date_format(at, p) for p in _FREE_FORMS), F.concat(F.lit("some day "), F.date_format(at, "HH:mm"))), (i % 11 + 1).cast("int"))
+    zoned = F.when(i % 11 < 7, F.concat(raw, F.when(i % 2 == 0, " +0900").otherwise(" UTC+9")))
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    return d1.select("content_id", times.parse_datetime(raw, now).alias("parsed"), times.parse_datetime(zoned, now).alias("zoned"))
+
+
 _SIDES = ("companies", "amounts", "rounds", "investors", "title_norm", "date")
 
 

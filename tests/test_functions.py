@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from newsdesk.functions import finance, text, times, urls
+from newsdesk.functions import dates, finance, text, times, urls
 
 
 def value(spark, column, **row):
@@ -99,3 +99,92 @@ def test_daily_window(spark, ts, precision, inside):
     start, end = times.daily_window(dt.date(2026, 8, 17))
     d, h, m, s = ts
     assert value(spark, times.in_window(F.col("t"), F.col("p"), start, end), t=dt.datetime(2026, 8, d, h, m, s), p=precision) is inside
+
+
+#: (text, as of 2026-03-31 12:00): forms of dates and what they state
+FREE = """
+17 Aug 2026 3pm +0800|2026-08-17 15:00
+17 aug 2026|2026-08-17
+17th August 2026|2026-08-17
+August 17, 2026|2026-08-17
+Aug. 17 2026|2026-08-17
+Aug 17|2026-08-17
+17 Aug|2026-08-17
+August 2026|2026-08-31
+Feb 2026|2026-02-28
+2026-8-7|2026-08-07
+2026/8/7|2026-08-07
+2026.8.7|2026-08-07
+8/7/2026|2026-08-07
+17/8/2026|2026-08-17
+8/17/2026|2026-08-17
+8-7-26|2026-08-07
+8/7/76|1976-08-07
+8/7/75|2075-08-07
+20260817|2026-08-17
+20260817T1530|2026-08-17 15:30
+20260817T153045|2026-08-17 15:30:45
+20260817153045|2026-08-17 15:30:45
+2026-08-17T15:30:45Z|2026-08-17 23:30:45
+2026-08-17T15:30:45+02:00|2026-08-17 21:30:45
+2026-08-17 15:30:45.25|2026-08-17 15:30:45.25
+2026-08-17 15:30 UTC|2026-08-17 23:30
+2026-08-17 15:30 GMT-3|2026-08-17 20:30
+2026-08-17 15:30 utc+9|2026-08-18 08:30
+Mon, 17 Aug 2026 15:30:00 GMT|2026-08-17 23:30
+Monday, August 17, 2026 at 3:30 PM|2026-08-17 15:30
+3:30pm 17 August 2026|2026-08-17 15:30
+3:30 p.m. Aug 17 2026|2026-08-17 15:30
+12am 17 Aug 2026|2026-08-17 00:00
+12 pm 17 Aug 2026|2026-08-17 12:00
+12:05 am, Aug 17, 2026|2026-08-17 00:05
+15:30|2026-03-31 15:30
+3pm|2026-03-31 15:00
+15:30:45|2026-03-31 15:30:45
+Friday|2026-04-03
+Tuesday|2026-03-31
+Wed 9am|2026-04-01 09:00
+8/17|2026-08-17
+17/8|2026-08-17
+8/2026|2026-08-31
+2026-08|2026-08-31
+2026|2026-03-31
+15|2026-03-15
+1st of May|2026-05-01
+2nd May 2025|2025-05-02
+3rd Sept 2025|2025-09-03
+Sep 4th, 2025|2025-09-04
+the 5th of June 2025|2025-06-05
+Thu Jun 11 2026 07:30:00|2026-06-11 07:30
+Thu Jun 11 07:30:00 2026|2026-06-11 07:30
+11-Jun-2026 07:30|2026-06-11 07:30
+11-Jun-26|2026-06-11
+Jun/11/2026|2026-06-11
+June 11 2026, 7:30 am -0500|2026-06-11 20:30
+(11 June 2026)|2026-06-11
+29 Feb 2028|2028-02-29
+29 Feb 2026|
+31 Jun 2026|
+2026-13-40|
+13/13/2026|
+soon|
+11 June or 12 June 2026|
+25:00 11 June 2026|
+13pm 11 June 2026|
+11 June 12 2026 5|
+today|
+11:00 12:00 1 May 2026|
+"""
+
+
+def test_free_forms(spark):
+    rows = [line.rsplit("|", 1) for line in FREE.strip().splitlines()]
+    assert len(rows) >= 60
+    now = dt.datetime(2026, 3, 31, 12)
+    want = [dt.datetime.fromisoformat(w if "." not in w else w.ljust(26, "0")) if w else None for _, w in rows]
+    assert [(t, dates.read_date(t, now)) for t, _ in rows] == [(t, w) for (t, _), w in zip(rows, want, strict=True)]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(900, None), (901, "")], "i int, t string")
+    got = {r.i: r.x for r in d.select("i", times.parse_datetime(F.col("t"), F.lit("2026-03-31 12:00:00").cast("timestamp_ntz")).alias("x")).collect()}
+    assert got == dict(enumerate(want)) | {900: None, 901: None}
+    # nothing is filled without a day to fill from
+    assert dates.read_date("17 Aug") is None and dates.read_date("3pm") is None and dates.read_date("17 Aug 2026 3pm") == dt.datetime(2026, 8, 17, 15)
