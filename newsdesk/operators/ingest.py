@@ -43,9 +43,10 @@ def stored_rows(labelled: DataFrame, run_at: dt.datetime) -> DataFrame:
     now = F.lit(str(run_at)).cast("timestamp_ntz")
     return (
         labelled.where("outcome = 'new'")
-        .withColumn("summary", F.coalesce(F.when(F.col("summary") != "", F.col("summary")), summary_chars(body)))
+        # before the summary is filled in: the body is what was collected
         .withColumn("content_fingerprint", fingerprint(body))
         .withColumn("word_count", F.length(body))
+        .withColumn("summary", F.coalesce(F.when(F.col("summary") != "", F.col("summary")), summary_chars(body)))
         .withColumn("crawl_time", now)
         .withColumn("expire_at", now + F.expr(f"interval {CACHE_HOURS} hours"))
         .withColumn("extraction_status", F.lit("processed"))
