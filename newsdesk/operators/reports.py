@@ -99,7 +99,7 @@ def daily_report(contents: DataFrame, day: dt.date, events: DataFrame | None = N
     said = lambda c, rest: F.coalesce(F.nullif(collapse(F.col(c)), F.lit("")), F.lit(rest))
     none = F.lit(None).cast("bigint")
     items = daily_report_items(contents, day, events, links)
-    flat = items.select("category", "theme", "published_at", said("title", NO_TITLE).alias("title"), F.col("content_id").cast("bigint").alias("content_id"), none.alias("event_id"), said("summary", NO_SUMMARY).alias("summary"), said("source_name", NO_SOURCE).alias("source"), F.array("url").alias("urls"), F.col("source_id").cast("bigint").alias("source_id"))
+    flat = items.select("category", "theme", "published_at", said("title", NO_TITLE).alias("title"), F.col("title").alias("written"), F.col("content_id").cast("bigint").alias("content_id"), none.alias("event_id"), said("summary", NO_SUMMARY).alias("summary"), said("source_name", NO_SOURCE).alias("source"), F.array("url").alias("urls"), F.col("source_id").cast("bigint").alias("source_id"))
     regular = window
     bare = [F.lit(None).cast("string")]
     if events is not None and links is not None:
@@ -108,14 +108,16 @@ def daily_report(contents: DataFrame, day: dt.date, events: DataFrame | None = N
         linked = links.join(reported.select("event_id"), "event_id", "left_semi").join(contents.select("content_id", "url", "source_id"), "content_id")
         urls = linked.groupBy("event_id").agg(F.array_sort(F.collect_set(F.nullif(F.trim("url"), F.lit("")))).alias("urls"), F.min("source_id").cast("bigint").alias("source_id"))
         told = reported.join(urls, "event_id", "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
-        shown = told.where(F.size("urls") > 0).select(F.lit("funding").alias("category"), F.lit(EVENT_THEME).alias("theme"), F.col("announced_date").cast("timestamp_ntz").alias("published_at"), F.col("event_title").alias("title"), none.alias("content_id"), "event_id", F.coalesce("event_summary", F.lit(NO_SUMMARY)).alias("summary"), F.lit(NO_SOURCE).alias("source"), "urls", "source_id")
+        shown = told.where(F.size("urls") > 0).select(F.lit("funding").alias("category"), F.lit(EVENT_THEME).alias("theme"), F.col("announced_date").cast("timestamp_ntz").alias("published_at"), F.col("event_title").alias("title"), F.col("event_title").alias("written"), none.alias("content_id"), "event_id", F.coalesce("event_summary", F.lit(NO_SUMMARY)).alias("summary"), F.lit(NO_SOURCE).alias("source"), "urls", "source_id")
         flat = flat.unionByName(shown)
         skipped = told.where(F.size("urls") == 0).select(F.concat(F.lit("融资事件 #"), F.col("event_id").cast("string"), F.lit(" 没有可用的数据库来源链接，已跳过")).alias("w"))
     else:
         skipped = contents.limit(0).select(bare[0].alias("w"))
     skipped = skipped.unionByName(regular.where(F.trim(F.coalesce("url", F.lit(""))) == "").select(F.concat(F.lit("内容 #"), F.col("content_id").cast("string"), F.lit(" 没有可用的数据库来源链接，已跳过")).alias("w")))
     item = F.struct("published_at", "title", F.coalesce("content_id", "event_id").alias("id"), "content_id", "event_id", "summary", F.lit(WHY).alias("why_it_matters"), "source", "urls")
-    groups = flat.groupBy("category", "theme").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count(F.lit(1)).alias("n"))
+    # in order of the titles as they were written, not as they are shown; without one, last
+    placed = F.struct("published_at", F.col("written").isNull().alias("untitled"), "written", F.coalesce("content_id", "event_id").alias("id"), item.alias("item"))
+    groups = flat.groupBy("category", "theme").agg(F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["item"]).alias("items"), F.count(F.lit(1)).alias("n"))
     listed = groups.agg(F.collect_list(F.struct("category", "theme", "items", "n")).alias("g"))
     counts = flat.agg(F.count(F.lit(1)).alias("included_items"), F.countDistinct("source_id").alias("sources_attempted"))
     raw = window.agg(F.count(F.lit(1)).alias("raw_items"))
