@@ -560,12 +560,11 @@ def _(spark, d2):
 # --- more reports, curation and taxonomy -----------------------------------------------------------------
 
 
-@query("flt05_candidates", "d2 d5", "select content_id, content_id % 5 <> 0 or content_id % 4 <> 0 as candidate from d2")
+@query("flt05_candidates", "d2 d5", "select content_id, title like '%融资%' or summary like '%融资%' or content_id % 5 <> 0 or content_id % 4 <> 0 as candidate from d2")
 def _(spark, d2, d5):
-    # every title of d2 has a financing word, so the tags decide here; flt05_financing_words tests the words
     from newsdesk.operators.joins import content_view
 
-    return content_view(d2, d5).select("content_id", filters.is_financing_candidate(F.lit(""), F.lit(""), F.col("tags")).alias("candidate"))
+    return content_view(d2, d5).select("content_id", filters.is_financing_candidate(F.col("title"), F.col("summary"), F.col("tags")).alias("candidate"))
 
 
 @query("jn12_exclude", "d2 d5", "select tag_key, tag_value, count(*) as n from (select * from d5 union select content_id, 'manual_financing_status', 'excluded' from d2 where content_id % 25 = 1) group by all")
