@@ -135,17 +135,33 @@ def daily_report(contents: DataFrame, day: dt.date, events: DataFrame | None = N
     return one.select(F.lit(str(day)).alias("report_date"), line.alias("executive_summary"), stats.alias("stats"), F.array(*(of(k, name) for k, name in SECTIONS.items())).alias("sections"), "warnings")
 
 
-def weekly_markdown(details: DataFrame, start: dt.date, end: dt.date, raw_count: int, label: str = "上周") -> DataFrame:
-    """One row with the weekly report as text. details: cluster_detail() with a column links, the reports' links as text;
-    events stand in the order of cluster_id, the largest first. A week without events says so."""
+def weekly_sections(details: DataFrame, start: dt.date, end: dt.date, raw_count: int, label: str = "上周") -> DataFrame:
+    """(place, part): the weekly report in parts, its head at place 0 and the events behind it, the largest cluster_id
+    first, as many tasks as they need. A week without events says so. details: cluster_detail() with a column links, the
+    reports' links as text."""
+    from newsdesk.operators.curate import numbered
+    from newsdesk.sources.shared import stored
+
     line = lambda name, c: F.concat(F.lit(f"- {name}："), F.coalesce(c, F.lit("")))
     fields = [line(n, F.col(c)) for n, c in (("公司", "company"), ("融资轮次", "round"), ("融资金额", "amount"), ("项目简介", "project_intro"), ("投资方简介", "investor_intro"), ("新闻来源", "source_names"))]
     told = F.concat_ws("\n", *fields, F.when(F.coalesce("links", F.lit("")) != "", F.concat(F.lit("- 相关报道："), "links")))
-    listed = details.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "company", told.alias("told"))), False).alias("m"))
-    body = F.array_join(F.transform("m", lambda x, i: F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), x["company"], F.lit("\n\n"), x["told"], F.lit("\n"))), "\n")
+    events = stored(details.select((-F.col("cluster_id")).alias("late"), "company", told.alias("told")), "weekly_events")
+    count = events.count()
+    part = F.concat(F.lit("### "), F.col("place").cast("string"), F.lit(". "), F.col("company"), F.lit("\n\n"), F.col("told"), F.lit("\n"))
+    parts = numbered(events, "late", "place", 0).select("place", part.alias("part"))
     basis = "基于 content_type=financing、ai_related=true、ai_financing_relevance=high 的新闻，并按公司、轮次、金额和标题相似度去重。"
-    head = F.concat(F.lit(f"# 融资新闻周报（{start} 至 {end}）\n\n## 统计汇总\n\n- 融资事件数（去重）："), F.size("m").cast("string"), F.lit(f"\n- 原始融资新闻数：{raw_count}\n- 统计口径：{basis}\n\n## 事件明细\n\n"))
-    return listed.select(F.concat(head, F.when(F.size("m") > 0, body).otherwise(F.lit(f"{label}暂无已识别的融资事件。\n"))).alias("markdown"))
+    head = f"# 融资新闻周报（{start} 至 {end}）\n\n## 统计汇总\n\n- 融资事件数（去重）：{count}\n- 原始融资新闻数：{raw_count}\n- 统计口径：{basis}\n\n## 事件明细\n\n"
+    first = details.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(head if count else f"{head}{label}暂无已识别的融资事件。\n").alias("part"))
+    return first.unionByName(parts)
+
+
+def weekly_markdown(details: DataFrame, start: dt.date, end: dt.date, raw_count: int, label: str = "上周") -> DataFrame:
+    """One row with the weekly report as text: weekly_sections() in order. The text is one value, so use the sections for a week
+    that is too large for one."""
+    parts = weekly_sections(details, start, end, raw_count, label)
+    m = parts.agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("m"))
+    body = F.array_join(F.transform(F.filter("m", lambda x: x["place"] > 0), lambda x: x["part"]), "\n")
+    return m.select(F.concat(F.col("m")[0]["part"], body).alias("markdown"))
 
 
 def financing_items(financing: DataFrame, today: dt.date, day: dt.date | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame, str]:
