@@ -48,17 +48,26 @@ def company_candidates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def company_display_candidates(text: Column) -> Column:
-    """Names as written, in order of mention: quoted ones, then those before a financing verb."""
+def company_display_lists(text: Column) -> Column:
+    """Names as written, in order of mention: the quoted ones and those before a financing verb."""
     quoted = F.transform(_all(text, QUOTED), lambda x: clean_text(x, False))
     acting = F.transform(_all(text, f"(?i){NAME}{VERB}"), lambda x: F.trim(F.regexp_replace(clean_text(x, False), f"^(?:{COMPANY_PREFIX})", "")))
-    return F.array_distinct(F.filter(F.concat(quoted, _between(acting, 2, 60)), lambda x: x != ""))
+    return F.array(*(F.filter(names, lambda x: x != "") for names in (quoted, _between(acting, 2, 60))))
+
+
+def company_display_candidates(text: Column) -> Column:
+    """Names as written, in order of mention: quoted ones, then those before a financing verb."""
+    return F.array_distinct(F.flatten(company_display_lists(text)))
+
+
+def amount_lists(text: Column) -> Column:
+    """Amounts as written: the numeric ones, words and vague ones."""
+    return F.array(*(F.filter(F.transform(_all(text, p, 0), lambda x: clean_text(x, False)), lambda x: x != "") for p in (NUMERIC_AMOUNT, WORD_AMOUNT, VAGUE_AMOUNT)))
 
 
 def amount_texts(text: Column) -> Column:
     """Amounts as written: numeric ones, then words, then vague ones."""
-    every = F.concat(*(_all(text, p, 0) for p in (NUMERIC_AMOUNT, WORD_AMOUNT, VAGUE_AMOUNT)))
-    return F.array_distinct(F.filter(F.transform(every, lambda x: clean_text(x, False)), lambda x: x != ""))
+    return F.array_distinct(F.flatten(amount_lists(text)))
 
 
 def amounts(text: Column) -> Column:
@@ -75,11 +84,32 @@ def rounds(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(round_texts(text), normalize_dedupe_text)))
 
 
+def investor_lists(text: Column) -> Column:
+    """Investors by the form of their mention."""
+
+    def named(found: Column) -> Column:
+        parts = F.flatten(F.transform(found, lambda x: F.split(clean_text(x, False), "[、,，和及与]")))
+        return _between(F.transform(parts, lambda x: F.trim(F.regexp_replace(clean_text(x, False), "^(?:本轮|由|同时|并由)", ""))), 2, 40)
+
+    return F.array(*(named(_all(text, p)) for p in INVESTORS))
+
+
 def investor_texts(text: Column) -> Column:
-    every = F.concat(*(_all(text, p) for p in INVESTORS))
-    parts = F.flatten(F.transform(every, lambda x: F.split(clean_text(x, False), "[、,，和及与]")))
-    bare = F.transform(parts, lambda x: F.trim(F.regexp_replace(clean_text(x, False), "^(?:本轮|由|同时|并由)", "")))
-    return F.array_distinct(_between(bare, 2, 40))
+    return F.array_distinct(F.flatten(investor_lists(text)))
+
+
+#: Ends of texts in which a mention could go on in a text behind it, in the order of the forms that cross lines:
+#: a quotation, an amount without its unit, and those of INVESTORS.
+OPEN_ENDS = (r"[「“\"][^」”\"]{0,60}\z", r"\d\s*(?:万|亿)?\s*\z", r"由(?![^。；;，,]{2,80}?(?:领投|联合领投|投资|参投))[^。；;，,]{0,80}\z", r"(?:投资方包括|投资方为|投资机构包括)[^。；;]{0,100}\z", r"(?:领投方为|领投方是)[^。；;，,]{0,80}\z")
+
+
+def open_at_end(text: Column) -> Column:
+    """True if a company, amount or investor could reach from the text into one that follows on a new line. Texts that are
+    not open name together what each one names."""
+    found = F.lit(False)
+    for p in OPEN_ENDS:
+        found = found | text.rlike(p)
+    return found
 
 
 def parse_amount(c: Column) -> Column:

@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsdesk.functions.finance import ROUNDS
 from newsdesk.functions.text import collapse
 from newsdesk.functions.times import daily_window, in_window, time_choice
 from newsdesk.operators.filters import report_candidates
 from newsdesk.operators.scoring import classify_content, item_terms, theme_for
+from newsdesk.sources.shared import stored
 
 #: Sections in order, with their titles.
 SECTIONS = {"technology": "技术进展", "industry": "产业新闻", "funding": "融资新闻"}
@@ -237,39 +239,117 @@ def backfill_plan(missing: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.where("enabled").select(every.alias("day"), "source_id").withColumn("run_at", run)
 
 
+#: Reports of a cluster that are read as one text; of larger clusters each distinct text is read once. Rows of a table that is sent
+#: to all tasks at most.
+WHOLE_REPORTS, SENT_ROWS = 32, 10_000
+EVIDENCE_MARKS = ("领投", "跟投", "参投", "投资方", "投资机构")
+DETAIL_CHARS = 220
+
+
 def cluster_detail(members: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """Per cluster: company, rounds, amounts, introduction, investors and sources. members: (cluster_id, content_id,
-    shown, title, summary, source_name[, body])."""
-    from newsdesk.functions.finance import amount_texts, company_display_candidates, investor_texts, round_texts
-    from newsdesk.functions.text import first_chars, summary_chars
+    shown, title, summary, source_name[, body]).
+
+    A cluster's reports count as one text, newest first. Names and amounts are searched for once in each distinct text and put
+    together in order of the reports. A cluster with a text in which a mention could go on in the next one, or whose first reports
+    don't settle the introductions, is read as a whole text, in one task."""
+    from newsdesk.functions.finance import amount_lists, company_display_lists, investor_lists, open_at_end, round_texts
+    from newsdesk.functions.text import first_chars
+    from newsdesk.operators.cluster import distinct_texts
 
-    body = first_chars(F.col("body"), 1600) if "body" in members.columns else F.lit("")
-    text = F.concat_ws("\n", F.col("title"), F.coalesce("summary", F.lit("")), body)
-    rows = members.withColumn("_text", text)
+    rows, texts = members, ["title", "summary"]
+    if "body" in members.columns:
+        rows, texts = rows.withColumn("_body", first_chars(F.col("body"), 1600)), [*texts, "_body"]
+    names = []
     if entities is not None:
-        names = lambda kind: entities.where(F.col("entity_type") == kind).groupBy("content_id").agg(F.array_sort(F.collect_set("name")).alias(f"_{kind}"))
-        rows = rows.join(names("company"), "content_id", "left").join(names("investor"), "content_id", "left")
-    else:
-        rows = rows.withColumn("_company", F.array().cast("array<string>")).withColumn("_investor", F.array().cast("array<string>"))
-    listed = rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("shown", "content_id", "title", "summary", "source_name", "_text", F.coalesce("_company", F.array().cast("array<string>")).alias("c"), F.coalesce("_investor", F.array().cast("array<string>")).alias("i"))), False).alias("m"))
-    all_text = F.array_join(F.col("m._text"), "\n")
-    listed = listed.select("cluster_id", "m", all_text.alias("t"), F.array_distinct(F.flatten("m.c")).alias("c"), F.array_distinct(F.flatten("m.i")).alias("i"))
-    listed = listed.withColumn("c", F.when(F.size("c") > 0, F.col("c")).otherwise(company_display_candidates(F.col("t")))).withColumn("i", F.when(F.size("i") > 0, F.col("i")).otherwise(investor_texts(F.col("t"))))
-    told = lambda a: F.when(F.size(a) > 0, F.array_join(a, "、")).otherwise("未披露")
-    sentences = F.filter(F.transform(F.split("t", "[。！？!?；;]\\s*"), lambda x: collapse(x)), lambda x: x != "")
-    marks = ("领投", "跟投", "参投", "投资方", "投资机构")
-    evidence = F.filter(sentences, lambda s: F.exists(F.concat(F.array(*map(F.lit, marks)), F.col("i")), lambda x: F.contains(s, x)))
-    intro = F.when(F.size(evidence) > 0, summary_chars(F.array_join(F.array_distinct(F.slice(evidence, 1, 2)), "；"), 220)).when(F.size("i") > 0, F.concat(F.lit("公开报道提到投资方："), F.array_join("i", "、"), F.lit("；暂无更详细机构简介。"))).otherwise("未披露或原文未提供明确投资方信息。")
+        named = lambda kind: entities.where(F.col("entity_type") == kind).groupBy("content_id").agg(F.array_sort(F.collect_set("name")).alias(f"_{kind}"))
+        names = ["_company", "_investor"]
+        rows = rows.join(named("company"), "content_id", "left").join(named("investor"), "content_id", "left")
+    rows = stored(distinct_texts(rows.select("cluster_id", "content_id", "shown", "source_name", *texts, *names), texts)[0], "detail_rows")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = rows.select("k1", "k2", *texts).distinct().repartition(parts)
+    text = F.concat_ws("\n", F.col("title"), F.coalesce("summary", F.lit("")), F.col("_body") if "_body" in texts else F.lit(""))
+    marked = F.exists(F.array(*map(F.lit, EVIDENCE_MARKS)), lambda x: F.contains("_text", x))
+    told = told.withColumn("_text", text)
+    found = {"companies": company_display_lists(F.col("_text")), "amounts": amount_lists(F.col("_text")), "investors": investor_lists(F.col("_text")), "rounds": round_texts(F.col("_text")), "marked": marked, "open": open_at_end(F.col("_text"))}
+    told = stored(told.select("k1", "k2", "title", "summary", "_text", *(c.alias(k) for k, c in found.items())), "detail_texts")
+    if told.count() <= SENT_ROWS:
+        told = F.broadcast(told)
+    light = rows.drop(*texts)
+
+    def listed(rows: DataFrame) -> DataFrame:
+        """Per cluster: its rows (n stands for how many reports), newest first."""
+        one = F.struct("shown", "content_id", "title", "summary", "source_name", "_text", *names, *found, "n")
+        return rows.join(told, ["k1", "k2"]).groupBy("cluster_id").agg(F.sort_array(F.collect_list(one), False).alias("m"))
+
+    head = F.array_join(F.col("m._text"), "\n").alias("t")
+    large = stored(rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE_REPORTS).select("cluster_id"), "large_clusters")
+    small = listed(light.join(large, "cluster_id", "left_anti").repartition("cluster_id").withColumn("n", F.lit(1).cast("long")))
+    out = small.select("cluster_id", "m", head, F.lit(True).alias("all"))
+    if not large.isEmpty():
+        of_large = rows.join(large, "cluster_id")
+        newest = Window.partitionBy("cluster_id").orderBy(F.desc("shown"), F.desc("content_id"), *map(F.desc, texts[:2]), F.desc("source_name"))
+        heads = listed(of_large.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= WHOLE_REPORTS).drop("_n", *texts).withColumn("n", F.lit(1).cast("long"))).select("cluster_id", head)
+        first = of_large.groupBy("cluster_id", "k1", "k2", "source_name", *names).agg(F.max(F.struct("shown", "content_id")).alias("at"), F.count(F.lit(1)).alias("n"))
+        first = listed(first.select("cluster_id", "k1", "k2", "source_name", *names, "at.*", "n"))
+        out = out.unionByName(first.join(heads, "cluster_id").select("cluster_id", "m", "t", F.lit(False).alias("all")))
+    each = lambda c, k: F.flatten(F.transform("m", lambda x: x[c][k]))
+    every = lambda c, n: F.array_distinct(F.concat(*(each(c, k) for k in range(n))))
+    given = lambda c: F.array_distinct(F.flatten(F.transform("m", lambda x: F.coalesce(x[c], F.array().cast("array<string>"))))) if names else F.array().cast("array<string>")
+    rounds = F.array_distinct(F.flatten("m.rounds"))
+    out = out.select(
+        "cluster_id", "t", "all", F.col("m")[0]["title"].alias("title"), F.col("m")[0]["summary"].alias("summary"),
+        given("_company").alias("gc"), given("_investor").alias("gi"), every("companies", 2).alias("fc"), every("investors", 3).alias("fi"), every("amounts", 3).alias("amounts"),
+        F.filter(F.array(*map(F.lit, ROUNDS)), lambda r: F.array_contains(rounds, r)).alias("rounds"),
+        F.array_distinct("m.source_name").alias("sources"), F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"),
+        F.exists("m", lambda x: x["marked"]).alias("marked"), F.exists("m", lambda x: x["open"]).alias("open"),
+    )
+    out = out.select("*", F.when(F.size("gc") > 0, F.col("gc")).otherwise(F.col("fc")).alias("c"), F.when(F.size("gi") > 0, F.col("gi")).otherwise(F.col("fi")).alias("i"))
+    out = out.withColumn("evidence", _evidence(F.col("t"), F.col("i")))
+    # a text that is cut off behind the first reports settles what it is read for
+    nothing = (F.size("i") == 0) & ~F.col("marked")
+    settled = (nothing | (F.size("evidence") >= 3) | (F.coalesce(F.length(F.try_element_at("evidence", F.lit(1))), F.lit(0)) > DETAIL_CHARS)) & ((F.coalesce("summary", F.lit("")) != "") | (F.length(collapse(F.col("t"))) > DETAIL_CHARS))
+    out = out.withColumn("whole", (F.col("open") & (F.col("n") > 1)) | (~F.col("all") & ~settled))
+    if large.isEmpty() and told.where("open").isEmpty():
+        return _details(out)
+    out = stored(out, "details")
+    whole = stored(out.where("whole").select("cluster_id", F.col("gc").alias("c"), F.col("gi").alias("i")), "whole_clusters")
+    if whole.isEmpty():
+        return _details(out)
+    one = listed(light.join(whole.select(F.col("cluster_id").alias("_c")), F.col("cluster_id").eqNullSafe(F.col("_c")), "left_semi").withColumn("n", F.lit(1).cast("long"))).select("cluster_id", "m", head)
+    return _details(out.where("not whole")).unionByName(_details(_whole(one.join(whole.withColumnRenamed("cluster_id", "_c"), F.col("cluster_id").eqNullSafe(F.col("_c"))).drop("_c"))))
+
+
+def _whole(listed: DataFrame) -> DataFrame:
+    """What _details() is made from, out of whole texts (cluster_id, m, t) and the names that are known (c, i)."""
+    from newsdesk.functions.finance import amount_texts, company_display_candidates, investor_texts, round_texts
+
+    t = F.col("t")
+    listed = listed.withColumn("c", F.when(F.size("c") > 0, F.col("c")).otherwise(company_display_candidates(t))).withColumn("i", F.when(F.size("i") > 0, F.col("i")).otherwise(investor_texts(t)))
     first = F.col("m")[0]
-    return listed.select(
+    return listed.select("cluster_id", "t", "c", "i", first["title"].alias("title"), first["summary"].alias("summary"), round_texts(t).alias("rounds"), amount_texts(t).alias("amounts"), F.array_distinct("m.source_name").alias("sources"), F.size("m").alias("n"), _evidence(t, F.col("i")).alias("evidence"))
+
+
+def _evidence(t: Column, i: Column) -> Column:
+    """The sentences of a text that speak of investors."""
+    sentences = F.filter(F.transform(F.split(t, "[。！？!?；;]\\s*"), lambda x: collapse(x)), lambda x: x != "")
+    return F.filter(sentences, lambda s: F.exists(F.concat(F.array(*map(F.lit, EVIDENCE_MARKS)), i), lambda x: F.contains(s, x)))
+
+
+def _details(out: DataFrame) -> DataFrame:
+    from newsdesk.functions.text import summary_chars
+
+    told = lambda a: F.when(F.size(a) > 0, F.array_join(a, "、")).otherwise("未披露")
+    intro = F.when(F.size("evidence") > 0, summary_chars(F.array_join(F.array_distinct(F.slice("evidence", 1, 2)), "；"), DETAIL_CHARS)).when(F.size("i") > 0, F.concat(F.lit("公开报道提到投资方："), F.array_join("i", "、"), F.lit("；暂无更详细机构简介。"))).otherwise("未披露或原文未提供明确投资方信息。")
+    return out.select(
         "cluster_id",
-        F.when(F.size("c") > 0, F.array_join(F.slice("c", 1, 3), "、")).otherwise(first["title"]).alias("company"),
-        told(round_texts(F.col("t"))).alias("round"),
-        told(amount_texts(F.col("t"))).alias("amount"),
-        summary_chars(F.coalesce(F.nullif(first["summary"], F.lit("")), F.col("t")), 220).alias("project_intro"),
+        F.when(F.size("c") > 0, F.array_join(F.slice("c", 1, 3), "、")).otherwise(F.col("title")).alias("company"),
+        told(F.col("rounds")).alias("round"),
+        told(F.col("amounts")).alias("amount"),
+        summary_chars(F.coalesce(F.nullif("summary", F.lit("")), F.col("t")), DETAIL_CHARS).alias("project_intro"),
         intro.alias("investor_intro"),
-        F.array_join(F.array_distinct("m.source_name"), "、").alias("source_names"),
-        F.size("m").alias("reports"),
+        F.array_join("sources", "、").alias("source_names"),
+        F.col("n").cast("int").alias("reports"),
     )
 
 
