@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,25 +134,35 @@ def _json_time(scripts: list[str]) -> str | None:
 PARSED = "url string, title string, description string, stated string, json_time string, page_text string, body string, links array<struct<href:string,text:string>>"
 
 
+#: Pages that are parsed before their rows are handed on.
+PAGES_TOGETHER = 64
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """What the markup of pages (url, html) says, before any rule on it. One pass of the standard parser."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for url, html in zip(frame["url"], frame["html"], strict=True):
-                page = _Page()
-                page.feed(html or "")
-                page.close()
-                tidy = lambda s: " ".join(s.split())
-                title = tidy(page.heading) or tidy(page.title) or page.meta.get(("property", "og:title")) or page.meta.get(("name", "twitter:title")) or ""
-                stated = next((page.meta[k] for k in META_TIMES if k in page.meta), None) or next((x for x in page.times if x), None)
-                about = page.meta.get(("name", "description")) or page.meta.get(("property", "og:description")) or ""
-                body = next((page.paragraphs[k] for k in ("article", "main", "body") if page.paragraphs[k]), [])
-                rows.append((url, title, about, stated, _json_time(page.scripts), tidy(" ".join(page.text))[:2500], " ".join(body), [{"href": h, "text": tidy(t)} for h, t in page.anchors]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")[:-1]] + ["links"])
-
-    return pages.select("url", "html").mapInPandas(run, PARSED)
+    """What the markup of pages (url, html) says, before any rule on it. One pass of the standard parser; a task holds its
+    batch as it came and what PAGES_TOGETHER pages gave."""
+    link = pa.struct([("href", pa.string()), ("text", pa.string())])
+    schema = pa.schema([(c.split()[0], pa.string()) for c in PARSED.split(", ")[:-1]] + [("links", pa.list_(link))])
+    tidy = lambda s: " ".join(s.split())
+
+    def parsed(url: str | None, html: str | None) -> tuple:
+        page = _Page()
+        page.feed(html or "")
+        page.close()
+        title = tidy(page.heading) or tidy(page.title) or page.meta.get(("property", "og:title")) or page.meta.get(("name", "twitter:title")) or ""
+        stated = next((page.meta[k] for k in META_TIMES if k in page.meta), None) or next((x for x in page.times if x), None)
+        about = page.meta.get(("name", "description")) or page.meta.get(("property", "og:description")) or ""
+        body = next((page.paragraphs[k] for k in ("article", "main", "body") if page.paragraphs[k]), [])
+        return (url, title, about, stated, _json_time(page.scripts), tidy(" ".join(page.text))[:2500], " ".join(body), [{"href": h, "text": tidy(t)} for h, t in page.anchors])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_TOGETHER):
+                part = batch.slice(at, PAGES_TOGETHER)
+                rows = [parsed(*x) for x in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return pages.select("url", "html").mapInArrow(run, PARSED)
 
 
 def extract_articles(pages: DataFrame, as_of: Column) -> DataFrame:
