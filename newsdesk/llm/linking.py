@@ -4,9 +4,10 @@ Round one compares each document with the smallest one of fitting size that it s
 documents then lie in one component are done, which ends most groups of copies at once. What is still apart in a
 mixed bucket is joined exactly on the items of the full sets: of two sets that reach the share, the first common
 item, in any one order of all items, stands among the first n - least overlap + 1 of either. The least overlap follows
-from both sizes, so a set has a prefix for each class of partner sizes and meets only sets of that class. Items that
-are frequent in a sample come last, which leaves the items that one text has for itself in front; items
-that lie in one component bring nobody together.
+from both sizes, so a set has a prefix for each class of partner sizes and meets only sets of that class. Items are
+ordered by the number of documents that hold them, so those that one document has for itself fill its prefix: they bring
+nobody together, nor do items that lie in one component. The numbers are exact at any size, except for items that
+are frequent in a sample, which come last and are sent to all tasks.
 
 The exact join runs in steps that look at ever more of the partners, GROWTH times as many each time and all of them in
 the end. A document that is linked to many leaves in an early step, so the pairs of a large group do not grow
@@ -16,10 +17,12 @@ with its square, and no link between documents that share a bucket is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsdesk.llm.arrays import mix, owners, tidy
@@ -28,6 +31,8 @@ from newsdesk.operators.graph import components
 
 #: Documents whose ids may be broadcast; documents that tell which items are frequent, and such items at most.
 BROADCAST_IDS, SAMPLE_DOCS, FREQUENT_ITEMS = 500_000, 4_000, 400_000
+#: Items that are put in order at once; what comes behind all numbers of documents that are counted.
+ITEMS_AT_ONCE, BEHIND = 1_000_000, 1 << 40
 #: Documents of the largest group that the first step of the exact join looks at, and the growth from step to step. A
 #: step that would look at LAST or more of all partners looks at all.
 FIRST_PARTNERS, GROWTH, LAST = 32, 32, 0.25
@@ -89,10 +94,62 @@ def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return buckets.join(several, "bucket", "left_semi").select("doc").distinct()
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, ITEMS_AT_ONCE items and those of one row at a time at most."""
+    place = batch.column("items").offsets.to_numpy()[:-1].astype(np.int64)
+    group = (place - place[:1]) // ITEMS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in pairwise(cuts) if b > a)
+
+
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows and the first one of each row."""
+    first = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0]
+
+
+def sampled(values: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How often the sample holds each value, 0 if it is not among the known ones, which are in order."""
+    if not len(known) or not len(values):
+        return np.zeros(len(values), np.int64)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[place] == values, times[place], 0)
+
+
+def counted(values: np.ndarray, of: np.ndarray, held: np.ndarray, held_of: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The times of each value of a row among the held ones of that row, 0 if it is not there."""
+    row, value = np.concatenate((of, held_of)), np.concatenate((values, held))
+    is_held = np.arange(len(row)) >= len(of)
+    order = np.lexsort((is_held, value, row))
+    found = (row[order[1:]] == row[order[:-1]]) & (value[order[1:]] == value[order[:-1]]) & is_held[order[1:]] & ~is_held[order[:-1]]
+    out = np.zeros(len(of), np.int64)
+    out[order[:-1][found]] = times[order[1:][found] - len(of)]
+    return out
+
+
+def with_holders(sets: DataFrame, frequent: Broadcast) -> DataFrame:
+    """sets (doc, items) with held and times: those of its items that are not frequent and that other sets hold too, and how
+    many do. Frequent ones are left out before the shuffle, so that no task counts an item of very many sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                values, first = lists(part.column("items"))
+                rare = sampled(values, *frequent.value) == 0
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(owners(first)[rare])), pa.array(values[rare])], names=["doc", "item"])
+
+    rare = sets.select("doc", "items").mapInArrow(tidy(run), "doc long, item long")
+    rare = rare.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("item"))).where("k > 1")
+    held = rare.groupBy("doc").agg(F.collect_list(F.struct("item", "k")).alias("held"))
+    none = F.array().cast("array<long>")
+    return sets.select("doc", "items").join(held, "doc", "left").select("doc", "items", F.coalesce("held.item", none).alias("held"), F.coalesce("held.k", none).alias("times"))
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(key, doc, n, rank) of the items of each set (doc, n, items), a stored table, by which a partner of each class of
     sizes must be met. A key stands for an item and the two classes; rank is the item's place in the set: the
-    order is by the number of sampled sets that hold an item, then by the item."""
+    order is by the number of sets that hold an item, of sampled ones for those that are frequent, then by the item. Items of one
+    set alone have a place but no row, since they meet nobody."""
     count = sets.count()
     sample = sets.where(hash_share(F.col("doc"), SAMPLE_DOCS / max(1, count)))
     held = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("k")).where("k > 2")
@@ -100,17 +157,14 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast((frequent.column("item").to_numpy(), frequent.column("k").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = shared.value
-        for batch in batches:
-            items = batch.column("items")
-            first = items.offsets.to_numpy().astype(np.int64)
-            values, first = items.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0]
+        for batch in (x for b in batches for x in pieces(b)):
+            values, first = lists(batch.column("items"))
             of = owners(first)
-            k = np.zeros(len(values), np.int64)
-            if len(known) and len(values):
-                place = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                k = np.where(known[place] == values, times[place], 0)
-            values = values[np.lexsort((values, k, of))]
+            held, held_first = lists(batch.column("held"))
+            k = sampled(values, *shared.value)
+            k = np.where(k > 0, BEHIND + k, counted(values, of, held, owners(held_first), lists(batch.column("times"))[0]))
+            order = np.lexsort((values, k, of))
+            values, met = values[order], k[order] > 0
             rank = np.arange(len(values)) - first[:-1][of] + 1
             n = np.diff(first)
             own = np.searchsorted(SIZE_CLASSES, n, "right") - 1
@@ -124,12 +178,12 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 length = np.where(inside & (low <= high), n - -(-percent * (n + low) // (100 + percent)) + 1, 0)
                 if not (length > 0).any():
                     continue
-                keep = rank <= length[of]
+                keep = met & (rank <= length[of])
                 doc, x, y = of[keep], np.minimum(own, partner).astype(np.uint64), np.maximum(own, partner).astype(np.uint64)
                 key = mix(values[keep].view(np.uint64) ^ mix(x[doc] << np.uint64(32) | y[doc]))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(doc)), pa.array(n[doc]), pa.array(rank[keep])], names=["key", "doc", "n", "rank"])
 
-    return sets.select("doc", "items").mapInArrow(tidy(run), "key long, doc long, n long, rank long")
+    return with_holders(sets, shared).mapInArrow(tidy(run), "key long, doc long, n long, rank long")
 
 
 def apart(rows: DataFrame, percent: int, share: float) -> DataFrame:
