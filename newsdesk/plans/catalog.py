@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsdesk.functions import finance, text, times, urls
 from newsdesk.operators import cluster, filters, rollups, scoring
 from newsdesk.plans.registry import ORACLES, QUERIES, query
+from newsdesk.sources.shared import stored
 
 FLAGSHIP, LATEST = "rp01_daily_report", "rp01_latest_report"
 #: The days that the date-bound queries report on.
@@ -473,7 +474,7 @@ def _week_clusters(items: DataFrame) -> DataFrame:
 
 @query("cl02_clusters", "d2 d5")
 def _(spark, d2, d5):
-    return _week_clusters(_financing_items(d2, d5))
+    return _week_clusters(stored(_financing_items(d2, d5), "financing_items"))
 
 
 @query("cl04_build_events", "d2 d5")
@@ -664,7 +665,7 @@ def _(spark, d1):
 def _(spark, d2, d5):
     from newsdesk.operators.reports import cluster_detail
 
-    items = _financing_items(d2, d5)
+    items = stored(_financing_items(d2, d5), "financing_items")
     return cluster_detail(items.join(_week_clusters(items), "content_id").withColumn("source_name", F.lit("源")))
 
 
