@@ -46,13 +46,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("url", "html")
 
 
+#: A longer text than the parser's own bound, 20,000,000 characters, would make a story without any value.
+LONGEST = {"maxStringLen": str((1 << 31) - 1)}
 STORY = "id bigint, type string, title string, url string, text string, time bigint, score bigint, by string"
 
 
 def read_stories(df: DataFrame, text: str = "value", top: int = 20) -> DataFrame:
     """Items from story JSON (rank, JSON text): stories among the first `top` ranks, with the defaults for missing
     titles and addresses; epoch seconds become Beijing time."""
-    s = df.where(F.col("rank") <= top).select("rank", F.from_json(text, STORY).alias("s")).where("s.type = 'story'").select("rank", "s.*")
+    s = df.where(F.col("rank") <= top).select("rank", F.from_json(text, STORY, LONGEST).alias("s")).where("s.type = 'story'").select("rank", "s.*")
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Hacker News story "), F.col("id").cast("string")))
     url = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("id").cast("string")))
     body = clean_text(F.coalesce(F.nullif(F.col("text"), F.lit("")), title))
